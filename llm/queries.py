@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, mixing, pii, quality, toxicity
+from . import html_extract, mixing, pii, quality, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
         "op7_personal_data": lambda s, d: pii.query(table(s, d, "documents")),
         "op8_source_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
+        "op10_substring_dedup": lambda s, d: substring_dedup.query(table(s, d, "documents")),
     }
 
 
