@@ -105,9 +105,10 @@ BASE = {"few_words", "repeated_words"}
 
 
 def plan(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejection per cost, from at most ``rows`` documents with the smallest text hashes."""
-    sample = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).orderBy("h").limit(rows)
-    texts = [r.t for r in sample.select("t").collect()]
+    """Rule names by rejection per cost, from about ``rows`` documents whose text hashes fall in a share of rows / count."""
+    share = rows / max(1, docs.count())
+    hashed = F.pmod(F.xxhash64(text), F.lit(1 << 40))
+    texts = [r.t for r in docs.select(F.col(text).alias("t")).filter(hashed < int(min(1.0, share) * (1 << 40))).collect()]
     gain = {}
     for rule in RULES:
         fresh = [Measured(t) for t in texts]

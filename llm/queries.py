@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, mixing, pii, quality, substring_dedup, toxicity
+from . import html_extract, mixing, ngram_join, pii, quality, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_html_extraction": lambda s, d: html_extract.query(table(s, d, "pages")),
         "op4_toxicity": lambda s, d: toxicity.query(table(s, d, "documents"), table(s, d, "labels")),
         "op5_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
+        "op6_ngram_jaccard_join": lambda s, d: ngram_join.jaccard_join(table(s, d, "documents")),
         "op7_personal_data": lambda s, d: pii.query(table(s, d, "documents")),
         "op8_source_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
         "op10_substring_dedup": lambda s, d: substring_dedup.query(table(s, d, "documents")),

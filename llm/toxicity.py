@@ -6,7 +6,7 @@ Per-coordinate learning rates and L1 keep few weights other than zero; those, bo
 the feature space of 2**BITS slots, are sent to the executors.
 
 Labels are learnt only from rows with crc32(doc_id as text) mod 3 other than 1, and from
-at most TRAIN_ROWS of each label of them, those with the smallest crc32 (a documented bound).
+about TRAIN_ROWS of each label of them, those with the smallest crc32 (a documented bound).
 labels, lang, source and doc_id are never inputs of a score.  Every whole text is scored.
 
 Defined cases: a null or empty text gets the intercept's score; a null doc_id is never
@@ -90,17 +90,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray | None:
-    """Weights from at most ``rows`` labelled rows of each label, or None without two labels.
+    """Weights from about ``rows`` labelled rows of each label at most, or None without two labels.
 
     The rows are chosen from labels alone, so only their texts are read and sent.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = crc(F.col("doc_id"))
-    chosen = None
-    for y in (0, 1):
-        part = usable.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(rows)
-        chosen = part if chosen is None else chosen.union(part)
-    # At most 2 * rows ids: a bounded side to broadcast.
+    count = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, rows / max(rows, count.get(1, 0))).otherwise(rows / max(rows, count.get(0, 0)))
+    chosen = usable.filter(order <= share * (1 << 32))
+    # About 2 * rows ids at most: a bounded side to broadcast.
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("o"), "doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
     got.sort(key=lambda r: (r.o, r.doc_id, r.text))
     y = np.array([r.toxic for r in got], int)
