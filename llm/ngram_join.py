@@ -296,14 +296,14 @@ def _large(members: DataFrame, percent: int) -> DataFrame:
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "class"), F.col("blocks")))
 
     def meet(chosen: DataFrame) -> DataFrame:
-        spread = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        spread = chosen.toDF(*members.columns).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         return members.groupBy("region", "block").cogroup(spread.groupBy("region", "block")).applyInArrow(_against(percent), "u long, v long")
 
     edges = None
     left = members
     for k in range(ROUNDS):
         count = left.groupBy("region").agg(F.count(F.lit(1)).alias("left_n"))
-        few = left.join(count, "region").filter(F.pmod(F.xxhash64(F.lit(k), "class"), F.col("left_n")) < PIVOTS).drop("left_n")
+        few = left.join(count, "region").filter(F.pmod(F.xxhash64(F.lit(k), "class"), F.col("left_n")) < PIVOTS).drop("left_n").toDF(*members.columns)
         found = written(meet(few), f"jaccard-pivots{k}")
         edges = found if edges is None else edges.union(found)
         parts = components(edges, "u", "v", f"jaccard-parts{k}")
