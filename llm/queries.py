@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, mixing, ngram_join, pii, quality, substring_dedup, toxicity
+from . import html_extract, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": lambda s, d: line_dedup.query(table(s, d, "documents")),
         "op2_html_extraction": lambda s, d: html_extract.query(table(s, d, "pages")),
         "op4_toxicity": lambda s, d: toxicity.query(table(s, d, "documents"), table(s, d, "labels")),
         "op5_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
@@ -25,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE}

@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
     each: list[np.ndarray] = []
     for at, to, data, offsets in tk.slices(col):
         d, s = slots(data, offsets)
-        each += np.split(s, np.searchsorted(d, np.arange(1, to - at)))
+        each += np.split(s.astype(np.int32), np.searchsorted(d, np.arange(1, to - at)))
     model, rng = Ftrl(), np.random.default_rng(3)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
