@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
+from . import decontaminate, html_extract, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": lambda s, d: line_dedup.query(table(s, d, "documents")),
         "op2_html_extraction": lambda s, d: html_extract.query(table(s, d, "pages")),
+        "op3_benchmark_decontamination": lambda s, d: decontaminate.query(table(s, d, "documents"), table(s, d, "benchmark")),
         "op4_toxicity": lambda s, d: toxicity.query(table(s, d, "documents"), table(s, d, "labels")),
         "op5_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
         "op6_ngram_jaccard_join": lambda s, d: ngram_join.jaccard_join(table(s, d, "documents")),
