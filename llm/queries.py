@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
+from . import decontaminate, html_extract, line_dedup, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op6_ngram_jaccard_join": lambda s, d: ngram_join.jaccard_join(table(s, d, "documents")),
         "op7_personal_data": lambda s, d: pii.query(table(s, d, "documents")),
         "op8_source_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
+        "op9_secret_scan": lambda s, d: secrets.query(table(s, d, "documents")),
         "op10_substring_dedup": lambda s, d: substring_dedup.query(table(s, d, "documents")),
     }
 
