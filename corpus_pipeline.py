@@ -1,23 +1,61 @@
-"""Placeholder until all stages exist."""
+"""The corpus pipeline: quality rules, line dedup, Jaccard join, decontamination, mixing.
 
-from llm import mixing, quality
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next stage's documents.  All but the last return the columns of
+documents; each works on everything its predecessor kept.
+"""
 
-ORACLE_SQL = None
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm import decontaminate, line_dedup, mixing, ngram_join, quality
+from llm.common import table, written
 
 
-def quality_rules(spark, docs, sf_dir):
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
     return quality.quality_filter(docs)
 
 
-def mixing_stage(spark, docs, sf_dir):
-    return mixing.shuffled(mixing.mix_sources(docs))
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand earlier, equal or within one edit, are taken out; documents without a line left go; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: the least doc_id."""
+    groups = ngram_join.jaccard_join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(groups, F.col("doc_id") == F.col("gone"), "left_anti")
+
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no test item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
-STAGES = [("quality_rules", quality_rules), ("mixing", mixing_stage)]
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus: a row for each copy taken, with its shard, copy and place in the shard's order."""
+    mixed = mixing.shuffled(mixing.mix_sources(docs))
+    return mixed.select(*docs.columns, F.col("mix.size").alias("size"), F.col("mix.shard").alias("shard"), F.col("mix.copy").alias("copy"), F.col("mix.place").alias("place"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+]
+
+#: The last stage draws at random (seeded), which SQL cannot express; tests hold the stages against brute force.
+ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
