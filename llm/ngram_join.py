@@ -42,8 +42,8 @@ PIVOTS = 16
 LEAF = 48
 ROUNDS = 4
 
-SETS = "row long, doc_id long, n_shingles long, a long, b long, shingles binary, common binary"
-SETS_PA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shingles", pa.binary()), ("common", pa.binary())])
+SETS = "row long, doc_id long, n_shingles long, a long, b long, shingles binary, often binary"
+SETS_PA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shingles", pa.binary()), ("often", pa.binary())])
 
 
 class _Chunk:
@@ -194,7 +194,7 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """SETS rows: every document's shingle count; sets and their shared shingles only where a link is possible."""
+    """SETS rows: every document's shingle count; sets and their shingles' frequencies only where a link is possible."""
     base, z = pr.chunked(docs, doc_id, text)
     base = base.withColumn("doc_id", F.col("doc_id").cast("long"))
     bits, ranges = z.filter_bits, min(z.range_bits, z.filter_bits)
@@ -204,17 +204,18 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
         c.anchors(bits)
         return pr.send(table.column("chunk")[0].as_py(), c.keys, np.minimum(c.count, 255).astype(np.uint64), bits, ranges)
 
-    def shared(group: np.ndarray, _chunk: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return (np.bincount(group, weights=count) > 1)[group]
+    def frequency(group: np.ndarray, _chunk: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """0 for a shingle of one document, then one more for each doubling."""
+        return np.minimum(15, np.ceil(np.log2(np.bincount(group, weights=count)))).astype(np.uint8)[group]
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return SETS_PA.empty_table()
         c = _Chunk(table, n)
         c.anchors(bits)
-        hit = pr.read_bits(replies, 1, c.keys, bits, ranges)[c.key_of]
+        level = pr.read_levels(replies, 1, c.keys, bits, ranges)[c.key_of]
         size = np.diff(c.first)
-        met = np.bincount(c.doc, weights=hit, minlength=len(size))
+        met = np.bincount(c.doc, weights=level > 0, minlength=len(size))
         null = np.asarray(c.table.column("doc_id").is_null().to_numpy(), bool)
         may = (100 * met >= percent * size) & (size > 0) & ~null
         a = np.zeros(len(size), np.uint64)
@@ -222,20 +223,20 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
         np.add.at(a, c.doc, c.h)
         np.bitwise_xor.at(b, c.doc, tk.mix(c.h + np.uint64(7)))
         sets = [c.h[c.first[i] : c.first[i + 1]].tobytes() if may[i] else None for i in range(len(size))]
-        bit = [np.packbits(hit[c.first[i] : c.first[i + 1]]).tobytes() if may[i] else None for i in range(len(size))]
+        often = [level[c.first[i] : c.first[i + 1]].tobytes() if may[i] else None for i in range(len(size))]
         return pa.table({
             "row": pa.array(np.arange(len(size))), "doc_id": c.table.column("doc_id"), "n_shingles": pa.array(size.astype(np.int64)),
-            "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "shingles": pa.array(sets, pa.binary()), "common": pa.array(bit, pa.binary()),
+            "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "shingles": pa.array(sets, pa.binary()), "often": pa.array(often, pa.binary()),
         }).cast(SETS_PA)
 
-    replies = pr.answer(pr.ask(base, send, None), 1, shared)
+    replies = pr.answer(pr.ask(base, send, None), 1, frequency)
     return base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, SETS)
 
 
 def _windows(classes: DataFrame, percent: int) -> DataFrame:
-    """(class, pivot): each class's window of one-shingle pivots, shingles of no other document first, then by hash.
+    """(class, pivot): each class's window of one-shingle pivots, by frequency (in doublings), then by hash.
 
-    Pivots that no other document holds stay in the window but need no row.
+    Pivots that no other document holds fill the window first and need no row.
     """
 
     def run(batches):
@@ -243,15 +244,16 @@ def _windows(classes: DataFrame, percent: int) -> DataFrame:
             ids, keys = [], []
             for c, s, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 h = np.frombuffer(s.as_py(), np.uint64)
-                met = np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=len(h)).astype(bool)
-                k = len(h) - (-(-percent * len(h) // 100)) + 1 - int((~met).sum())
-                first = np.sort(tk.mix(h[met]))[: max(k, 0)]
+                level = np.frombuffer(b.as_py(), np.uint8)
+                k = len(h) - (-(-percent * len(h) // 100)) + 1
+                order = np.lexsort((tk.mix(h), level))[:k]
+                first = tk.mix(h[order[level[order] > 0]])
                 ids.append(np.full(len(first), c, np.int64))
                 keys.append(first.view(np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["class", "pivot"])
 
-    return classes.select("class", "shingles", "common").mapInArrow(run, "class long, pivot long")
+    return classes.select("class", "shingles", "often").mapInArrow(run, "class long, pivot long")
 
 
 def _array(x) -> np.ndarray:
@@ -321,8 +323,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     """One row a document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
     sets = written(_sets_of(docs, doc_id, text, n, percent), "jaccard-sets")
     may = sets.filter("shingles is not null")
-    classes = may.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("class"), F.first("shingles").alias("shingles"), F.first("common").alias("common"))
-    classes = written(classes.select("class", "a", "b", "n_shingles", "shingles", "common"), "jaccard-classes")
+    classes = may.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("class"), F.first("shingles").alias("shingles"), F.first("often").alias("often"))
+    classes = written(classes.select("class", "a", "b", "n_shingles", "shingles", "often"), "jaccard-classes")
 
     windows = _windows(classes, percent)
     met = windows.groupBy("pivot").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("pivot", "least")

@@ -2,7 +2,7 @@
 
 Documents are dealt into chunks of a few megabytes by a hash of their id.  A chunk sends
 each fingerprint once, sorted, as differences in packed bytes, one row a hash range; a
-range's task sees every chunk's fingerprints there, decides, and answers with a bit each.
+range's task sees every chunk's fingerprints there, decides, and answers with a bit or half a byte each.
 A chunk then reads its own answers beside its documents.  A frequent n-gram is one entry
 a chunk, so no key is hot, and a task holds one range or one chunk, both of bounded size.
 """
@@ -118,8 +118,16 @@ def send(chunk: int, f: np.ndarray, extra: np.ndarray, bits: int, range_bits: in
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, SENT_PA.types, strict=True)], schema=SENT_PA)
 
 
+def _pack_answers(hit: np.ndarray) -> bytes:
+    """Booleans as bits, small numbers (below 16) as half bytes."""
+    if hit.dtype == bool:
+        return np.packbits(hit).tobytes()
+    even = np.append(hit, np.zeros(len(hit) % 2, hit.dtype)).astype(np.uint8)
+    return (even[::2] << 4 | even[1::2]).tobytes()
+
+
 def answers(step: int, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
-    """A function for one hash range: decide(group, chunk index, extra) gives a bit for each entry; group numbers equal fingerprints."""
+    """A function for one hash range: decide(group, chunk index, extra) gives a boolean or a number below 16 for each entry; group numbers equal fingerprints."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("range", "chunk", "width", "keys", "extra_width", "extra")), strict=True), key=lambda r: r[1])
@@ -129,7 +137,7 @@ def answers(step: int, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np
         _, group = np.unique(np.concatenate(keys), return_inverse=True)
         hit = decide(group, np.repeat(np.arange(len(n)), n), extra)
         ends = np.cumsum([0, *n])
-        out = [(r[1], step, r[0], np.packbits(hit[a:b]).tobytes()) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
+        out = [(r[1], step, r[0], _pack_answers(hit[a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), BITS_PA.types, strict=True)], schema=BITS_PA)
 
     return run
@@ -146,6 +154,17 @@ def read_bits(replies: pa.Table, step: int, f: np.ndarray, bits: int, range_bits
     return hit
 
 
+def read_levels(replies: pa.Table, step: int, f: np.ndarray, bits: int, range_bits: int) -> np.ndarray:
+    """The number below 16 for each of a chunk's fingerprints."""
+    level = np.zeros(len(f), np.uint8)
+    cut = by_range(f, bits, range_bits)
+    for s, r, b in zip(*(replies.column(c).to_pylist() for c in ("step", "range", "bits")), strict=True):
+        if s == step:
+            raw = np.frombuffer(b, np.uint8)
+            level[cut[r] : cut[r + 1]] = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[: cut[r + 1] - cut[r]]
+    return level
+
+
 def ask(base: DataFrame, make: Callable, replies: DataFrame | None) -> DataFrame:
     """SENT rows of every chunk; make(table, replies) for one chunk."""
     if replies is None:
