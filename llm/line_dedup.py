@@ -67,7 +67,7 @@ def _halves(line: Column, n: Column) -> Column:
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """Keys that two different classes hold."""
-    return rows.groupBy(key).agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select(key)
+    return rows.groupBy(key).agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.max("at").alias("at")).filter("lo <> hi and at >= 0").select(key)
 
 
 def _segments(n: Column) -> Column:
@@ -81,16 +81,19 @@ def _segments(n: Column) -> Column:
 def _near(classes: DataFrame) -> DataFrame:
     """(a, b): classes with an earlier neighbour within one edit."""
     line = F.col("line")
-    long = classes.filter(F.length("line") >= MIN_CHARS).select("a", "b", "first", "line", F.length("line").alias("n"))
-    halves = long.select("a", "b", F.explode(_halves(line, F.col("n"))).alias("half"))
-    some = halves.join(_shared(halves, "half"), "half").select("a", "b").distinct()
-    left = written(long.join(some, ["a", "b"], "left_semi"), "lines-left")
+    # All uses need the same columns (hence ``at``), so that they share one exchange of the lines.
+    long = classes.filter(F.length("line") >= MIN_CHARS).select("a", "b", "first", F.col("first.i").alias("at"), "line", F.length("line").alias("n"))
+    halves = long.select("a", "b", "at", F.explode(_halves(line, F.col("n"))).alias("half"))
+    some = halves.join(_shared(halves, "half"), "half").groupBy("a", "b").agg(F.max("at").alias("top"))
+    some = some.withColumnsRenamed({"a": "sa", "b": "sb"})
+    # Joined on the classes' own partitioning, the lines do not move again.
+    left = written(long.join(some, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")) & (F.col("top") >= F.col("at")), "left_semi"), "lines-left")
 
     pieces = left.select("a", "b", "first", "line", "n", F.explode(_segments(F.col("n"))).alias("p")).select("*", "p.*").drop("p")
     rest = F.xxhash64(F.lit("p"), "m", "j", F.substring(line, 1, F.col("f")), F.right(line, F.col("m") - F.col("t")))
     middle = F.substring(line, F.col("f") + 1, F.col("n") - F.col("f") - (F.col("m") - F.col("t")))
     pieces = pieces.select("a", "b", "first", "n", "m", rest.alias("rest"), middle.alias("mid"))
-    keys = pieces.select("a", "rest")
+    keys = pieces.select("a", "rest", F.col("first.i").alias("at"))
     pieces = pieces.join(_shared(keys, "rest"), "rest")
 
     mid, same = F.col("mid"), F.col("n") == F.col("m")
