@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-CHUNK_BYTES = 6_000_000
-RANGE_ENTRIES = 2_000_000
+CHUNK_BYTES = 3_000_000
+RANGE_ENTRIES = 1_000_000
 WORD_BYTES = 5.0
 
 
@@ -78,7 +78,7 @@ class Sizes:
         self.chunks = max(1, -(-text_bytes // CHUNK_BYTES))
         self.range_bits = max(0, (words // RANGE_ENTRIES).bit_length())
         #: A filter's fingerprints: enough that chance meetings stay below one in some thousands.
-        self.filter_bits = min(64, max(32, words.bit_length() + 13))
+        self.filter_bits = min(64, max(32, words.bit_length() + 12))
 
 
 def chunked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Sizes]:
@@ -185,6 +185,7 @@ class ChunkWords:
         doc, total = [], 0
         for at, _to, data, offsets in tk.slices(texts):
             w = tk.Words(data, offsets, lower)
+            w.forget()
             self.parts.append((at, w))
             doc.append(w.doc + at)
             self.first += (w.first[1:] + total).tolist()

@@ -35,6 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=U) * U(_ODD))
+#: Longer tables, for a single very long text, are made and dropped.
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -49,7 +51,9 @@ def _powers(odd: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, U)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        have = _POWERS[odd] = (out[0], out[1])
+        have = (out[0], out[1])
+        if size <= KEPT_POWERS:
+            _POWERS[odd] = have
     return have
 
 
@@ -94,6 +98,11 @@ class Words:
             self._hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start])
         return self._hash
 
+    def forget(self) -> None:
+        """Hash the words and drop the sums over bytes."""
+        _ = self.hash
+        self._made = None
+
     def prefixes(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Words longer than width bytes, and the hash of that many bytes of each."""
         sums, inverse = self._sums()
@@ -125,7 +134,7 @@ def column(batch, name: str) -> pa.Array:
     return col.cast(pa.large_string()).fill_null("")
 
 
-def slices(col: pa.Array, most_bytes: int = 2_000_000):
+def slices(col: pa.Array, most_bytes: int = 1_000_000):
     """(from, to, data, offsets) for runs of texts of about most_bytes; a longer text comes alone, whole."""
     n = len(col)
     if not n:
