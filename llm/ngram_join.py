@@ -129,14 +129,16 @@ def voronoi_join(sets: list[np.ndarray], percent: int) -> list[int]:
 
     def leaf(ids: np.ndarray) -> None:
         store = _Sets([sets[i] for i in ids])
+        part = np.array([links.find(int(i)) for i in ids])
         for k in range(len(ids) - 1):
-            me = links.find(int(ids[k]))
-            open_ = [j for j in range(k + 1, len(ids)) if links.find(int(ids[j])) != me]
-            if open_:
-                ok = _similar(store.n, len(sets[ids[k]]), store.inter(sets[ids[k]]), percent)
-                for j in open_:
-                    if ok[j]:
-                        links.join(int(ids[k]), int(ids[j]))
+            if not (part[k + 1 :] != part[k]).any():
+                continue
+            near = _similar(store.n, len(sets[ids[k]]), store.inter(sets[ids[k]]), percent) & (part != part[k])
+            near[: k + 1] = False
+            for j in np.flatnonzero(near):
+                if part[j] != part[k]:
+                    links.join(int(ids[k]), int(ids[j]))
+                    part[np.isin(part, (part[j], part[k]))] = links.find(int(ids[k]))
 
     stack = [(np.arange(len(sets)), 0)]
     while stack:
@@ -161,12 +163,11 @@ def voronoi_join(sets: list[np.ndarray], percent: int) -> list[int]:
         d = np.array(d)
         home = d.argmin(axis=0)
         near = d[home, np.arange(len(ids))]
-        for c in range(len(pivots)):
-            cell = np.flatnonzero((home == c) | (d[c] <= near + 2 * eps + slack))
-            if len(cell) == len(ids):  # no pivot separates these: the window is everything
-                leaf(ids)
-                break
-            stack.append((ids[cell], depth + 1))
+        cells = [np.flatnonzero((home == c) | (d[c] <= near + 2 * eps + slack)) for c in range(len(pivots))]
+        if max(map(len, cells)) > 0.8 * len(ids) or sum(map(len, cells)) > 2 * len(ids):
+            leaf(ids)  # the windows hold nearly everything: cells would only repeat work
+        else:
+            stack += [(ids[c], depth + 1) for c in cells]
     return [links.find(i) for i in range(len(sets))]
 
 
