@@ -14,6 +14,7 @@ from . import passages as ps
 from . import rank
 from .cards import memory_cards
 from .index import Index, build_index
+from .lineage import cut
 from .memory import effective_facts, fold_memory, pinned_cards
 from .segment import passage_names, passages, units
 
@@ -157,7 +158,8 @@ def prepare_context(messages: DataFrame, queries: DataFrame, *, facts: DataFrame
     With facts, cards come from memory; without, passages of the conversation stand in.  The last message is the live window.
     """
     q = queries.select("query_id", "chat_id", F.coalesce("draft", F.lit("")).alias("draft")).join(recent_context(messages), "chat_id", "left").fillna({"n": 0, "recent_context": "", "last_two": ""})
-    q = q.withColumn("cutoff", F.greatest(F.lit(1), F.col("n") - 1)).withColumn("recent_text", F.col("last_two"))
+    # Drafts, facts, cards and packed items are short tables; each is cut off so that the next plan starts small.
+    q = cut(q.withColumn("cutoff", F.greatest(F.lit(1), F.col("n") - 1)).withColumn("recent_text", F.col("last_two")))
     older = messages.join(messages.groupBy("chat_id").agg((F.max("turn") - 1).alias("_c")), "chat_id").filter("turn < greatest(1, _c)").drop("_c")
     spark = messages.sparkSession
     cards = spark.createDataFrame([], "query_id string, place int, id string, title string, content string, turn int, who array<string>, why string")
@@ -165,8 +167,8 @@ def prepare_context(messages: DataFrame, queries: DataFrame, *, facts: DataFrame
     if facts is not None:
         o = overrides if overrides is not None else spark.createDataFrame([], "chat_id string, fact_id string, seq long, keyword string, fact string, domain string, enabled boolean, pinned boolean, deleted boolean")
         d = dropped if dropped is not None else spark.createDataFrame([], "chat_id string, keyword string")
-        live = effective_facts(facts, o, d)
-        made = memory_cards(live, q, decisions, None if inferred is None else _topics(live, q, inferred))
+        live = cut(effective_facts(facts, o, d))
+        made = cut(memory_cards(live, q, decisions, None if inferred is None else _topics(live, q, inferred)))
         shown = made.select("query_id", F.col("place"), "id", "title", "content", "turn", "who", "why")
         p = pins if pins is not None else spark.createDataFrame([], "chat_id string, messageId string, turn int, text string, ins long")
         k = pinned_keywords if pinned_keywords is not None else spark.createDataFrame([], "chat_id string, keyword string")
@@ -176,18 +178,19 @@ def prepare_context(messages: DataFrame, queries: DataFrame, *, facts: DataFrame
     q = q.withColumn("budget", F.lit(limit))
     q = q.join(boards.filter(F.coalesce("enabled", F.lit(True))).select("chat_id", F.col("text").alias("overview")), "chat_id", "left") if boards is not None else q.withColumn("overview", F.lit(None).cast("string"))
     q = q.join(notes.select("chat_id", F.col("note").alias("user_note")), "chat_id", "left") if notes is not None else q.withColumn("user_note", F.lit(None).cast("string"))
-    packed = pack_memory(q, cards).join(q.select("query_id", "chat_id", "draft", "n", "recent_context"), "query_id")
+    packed = cut(pack_memory(q, cut(cards)).join(q.select("query_id", "chat_id", "draft", "n", "recent_context"), "query_id"))
     if lore is not None:
         asked = packed.select("query_id", "chat_id", "draft", "recent_context", F.col("n").alias("turn"), "left")
         room = F.least(F.lit(vocab.LORE_BUDGET), F.floor(F.col("_left") * vocab.LORE_SHARE).cast("int"))
-        chosen = _lore_with_budget(lore, asked, live, semantic_lore, room)
+        chosen = cut(_lore_with_budget(lore, asked, live, semantic_lore, room))
         g = chosen.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line", "title", "why"))), lambda x: F.struct(F.lit("lore").alias("type"), x["line"].alias("line"), x["title"].alias("title"), x["why"].alias("why"))).alias("l"), F.sum(F.col("units") + 1).alias("spent"))
         packed = packed.join(g, "query_id", "left").withColumn("items", F.when(F.col("l").isNotNull(), F.concat("items", "l")).otherwise(F.col("items"))).withColumn("left", F.greatest(F.lit(0), F.col("left") - F.coalesce("spent", F.lit(0)))).drop("l", "spent")
+        packed = cut(packed)
     if facts is None:
-        pix = passages(messages)
-        names = passage_names(pix)
+        pix = cut(passages(messages))
+        names = cut(passage_names(pix))
         asked = packed.select("query_id", "chat_id", "draft", F.col("recent_context").alias("context"), F.greatest(F.lit(1), F.col("n") - 1).alias("max_turn"), F.col("left").alias("budget"))
-        got = ps.passage_search(build_index(pix), names, asked, semantic_passages)
+        got = cut(ps.passage_search(build_index(pix), names, asked, semantic_passages))
         g = got.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line", F.concat(F.lit("대화 "), F.col("turn").cast("string")).alias("title"), "why"))), lambda x: F.struct(F.lit("passage").alias("type"), x["line"].alias("line"), x["title"].alias("title"), x["why"].alias("why"))).alias("p"))
     else:
         ix = build_index(units(older))

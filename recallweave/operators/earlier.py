@@ -47,7 +47,7 @@ def choose(ix: Index, drafts: DataFrame, budget: int = 1200) -> DataFrame:
     mine = F.array_intersect("anchors", "matched")
     content = F.filter(mine, lambda x: ~F.array_contains("names", x) & (F.length(x) >= 3) & ~x.rlike(_CUES))
     hits = hits.filter(F.arrays_overlap(mine, F.col("rare")) & (F.size(content) >= 2) & (F.col("score") >= 2.5)).join(ix.units.select("chat_id", "unit_id", "message_id", "role", "text"), ["chat_id", "unit_id"])
-    hits = hits.filter(F.col("score") >= 0.65 * F.max("score").over(W.partitionBy("query_id")))
+    hits = hits.withColumn("top", F.max("score").over(W.partitionBy("query_id"))).filter(F.col("score") >= 0.65 * F.col("top"))
     line = F.concat(F.lit("[과거 "), F.when(F.col("role") == "user", "사용자").otherwise("AI"), F.lit(" 대화 · 메시지 "), "message_id", F.lit("]\n"), "text", F.lit("\n"))
     best = rank.by_message(hits).withColumn("line", line)
     g = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", "unit_id", "line"))).alias("all"))

@@ -11,6 +11,7 @@ from ..functions import facts as fx
 from ..functions import text as tx
 from . import rank
 from .index import build_index
+from .lineage import cut
 from .pack import first_fit
 from .segment import sentences
 
@@ -147,7 +148,7 @@ def candidates(lore: DataFrame, queries: DataFrame, facts: DataFrame | None = No
     only = F.coalesce(F.col("triggerType") == "keyword", F.lit(False))
     both = both.withColumn("in_draft", in_draft).withColumn("in_full", in_full)
     both = both.withColumn("always", always).withColumn("forced", always | (F.size("in_draft") > 0) | (only & (F.size("in_full") > 0))).withColumn("searchable", ~F.col("forced") & ~only)
-    b, r = bm25_scores(lore, q), relation_scores(lore, q, facts)
+    b, r = cut(bm25_scores(lore, q)), cut(relation_scores(lore, q, facts))
     both = both.join(b.select("query_id", "lore_id", F.col("score").alias("bm25")), ["query_id", "lore_id"], "left").join(r.select("query_id", "lore_id", F.col("score").alias("relation")), ["query_id", "lore_id"], "left")
     both = both.fillna(0.0, ["bm25", "relation"])
     by_words, by_tie = F.col("searchable") & (F.col("bm25") > 5), F.col("searchable") & (F.col("relation") > 0.15)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from . import rank
 from .index import Index
+from .lineage import cut
 
 
 def age_boost(age: Column) -> Column:
@@ -51,6 +52,7 @@ def scores(ix: Index, names: DataFrame, queries: DataFrame, semantic: DataFrame
     s = s.join(p, ["chat_id", "unit_id"]).join(listed, "query_id", "left").withColumn("asked", F.coalesce("asked", tx.no_strings()))
     factor = F.when(F.arrays_overlap("speakers", "asked"), 1.5).when(F.exists("asked", lambda n: tx.keyword_appears("text", n)), 1.3).otherwise(1.0)
     s = s.select("query_id", "chat_id", "unit_id", "turn", "ord", "text", (F.col("score") * factor).alias("score"))
+    s = cut(s)
     # People named by the best three matches and not by the draft pull their passages in.
     seeds = s.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "ord"))).filter("r <= 3")
     seed_best = seeds.groupBy("query_id").agg(F.max("score").alias("seed_best"))
@@ -74,7 +76,7 @@ def passage_search(ix: Index, names: DataFrame, queries: DataFrame, semantic: Da
     The gate compares with the best score of all passages, live ones included; picking under the budget and adding the
     newest word of the people in old picks is a fold over a draft's candidates (100 at most, by the top lists above).
     """
-    s = scores(ix, names, queries, semantic)
+    s = cut(scores(ix, names, queries, semantic))
     p = ix.units.select("chat_id", "unit_id", "turn", "ord", "scene", "text")
     mark = F.concat(F.lit("["), F.col("turn").cast("string"), F.when(F.length("scene") > 0, F.concat(F.lit(" "), tx.clean_line("scene"))).otherwise(""), F.lit("] "))
     lines = p.withColumn("line", F.concat(mark, tx.clean_line("text"))).withColumn("size", tx.units("line"))
