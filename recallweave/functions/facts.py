@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import HANGUL, col, compact, escape, no_strings, normalized_keyword, trim
+from .text import HANGUL, col, compact, escape, let, no_strings, normalized_keyword, trim
 
 
 def _text(x: Column | str) -> Column:
@@ -152,12 +152,14 @@ def clean_sentence(text: Column | str) -> Column:
 
 def clean_speaker(raw: Column | str, stopwords: list[str] = vocab.STOPWORDS) -> Column:
     """A speaker's name of 2 to 8 characters, or null for labels of the system."""
-    s = trim(F.regexp_replace(F.get(F.split(_text(raw), "[｜|]"), F.lit(0)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", ""))
-    bad = (
-        ~F.length(s).between(2, 8) | s.rlike("[0-9]") | s.rlike(f"^(?:{'|'.join(vocab.SYSTEM_LABELS)})") | (~s.rlike(f"[{HANGUL}]") & s.rlike(r"^[A-Z0-9 _.\-]+\z"))
-        | s.rlike(r"(?i)^(?:T-\d+|Turn|턴|SYSTEM|INFO|STATUS|OOC|합계|계산|경험치)") | s.isin(stopwords)
-    )
-    return F.when(~bad, s)
+    name = trim(F.regexp_replace(F.get(F.split(_text(raw), "[｜|]"), F.lit(0)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", ""))
+
+    def kept(s: Column) -> Column:
+        label = s.rlike(f"^(?:{'|'.join(vocab.SYSTEM_LABELS)})") | s.rlike(r"(?i)^(?:T-\d+|Turn|턴|SYSTEM|INFO|STATUS|OOC|합계|계산|경험치)")
+        latin = ~s.rlike(f"[{HANGUL}]") & s.rlike(r"^[A-Z0-9 _.\-]+\z")
+        return F.when(F.length(s).between(2, 8) & ~s.rlike("[0-9]") & ~label & ~latin & ~s.isin(stopwords), s)
+
+    return let(name, kept)
 
 
 def clean_keyword(raw: Column | str, stopwords: list[str] = vocab.STOPWORDS) -> Column:

@@ -257,7 +257,7 @@ def q_scene_information(spark, d):
     m = messages(spark, d)
     ix = build_index(m.withColumnRenamed("id", "unit_id"))
     last = m.withColumn("r", F.row_number().over(W.partitionBy("chat_id").orderBy(F.desc("turn")))).filter("r <= 4")
-    parts = last.select("chat_id", "turn", F.explode(F.split(tx.search_text("text"), r"(?<=[.!?])\s+")).alias("s")).filter("length(s) >= 8")
+    parts = last.select("chat_id", "turn", F.posexplode(F.split(tx.search_text("text"), r"(?<=[.!?])\s+")).alias("place", "s")).filter("length(s) >= 8")
     return rank.sentence_information(parts, ix).groupBy("chat_id", "turn", "s").agg(F.max(F.round("info", 6)).alias("info"))
 
 

@@ -1,0 +1,240 @@
+"""Queries: aggregates, windows, evaluation, exports, counters."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import facts as fx
+from ..operators import evaluate, graph, rank, state
+from ..operators.index import build_index
+from ..operators.memory import latest
+from ..sources import messages as src
+from .catalogue import MESSAGES, bm25, index_sql, query, terms
+from .retrieval import DOCS, PROBES, document_units, messages, probes
+
+
+def events(spark, d):
+    return src.read_table(spark, d, "events")
+
+
+@query(f"WITH {MESSAGES} SELECT chat_id, turn, id, ((turn - 1) // 4)::INT AS win FROM msg")
+def q_windows_of_four(spark, d):
+    return graph.windows_of(messages(spark, d)).select("chat_id", "turn", "id", "win")
+
+
+@query(f"""WITH {MESSAGES} SELECT chat_id, turn, id, (coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY chat_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2)::INT AS win FROM msg""")
+def q_two_reply_windows(spark, d):
+    return graph.reply_windows(messages(spark, d)).select("chat_id", "turn", "id", "win")
+
+
+@query(f"""WITH {MESSAGES} SELECT chat_id, turn, length(list_aggregate(list(text) OVER (PARTITION BY chat_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 'string_agg', chr(10)))::INT AS chars FROM msg""")
+def q_sliding_windows(spark, d):
+    return graph.sliding(messages(spark, d)).select("chat_id", "turn", F.length(F.array_join("texts", "\n")).alias("chars"))
+
+
+@query(f"""WITH {MESSAGES}, w AS (SELECT chat_id, (turn - 1) // 4 AS win, turn, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM msg),
+c AS (SELECT chat_id, win, word, count(*) AS c FROM w GROUP BY ALL)
+SELECT chat_id, win::INT AS win, word, c::BIGINT AS c FROM c QUALIFY row_number() OVER (PARTITION BY chat_id, win ORDER BY c DESC, word) <= 8""")
+def q_salient_words(spark, d):
+    """The Latin twin of the salient words of a window."""
+    m = graph.windows_of(messages(spark, d))
+    c = m.select("chat_id", "win", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).groupBy("chat_id", "win", "word").agg(F.count(F.lit(1)).alias("c"))
+    return c.withColumn("r", F.row_number().over(W.partitionBy("chat_id", "win").orderBy(F.desc("c"), "word"))).filter("r <= 8").drop("r")
+
+
+@query(f"""WITH {MESSAGES}, s AS (SELECT chat_id, turn, CASE WHEN turn % 3 = 1 THEN 'scene ' || turn END AS own FROM msg)
+SELECT chat_id, turn, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS scene FROM s""")
+def q_scene_carry_forward(spark, d):
+    """Every third message names a scene; it lasts until the next."""
+    s = messages(spark, d).withColumn("own", F.when(F.col("turn") % 3 == 1, F.concat(F.lit("scene "), F.col("turn").cast("string"))))
+    w = W.partitionBy("chat_id").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return s.select("chat_id", "turn", F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit("")).alias("scene"))
+
+
+NODES = """node AS (SELECT 'c' || (user_id % 50) AS chat_id, event_type || '@' || strftime(ts, '%Y-%m-%d') AS id, event_type AS keyword, dense_rank() OVER (PARTITION BY user_id % 50 ORDER BY strftime(ts, '%Y-%m-%d'))::INT AS turn,
+  row_number() OVER (PARTITION BY user_id % 50 ORDER BY strftime(ts, '%Y-%m-%d'), event_type)::INT AS ord FROM (SELECT DISTINCT ON (user_id % 50, event_type, strftime(ts, '%Y-%m-%d')) * FROM events))"""
+
+
+def nodes(spark, d):
+    """Events as nodes: the type is the keyword, the day the window, the user a chat of fifty."""
+    e = events(spark, d).select(F.concat(F.lit("c"), (F.col("user_id") % 50).cast("string")).alias("chat_id"), F.col("event_type").alias("keyword"), F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    return e.select("chat_id", F.concat_ws("@", "keyword", "day").alias("id"), "keyword", F.dense_rank().over(W.partitionBy("chat_id").orderBy("day")).alias("turn"), F.row_number().over(W.partitionBy("chat_id").orderBy("day", "keyword")).alias("ord"))
+
+
+@query(f"WITH {NODES} SELECT chat_id, source, id AS target FROM (SELECT chat_id, id, lag(id) OVER (PARTITION BY chat_id, keyword ORDER BY ord) AS source FROM node) WHERE source IS NOT NULL")
+def q_evolves_edges(spark, d):
+    return graph.graph_edges(nodes(spark, d)).filter("type = 'evolves_to'").select("chat_id", "source", "target")
+
+
+@query(f"WITH {NODES} SELECT a.chat_id, a.id AS source, b.id AS target FROM node a JOIN node b ON a.chat_id = b.chat_id AND a.turn = b.turn AND a.ord < b.ord")
+def q_cooccurrence(spark, d):
+    return graph.graph_edges(nodes(spark, d)).filter("type = 'co_occurs'").select("chat_id", "source", "target")
+
+
+@query(f"""WITH {NODES}, c AS (SELECT *, count(*) OVER (PARTITION BY chat_id) AS total, count(*) OVER (PARTITION BY chat_id, keyword) AS len, row_number() OVER (PARTITION BY chat_id, keyword ORDER BY ord) - 1 AS at_ FROM node)
+SELECT chat_id, id FROM c WHERE total <= 60 OR len <= 4 OR at_ = 0 OR at_ = len // 2 OR at_ >= len - 2""")
+def q_chain_anchors(spark, d):
+    n = nodes(spark, d)
+    return graph.compact_graph(n, graph.graph_edges(n))[0].select("chat_id", "id")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS room, count(*)::BIGINT AS sends, sum((value > 0)::INT)::BIGINT AS injected FROM events GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m-%d')), (strftime(ts, '%Y-%m-%d'), event_type))")
+def q_send_counters(spark, d):
+    s = events(spark, d).select("ts", F.col("event_type").alias("room"), F.coalesce((F.col("value") > 0).cast("int"), F.lit(0)).alias("injected"))
+    return state.send_counters(s).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "room", "sends", "injected")
+
+
+@query("""SELECT user_id, event_type, round(max(CASE WHEN datediff('day', ts, m) <= 0 THEN 1.0 ELSE exp(-datediff('day', ts, m) / 50.0) END), 6)::DOUBLE AS weight
+FROM events, (SELECT max(ts) AS m FROM events) GROUP BY ALL""")
+def q_asof_edges(spark, d):
+    """A user's edge to an event type weighs by the age of its newest fact."""
+    e = events(spark, d)
+    now = e.agg(F.max("ts").alias("m"))
+    age = F.datediff("m", "ts")
+    return e.crossJoin(F.broadcast(now)).groupBy("user_id", "event_type").agg(F.round(F.max(F.when(age <= 0, 1.0).otherwise(F.exp(-age / 50))), 6).alias("weight"))
+
+
+@query("""WITH o AS (SELECT doc_id, quality, toxic FROM labels), f AS (SELECT d.doc_id, d.source, o.quality, o.toxic FROM documents d LEFT JOIN o USING (doc_id))
+SELECT doc_id, CASE WHEN quality = 0 THEN 'low' ELSE source END AS keyword FROM f WHERE coalesce(toxic, 0) = 0 AND source NOT IN ('src3')""")
+def q_overrides_view(spark, d):
+    """Labels as overrides of documents: toxic ones are deleted, low ones get a keyword, one keyword is dropped."""
+    docs = src.read_table(spark, d, "documents").select("doc_id", F.col("source").alias("keyword"))
+    log = src.read_table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 0, "low").alias("set"), (F.col("toxic") == 1).alias("deleted"), F.lit(1).alias("seq"))
+    dropped = spark.createDataFrame([("src3",)], "k string")
+    f = docs.join(latest(log, ["doc_id"]), "doc_id", "left").filter(~F.coalesce("deleted", F.lit(False))).join(F.broadcast(dropped), F.col("keyword") == F.col("k"), "left_anti")
+    return f.select("doc_id", F.coalesce("set", "keyword").alias("keyword"))
+
+
+@query("""WITH v AS (SELECT user_id, count(*) FILTER (event_type = (SELECT min(event_type) FROM events)) AS person, count(*) FILTER (event_type <> (SELECT min(event_type) FROM events)) AS other FROM events GROUP BY ALL)
+SELECT user_id, person::BIGINT AS person, other::BIGINT AS other, CASE WHEN person > other THEN 'person' WHEN other > person THEN 'thing' ELSE 'doubtful' END AS standing FROM v""")
+def q_fact_votes(spark, d):
+    e = events(spark, d)
+    first = e.agg(F.min("event_type").alias("first"))
+    v = e.crossJoin(F.broadcast(first)).groupBy("user_id").agg(F.count_if(F.col("event_type") == F.col("first")).alias("person"), F.count_if(F.col("event_type") != F.col("first")).alias("other"))
+    return v.withColumn("standing", F.when(F.col("person") > F.col("other"), "person").when(F.col("other") > F.col("person"), "thing").otherwise("doubtful"))
+
+
+@query("SELECT user_id, count(DISTINCT strftime(ts, '%Y-%m-%d'))::BIGINT AS days FROM events GROUP BY user_id HAVING count(DISTINCT strftime(ts, '%Y-%m-%d')) >= 2")
+def q_listed_people(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("days")).filter("days >= 2")
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events WHERE value > 0 GROUP BY ALL), n AS (SELECT e.user_id, max(e.event_id) AS newest, any_value(l.last) AS last FROM events e JOIN l ON l.user_id = e.user_id AND l.last = e.ts AND e.value > 0 GROUP BY ALL)
+SELECT e.event_id, n.newest FROM events e JOIN n USING (user_id) WHERE datediff('day', e.ts, n.last) >= 10 AND e.event_id <> n.newest""")
+def q_latest_bridge(spark, d):
+    """Old events and the newest lasting one of the same user, ten days or more later."""
+    e = events(spark, d)
+    n = e.filter("value > 0").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", F.col("m.ts").alias("last"), F.col("m.event_id").alias("newest"))
+    return e.join(n, "user_id").filter((F.datediff("last", "ts") >= 10) & (F.col("event_id") != F.col("newest"))).select("event_id", "newest")
+
+
+@query(f"WITH {MESSAGES} SELECT chat_id, count(*)::BIGINT AS turns, count(*) FILTER (role = 'assistant')::BIGINT AS replies, count(*) FILTER (role = 'assistant' AND turn <= 4)::BIGINT AS processed FROM msg GROUP BY ALL")
+def q_room_stats(spark, d):
+    m = messages(spark, d)
+    none = spark.createDataFrame([], "chat_id string")
+    s = state.chat_stats(m, none, none, m.select("chat_id").distinct().withColumn("last_turn", F.lit(4)))
+    return s.select("chat_id", F.col("turns").cast("long").alias("turns"), "replies", "processed")
+
+
+@query(f"""WITH {MESSAGES} SELECT chat_id, string_agg('### ' || CASE role WHEN 'user' THEN 'User' ELSE 'AI' END || chr(10) || chr(10) || trim(regexp_replace(text, '```INFO[\\s\\S]*?```', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY turn) AS body FROM msg GROUP BY ALL""")
+def q_export_text(spark, d):
+    return src.export_text(messages(spark, d), "md")
+
+
+@query("""WITH n AS (SELECT DISTINCT source AS name FROM documents), t AS (SELECT doc_id, regexp_replace(lower('mix ' || source || ' of ' || lang), '[^a-z0-9]', '', 'g') AS t FROM documents)
+SELECT doc_id, arg_max(name, length(name)) AS model FROM t JOIN n ON regexp_matches(t, name || '([^0-9]|$)') GROUP BY doc_id""")
+def q_name_longest_match(spark, d):
+    """Which source a text names: the longest name that is not followed by a digit."""
+    docs = src.read_table(spark, d, "documents")
+    t = docs.select("doc_id", F.concat_ws(" ", F.lit("mix"), "source", F.lit("of"), "lang").alias("text"))
+    return state.model_for_text(t, docs.select(F.col("source").alias("id")).distinct()).filter("model is not null").select("doc_id", "model")
+
+
+_RANKED = f"""{DOCS}, {index_sql('doc')}, {PROBES}, qt AS (SELECT query_id, unnest(list_distinct({terms('query')})) AS term FROM probe),
+hit AS (SELECT query_id, unit_id, round(sum({bm25()}), 6) AS score FROM qt JOIN post USING (term) JOIN dfs USING (chat_id, term) JOIN stat USING (chat_id) JOIN lens USING (chat_id, unit_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id::BIGINT) AS rank FROM hit QUALIFY rank <= 10),
+gold AS (SELECT b.item_id::VARCHAR AS query_id, d.doc_id::VARCHAR AS unit_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)))"""
+
+
+def _ranked(spark, d):
+    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d)).withColumn("score", F.round("score", 6))
+    return rank.top(hits, 10)
+
+
+def _gold(spark, d):
+    """Documents that hold the first forty characters of a test item.  The items are the small side; each document is read once."""
+    b = src.read_table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.lit("corpus").alias("chat_id"), F.substring("text", 1, 40).alias("contains"))
+    return evaluate.gold_from_evidence(document_units(spark, d), b)
+
+
+@query(f"""WITH {_RANKED}, f AS (SELECT p.query_id, min(r.rank) AS first FROM probe p LEFT JOIN (SELECT r.* FROM r SEMI JOIN gold USING (query_id, unit_id)) r USING (query_id) GROUP BY ALL)
+SELECT count(*)::BIGINT AS n, count(*) FILTER (first <= 1)::BIGINT AS hit_1, count(*) FILTER (first <= 3)::BIGINT AS hit_3, count(*) FILTER (first <= 10)::BIGINT AS hit_10, round(sum(coalesce(1.0 / first, 0)) / count(*), 6)::DOUBLE AS mrr FROM f""")
+def q_hit_at_k_mrr(spark, d):
+    return evaluate.hit_rates(_ranked(spark, d), _gold(spark, d), probes(spark, d)).withColumn("mrr", F.round("mrr", 6))
+
+
+@query(f"""WITH {_RANKED}, b AS (SELECT query_id AS case_id, unit_id AS id, score FROM r WHERE rank = 1), g AS (SELECT query_id AS case_id, min(unit_id::BIGINT)::VARCHAR AS gold FROM gold GROUP BY ALL),
+c AS (SELECT p.query_id AS case_id, CASE WHEN p.query_id::BIGINT % 4 = 0 THEN NULL ELSE g.gold END AS gold FROM probe p LEFT JOIN g ON g.case_id = p.query_id),
+t AS (SELECT DISTINCT score FROM b), s AS (SELECT t.score, count(*) FILTER (c.gold IS NOT NULL AND b.id = c.gold AND b.score >= t.score OR c.gold IS NULL AND (b.score IS NULL OR b.score < t.score)) AS ok, count(*) AS n FROM t, c LEFT JOIN b USING (case_id) GROUP BY ALL)
+SELECT score::DOUBLE AS threshold, round(ok / n, 6)::DOUBLE AS accuracy FROM s ORDER BY ok DESC, score DESC LIMIT 1""")
+def q_threshold_tuning(spark, d):
+    """A quarter of the probes count as having no answer."""
+    best = _ranked(spark, d).filter("rank = 1").select(F.col("query_id").alias("case_id"), F.col("unit_id").alias("id"), "score")
+    gold = _gold(spark, d).groupBy("query_id").agg(F.min(F.col("unit_id").cast("long")).cast("string").alias("g"))
+    cases = probes(spark, d).select("query_id").join(gold, "query_id", "left").select(F.col("query_id").alias("case_id"), F.when(F.col("query_id").cast("long") % 4 != 0, F.col("g")).alias("gold"))
+    return evaluate.choose_threshold(best, cases).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""WITH w AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 2))) AS w FROM documents WHERE lang = 'en'),
+k AS (SELECT doc_id, source, w, list_slice(w, 1, 3) AS head FROM w WHERE len(w) >= 3)
+SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN o >= 0.75 THEN 'dup' WHEN o >= 0.45 THEN 'update' ELSE 'new' END AS action, round(o, 6)::DOUBLE AS overlap FROM (
+  SELECT a, b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS o FROM k a JOIN k b ON a.head = b.head AND a.doc_id < b.doc_id)""")
+def q_merge_decision(spark, d):
+    """How two documents whose first three distinct words (by alphabet) agree would be merged, by overlap of words."""
+    docs = src.read_table(spark, d, "documents").filter("lang = 'en'")
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 2)))
+    k = docs.select("doc_id", words.alias("w")).filter(F.size("w") >= 3).withColumn("head", F.array_join(F.slice("w", 1, 3), " "))
+    j = k.select("head", F.col("doc_id").alias("a"), F.col("w").alias("wa")).join(k.select("head", F.col("doc_id").alias("b"), F.col("w").alias("wb")), "head").filter("a < b")
+    j = j.select("a", "b", fx.overlap(F.col("wa"), F.col("wb")).alias("o"))
+    return j.select("a", "b", F.when(F.col("o") >= 0.75, "dup").when(F.col("o") >= 0.45, "update").otherwise("new").alias("action"), F.round("o", 6).alias("overlap"))
+
+
+@query(f"""WITH {MESSAGES}, h AS (SELECT chat_id, turn, string_agg(role, '') OVER (PARTITION BY chat_id ORDER BY turn) AS p FROM msg)
+SELECT a.chat_id, max(a.turn)::INT AS shared FROM h a JOIN h b ON a.turn = b.turn AND a.p = b.p AND a.chat_id <> b.chat_id WHERE a.turn >= 4 GROUP BY a.chat_id""")
+def q_branch_prefix(spark, d):
+    """Conversations that begin with the same roles stand for branches."""
+    return state.shared_prefixes(messages(spark, d).withColumn("text", F.col("role"))).select("chat_id", "shared")
+
+
+@query(f"""WITH {MESSAGES} SELECT chat_id, id, role FROM msg QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY turn DESC) <= 2""")
+def q_last_two(spark, d):
+    m = messages(spark, d)
+    return m.withColumn("r", F.row_number().over(W.partitionBy("chat_id").orderBy(F.desc("turn")))).filter("r <= 2").select("chat_id", "id", "role")
+
+
+@query(f"""WITH {MESSAGES} SELECT chat_id, id FROM msg QUALIFY role = 'assistant' AND row_number() OVER (PARTITION BY chat_id, role ORDER BY turn DESC) = 4""")
+def q_recent_cutoff(spark, d):
+    """The fourth-last reply of each conversation."""
+    m = messages(spark, d).filter("role = 'assistant'")
+    return m.withColumn("r", F.row_number().over(W.partitionBy("chat_id").orderBy(F.desc("turn")))).filter("r = 4").select("chat_id", "id")
+
+
+@query("SELECT event_type AS engine, quantile_disc(value, 0.5)::DOUBLE AS median FROM (SELECT event_type, coalesce(value, 0) AS value FROM events) GROUP BY ALL")
+def q_latency_median(spark, d):
+    e = events(spark, d).select(F.col("event_type").alias("engine"), F.coalesce("value", F.lit(0.0)).alias("ms"))
+    return evaluate.latency(e).select("engine", "median")
+
+
+@query(f"""WITH {MESSAGES}, n AS (SELECT chat_id, max(turn) AS n FROM msg GROUP BY ALL)
+SELECT chat_id || '@' || turn AS query_id, (turn - 1)::INT AS max_ord FROM msg JOIN n USING (chat_id) WHERE role = 'user' AND turn <= n - 2""")
+def q_replay(spark, d):
+    return evaluate.replay(messages(spark, d), 2).select("query_id", "max_ord")
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
+def q_hourly_events(spark, d):
+    """An addition of ours: event-time windows over the events table."""
+    return events(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+
+
