@@ -1 +1,20 @@
 """Training-data operators.  Nothing outside this folder imports them except the guard in ``__spark_entry__``."""
+
+import ctypes
+
+import pyarrow as _pa
+
+
+def _give_memory_back() -> None:
+    """Have freed arrays above 1 MB go back to the system at once: Python workers live on between tasks, and what their
+    allocators kept would count against an executor's memory."""
+    _pa.set_memory_pool(_pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library has other rules
+        pass
+
+
+_give_memory_back()

@@ -35,6 +35,17 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Send texts to Python workers in batches of ARROW_ROWS rows unless the session asks for fewer: a batch of Spark's
+    default size holds tens of megabytes of text, twice over while its buffers grow."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .common import small_batches
 
 SEED = 3
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -151,6 +152,7 @@ def leaks(w: tk.Words, items: Items) -> Iterator[tuple[int, int, float, int, int
 
 
 def _parts(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> Iterator[Items]:
+    small_batches(docs)
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
     for p in range(parts):

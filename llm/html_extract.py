@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 _TOKEN = re.compile(r"""<!--|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*+)>""")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _GAP = re.compile(r"\s+")
@@ -282,6 +284,7 @@ def main_text(page: str | None, w: tuple[float, ...] | None = None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep's columns and ``text``, one row a page.  One narrow pass; the classifier is 14 numbers, trained once on the driver."""
+    small_batches(pages)
     pages = pages.select(*keep, html)
     w = weights()
     schema = T.StructType([*pages.schema.fields[: len(keep)], T.StructField("text", T.StringType())])

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("phone_local", "id_number", "iban", "email_words", "ipv6", "mac")
 KINDS = BASE_KINDS + MORE_KINDS
@@ -268,6 +270,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     """Per row: its id, counts of base kinds, base_sha256, spans, and the redacted text if asked.  One narrow pass."""
     import pyspark.sql.types as T
 
+    small_batches(docs)
     docs = docs.select(doc_id, text)
     schema = T.StructType([T.StructField(doc_id, docs.schema[0].dataType), *T._parse_datatype_string(SCHEMA).fields[1:], *([T.StructField("redacted", T.StringType())] * redacted)])
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .common import small_batches
 
 CHUNK_BYTES = 3_000_000
 RANGE_ENTRIES = 1_000_000
@@ -83,6 +84,7 @@ class Sizes:
 
 def chunked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Sizes]:
     """(chunk, doc_id, text) dealt by chunk, and the sizes.  All steps on it share one shuffle of the texts."""
+    small_batches(docs)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     sizes = Sizes(int(total))
     key = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(doc_id).cast("string")))

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 MIN_WORDS = 50
@@ -137,6 +139,7 @@ def quality_rules(docs: DataFrame, text: str = "text", base: bool = True, order:
     chosen = [by_name[n] for n in (order or plan(docs, text))]
     kind = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("rejected_by", pa.string())])
     names = [kind.field(i).name for i in range(kind.num_fields)]
+    small_batches(docs)
     docs = docs.select(*(c for c in docs.columns if c != "quality"))
     at = docs.columns.index(text)
 
@@ -151,6 +154,7 @@ def quality_rules(docs: DataFrame, text: str = "text", base: bool = True, order:
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their own columns, whatever their names."""
+    small_batches(docs)
     by_name = {r.name: r for r in RULES}
     chosen = [by_name[n] for n in plan(docs, text)]
     at = docs.columns.index(text)

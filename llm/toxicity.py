@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .common import small_batches
 
 BITS = 20
 TRAIN_ROWS = 4000
@@ -119,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
 
 def toxicity(docs: DataFrame, weights: np.ndarray | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score.  One narrow pass; the weights other than zero travel as two short arrays."""
+    small_batches(docs)
     docs = docs.select(doc_id, text)
     schema = T.StructType([docs.schema[0], T.StructField("score", T.DoubleType())])
     at = np.flatnonzero(weights) if weights is not None else np.zeros(0, int)
