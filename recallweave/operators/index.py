@@ -58,14 +58,17 @@ class Index:
         return self.units.select("chat_id", F.explode(found).alias("name")).distinct()
 
 
-def build_index(units: DataFrame, terms: Callable[[str], Column] = tx.terms) -> Index:
+def build_index(units: DataFrame, terms: Callable[[str], Column] | None = None) -> Index:
     """An index of units (chat_id, unit_id, text, ...), each chat_id a corpus of its own.
 
     Terms are counted map-side, then by (corpus, unit, term); frequencies and lengths follow from those counts.
     """
-    each = units.select("chat_id", "unit_id", F.explode(terms("text")).alias("term"))
+    # Cleaning, then folding, then splitting, each in a projection of its own, so that none is computed twice.
+    text = units.select("chat_id", "unit_id", F.lower(tx.search_text("text")).alias("clean") if terms is None else F.col("text").alias("clean"))
+    each = text.select("chat_id", "unit_id", F.explode((terms or tx.terms_of)("clean")).alias("term"))
     postings = each.groupBy("chat_id", "unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = units.select("chat_id", "unit_id", F.size(terms("text")).cast("long").alias("length"))
+    counted = postings.groupBy("chat_id", "unit_id").agg(F.sum("tf").alias("length"))
+    lengths = units.select("chat_id", "unit_id").join(counted, ["chat_id", "unit_id"], "left").fillna(0, ["length"])
     stats = lengths.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length"))
     return Index(units, postings, lengths, postings.groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df")), stats)
 

@@ -18,7 +18,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_units(spark: SparkSession, d: str) -> DataFrame:
-    docs = src.read_table(spark, d, "documents")
+    docs = src.spread(src.read_table(spark, d, "documents").select("doc_id", "text"))
     return docs.select(F.lit("corpus").alias("chat_id"), F.col("doc_id").cast("string").alias("unit_id"), F.col("doc_id").cast("string").alias("message_id"), F.lit("lore").alias("role"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -52,7 +52,7 @@ x AS (SELECT *, length(head) - instr(reverse(head), ' ') AS sp FROM h),
 y AS (SELECT doc_id, pos, trim(substr(t, pos + 1, CASE WHEN pos + 220 < n AND instr(head, ' ') > 0 AND sp > 132 THEN sp ELSE 220 END)) AS text FROM x)
 SELECT doc_id::VARCHAR AS message_id, pos::INT AS pos, text, length(text)::INT AS len FROM y WHERE length(text) >= 50""")
 def q_units_stride(spark, d):
-    m = src.read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chat_id"), F.col("doc_id").cast("string").alias("id"), F.lit("user").alias("role"), F.lit(1).alias("turn"), "text")
+    m = src.spread(src.read_table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("chat_id"), F.col("doc_id").cast("string").alias("id"), F.lit("user").alias("role"), F.lit(1).alias("turn"), "text")
     return segment.units(m).select("message_id", "pos", "text", "len")
 
 
