@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import probes as pr
 from . import textkit as tk
-from .common import written
+from .common import drop_written, written
 
 N = 3
 PERCENT = 90
@@ -191,6 +191,7 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
         now = _checksum(after)
         if now == seen:
             return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        drop_written(pairs)  # the next round is written: nothing reads this one again
         pairs, seen = after, now
 
 
