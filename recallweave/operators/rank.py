@@ -32,22 +32,21 @@ def query_rows(queries: DataFrame, text: str = "query", terms: Callable[[str], C
     return queries.select("query_id", "chat_id", bound.alias("max_ord"), F.posexplode(terms(text)).alias("place", "term"))
 
 
-def bm25(ix: Index, queries: DataFrame, text: str = "query", prefix: bool = True, topics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def bm25(ix: Index, queries: DataFrame, text: str = "query", prefix: bool = True, topics: tuple[DataFrame, DataFrame] | None = None, words: bool = True) -> DataFrame:
     """All hits of all queries (query_id, chat_id, query[, max_ord]) in one job.
 
     Statistics are those of the whole corpus, also under a bound.  With prefix, a Hangul term of three syllables
     that a document lacks but one of its words begins with adds a flat credit.  topics: (document vectors, query
-    vectors) of ``lsa``; agreement above a floor adds to the score.
+    vectors) of ``lsa``; agreement above a floor adds to the score.  words: with the terms themselves, else only their number.
     """
     q = query_rows(queries, text)
-    order = ix.units.select("chat_id", "unit_id", "ord")
     hit = q.join(ix.postings, ["chat_id", "term"]).join(ix.df, ["chat_id", "term"]).join(ix.stats, "chat_id").join(ix.docs, ["chat_id", "unit_id"])
     gain = tf_norm(F.col("tf"), F.col("length"), F.col("avg_length")) * idf(F.col("n"), F.col("df"))
     parts = hit.select("query_id", "chat_id", "unit_id", "max_ord", "place", "term", gain.alias("gain"), ((F.length("term") >= 3) & (gain >= 1.5)).alias("is_strong"))
     if prefix:
-        words = lasting_words(ix.postings)
+        lasting = lasting_words(ix.postings)
         long = q.filter(F.col("term").rlike(f"^[{tx.HANGUL}]{{3,}}\\z")).withColumn("p3", F.substring("term", 1, 3))
-        near = long.join(words, ["chat_id", "p3"]).filter(F.startswith("word", "term") & (F.col("word") != F.col("term"))).select("query_id", "chat_id", "unit_id", "max_ord", "place", "term").distinct()
+        near = long.join(lasting, ["chat_id", "p3"]).filter(F.startswith("word", "term") & (F.col("word") != F.col("term"))).select("query_id", "chat_id", "unit_id", "max_ord", "place", "term").distinct()
         near = near.join(ix.postings.select("chat_id", "unit_id", "term"), ["chat_id", "unit_id", "term"], "left_anti")
         parts = parts.unionByName(near.withColumn("gain", F.lit(vocab.PREFIX_CREDIT)).withColumn("is_strong", F.lit(False)))
     if topics is not None:
@@ -57,10 +56,28 @@ def bm25(ix: Index, queries: DataFrame, text: str = "query", prefix: bool = True
         bound = F.col("max_ord").cast("long") if "max_ord" in queries.columns else F.lit(None).cast("long")
         agree = agree.join(queries.select("query_id", bound.alias("max_ord")), "query_id")
         parts = parts.unionByName(agree.select("query_id", "chat_id", "unit_id", "max_ord", F.lit(-1).alias("place"), F.lit(None).cast("string").alias("term"), (F.col("dot") * vocab.TOPIC_WEIGHT).alias("gain"), F.lit(False).alias("is_strong")))
-    parts = parts.join(order, ["chat_id", "unit_id"]).filter(F.col("max_ord").isNull() | (F.col("ord") < F.col("max_ord")))
-    words = F.filter(F.array_sort(F.collect_list(F.struct("place", "term", "is_strong"))), lambda x: x["term"].isNotNull())
-    found = parts.groupBy("query_id", "chat_id", "unit_id", "ord").agg(F.sum("gain").alias("score"), words.alias("w")).filter(F.col("score") > 0)
-    return found.select("query_id", "chat_id", "unit_id", "ord", "score", F.transform("w", lambda x: x["term"]).alias("matched"), F.transform(F.filter("w", lambda x: x["is_strong"]), lambda x: x["term"]).alias("strong"))
+    return _gather(ix, parts, q, words)
+
+
+def _gather(ix: Index, parts: DataFrame, q: DataFrame, words: bool) -> DataFrame:
+    """Hits from gains (query_id, chat_id, unit_id, max_ord, place, term, gain, is_strong).
+
+    Which of a query's terms (120 at most) a document has is kept as bits, so the sums stay in plain hash aggregation;
+    with words, the bits become the terms themselves beside each hit.
+    """
+    bits = lambda lo, on: F.bit_or(F.when(on & (F.col("place") >= lo) & (F.col("place") < lo + 60), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") - lo)).otherwise(F.lit(0).cast("long")))
+    every = F.lit(True)
+    order = ix.units.select("chat_id", "unit_id", "ord")
+    sums = parts.groupBy("query_id", "chat_id", "unit_id", "max_ord").agg(F.sum("gain").alias("score"), bits(0, every).alias("m0"), bits(60, every).alias("m1"), bits(0, F.col("is_strong")).alias("s0"), bits(60, F.col("is_strong")).alias("s1"))
+    found = sums.filter(F.col("score") > 0).join(order, ["chat_id", "unit_id"]).filter(F.col("max_ord").isNull() | (F.col("ord") < F.col("max_ord")))
+    found = found.withColumn("n_matched", F.bit_count("m0") + F.bit_count("m1")).withColumn("n_strong", F.bit_count("s0") + F.bit_count("s1"))
+    if not words:
+        return found.select("query_id", "chat_id", "unit_id", "ord", "score", "n_matched", "n_strong")
+    asked = q.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("asked"))
+    has = lambda lo, hi: lambda x: F.when(x["place"] < 60, F.call_function("shiftright", F.col(lo), x["place"])).otherwise(F.call_function("shiftright", F.col(hi), x["place"] - 60)).bitwiseAND(F.lit(1).cast("long")) == 1
+    names = lambda lo, hi: F.transform(F.filter("asked", has(lo, hi)), lambda x: x["term"])
+    found = found.join(asked, "query_id", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<struct<place: int, term: string>>")))
+    return found.select("query_id", "chat_id", "unit_id", "ord", "score", names("m0", "m1").alias("matched"), names("s0", "s1").alias("strong"), "n_matched", "n_strong")
 
 
 def earlier_bm25(ix: Index, queries: DataFrame, text: str = "query") -> DataFrame:
@@ -76,13 +93,11 @@ def earlier_bm25(ix: Index, queries: DataFrame, text: str = "query") -> DataFram
     gain = weight * tf_norm(F.col("tf"), F.col("length"), F.col("avg_length")) * idf(F.col("n"), F.col("df"))
     rare = (F.length("term") >= 3) & (F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.2)))
     parts = hit.select("query_id", "chat_id", "unit_id", "max_ord", "place", "term", gain.alias("gain"), rare.alias("is_strong"))
-    words = lasting_words(ix.postings)
-    near = q.filter(F.col("term").rlike(f"^[{tx.HANGUL}]{{3,}}\\z")).withColumn("p3", F.substring("term", 1, 3)).join(words, ["chat_id", "p3"]).filter(F.startswith("word", "term") & (F.col("word") != F.col("term")))
+    lasting = lasting_words(ix.postings)
+    near = q.filter(F.col("term").rlike(f"^[{tx.HANGUL}]{{3,}}\\z")).withColumn("p3", F.substring("term", 1, 3)).join(lasting, ["chat_id", "p3"]).filter(F.startswith("word", "term") & (F.col("word") != F.col("term")))
     near = near.select("query_id", "chat_id", "unit_id", "max_ord", "place", "term").distinct().join(ix.postings.select("chat_id", "unit_id", "term"), ["chat_id", "unit_id", "term"], "left_anti")
     parts = parts.unionByName(near.withColumn("gain", F.lit(vocab.PREFIX_CREDIT)).withColumn("is_strong", F.lit(True)))
-    parts = parts.join(ix.units.select("chat_id", "unit_id", "ord"), ["chat_id", "unit_id"]).filter(F.col("max_ord").isNull() | (F.col("ord") < F.col("max_ord")))
-    found = parts.groupBy("query_id", "chat_id", "unit_id", "ord").agg(F.sum("gain").alias("score"), F.array_sort(F.collect_list(F.struct("place", "term", "is_strong"))).alias("w")).filter(F.col("score") > 0)
-    return found.select("query_id", "chat_id", "unit_id", "ord", "score", F.transform("w", lambda x: x["term"]).alias("matched"), F.transform(F.filter("w", lambda x: x["is_strong"]), lambda x: x["term"]).alias("strong"))
+    return _gather(ix, parts, q, True)
 
 
 def top(hits: DataFrame, k: int, order: Sequence[Column] | None = None, keys: Sequence[str] = ("query_id",)) -> DataFrame:

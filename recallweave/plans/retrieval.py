@@ -74,8 +74,8 @@ hit AS (SELECT query_id, unit_id, sum({bm25()}) AS score, count(*) AS n_matched
 r AS (SELECT query_id, unit_id, round(score, 6) AS score, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, unit_id::BIGINT) AS rank FROM hit)
 SELECT query_id, unit_id, score::DOUBLE AS score, n_matched::BIGINT AS n_matched, rank::INT AS rank FROM r WHERE rank <= 10""")
 def q_bm25_topk(spark, d):
-    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d))
-    hits = hits.select("query_id", "unit_id", "ord", F.round("score", 6).alias("score"), F.size("matched").cast("long").alias("n_matched"))
+    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d), words=False)
+    hits = hits.select("query_id", "unit_id", "ord", F.round("score", 6).alias("score"), F.col("n_matched").cast("long").alias("n_matched"))
     return rank.top(hits, 10).select("query_id", "unit_id", "score", "n_matched", "rank")
 
 
@@ -97,7 +97,7 @@ m AS (SELECT query_id, unit_id, round(score, 6) AS score, (unit_id::BIGINT // 10
 SELECT query_id, message_id, unit_id, score::DOUBLE AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id, message_id ORDER BY score DESC, unit_id::BIGINT) = 1""")
 def q_group_by_message(spark, d):
     """Ten documents stand for one message."""
-    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d)).withColumn("score", F.round("score", 6))
+    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
     hits = hits.withColumn("message_id", F.floor(F.col("unit_id").cast("long") / 10).cast("string"))
     return rank.by_message(hits).select("query_id", "message_id", "unit_id", "score")
 
@@ -166,7 +166,7 @@ s AS (SELECT query_id, unit_id, round(list_inner_product(e, q) / (sqrt(list_inne
 m AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS r FROM s QUALIFY r < 60)
 SELECT query_id, unit_id, round(sum(1.0 / (60 + r)), 9)::DOUBLE AS fused FROM (SELECT * FROM l UNION ALL SELECT * FROM m) GROUP BY ALL""")
 def q_rrf_fusion(spark, d):
-    lexical = rank.bm25(build_index(document_units(spark, d)), probes(spark, d)).withColumn("score", F.round("score", 6))
+    lexical = rank.bm25(build_index(document_units(spark, d)), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
     e = src.read_table(spark, d, "embeddings")
     v = e.select(F.col("vec_id").cast("string").alias("unit_id"), F.col("embedding").alias("vec"))
     q = src.read_table(spark, d, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").cast("string").alias("query_id"), F.col("embedding").alias("vec"))

@@ -158,7 +158,7 @@ gold AS (SELECT b.item_id::VARCHAR AS query_id, d.doc_id::VARCHAR AS unit_id FRO
 
 
 def _ranked(spark, d):
-    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d)).withColumn("score", F.round("score", 6))
+    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
     return rank.top(hits, 10)
 
 
