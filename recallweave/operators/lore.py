@@ -168,8 +168,10 @@ def candidates(lore: DataFrame, queries: DataFrame, facts: DataFrame | None = No
     else:
         both = both.withColumn("pooled", (F.col("forced") & ~F.col("always")) | F.col("admitted")).withColumn("c_rank", F.lit(None).cast("int"))
     fused = F.lit(0.0)
-    # First inserted wins ties: forced before the rest, words before relations before context hits.
-    pool_order = F.when(F.col("forced"), 0).when(F.col("by_words"), 1).when(F.col("by_tie"), 2).otherwise(3)
+    # First come wins ties: forced notes in their order, then by words, by relations (best first), then context hits.
+    group = F.when(F.col("forced"), 0).when(F.col("by_words"), 1).when(F.col("by_tie"), 2).otherwise(3)
+    within = F.when(group == 1, -F.col("bm25")).when(group == 2, -F.col("relation")).otherwise(0.0)
+    pool_order = F.struct(group.alias("group"), within.alias("within"))
     for name in ("bm25", "relation"):
         ranked = F.col("pooled") & (F.col(name) > 0)
         place = F.row_number().over(W.partitionBy("query_id", ranked).orderBy(F.desc(F.round(name, 12)), pool_order, "ins")) - 1
