@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import n_words
 
 BLOCKS = 1024
-SHARDS = 64
+SHARD_WORDS = 2_000_000
 SHARE = 1.5
 CAP = 2.0
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -39,11 +39,13 @@ MOST_SOURCES = 20_000
 
 @dataclass(frozen=True)
 class Mix:
+    """shards None: one for each SHARD_WORDS words of the mix, but never more than a quarter of the blocks drawn."""
+
     share: float = SHARE
     cap: float = CAP
     weights: tuple[float, ...] = WEIGHTS
     blocks: int = BLOCKS
-    shards: int = SHARDS
+    shards: int | None = None
     seed: int = 17
 
 
@@ -112,7 +114,8 @@ def deal(totals: list[tuple[str | None, int, int]], mix: Mix) -> tuple[list[tupl
                     break
             copy += 1
         draws.append([took[i] for i in rng.permutation(len(took))])
-    quota = split_tree(np.array([len(d) for d in draws], np.int64), mix.shards, rng) if order else np.zeros((mix.shards, 0), np.int64)
+    shards = mix.shards or max(1, min(round(sum(goal) / SHARD_WORDS), sum(map(len, draws)) // 4))
+    quota = split_tree(np.array([len(d) for d in draws], np.int64), shards, rng) if order else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(quota, axis=0)
     rows = []
     for i, s in enumerate(order):
@@ -182,9 +185,9 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
     return flat.select(*own, F.struct("mix.size", "mix.source_size", "mix.target", "_draw.shard", "_draw.copy", "_draw.place").alias("mix"))
 
 
-def shuffled(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix laid out by shard, each in its own order."""
-    return mixed.repartition(shards, F.col("mix.shard")).sortWithinPartitions("mix.shard", "mix.place")
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The mix laid out by shard, each in its own order; partitions follow the session's setting."""
+    return mixed.repartition(F.col("mix.shard")).sortWithinPartitions("mix.shard", "mix.place")
 
 
 def query(docs: DataFrame) -> DataFrame:
