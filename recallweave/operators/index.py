@@ -34,6 +34,12 @@ def _stem(word: Column) -> Column:
     return out
 
 
+def stemmed_terms(text: Column | str) -> Column:
+    """Terms for a baseline index: whole words only, Hangul ones less one particle."""
+    words = F.regexp_extract_all(F.lower(tx.fold_width(tx.search_text(text))), F.lit(f"[a-z0-9_]{{2,}}|[{tx.HANGUL}]{{2,}}"), F.lit(0))
+    return F.transform(words, lambda w: F.when(w.rlike(f"^[{tx.HANGUL}]"), _stem(w)).otherwise(w))
+
+
 def anchor_words(text: Column | str) -> Column:
     words = F.regexp_extract_all(F.lower(tx.fold_width(F.coalesce(tx.col(text), F.lit("")))), F.lit(f"[a-z0-9_]+|[{tx.HANGUL}]+"), F.lit(0))
     stop = vocab.EARLIER_STOP + vocab.EARLIER_ANCHOR_STOP

@@ -127,6 +127,16 @@ def relation_scores(lore: DataFrame, queries: DataFrame, facts: DataFrame | None
     return q.join(v, ["chat_id", "key"]).groupBy("query_id", "chat_id", "lore_id").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
 
 
+def lookup_scores(lore: DataFrame, queries: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """A baseline: notes that an edge of a named subject and a verb of the draft points to, newest edge first."""
+    n = enabled(lore)
+    e = edges(n, written_relations(n).unionByName(text_relations(n)), facts).withColumnRenamed("turn", "edge_turn")
+    q = queries.select("query_id", "chat_id", "draft", "turn", F.explode(fx.lore_verbs("draft")).alias("predicate"))
+    hit = q.join(e, ["chat_id", "predicate"]).filter((F.col("turn").isNull() | (F.col("edge_turn") <= F.col("turn"))) & tx.keyword_appears("draft", "subject"))
+    titles = n.select("chat_id", F.col("id").alias("lore_id"), tx.normalized_keyword("title").alias("t"))
+    return hit.join(titles, (hit["chat_id"] == titles["chat_id"]) & (tx.normalized_keyword("object") == F.col("t"))).groupBy("query_id", hit["chat_id"], "lore_id").agg((1.0 + F.max("edge_turn")).alias("score"))
+
+
 def bm25_scores(lore: DataFrame, queries: DataFrame, text: str = "full") -> DataFrame:
     units = lore.select("chat_id", F.col("id").alias("unit_id"), F.col("ins").cast("long").alias("ord"), corpus_text().alias("text"))
     return rank.bm25(build_index(units), queries.select("query_id", "chat_id", F.col(text).alias("query"))).select("query_id", "chat_id", F.col("unit_id").alias("lore_id"), "score")

@@ -120,6 +120,14 @@ def test_facts_after_the_turn_do_not_exist_yet(spark):
     assert at(25).get("l3", 0) > at(10).get("l3", 0)
 
 
+def test_baselines(spark):
+    f = facts(spark, ("세라", "세라는 은열쇠를 보관하고 있다.", "인물", "상태", ["세라"], 20))
+    got = lore.lookup_scores(lore_df(spark), drafts(spark, ("세라는 무엇을 보관했지?", "", 25), ("세라는 무엇을 보관했지?", "", 10)), f).collect()
+    assert [(r.query_id, r.lore_id, r.score) for r in got] == [("q1", "l3", 21.0)]
+    from recallweave.operators.index import stemmed_terms
+    assert spark.createDataFrame([("훈련장에서 Sword 검",)], "t string").select(stemmed_terms("t").alias("v")).first().v == ["훈련장", "sword"]
+
+
 def test_keyword_only_notes_and_meaning_gate(spark):
     rows = lore_df(spark).withColumn("triggerType", F.when(F.col("id") == "l4", "keyword").otherwise("both"))
     none = lore.select_lore(rows, drafts(spark, ("날씨가 좋다", "", None))).collect()
