@@ -12,8 +12,10 @@ from ..functions import facts as fx
 from ..functions import text as tx
 from .pack import first_fit
 
+#: Information blocks, the two forms of speaker labels, and beginnings of words that are never salient.
 _INFO = r"(?i)```(?:INFO|STATUS|STAT|SYSTEM)[\s\S]*?```|\[\s*#[\s\S]*?\]|└?\[\s*(?:호감도|성향|체력|마력|능력치|스탯|스킬|레벨|경험치|아이템|소지품|골드|골|퀘스트|위치|현재\s*상태|버프|디버프|HP|MP|EXP|Lv)[\s\S]*?\]"
 _SPEAKER = r"^\*{0,2}([^*|｜:(\[{]{2,15})\*{0,2}\s*[|:｜]"
+_WEAK = "^(?:턴|대화|상태|진행|이전|현재|유저|기억|했다|된다|있다|없다|한다|향하|입고|데려|보였|바라|마친|있었)"
 _MARKED = "^[▍▌]\\s*([^\\s「『\"“]{2,10})\\s*[「『\"“]"
 
 
@@ -66,8 +68,7 @@ def salient_words(windows: DataFrame, k: int = 8, stopwords: list[str] = vocab.S
     """(chat_id, win, word, c, place): the k most frequent Hangul words of each window less two particles, first seen first on ties."""
     words = windows.select("chat_id", "win", F.posexplode(F.regexp_extract_all("story", F.lit(f"[{tx.HANGUL}]{{2,8}}"), F.lit(0))).alias("at", "w"))
     words = words.withColumn("word", fx.drop_particle(fx.drop_particle(F.col("w"), vocab.SALIENT_PARTICLES), vocab.SALIENT_PARTICLES))
-    weak = "^(?:턴|대화|상태|진행|이전|현재|유저|기억|했다|된다|있다|없다|한다|향하|입고|데려|보였|바라|마친|있었)"
-    words = words.filter((F.length("word") >= 2) & ~F.col("word").isin(stopwords) & ~F.col("word").rlike(weak)).groupBy("chat_id", "win", "word").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("at"))
+    words = words.filter((F.length("word") >= 2) & ~F.col("word").isin(stopwords) & ~F.col("word").rlike(_WEAK)).groupBy("chat_id", "win", "word").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("at"))
     if taken is not None:
         words = words.join(taken, ["chat_id", "win", "word"], "left_anti")
     return words.withColumn("place", F.row_number().over(W.partitionBy("chat_id", "win").orderBy(F.desc("c"), "at"))).filter(F.col("place") <= k)
