@@ -1,17 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are lower-cased runs without ASCII punctuation.  Each test item's SEED-word n-grams
-are counted over the whole corpus and the rarer half of them become its seeds.  Where a
-document meets enough seeds of an item near one diagonal, the item is aligned with the
-words around: MATCH for an equal word, MISMATCH for a changed one, GAP for one more or
-less.  A document leaks an item if the best score reaches THRESHOLD of the item's own,
-so edited and partly paraphrased copies count.
+Words are lower-cased runs without ASCII punctuation.  An alignment of m equal words has at
+most 2 (m - THRESHOLD n) edits if it reaches THRESHOLD of an item of n words, so it holds at
+least (2 THRESHOLD - 1) n - 1 of the item's word pairs unbroken, on diagonals at most
+2 (1 - THRESHOLD) n apart.  Each item's pairs are counted over the whole corpus and the most
+frequent are left out, never so many that such an alignment could hold fewer than the item's
+need of the others, its seeds.  Where a document meets that many seeds near one diagonal, the
+item is aligned with the words around: MATCH for an equal word, MISMATCH for a changed one,
+GAP for one more or less.  A document leaks an item if the best score reaches THRESHOLD of
+the item's own, so edited and partly paraphrased copies count, and none of them is missed.
 
 The benchmark is collected in parts of at most PART_BYTES; a larger one takes more passes
 over the documents, not more memory.  Documents are never shuffled.
 
-Defined cases: null or empty texts and items leak nothing; an item of fewer words than
-SEED is its own seed and must occur whole; repeated rows are judged one by one; repeated
+Defined cases: null or empty texts and items leak nothing; an item of one or two
+words must occur whole; one of up to five words, whose pairs may all be broken, has its
+single words as seeds; repeated rows are judged one by one; repeated
 item_ids are items of their own with the same id; a null item_id is reported as null;
 empty tables give no matches.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .common import small_batches
 
-SEED = 3
+SEED = 2
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.6
 PART_BYTES = 16_000_000
@@ -39,7 +44,7 @@ PART_BYTES = 16_000_000
 class Items:
     """A part of the benchmark: word hashes of each item and its n-grams."""
 
-    def __init__(self, ids: list, texts: list[str], seed: int = SEED):
+    def __init__(self, ids: list, texts: list[str]):
         w = tk.Words(*_flat(texts), lower=True, punctuation=True)
         self.ids, self.words, grams = [], [], []
         for i, item in enumerate(ids):
@@ -47,22 +52,42 @@ class Items:
             if len(h):
                 self.ids.append(item)
                 self.words.append(h)
-                grams.append(_grams(h, min(seed, len(h))))
+                grams.append(_grams(h, _width(len(h))))
         self.owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
         self.at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         self.hash = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.sizes = sorted({min(seed, len(h)) for h in self.words})
+        self.sizes = sorted({_width(len(h)) for h in self.words})
         self.keys = np.unique(self.hash)
 
     def choose(self, counts: np.ndarray) -> None:
-        """Keep the rarer half of each item's n-grams; equal counts stay together."""
+        """Leave out each item's most frequent n-grams as far as _held() allows, and those that do not occur."""
         n = counts[np.searchsorted(self.keys, self.hash)]
-        ends = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
-        limit = np.array([np.sort(n[a:b])[(b - a - 1) // 2] for a, b in zip(ends[:-1], ends[1:], strict=True)])
-        keep = n <= limit[self.owner] if len(self.ids) else np.zeros(0, bool)
+        held = np.array([_held(len(h)) for h in self.words], np.int64)
+        self.need = (held + 1) // 2
+        order = np.lexsort((-n, self.owner))
+        first = np.searchsorted(self.owner, np.arange(len(self.ids)))
+        keep = np.ones(len(n), bool)
+        keep[order] = np.arange(len(n)) - first[self.owner] >= (held - self.need)[self.owner]
+        keep &= n > 0
         order = np.argsort(self.hash[keep], kind="stable")
         self.owner, self.at, self.hash = self.owner[keep][order], self.at[keep][order], self.hash[keep][order]
-        self.seeds = np.bincount(self.owner, minlength=len(self.ids))
+
+
+def _width(n: int) -> int:
+    """Words of a seed of an item of n words."""
+    return SEED if n == 2 or _unbroken(n) > 0 else 1
+
+
+def _unbroken(n: int) -> int:
+    """Word pairs that an alignment reaching THRESHOLD of an item of n words holds at least."""
+    return ceil((2 * THRESHOLD - 1) * n - 1 - 1e-9)
+
+
+def _held(n: int) -> int:
+    """Seeds that an alignment reaching THRESHOLD of an item of n words holds at least, before any are left out."""
+    if n <= 2:
+        return 1
+    return _unbroken(n) if _width(n) == SEED else ceil(THRESHOLD * n - 1e-9)
 
 
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,21 +159,42 @@ def leaks(w: tk.Words, items: Items) -> Iterator[tuple[int, int, float, int, int
     order = np.lexsort((begin, own, w.doc[pos]))
     pos, own, begin, doc = pos[order], own[order], begin[order], w.doc[pos][order]
     size = np.array([len(h) for h in items.words])
-    slack = np.maximum(4, size // 3)
+    slack = np.maximum(4, np.floor(2 * (1 - THRESHOLD) * size + 1e-9).astype(np.int64))
+    # A seed stays if it is among its item's need of seeds within slack of each other.
+    far = np.arange(len(pos)) + items.need[own] - 1
+    last = np.minimum(far, len(pos) - 1)
+    enough = np.flatnonzero((far == last) & (doc[last] == doc) & (own[last] == own) & (begin[last] - begin <= slack[own]))
+    edge = np.zeros(len(pos) + 1, np.int64)
+    np.add.at(edge, enough, 1)
+    np.add.at(edge, last[enough] + 1, -1)
+    near = np.cumsum(edge[:-1]) > 0
+    pos, own, begin, doc = pos[near], own[near], begin[near], doc[near]
+    if not len(pos):
+        return
     new = np.ones(len(pos), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (begin[1:] - begin[:-1] > slack[own[1:]])
     groups = np.flatnonzero(new)
     for a, b in zip(groups, [*groups[1:], len(pos)], strict=True):
         i, d = int(own[a]), int(doc[a])
-        if len(np.unique(pos[a:b])) < min(2, items.seeds[i]):
+        if len(np.unique(pos[a:b])) < items.need[i]:
             continue
         lo, hi = int(w.first[d]), int(w.first[d + 1])
         u, v = max(lo, int(begin[a]) - int(slack[i])), min(hi, int(begin[b - 1]) + int(size[i]) + int(slack[i]))
         for x in range(u, v, 8 * int(size[i]) + 64):  # long stretches piece by piece, overlapping by more than an alignment
             y = min(v, x + 10 * int(size[i]) + 64)
-            score, s, e = align(items.words[i], w.hash[x:y])
-            if score >= THRESHOLD:
-                yield d, i, score, x + s - lo, x + e - lo
+            for score, s, e in _passages(items.words[i], w.hash, x, y):
+                yield d, i, score, s - lo, e - lo
+
+
+def _passages(item: np.ndarray, words: np.ndarray, x: int, y: int) -> Iterator[tuple[float, int, int]]:
+    """(score, from, to) of the item's best alignment within words x to y and of those left and right of it, in order."""
+    if np.isin(item, words[x:y]).sum() < THRESHOLD * len(item) - 1e-9:
+        return
+    score, s, e = align(item, words[x:y])
+    if score >= THRESHOLD:
+        yield from _passages(item, words, x, x + s)
+        yield score, x + s, x + e
+        yield from _passages(item, words, x + e, y)
 
 
 def _parts(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> Iterator[Items]:

@@ -158,6 +158,34 @@ def test_leaks(spark, docs):
     assert decontaminate.query(docs(*rows), b.limit(0)).count() == 0
 
 
+def test_leaks_of_edited_copies_against_brute_force(spark, docs):
+    r = np.random.default_rng(8)
+    vocabulary = [f"t{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(vocabulary, n))) for i, n in enumerate([40, 40, 40, 40, 15, 5, 4])]
+    noise = lambda n: r.choice(vocabulary, n).tolist()
+    rows = []
+
+    def add(words):
+        rows.append((len(rows), " ".join(noise(30) + words + noise(30))))
+
+    for _, text in items:
+        w = text.split()
+        for k in (4, 5):  # every k-th word changed
+            add([f"x{j}" if j % k == k - 1 else x for j, x in enumerate(w)])
+        add([y for j, x in enumerate(w) for y in ([x, f"y{j}"] if j % 2 else [x])])  # a word more after every second
+        add(w[: len(w) // 2] + noise(len(w) // 2) + w[len(w) // 2 :])  # a long insertion
+        add(w[: len(w) // 3] + w[len(w) // 2 :])
+        add(w + noise(3) + w)
+    rows += [(len(rows) + k, items[0][1]) for k in range(20)]  # exact copies make the unchanged n-grams the frequent ones
+    b = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda t: np.array([hash(x) & (1 << 62) - 1 for x in t.split()], np.uint64)
+    want = {(d, i) for d, t in rows for i, x in items if decontaminate.align(split(x), split(t))[0] >= decontaminate.THRESHOLD}
+    found = decontaminate.query(docs(*rows), b).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want and {(k, 0) for k in range(6)} <= want
+    assert sum(x.doc_id == 5 and x.item_id == 0 for x in found) == 2
+    assert sorted(x.doc_id for x in decontaminate.decontaminate(docs(*rows), b).collect()) == sorted({d for d, _ in rows} - {d for d, _ in want})
+
+
 def test_alignment_against_the_table():
     r = np.random.default_rng(2)
     for _ in range(20):
