@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from llm.common import table, written
 
+#: Near copies in a corpus; the defaults of the join are those of the op6 contract.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
@@ -26,8 +29,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the least doc_id."""
-    groups = ngram_join.jaccard_join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    """One document of each group of linked ones (NEAR_PERCENT of their NEAR_WORDS-word shingles shared) stays: the least doc_id."""
+    groups = ngram_join.jaccard_join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(groups, F.col("doc_id") == F.col("gone"), "left_anti")
 
 

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from llm.common import table
+from test_dedup import brute_components
 
 
 def test_stages(spark, tmp_path):
@@ -29,3 +30,21 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing"]
     assert kept["quality_rules"] == set(range(60)) | {100, 101, 102}
     assert 102 in kept["ngram_jaccard_join"] and 102 not in kept["benchmark_decontamination"] and kept["benchmark_decontamination"] >= set(range(60))
+
+
+def test_near_copies_between_80_and_90_percent(spark, docs):
+    r = random.Random(6)
+    words = [f"word{i}" for i in range(3000)]
+    rows, near = [], []
+    for g in range(6):
+        base = r.choices(words, k=260)
+        rows.append((10 * g, " ".join(base)))
+        for k, share in enumerate((0.12, 0.16, 0.2, 0.24, 0.3)):  # text inserted in one place
+            at = r.randrange(20, 240)
+            rows.append((10 * g + 1 + k, " ".join(base[:at] + r.choices(words, k=int(260 * share)) + base[at:])))
+        for k, every in enumerate((52, 60, 30)):  # one word changed in so many
+            rows.append((10 * g + 6 + k, " ".join("other" if j % every == every // 2 else x for j, x in enumerate(base))))
+        near += [10 * g + k for k in (1, 2, 3, 6, 7)]
+    want = {i for i, _, component in brute_components(rows, 80, 5) if i == component}
+    got = {x.doc_id for x in corpus_pipeline.jaccard_join(spark, docs(*rows), "").collect()}
+    assert got == want and not got & set(near)
