@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import text as tx
 from .index import Index, earlier_terms, lasting_words
+from .lineage import cut
 
 HITS = ("query_id", "chat_id", "unit_id", "score", "matched", "strong")
 
@@ -219,7 +222,7 @@ def lsa(ix: Index, queries: DataFrame, text: str = "query", k: int = 8) -> tuple
     """(chat_id, unit_id, vec) and (query_id, chat_id, qvec): topics of each corpus, one corpus a task.
 
     The iteration is the definition, so it runs whole in one place; corpora are single conversations.
-    For a corpus beyond one worker use hashed terms and a distributed SVD instead.
+    For a corpus beyond one worker use lsa_spread.
     """
     rows = ix.postings.join(ix.df, ["chat_id", "term"]).join(ix.units.select("chat_id", "unit_id", "ord"), ["chat_id", "unit_id"])
 
@@ -242,6 +245,145 @@ def lsa(ix: Index, queries: DataFrame, text: str = "query", k: int = 8) -> tuple
     return docs, q.filter("size >= 1e-8").select("query_id", "chat_id", F.transform("v", lambda x: x / F.col("size")).alias("qvec"))
 
 
+def lsa_spread(units: DataFrame, queries: DataFrame, text: str = "query", k: int = 8, steps: int = 12, terms: Callable[[str], Column] = tx.query_terms) -> tuple[DataFrame, DataFrame]:
+    """lsa() for units of one corpus of any size: the same iteration, each step one pass over rows that stay where they are.
+
+    The vocabulary and k topics of it are kept on the driver, which also adds up one vector of that length a core and step.
+    Rows are checkpointed sparse, about eight bytes a term of a unit.
+    """
+    spark = units.sparkSession
+    listed = units.select("chat_id", "unit_id", "ord", F.lower(tx.search_text("text")).alias("clean"))
+    listed = listed.select("chat_id", "unit_id", "ord", tx.terms_of("clean").alias("term")).filter(F.size("term") > 0).persist()
+    n = listed.count()
+    first = listed.select("ord", "unit_id", F.explode(F.array_distinct("term")).alias("term")).groupBy("term").agg(F.min(F.struct("ord", "unit_id")).alias("f"), F.count(F.lit(1)).alias("df"))
+    known = first.filter((F.col("df") >= 2) & (F.col("df") <= 0.75 * n) & ~F.col("term").contains("_")).select("term", "f.ord", "f.unit_id", "df").toPandas()
+    known = known.sort_values(["ord", "unit_id", "term"], ignore_index=True)
+    size = len(known)
+    none = spark.createDataFrame([], "chat_id string, unit_id string, vec array<double>"), spark.createDataFrame([], "query_id string, chat_id string, qvec array<double>")
+    if n < 2 * k or size < 2 * k:
+        listed.unpersist()
+        return none
+    d = known.df.to_numpy(float)
+    weight = np.maximum(0.1, np.log(1 + (n - d + 0.5) / (d + 0.5)))
+    places = spark.sparkContext.broadcast((known.term.tolist(), weight))
+
+    def look_up(batches):
+        names, w = places.value
+        names = pa.array(names, pa.string())
+        for b in batches:
+            lists = b.column("term")
+            at = pc.index_in(lists.flatten(), value_set=names)
+            has = at.is_valid().to_numpy(zero_copy_only=False)
+            j = at.drop_null().to_numpy(zero_copy_only=False).astype(np.int32)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))[has]
+            cell, tf = np.unique(row * len(w) + j, return_counts=True)
+            row, j = cell // len(w), (cell % len(w)).astype(np.int32)
+            x = np.sqrt(tf) * w[j]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(y)) for y in (j, x.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([b.column("chat_id"), b.column("unit_id"), *lists], ["chat_id", "unit_id", "j", "x"])
+
+    blocks = cut(listed.select("chat_id", "unit_id", "term").mapInArrow(look_up, "chat_id string, unit_id string, j array<int>, x array<float>"))
+    listed.unpersist()
+    narrow = blocks.select("j", "x").coalesce(max(1, spark.sparkContext.defaultParallelism))
+
+    found: list[np.ndarray] = []
+    for c in range(1, k + 1):
+        v = np.sin(c * np.arange(1, size + 1))
+        v /= np.linalg.norm(v)
+        for step in range(steps + 1):
+            square, fresh = _pass(narrow, found, v)
+            # The last pass only tells whether the topic has any weight; an empty one ends the search.
+            if step == steps or square < 1e-16 or np.linalg.norm(fresh) < 1e-8 * np.sqrt(square):
+                break
+            v = fresh / np.linalg.norm(fresh)
+        if np.sqrt(square) < 1e-6:
+            break
+        found.append(v)
+    if not found:
+        return none
+    vt = np.stack(found)
+    sent = spark.sparkContext.broadcast(vt.T.copy())
+
+    def project(batches):
+        for b in batches:
+            row, j, x = _sparse(b)
+            y = np.stack([np.bincount(row, x * sent.value[j, t], b.num_rows) for t in range(sent.value.shape[1])], 1)
+            norm = np.linalg.norm(y, axis=1, keepdims=True)
+            y = np.where(norm > 1e-8, y / np.maximum(norm, 1e-30), y)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("chat_id"), b.column("unit_id"), vec], ["chat_id", "unit_id", "vec"])
+
+    docs = blocks.mapInArrow(project, "chat_id string, unit_id string, vec array<double>")
+    tvec = spark.createDataFrame(pa.table({"term": pa.array(known.term.tolist(), pa.string()), "tvec": vt.T.tolist()}))
+    q = query_rows(queries, text, terms).join(tvec, "term").groupBy("query_id", "chat_id").agg(*(F.sum(F.col("tvec")[t]).alias(f"t{t}") for t in range(len(vt))))
+    q = q.select("query_id", "chat_id", F.array(*(f"t{t}" for t in range(len(vt)))).alias("v")).withColumn("size", F.sqrt(dot("v", "v")))
+    return docs, q.filter("size >= 1e-8").select("query_id", "chat_id", F.transform("v", lambda x: x / F.col("size")).alias("qvec"))
+
+
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of a batch of sparse rows, each of length 1 or empty."""
+    lists = batch.column("j")
+    lengths = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(batch.num_rows), lengths)
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float)
+    norm = np.sqrt(np.bincount(row, x * x, batch.num_rows))
+    return row, lists.flatten().to_numpy(zero_copy_only=False), x / np.maximum(norm, 1e-30)[row]
+
+
+def _pass(rows: DataFrame, found: list[np.ndarray], v: np.ndarray) -> tuple[float, np.ndarray]:
+    """(|u|^2, left' u) with u = left v, where left is the rows less the topics found."""
+    sc = rows.sparkSession.sparkContext
+    sent = sc.broadcast((np.stack([*found, v]), [[float(a @ b) for b in [*found, v]] for a in found]))
+
+    def run(batches):
+        vs, inner = sent.value
+        m, total, square, along = len(vs) - 1, np.zeros(vs.shape[1]), 0.0, np.zeros(len(vs) - 1)
+        for b in batches:
+            row, j, x = _sparse(b)
+            us = [np.bincount(row, x * t[j], b.num_rows) for t in vs]
+            for c in range(m + 1):  # u_c = a v_c less what the topics before it took
+                for e in range(c):
+                    us[c] = us[c] - us[e] * inner[e][c]
+            total += np.bincount(j, x * us[m][row], vs.shape[1])
+            square += float(us[m] @ us[m])
+            along += np.array([us[e] @ us[m] for e in range(m)])
+        yield pa.RecordBatch.from_arrays([pa.array([square]), pa.array([total.tobytes()], pa.binary()), pa.array([along.tobytes()], pa.binary())], ["square", "total", "along"])
+
+    square, fresh = 0.0, np.zeros(len(v))
+    for r in rows.mapInArrow(run, "square double, total binary, along binary").collect():
+        square += r.square
+        fresh += np.frombuffer(r.total)
+        for t, w in zip(found, np.frombuffer(r.along), strict=True):
+            fresh -= w * t
+    sent.destroy()
+    return square, fresh
+
+
+def agreeing(vectors: DataFrame, queries: DataFrame, floor: float, digits: int) -> DataFrame:
+    """(query_id, unit_id, agreement) of all pairs of one corpus whose rounded agreement is above floor.  Queries are sent to all."""
+    q = queries.select("query_id", "qvec").toPandas()
+    names, side = q.query_id.tolist(), np.stack(q.qvec.tolist()) if len(q) else np.zeros((0, 1))
+    sent = vectors.sparkSession.sparkContext.broadcast((names, side))
+
+    def run(batches):
+        names, side = sent.value
+        for b in batches:
+            lists = b.column("vec")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            if not len(side) or not b.num_rows:
+                continue
+            step = max(1, 1_000_000 // len(side))
+            for f in range(0, b.num_rows, step):
+                a = flat[f : f + step] @ side.T
+                i, j = np.nonzero(a > floor - 10.0**-digits)
+                unit = b.column("unit_id").take(pa.array(i + f))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(j)), unit, pa.array(a[i, j])], ["query_id", "unit_id", "agreement"])
+
+    found = vectors.select("unit_id", "vec").mapInArrow(run, "query_id string, unit_id string, agreement double")
+    return found.withColumn("agreement", F.round("agreement", digits)).filter(F.col("agreement") > floor)
+
+
 # --- search in a conversation ------------------------------------------------------------------
 
 

@@ -237,12 +237,11 @@ def q_tfidf_cosine(spark, d):
 
 @query()
 def q_lsa_similarity(spark, d):
-    """Topics of each conversation; too small conversations have none, so documents of one language stand for a corpus."""
-    docs = src.read_table(spark, d, "documents").filter("lang = 'es'")
-    units = docs.select(F.lit("es").alias("chat_id"), F.col("doc_id").cast("string").alias("unit_id"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
-    asked = units.filter("ord % 20 = 0").select(F.col("unit_id").alias("query_id"), "chat_id", F.substring("text", 1, 200).alias("query"))
-    vec, q = rank.lsa(build_index(units), asked)
-    return q.join(vec, "chat_id").select("query_id", "unit_id", F.round(rank.dot("vec", "qvec"), 4).alias("agreement")).filter("agreement > 0.15")
+    """Topics of each conversation; too small conversations have none, so all documents stand for a corpus and every twentieth, whole, for a query."""
+    units = document_units(spark, d)
+    asked = units.filter("ord % 20 = 0").select(F.col("unit_id").alias("query_id"), "chat_id", F.col("text").alias("query"))
+    vec, q = rank.lsa_spread(units, asked, terms=lambda t: F.array_distinct(tx.terms(t)))
+    return rank.agreeing(vec, q, 0.15, 4)
 
 
 @query(f"""WITH {MESSAGES}, u AS (SELECT chat_id, id AS unit_id, text FROM msg), {index_sql('u')},

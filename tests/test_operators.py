@@ -1,12 +1,17 @@
 """Operators on small conversations."""
 
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from recallweave.operators import cards, context, earlier, evaluate, graph, lore, memory, pack, passages, rank, segment, state
 from recallweave.operators.index import build_index
+from recallweave.plans import catalogue
 from recallweave.sources import messages as src
 
+catalogue.load()
+
 
 def msgs(spark, *rows, chat="c"):
     return spark.createDataFrame([(chat, i + 1, f"m{i + 1}", r, t) for i, (r, t) in enumerate(rows)], "chat_id string, turn int, id string, role string, text string")
@@ -79,6 +84,31 @@ def test_lsa_agrees_with_itself(spark):
     assert min(same) > 0.9 and max(other) < 0.5
 
 
+def test_lsa_over_many_tasks_is_the_same_iteration(spark):
+    r = random.Random(4)
+    words = [[f"w{g}x{i}" for i in range(15)] for g in range(5)]
+    u = spark.createDataFrame([("c", f"u{i}", i, " ".join(r.choices(words[i % 5], k=12) + r.choices(words[(i + 1) % 5], k=3))) for i in range(80)], "chat_id string, unit_id string, ord long, text string").repartition(6)
+    q = u.filter("ord % 20 = 0").select(F.col("unit_id").alias("query_id"), "chat_id", F.col("text").alias("query"))
+    one, spread = rank.lsa(build_index(u), q, k=4), rank.lsa_spread(u, q, k=4)
+    for a, b, key, vec in ((one[0], spread[0], "unit_id", "vec"), (one[1], spread[1], "query_id", "qvec")):
+        want, got = ({x[key]: x[vec] for x in t.collect()} for t in (a, b))
+        assert want.keys() == got.keys() and all(abs(x - y) < 1e-3 for k in want for x, y in zip(want[k], got[k], strict=True))
+    pairs = {(x.query_id, x.unit_id): x.agreement for x in rank.agreeing(*spread, 0.15, 4).collect()}
+    brute = one[1].crossJoin(one[0].drop("chat_id")).select("query_id", "unit_id", rank.dot("vec", "qvec").alias("d")).collect()
+    assert all(abs(pairs.get((x.query_id, x.unit_id), 0.15) - max(x.d, 0.15)) < 2e-3 for x in brute) and pairs
+
+
+def test_lsa_query_takes_all_languages_and_whole_texts(spark, tmp_path):
+    r = random.Random(5)
+    words = [[f"w{g}x{i}" for i in range(40)] for g in range(4)]
+    text = lambda i: " ".join(r.choices(words[i % 4], k=60))
+    rows = [(i, "zzzz " * 60 + text(i) if i == 20 else text(i), ("en", "fr", "de", "es")[i // 2 % 4]) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(x.query_id, x.unit_id) for x in catalogue.QUERIES["q_lsa_similarity"](spark, str(tmp_path)).collect()}
+    assert {u for q, u in got if q == "20"} >= {str(i) for i in range(0, 80, 4)}
+    assert {u for _, u in got} >= {str(i) for i in range(0, 80, 4)} and {q for q, _ in got} == {"0", "20", "40", "60"}
+
+
 def test_search_turns_exact_then_close(spark):
     m = msgs(spark, ("user", "푸른 반지를 찾았다"), ("assistant", "반지가 푸른 빛을 냈다"), ("user", "아무 말"))
     q = spark.createDataFrame([("q", "c", "푸른 반지")], "query_id string, chat_id string, query string")
