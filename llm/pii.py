@@ -3,8 +3,8 @@
 The base kinds (email, ip, card, phone) are fixed patterns with checks and are always
 reported.  Generators propose further, overlapping spans: phone numbers without a plus,
 identity numbers in groups, bank accounts, e-mail addresses written out or with odd
-characters, addresses of version 6, hardware addresses, dates of birth.  Boosted trees
-score each candidate from its shape and its surroundings; a candidate is redacted when
+characters, addresses of version 6 with six to eight groups written out ('::' forms are
+not proposed), hardware addresses.  Dates of birth have no generator.  Boosted trees score each candidate from its shape and its surroundings; a candidate is redacted when
 its calibrated probability reaches its kind's threshold and it does not touch a base
 span or a better candidate.
 
