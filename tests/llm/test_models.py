@@ -23,6 +23,33 @@ def test_article_without_the_rest():
     assert html_extract.main_text(PAGE) == "The title of it\n\nFirst paragraph & its words, which go on for a while to be long enough.\n\nShort.\n\nAnother paragraph with enough words in it to look like an article text, and then some more."
 
 
+HEAD, TAIL = "Some words that open the article and go on for quite a while, as they do in articles.", "More words that end the article and also go on for quite a while, as they do in articles."
+
+
+@pytest.mark.parametrize("part", ['<svg width="4"/>', '<iframe src="x"/>', '<iframe src="x">', "<math/>", "<canvas>", '<datalist><option value="a"><option value="b"></datalist>', "<select><option>one<option>two</select>",
+                                  "<canvas>old browser</canvas>", "<svg><g><text>label</text></g></svg>", "<option>loose", "<textarea>typed", "<script>var a = 1;", "<style/>", "<noscript><p>no script</p></noscript>", "<video><canvas></video>", "<SCRIPT>x('</p>')</SCRIPT>"])
+def test_raw_and_hidden_elements_lose_nothing_else(part):
+    want = f"{HEAD}\n\n{TAIL}"
+    assert html_extract.main_text(f"<body><article><p>{HEAD}</p>{part}<p>{TAIL}</p></article></body>") == want
+    assert html_extract.main_text(f"<body><article><p>{HEAD}</p><div>{part}</div><p>{TAIL}</p></article><canvas></canvas></body>") == want
+
+
+def test_the_cut_corrects_the_classifier():
+    m = html_extract.model()
+    pages = html_extract.labelled(list(html_extract.training_pages(200, seed=77)))
+    both = [html_extract.labels(bs, m) for bs, _, _ in pages]
+    truth = [y for _, _, y in pages]
+    cut, alone = [np.array(c) for c, _ in both], [np.array(a) for _, a in both]
+    assert sum(int((c != a).sum()) for c, a in zip(cut, alone, strict=True)) > 20
+    assert html_extract.f1(cut, truth) > max(0.97, html_extract.f1(alone, truth))
+
+
+def test_ties_and_very_long_pages():
+    assert html_extract.max_flow_labels([0.0, 0.0], [(0, 1, 1.0)]) == html_extract.max_flow_labels([0.0, 0.0], [(0, 1, 1.0)])
+    page = "<article>" + f"<p>{HEAD}</p>" * 20_000 + "</article>" + "<option>" * 5000 + "<div>" * 3000 + "</p>" * 3000
+    assert html_extract.main_text(page).count(HEAD) == 20_000
+
+
 def test_html_defined_cases(spark):
     p = spark.createDataFrame([(1, "u", None, "z"), (2, "u", "", "z"), (3, "u", "<!-- open", "z"), (4, None, PAGE, "z"), (4, None, PAGE, "z")], "page_id long, url string, html string, text string")
     got = html_extract.query(p).collect()
@@ -52,9 +79,9 @@ def test_minimum_cut_is_minimal(seed):
 
 def test_pages_of_the_tables(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(60).collect()
-    w = html_extract.weights()
+    m = html_extract.model()
     for (h,) in rows:
-        text = html_extract.main_text(h, w)
+        text = html_extract.main_text(h, m)
         assert "track(" not in text and "©" not in text and len(text) > 20
 
 
