@@ -11,17 +11,21 @@ Distance is 1 - Jaccard of the documents' sets of n-word shingles; documents lin
    of the first n - ceil(percent * n) + 1 shingles of any fixed order, so each class is
    replicated to that window of pivots, rarest shingles first.  Connected pivots form
    regions; no link leaves a region.
-4. Inside a region document pivots create Voronoi cells.  A class joins its nearest pivot's
-   cell and, as a boundary document, every cell whose pivot is at most 2 * eps further;
-   cells are joined recursively, and small ones by comparing every pair not yet connected.
-   A region above REGION_CLASSES classes is dealt into blocks that all see its about
-   PIVOTS pivots; after ROUNDS rounds, each with pivots among the classes still apart
-   from the largest component, those classes are compared with every block.
+4. Inside a region document pivots create Voronoi cells, whatever its size.  A pivot meets
+   every class of its cell, so its links are known and it leaves; each other class joins its
+   nearest pivot's cell and, as a boundary document, every cell whose pivot is at most
+   2 * eps further; classes that share nothing with any pivot form a far cell; cells are
+   joined recursively.  Pivots are taken from the classes outside
+   the cell's largest component, so a cell is done once all its classes are connected.
+   Where the windows hold nearly everything the cell stays whole and only loses its pivots.
+   A region above REGION_CLASSES classes is split the same way by Spark: it is dealt into
+   blocks that all see its pivots, and its cells are the regions of the next round.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer words
 than n make one shingle of the whole sequence; a null doc_id links with nothing and is its
 own component (null); rows that repeat a doc_id are taken as one document each and share
-the id; extra columns are ignored; an empty table gives an empty result.
+the id; a very long text is one set, whole; ties in distance go to the first pivot and
+change no link; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +41,9 @@ from .common import drop_written, written
 
 N = 3
 PERCENT = 90
-REGION_CLASSES = 2000
+REGION_CLASSES = 500
 PIVOTS = 16
-LEAF = 48
-ROUNDS = 4
+MOST_PIVOTS = 1024
 
 SETS = "row long, doc_id long, n_shingles long, a long, b long, shingles binary, often binary"
 SETS_PA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shingles", pa.binary()), ("often", pa.binary())])
@@ -121,53 +124,74 @@ class _Links:
         self.up[max(x, y)] = min(x, y)
 
 
-def voronoi_join(sets: list[np.ndarray], percent: int) -> list[int]:
-    """Component (least index) of each set under links of at least percent: pivots, cells with windows, recursion."""
+EPSILON = 1e-9
+
+
+#: Name of the cell of classes that (nearly) share nothing with any pivot.
+FAR = -1
+
+
+def cells_of(d: np.ndarray, eps: float) -> np.ndarray:
+    """Membership (cell, class) from distances (pivot, class); the last cell is the far one.
+
+    Let x and y link and c be x's nearest pivot: d(c, y) <= d(c, x) + eps <= near(y) + 2 * eps, so y is in c's window.  Where
+    d(c, y) = 1, y shares nothing with c, then near(x) >= 1 - eps and near(y) >= 1 - 2 * eps; if x shares nothing with any
+    pivot, near(y) >= 1 - eps.  In both cases the far cell, all with near >= 1 - 2 * eps, has both, and windows end below 1.
+    """
+    near = d.min(axis=0)
+    return np.concatenate([(d < 1) & (d <= near + 2 * eps + EPSILON), near[None] >= 1 - 2 * eps - EPSILON])
+
+
+def splits(sizes: np.ndarray, n: int) -> bool:
+    """Whether cells of these sizes are worth having in place of one of n classes: pairs shrink, so that recursion never adds work."""
+    return float((sizes.astype(float) ** 2).sum()) <= 0.9 * n * n and sizes.sum() <= 2 * n
+
+
+def voronoi_join(sets: list[np.ndarray], percent: int, compared: list[int] | None = None) -> list[int]:
+    """Component (least index) of each set under links of at least percent: pivots, cells with windows, recursion.
+
+    compared: if given, gets the number of (pivot, class) distances measured for each cell.
+    """
     links = _Links(len(sets))
-    slack = 1e-9
     eps = 1 - percent / 100
-
-    def leaf(ids: np.ndarray) -> None:
-        store = _Sets([sets[i] for i in ids])
-        part = np.array([links.find(int(i)) for i in ids])
-        for k in range(len(ids) - 1):
-            if not (part[k + 1 :] != part[k]).any():
-                continue
-            near = _similar(store.n, len(sets[ids[k]]), store.inter(sets[ids[k]]), percent) & (part != part[k])
-            near[: k + 1] = False
-            for j in np.flatnonzero(near):
-                if part[j] != part[k]:
-                    links.join(int(ids[k]), int(ids[j]))
-                    part[np.isin(part, (part[j], part[k]))] = links.find(int(ids[k]))
-
-    stack = [(np.arange(len(sets)), 0)]
+    stack = [np.arange(len(sets))]
     while stack:
-        ids, depth = stack.pop()
-        if len({links.find(int(i)) for i in ids}) < 2:
-            continue
-        if len(ids) <= LEAF or depth > 8:
-            leaf(ids)
+        ids = stack.pop()
+        part = np.array([links.find(int(i)) for i in ids])
+        roots, count = np.unique(part, return_counts=True)
+        if len(roots) < 2:
             continue
+        outside = np.flatnonzero(part != roots[count.argmax()])
         store = _Sets([sets[i] for i in ids])
-        pivots, d = [0], [store.distance(sets[ids[0]])]
-        while len(pivots) < min(PIVOTS, 2 + len(ids) // LEAF):
-            far = int(np.argmax(np.min(d, axis=0)))
-            if min(x[far] for x in d) <= 0:
-                break
+        most = min(PIVOTS, max(1, int(len(ids) ** 0.5)))
+        pivots, d = [], []
+        far = int(outside[0])
+        while True:
+            inter = store.inter(sets[ids[far]])
+            n = store.n + store.n[far] - inter
             pivots.append(far)
-            d.append(store.distance(sets[ids[far]]))
-        for p, x in zip(pivots, d, strict=True):
-            for j in np.flatnonzero(x <= eps + slack):
-                if _similar(store.n[j : j + 1], len(sets[ids[p]]), store.inter(sets[ids[p]])[j : j + 1], percent)[0] if abs(x[j] - eps) < 1e-6 else True:
-                    links.join(int(ids[p]), int(ids[j]))
-        d = np.array(d)
-        home = d.argmin(axis=0)
-        near = d[home, np.arange(len(ids))]
-        cells = [np.flatnonzero((home == c) | (d[c] <= near + 2 * eps + slack)) for c in range(len(pivots))]
-        if max(map(len, cells)) > 0.8 * len(ids) or sum(map(len, cells)) > 2 * len(ids):
-            leaf(ids)  # the windows hold nearly everything: cells would only repeat work
+            d.append(1 - inter / np.maximum(n, 1))
+            for j in np.flatnonzero(100 * inter >= percent * n):
+                links.join(int(ids[far]), int(ids[j]))
+            if len(pivots) == most:
+                break
+            reach = np.min(d, axis=0)[outside]
+            far = int(outside[reach.argmax()])
+            if far in pivots:
+                break
+        if compared is not None:
+            compared.append(len(pivots) * len(ids))
+        stay = np.ones(len(ids), bool)
+        stay[pivots] = False
+        inside = cells_of(np.array(d), eps)[:, stay]
+        rest = ids[stay]
+        if not len(rest):
+            continue
+        inside = inside[inside.any(axis=1)]
+        if splits(inside.sum(axis=1), len(rest)):
+            stack += [rest[c] for c in inside]
         else:
-            stack += [(ids[c], depth + 1) for c in cells]
+            stack.append(rest)
     return [links.find(i) for i in range(len(sets))]
 
 
@@ -175,18 +199,36 @@ def _checksum(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(9), "v", "u"))).first())
 
 
+HOT = 1000
+
+
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """(node, component): least node reachable, by rounds of hooking to least neighbours and pointer jumping, each written out."""
+    """(node, component): least node reachable, by rounds of hooking to least neighbours and pointer jumping, each written out.
+
+    A node with more than 1 / HOT of all edges is one of at most 2 * HOT: their least neighbours are broadcast, so that no join has a hot key.
+    """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
     pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name + "-edges")
     seen = _checksum(pairs)
+
+    def with_least(rows: DataFrame, least: DataFrame, hot_above: int) -> DataFrame:
+        """rows (u, v) and m, the least of u."""
+        hot = F.broadcast(least.filter(F.col("c") > hot_above).select(F.col("n").alias("hn"), F.col("m").alias("hm")))
+        marked = rows.join(hot, F.col("u") == F.col("hn"), "left")
+        # A hot node has its answer; its rows are spread by v and meet nothing.
+        key = F.when(F.col("hn").isNull(), F.col("u")).otherwise(F.xxhash64("v"))
+        cold = least.filter(F.col("c") <= hot_above).select("n", "m")
+        joined = marked.withColumn("k", key).join(cold, (F.col("k") == F.col("n")) & F.col("hn").isNull(), "left")
+        return joined.select("u", "v", F.coalesce("hm", "m").alias("m"))
+
     while True:
         # Large star, then small star: all larger neighbours, and then all others, hang on the least one.
+        hot_above = max(10_000, 2 * seen[0] // HOT)
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("m", "u").alias("m"))
-        large = both.join(least, both["u"] == least["n"]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
-        small = large.join(low, large["u"] == low["n"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("n"), F.least("m", "u").alias("m"), "c")
+        large = with_least(both, least, hot_above).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("n"), "m", "c")
+        small = with_least(large, low, hot_above).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = written(small.filter("u <> v").distinct(), name + "-round")
         now = _checksum(after)
         if now == seen:
@@ -273,75 +315,114 @@ def _small(percent: int):
     return run
 
 
-def _against(percent: int):
-    """Links of a block's classes with the region's chosen ones (pivots or leftovers), both in one cogroup."""
+SPLIT = "region long, class long, shingles binary, pivot boolean, cells array<long>, links array<long>"
+SPLIT_PA = pa.schema([("region", pa.int64()), ("class", pa.int64()), ("shingles", pa.binary()), ("pivot", pa.bool_()), ("cells", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))])
+
+
+def _split(percent: int):
+    """SPLIT rows of a block's classes against all pivots of their region, both in one cogroup."""
+    eps = 1 - percent / 100
 
     def run(block: pa.Table, chosen: pa.Table) -> pa.Table:
-        u, v = [], []
-        if block.num_rows and chosen.num_rows:
-            ids = np.array(block.column("class").to_pylist(), np.int64)
-            store = _Sets([_array(x.as_py()) for x in block.column("shingles")])
-            for c, s in zip(chosen.column("class").to_pylist(), chosen.column("shingles"), strict=True):
-                h = _array(s.as_py())
-                for j in np.flatnonzero(_similar(store.n, len(h), store.inter(h), percent)):
-                    if ids[j] != c:
-                        u.append(int(ids[j]))
-                        v.append(c)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        if not block.num_rows or not chosen.num_rows:
+            return SPLIT_PA.empty_table()
+        ids = block.column("class").to_numpy()
+        chosen = chosen.sort_by("class")
+        names = chosen.column("class").to_numpy()
+        store = _Sets([_array(x.as_py()) for x in block.column("shingles")])
+        d = np.ones((len(names), len(ids)))
+        near = np.zeros(d.shape, bool)
+        for k, s in enumerate(chosen.column("shingles")):
+            h = _array(s.as_py())
+            inter = store.inter(h)
+            near[k] = _similar(store.n, len(h), inter, percent) & (ids != names[k])
+            d[k] -= inter / np.maximum(store.n + len(h) - inter, 1)
+        inside = cells_of(d, eps)
+        cells = np.append(names, FAR)
+        return pa.table({
+            "region": block.column("region"), "class": block.column("class"), "shingles": block.column("shingles"), "pivot": pa.array(np.isin(ids, names)),
+            "cells": pa.array([cells[c] for c in inside.T], pa.list_(pa.int64())), "links": pa.array([names[c] for c in near.T], pa.list_(pa.int64())),
+        }).cast(SPLIT_PA)
 
     return run
 
 
-def _large(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) that connect exactly what links connect in regions too large for one task.
+def _blocks(members: DataFrame) -> DataFrame:
+    """region, class, shingles and blocks: how many blocks of REGION_CLASSES the region fills."""
+    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
+    return members.join(size, "region").select("region", "class", "shingles", F.ceil(F.col("_n") / REGION_CLASSES).cast("long").alias("blocks"))
+
 
-    members: region, class, shingles, blocks (how many the region is dealt into).
+def _divide(members: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(tables of edges, tables of regions that fit one task) of the regions of more than one block in members (with blocks).
+
+    Each round takes pivots outside each region's largest component, more of them every round, and divides the region into their cells.
     """
-    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "class"), F.col("blocks")))
-
-    def meet(chosen: DataFrame) -> DataFrame:
-        spread = chosen.toDF(*members.columns).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        return members.groupBy("region", "block").cogroup(spread.groupBy("region", "block")).applyInArrow(_against(percent), "u long, v long")
-
-    edges = None
-    left = members
-    for k in range(ROUNDS):
-        count = left.groupBy("region").agg(F.count(F.lit(1)).alias("left_n"))
-        few = left.join(count, "region").filter(F.pmod(F.xxhash64(F.lit(k), "class"), F.col("left_n")) < PIVOTS).drop("left_n").toDF(*members.columns)
-        found = written(meet(few), f"jaccard-pivots{k}")
-        edges = found if edges is None else edges.union(found)
-        parts = components(edges, "u", "v", f"jaccard-parts{k}")
-        held = members.select("region", "class").join(parts, F.col("class") == F.col("node"), "left").select("region", "class", F.coalesce("component", "class").alias("part"))
-        size = held.groupBy("region", "part").count()
-        most = size.groupBy("region").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
-        rest = held.join(most, "region").filter(F.col("part") != F.col("most")).select("region", "class")
-        left = written(members.join(rest, ["region", "class"], "left_semi"), f"jaccard-left{k}")
+    edges: list[DataFrame] = []
+    small: list[DataFrame] = []
+    parts, k = None, 0
+    while True:
+        small.append(members.filter("blocks = 1"))
+        left = members.filter("blocks > 1")
         if left.isEmpty():
-            return edges
-    return edges.union(meet(left))
+            return edges, small
+        held = left.withColumn("part", F.col("class")) if parts is None else left.join(parts, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
+        size = held.groupBy("region", "part").count()
+        most = size.groupBy("region").agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("top")).withColumn("outside", F.col("all") - F.col("top")).filter("outside > 0")
+        open_ = written(held.join(most, "region").select("region", "class", "shingles", "blocks", (F.col("part") != F.col("most")).alias("out"), "outside"), f"jaccard-open{k}")
+        # About so many pivots, by hash; always at least one, as the least hash of a region is taken too.
+        want = min(MOST_PIVOTS, PIVOTS * 4**k)
+        drawn = F.pmod(F.xxhash64(F.lit(k), "class"), F.col("outside")) < want
+        outsiders = open_.filter("out")
+        first = outsiders.groupBy("region").agg(F.min_by("class", F.xxhash64(F.lit(k), "class")).alias("_first"))
+        pivots = outsiders.join(first, "region").filter(drawn | (F.col("class") == F.col("_first"))).select("region", "class", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).toDF("region", "class", "shingles", "block")
+        dealt = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "class"), F.col("blocks")))
+        met = written(dealt.groupBy("region", "block").cogroup(pivots.groupBy("region", "block")).applyInArrow(_split(percent), SPLIT), f"jaccard-split{k}")
+        edges.append(met.select(F.col("class").alias("u"), F.explode("links").alias("v")))
+        rest = met.filter("not pivot")
+        cell = rest.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").count()
+        whole = rest.groupBy("region").agg(F.count(F.lit(1)).alias("_all"))
+        good = cell.groupBy("region").agg(F.sum(F.pow("count", F.lit(2.0))).alias("_pairs"), F.sum("count").alias("_sum")).join(whole, "region").filter((F.col("_pairs") <= 0.9 * F.pow("_all", F.lit(2.0))) & (F.col("_sum") <= 2 * F.col("_all"))).select("region", F.lit(True).alias("_good"))
+        rest = rest.join(good, "region", "left").withColumn("cell", F.explode(F.when(F.col("_good"), F.col("cells")).otherwise(F.array(F.lit(None).cast("long")))))
+        rest = rest.select(F.when(F.col("cell").isNull(), F.col("region")).otherwise(F.xxhash64("region", "cell")).alias("region"), "class", "shingles")
+        members = written(_blocks(rest), f"jaccard-cells{k}")
+        every = edges[0]
+        for e in edges[1:]:
+            every = every.union(e)
+        parts = components(every, "u", "v", f"jaccard-parts{k}")
+        k += 1
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
     sets = written(_sets_of(docs, doc_id, text, n, percent), "jaccard-sets")
     may = sets.filter("shingles is not null")
-    classes = may.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("class"), F.first("shingles").alias("shingles"), F.first("often").alias("often"))
-    classes = written(classes.select("class", "a", "b", "n_shingles", "shingles", "often"), "jaccard-classes")
+    classes = may.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("class"), F.first("shingles").alias("shingles"), F.first("often").alias("often"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.select("class", "a", "b", "n_shingles", "copies", "shingles", "often"), "jaccard-classes")
 
     windows = _windows(classes, percent)
     met = windows.groupBy("pivot").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("pivot", "least")
     region = components(windows.join(met, "pivot").filter(F.col("class") != F.col("least")).select("class", "least"), "class", "least", "jaccard-regions")
     # The head of a region is its least class; classes of no region link with nothing.
     inside = region.select(F.col("node").alias("class"), F.col("component").alias("region")).union(region.select("component", "component").distinct())
-    size = inside.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    members = inside.join(size, "region").join(classes.select("class", "shingles"), "class").select("region", "class", "shingles", F.ceil(F.col("n") / REGION_CLASSES).cast("long").alias("blocks"))
-    members = written(members, "jaccard-members")
-    edges = members.filter("blocks = 1").groupBy("region").applyInArrow(_small(percent), "u long, v long")
-    large = members.filter("blocks > 1")
-    if not large.isEmpty():
-        parts = components(_large(large, percent), "u", "v", "jaccard-large")
-        edges = edges.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
-    found = classes.select("class", "a", "b", "n_shingles").join(edges, F.col("class") == F.col("u"), "left").select("a", "b", "n_shingles", F.coalesce("v", "class").alias("component_id"))
-    return sets.select("doc_id", "n_shingles", "a", "b", F.col("shingles").isNotNull().alias("may")).join(
-        found.withColumnsRenamed({"a": "fa", "b": "fb", "n_shingles": "fn"}), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")) & (F.col("n_shingles") == F.col("fn")) & F.col("may"), "left"
-    ).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = written(_blocks(inside.join(classes.select("class", "shingles"), "class")), "jaccard-members")
+    edges, small = _divide(members, percent)
+    for table in small:
+        edges.append(table.groupBy("region").applyInArrow(_small(percent), "u long, v long"))
+    if len(edges) == 1:  # every region fits one task, which gives its components at once
+        parts = edges[0].select(F.col("u").alias("node"), F.col("v").alias("component"))
+    else:
+        every = edges[0]
+        for e in edges[1:]:
+            every = every.union(e)
+        parts = components(every, "u", "v", "jaccard-all")
+    found = classes.select("class", "a", "b", "n_shingles", "copies").join(parts, F.col("class") == F.col("node"), "left").select("a", "b", "n_shingles", "copies", F.coalesce("component", "class").alias("component_id"))
+    found = found.withColumnsRenamed({"a": "fa", "b": "fb", "n_shingles": "fn"})
+    # A class with more than 1 / HOT of all documents is one of at most HOT: those are broadcast, and no key of the join is hot.
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(found.filter(F.col("copies") > max(1000, total // HOT)).select(F.col("fa").alias("ha"), F.col("fb").alias("hb"), F.col("fn").alias("hn"), F.col("component_id").alias("hot_id")))
+    cold = found.filter(F.col("copies") <= max(1000, total // HOT))
+    rows = sets.select("doc_id", "n_shingles", "a", "b", F.col("shingles").isNotNull().alias("may")).join(hot, F.col("may") & (F.col("a") == F.col("ha")) & (F.col("b") == F.col("hb")) & (F.col("n_shingles") == F.col("hn")), "left")
+    rows = rows.withColumn("key", F.when(F.col("hot_id").isNull(), F.col("a")).otherwise(F.xxhash64("doc_id")))
+    same = (F.col("key") == F.col("fa")) & (F.col("b") == F.col("fb")) & (F.col("n_shingles") == F.col("fn")) & F.col("may") & F.col("hot_id").isNull()
+    return rows.join(cold, same, "left").select("doc_id", "n_shingles", F.coalesce("hot_id", "component_id", "doc_id").alias("component_id"))

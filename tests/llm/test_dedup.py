@@ -93,7 +93,7 @@ def brute_components(rows, percent=90, n=3):
     return sorted((i, len(s), find(i)) for (i, _), s in zip(rows, sets, strict=True))
 
 
-@pytest.mark.parametrize(("seed", "region"), [(1, 2000), (2, 3)])
+@pytest.mark.parametrize(("seed", "region"), [(1, 500), (2, 3)])
 def test_components(docs, small_chunks, monkeypatch, seed, region):
     monkeypatch.setattr(ngram_join, "REGION_CLASSES", region)
     rows = story(seed)
@@ -106,22 +106,81 @@ def test_components_defined_cases(docs):
     assert ngram_join.jaccard_join(docs().limit(0)).count() == 0
 
 
-def test_voronoi_join_is_exact():
-    r = np.random.default_rng(3)
-    base = [r.integers(0, 1 << 62, 80).astype(np.uint64) for _ in range(12)]
+def shaken(n, groups, seed, share=0.05, size=80):
+    """n sets around a few bases, each with some of its members replaced."""
+    r = np.random.default_rng(seed)
+    base = [r.integers(0, 1 << 62, size).astype(np.uint64) for _ in range(groups)]
     sets = []
-    for i in range(200):
-        b = base[i % 12].copy()
-        k = r.random(80) < 0.05
+    for i in range(n):
+        b = base[i % groups].copy()
+        k = r.random(size) < share
         b[k] = r.integers(0, 1 << 62, int(k.sum())).astype(np.uint64)
         sets.append(np.unique(b))
-    links = ngram_join._Links(200)
-    for a in range(200):
+    return sets
+
+
+def brute_links(sets, percent=90):
+    links = ngram_join._Links(len(sets))
+    for a in range(len(sets)):
         for b in range(a):
             i = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * i >= 90 * (len(sets[a]) + len(sets[b]) - i):
+            if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
+                links.join(a, b)
+    return [links.find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("n", "groups", "share"), [(200, 12, 0.05), (3, 1, 0.05), (2, 1, 0.0), (60, 30, 0.03), (120, 1, 0.09), (120, 2, 0.3)])
+def test_voronoi_join_is_exact(n, groups, share):
+    sets = shaken(n, groups, 3, share)
+    assert ngram_join.voronoi_join(sets, 90) == brute_links(sets)
+
+
+def test_pivots_spare_most_comparisons():
+    sets, compared = shaken(600, 60, 4, 0.03), []
+    ngram_join.voronoi_join(sets, 90, compared)
+    assert len(compared) > 20 and sum(compared) < 600 * 599 / 2 / 4
+
+
+def test_a_region_above_2000_classes(docs):
+    """2,100 sets of 40 out of 90 words: every shingle is frequent, so all are one region, divided by pivots over many blocks."""
+    r = random.Random(9)
+    words = [f"b{i}" for i in range(90)]
+    rows, size = [], []
+    for g in range(1050):  # pairs that differ in one word (39 of 41 shared)
+        own = r.sample(words, 40)
+        other = own[:-1] + [r.choice([w for w in words if w not in own])]
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(other))]
+    inner = ngram_join._divide
+
+    def seen(members, percent):
+        size.append(members.groupBy("region").count().agg({"count": "max"}).first()[0])
+        return inner(members, percent)
+
+    ngram_join._divide = seen
+    try:
+        got = {x.doc_id: x.component_id for x in ngram_join.jaccard_join(docs(*rows), n=1, percent=90).collect()}
+    finally:
+        ngram_join._divide = inner
+    bits = [sum(1 << int(w[1:]) for w in t.split()) for _, t in rows]
+    links = ngram_join._Links(len(rows))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * (i := (bits[a] & bits[b]).bit_count()) >= 90 * (80 - i):
                 links.join(a, b)
-    assert ngram_join.voronoi_join(sets, 90) == [links.find(i) for i in range(200)]
+    assert size[0] > 2000 and got == {i: links.find(i) for i in range(len(rows))}
+
+
+def test_a_dense_region_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "REGION_CLASSES", 12)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    r = random.Random(4)
+    rows = []
+    for i in range(90):
+        base = [f"c{i % 3}w{k}" for k in range(40)]
+        for _ in range(r.randrange(6)):
+            base[r.randrange(40)] = f"x{r.randrange(60)}"
+        rows.append((i, " ".join(base)))
+    assert sorted(map(tuple, ngram_join.jaccard_join(docs(*rows), n=1, percent=85).collect())) == brute_components(rows, 85, 1)
 
 
 def near(a, b):
