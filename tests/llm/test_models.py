@@ -249,10 +249,72 @@ def test_targets_reshare_the_excess():
 
 def test_tree_deals_exact_quotas():
     q = np.array([100, 7, 0, 33])
-    out = mixing.split_tree(q, 8, np.random.default_rng(1))
+    out = np.zeros((8, 4), int)
+    for shard, ids, count in mixing.split_tree(q, 8, np.random.default_rng(1)):
+        out[shard, ids] = count
     assert (out.sum(axis=0) == q).all() and (out >= 0).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 3
 
 
+def brute_mix(rows, seed=17):
+    """The mix by plain loops, from the documented rules: {doc: words taken}; hashes come from Spark, as rows of (id, words, source, hash)."""
+    by = {}
+    for i, n, s, h in rows:
+        by.setdefault(s, []).append((i, n, h))
+    order = sorted(s for s in by if s is not None) + [None] * (None in by)
+    size = {s: sum(n for _, n, _ in by[s]) for s in order}
+    goal = dict(zip(order, mixing.targets([size[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5, 2), strict=True))
+    return by, order, size, goal
+
+
+def test_mix_against_brute_force(spark, docs):
+    r = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 60))), "abcd"[min(3, i % 7)] if i % 11 else None) for i in range(1500)]
+    d = docs(*rows)
+    hashed = {x.doc_id: x.h for x in d.select("doc_id", F.xxhash64(F.lit(17), F.col("doc_id").cast("string")).alias("h")).collect()}
+    by, order, size, goal = brute_mix([(i, len(t.split()), s, hashed[i]) for i, t, s in rows])
+    got = {x.doc_id: x for x in mixing.query(d).collect()}
+    orders = spark.createDataFrame([(c, b) for c in range(2) for b in range(mixing.MIN_BLOCKS)], "copy int, b long").select("copy", "b", F.xxhash64(F.lit(17), "copy", "b").alias("h")).collect()
+    place = {(x.copy, x.b): x.h for x in orders}
+    for s in order:
+        blocks = {}
+        for i, n, h in by[s]:
+            blocks.setdefault(h % mixing.MIN_BLOCKS, []).append((h, i, n))
+        left, taken, copy = round(goal[s]), {i: 0 for i, _, _ in by[s]}, 0
+        while left > 0 and size[s]:
+            for b in sorted((b for b in blocks if sum(n for *_, n in blocks[b])), key=lambda b: (place[copy, b], b)):
+                if left <= 0:
+                    break
+                words = sum(n for *_, n in blocks[b])
+                used = 0
+                for h, i, n in sorted(blocks[b]):
+                    if words <= left or used + n / 2 <= left:
+                        taken[i] += n
+                    used += n
+                left -= words
+            copy += 1
+        assert {i: got[i].taken for i in taken} == taken and all(got[i].target == pytest.approx(goal[s]) and got[i].source_size == size[s] for i in taken)
+
+
+def test_mix_of_one_source_and_of_one_huge_document(docs):
+    one = mixing.query(docs(*[(i, "a b c d", "only") for i in range(2000)])).collect()
+    assert sum(x.taken for x in one) == pytest.approx(1.5 * 8000, rel=0.01)
+    huge = mixing.query(docs((1, "w " * 200_000, "a"), (2, "x y", "b"), (3, None, None), (1, "w " * 200_000, "a"))).collect()
+    assert len(huge) == 4 and all(x.taken <= 2 * x.size for x in huge)
+
+
+def test_more_shards_than_a_fixed_number_of_blocks_allows(docs):
+    rows = [(i, "a b c d e f g h i j", "only") for i in range(20_000)]
+    laid = mixing.mix_sources(docs(*rows), mixing.Mix(block_words=50, shards=900)).select("mix.shard").distinct().count()
+    assert laid == 900
+
+
+def test_mix_without_broadcast(docs, monkeypatch):
+    rows = [(i, "a b c", f"s{i % 50}") for i in range(500)] + [(None, "x", None)]
+    want = sorted(map(str, mixing.query(docs(*rows)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    assert sorted(map(str, mixing.query(docs(*rows)).collect())) == want
+
+
 def test_mix(docs):
     r = np.random.default_rng(6)
     rows = [(i, " ".join(["w"] * int(r.integers(1, 40))), "abc"[i % 3] if i % 10 else None) for i in range(3000)] + [(-1, None, "a"), (None, "x y", "b")]
