@@ -10,8 +10,9 @@ item is aligned with the words around: MATCH for an equal word, MISMATCH for a c
 GAP for one more or less.  A document leaks an item if the best score reaches THRESHOLD of
 the item's own, so edited and partly paraphrased copies count, and none of them is missed.
 
-The benchmark is collected in parts of at most PART_BYTES; a larger one takes more passes
-over the documents, not more memory.  Documents are never shuffled.
+The benchmark is collected in parts of about PART_BYTES of text (about five times that as
+hashes, which is what a part broadcasts); a larger one takes more passes over the documents,
+not more memory.  Documents are never shuffled.
 
 Defined cases: null or empty texts and items leak nothing; an item of one or two
 words must occur whole; one of up to five words, whose pairs may all be broken, has its
@@ -38,7 +39,7 @@ from .common import small_batches
 SEED = 2
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.6
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
 
 
 class Items:
@@ -53,8 +54,8 @@ class Items:
                 self.ids.append(item)
                 self.words.append(h)
                 grams.append(_grams(h, _width(len(h))))
-        self.owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams]) if grams else np.zeros(0, np.int32)
+        self.at = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
         self.hash = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.sizes = sorted({_width(len(h)) for h in self.words})
         self.keys = np.unique(self.hash)
@@ -229,8 +230,8 @@ def _counts(docs: DataFrame, items: Items, text: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["k", "n"])
 
     counts = np.zeros(len(items.keys), np.int64)
-    for r in docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        counts[r.k] = r.n
+    found = docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("k").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 

@@ -1,8 +1,9 @@
 """Line dedup by deletion neighbourhoods, in DataFrame functions only.
 
-A line with a word is dropped if an equal line, or (from MIN_CHARS code points on) a line
-within one edit of a code point, stands earlier: smaller doc_id, or the same document
-further up.  Lines without a word are layout and stay.  Lines are judged on the input.
+A line with a word is dropped if an equal line or a line within one edit of a code point
+stands earlier: smaller doc_id, or the same document further up.  Lines without a word are
+layout and stay.  Lines are judged on the input, whatever their length; a caller may ask for
+near copies only from ``min_chars`` code points on.
 
 1. Equal lines meet in classes by 128 hash bits; a class keeps its earliest place.
 2. Two lines within one edit share their first half or their last half, halves taken at
@@ -20,7 +21,9 @@ are broadcast; what is left to shuffle has no key above that share.
 
 Defined cases: null and empty texts have no lines; rows without doc_id stand last, at one
 place per line number, and rows that repeat a doc_id stand at the same place, so neither
-removes its like; extra columns pass through ``dedup_lines``; empty tables give empty results.
+removes its like (``query`` gives one row for each doc_id and text); of lines that tie in
+place the class is one; a very long line is hashed and compared whole; extra columns pass
+through ``dedup_lines``; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,10 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MIN_CHARS = 16
 SEGMENTS = 8
 HOT = 1000
-_LAST = 9223372036854775807
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -46,10 +47,10 @@ def _b(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, keep_text: bool) -> DataFrame:
-    """doc, row (hash of the whole text, null if all rows are alike), i, a, b and, if asked, line; lines with a word only."""
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
+    """late (no doc_id), doc (0 then), row (hash of the whole text), i, a, b and, if asked, line; lines with a word only."""
+    base = docs.select(F.col(doc_id).isNull().alias("late"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
     base = base.filter(F.col("line").rlike(_HAS_WORD))
-    made = base.select("doc", "row", "i", _a(F.col("line")).alias("a"), _b(F.col("line")).alias("b"), "line")
+    made = base.select("late", "doc", "row", "i", _a(F.col("line")).alias("a"), _b(F.col("line")).alias("b"), "line")
     return made if keep_text else made.drop("line")
 
 
@@ -78,11 +79,11 @@ def _segments(n: Column) -> Column:
     return F.concat(at(n), at(n - 1))
 
 
-def _near(classes: DataFrame) -> DataFrame:
+def _near(classes: DataFrame, min_chars: int) -> DataFrame:
     """(a, b): classes with an earlier neighbour within one edit."""
     line = F.col("line")
     # All uses need the same columns (hence ``at``), so that they share one exchange of the lines.
-    long = classes.filter(F.length("line") >= MIN_CHARS).select("a", "b", "first", F.col("first.i").alias("at"), "line", F.length("line").alias("n"))
+    long = classes.filter(F.length("line") >= min_chars).select("a", "b", "first", F.col("first.i").alias("at"), "line", F.length("line").alias("n"))
     halves = long.select("a", "b", "at", F.explode(_halves(line, F.col("n"))).alias("half"))
     some = halves.join(_shared(halves, "half"), "half").groupBy("a", "b").agg(F.max("at").alias("top"))
     some = some.withColumnsRenamed({"a": "sa", "b": "sb"})
@@ -122,14 +123,14 @@ def _near(classes: DataFrame) -> DataFrame:
     return checked.select("a", "b").distinct()
 
 
-def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: bool = True) -> DataFrame:
-    """doc (doc_id; null: the largest long), row (hash of the text), i (line number from 0), gone: one row a line with a word."""
+def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: bool = True, min_chars: int = 0) -> DataFrame:
+    """late (no doc_id), doc (0 then), row (hash of the text), i (line number from 0), gone: one row a line with a word."""
     lines = _lines(docs, doc_id, text, True)
-    place = F.struct("doc", "i")
+    place = F.struct("late", "doc", "i")
     classes = lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"), F.first("line").alias("line"))
     small = classes.select("a", "b", "first", "c")
     if near:
-        close = _near(classes).withColumn("near", F.lit(True))
+        close = _near(classes, min_chars).withColumn("near", F.lit(True))
         small = small.join(close, ["a", "b"], "left")
     else:
         small = small.withColumn("near", F.lit(None).cast("boolean"))
@@ -139,25 +140,25 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     cold = verdict.filter(F.col("c") <= max(1, total // HOT)).select("a", "b", "first", "near")
     at = _lines(docs, doc_id, text, False).join(F.broadcast(hot), (F.col("a") == F.col("ha")) & (F.col("b") == F.col("hb")), "left")
     # A hot line has its answer already; it is spread by its place and meets nothing.
-    at = at.withColumn("a", F.when(F.col("ha").isNull(), F.col("a")).otherwise(F.xxhash64("doc", "i"))).select("doc", "row", "i", "a", "b", "hot_first", "hot_near")
+    at = at.withColumn("a", F.when(F.col("ha").isNull(), F.col("a")).otherwise(F.xxhash64("doc", "row", "i"))).select("late", "doc", "row", "i", "a", "b", "hot_first", "hot_near")
     joined = at.join(cold, ["a", "b"], "left")
     first, close = F.coalesce("hot_first", "first"), F.coalesce("hot_near", "near", F.lit(False))
-    return joined.select("doc", "row", "i", (close | F.coalesce(first < place, F.lit(False))).alias("gone"))
+    return joined.select("late", "doc", "row", "i", (close | F.coalesce(first < place, F.lit(False))).alias("gone"))
 
 
 def _by_document(verdicts: DataFrame) -> DataFrame:
     lines = F.array_sort(F.collect_set(F.struct("i", "gone")))
-    return verdicts.groupBy("doc", "row").agg(lines.alias("lines"))
+    return verdicts.groupBy("late", "doc", "row").agg(lines.alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 0) -> DataFrame:
     """docs with the dropped lines taken out of text; all other columns as they are."""
-    gone = line_verdicts(docs, doc_id, text).filter("gone").groupBy("doc", "row").agg(F.array_sort(F.collect_set("i")).alias("gone"))
+    gone = line_verdicts(docs, doc_id, text, min_chars=min_chars).filter("gone").groupBy("late", "doc", "row").agg(F.array_sort(F.collect_set("i")).alias("gone"))
     own = docs.columns
     d = docs.alias("d")
-    doc = F.coalesce(F.col(f"d.`{doc_id}`").cast("long"), F.lit(_LAST))
-    g = gone.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone")).alias("g")
-    joined = d.join(g, (doc == F.col("g._doc")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("g._row")), "left")
+    late, doc = F.col(f"d.`{doc_id}`").isNull(), F.coalesce(F.col(f"d.`{doc_id}`").cast("long"), F.lit(0).cast("long"))
+    g = gone.select(F.col("late").alias("_late"), F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone")).alias("g")
+    joined = d.join(g, (late == F.col("g._late")) & (doc == F.col("g._doc")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("g._row")), "left")
     split = F.split(F.col(f"d.`{text}`"), "\n", -1)
     fresh = F.when(F.col("g._gone").isNull(), F.col(f"d.`{text}`")).otherwise(F.array_join(_without(split), "\n"))
     return joined.select(*(fresh.alias(c) if c == text else F.col(f"d.`{c}`").alias(c) for c in own))
@@ -171,21 +172,21 @@ def _without(split: Column) -> Column:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines (with a word), n_removed, removed (line numbers), for every document that has such lines."""
+    """doc_id, n_lines (with a word), n_removed, removed (line numbers), for every document (doc_id and text) that has such lines."""
     by = _by_document(line_verdicts(docs))
     gone = F.transform(F.filter("lines", lambda x: x["gone"]), lambda x: x["i"])
-    return by.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+    return by.select(F.when(~F.col("late"), F.col("doc")).alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
 
 
 ORACLE = rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-c AS (SELECT line, min((doc_id, i)) AS first, length(line) AS n FROM w GROUP BY line),
+c AS (SELECT line, min((doc_id IS NULL, coalesce(doc_id, 0), i)) AS first, length(line) AS n FROM w GROUP BY line),
 h AS (SELECT *, unnest(list_distinct(['l' || (n // 2) || ':' || left(line, n // 2), 'l' || ((n - 1) // 2) || ':' || left(line, (n - 1) // 2),
-    'r' || (n - n // 2) || ':' || right(line, n - n // 2), 'r' || (n - 1 - (n - 1) // 2) || ':' || right(line, n - 1 - (n - 1) // 2)])) AS k FROM c WHERE n >= {MIN_CHARS}),
+    'r' || (n - n // 2) || ':' || right(line, n - n // 2), 'r' || (n - 1 - (n - 1) // 2) || ':' || right(line, n - 1 - (n - 1) // 2)])) AS k FROM c),
 p AS (SELECT DISTINCT x.line AS x, y.line AS y FROM h x JOIN h y ON x.k = y.k AND y.first < x.first AND abs(x.n - y.n) <= 1),
 q AS (SELECT DISTINCT x FROM p WHERE len(list_filter(range(greatest(length(x), length(y))), lambda i: left(x, i) = left(y, i)
     AND substr(x, i + CASE WHEN length(x) >= length(y) THEN 2 ELSE 1 END) = substr(y, i + CASE WHEN length(y) >= length(x) THEN 2 ELSE 1 END))) > 0),
-v AS (SELECT w.doc_id, w.i, (c.first < (w.doc_id, w.i) OR q.x IS NOT NULL) AS gone FROM w JOIN c USING (line) LEFT JOIN q ON q.x = w.line)
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed FROM v GROUP BY doc_id
+v AS (SELECT w.doc_id, w.text, w.i, (c.first < (w.doc_id IS NULL, coalesce(w.doc_id, 0), w.i) OR q.x IS NOT NULL) AS gone FROM w JOIN c USING (line) LEFT JOIN q ON q.x = w.line)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed FROM v GROUP BY doc_id, text
 """

@@ -260,8 +260,7 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
         level = pr.read_levels(replies, 1, c.keys, bits, ranges)[c.key_of]
         size = np.diff(c.first)
         met = np.bincount(c.doc, weights=level > 0, minlength=len(size))
-        null = np.asarray(c.table.column("doc_id").is_null().to_numpy(), bool)
-        may = (100 * met >= percent * size) & (size > 0) & ~null
+        may = (100 * met >= percent * size) & (size > 0)
         a = np.zeros(len(size), np.uint64)
         b = np.zeros(len(size), np.uint64)
         np.add.at(a, c.doc, c.h)
@@ -273,8 +272,15 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
             "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "shingles": pa.array(sets, pa.binary()), "often": pa.array(often, pa.binary()),
         }).cast(SETS_PA)
 
+    def unlinked(table: pa.Table) -> pa.Table:
+        c = _Chunk(table, n)
+        size = np.diff(c.first).astype(np.int64)
+        zero, none = pa.array(np.zeros(len(size), np.int64)), pa.nulls(len(size), pa.binary())
+        return pa.table([zero, c.table.column("doc_id"), pa.array(size), zero, zero, none, none], schema=SETS_PA)
+
     replies = pr.answer(pr.ask(base, send, None), 1, frequency)
-    return base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, SETS)
+    met = base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, SETS)
+    return met.union(pr.alone(docs, doc_id, text, unlinked, SETS))
 
 
 def _windows(classes: DataFrame, percent: int) -> DataFrame:

@@ -2,23 +2,28 @@
 
 The base kinds (email, ip, card, phone) are fixed patterns with checks and are always
 reported.  Generators propose further, overlapping spans: phone numbers without a plus,
-identity numbers in groups, bank accounts, e-mail addresses written out or with odd
-characters, addresses of version 6 with six to eight groups written out ('::' forms are
-not proposed), hardware addresses.  Dates of birth have no generator.  Boosted trees score each candidate from its shape and its surroundings; a candidate is redacted when
-its calibrated probability reaches its kind's threshold and it does not touch a base
-span or a better candidate.
+identity numbers in groups, bank accounts, e-mail addresses written out, addresses of
+version 6 ('::' forms too), hardware addresses, dates of birth.  Boosted trees score each
+candidate from its shape and its surroundings; a candidate is redacted when its calibrated
+probability reaches its kind's threshold and it does not touch a base span or a better
+candidate.
 
 The trees are trained here, on candidates in lines that a seeded generator writes
-(TRAIN_LINES of them, a documented bound); thresholds are the smallest that give the
-asked precision on a held-out part of those lines.
+(TRAIN_LINES of them, a documented bound).  Six tenths of the candidates grow the trees, two
+calibrate their scores, and on the last two the thresholds are set: the smallest that give
+the asked precision.
 
 Defined cases: a null text counts as empty and has no spans; offsets are code points,
-end exclusive; repeated rows are judged alike; very long texts are scanned in linear time.
+end exclusive; repeated rows are judged alike; a null doc_id is reported as null; of
+candidates that overlap with equal probability the first kind listed, then the leftmost,
+stays; very long texts are scanned in linear time; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("phone_local", "id_number", "iban", "email_words", "ipv6", "mac")
+MORE_KINDS = ("phone_local", "id_number", "iban", "email_words", "ipv6", "mac", "birth_date")
 KINDS = BASE_KINDS + MORE_KINDS
 TRAIN_LINES = 4000
 PRECISION = 0.98
@@ -95,20 +100,44 @@ _MORE = (
     ("id_number", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), True),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), True),
     ("email_words", re.compile(r"(?<![A-Za-z0-9._])[A-Za-z0-9._]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,6}(?![A-Za-z])"), False),
-    ("ipv6", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), True),
+    ("ipv6", re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{3,39}(?![0-9A-Za-z:])"), True),
     ("mac", re.compile(r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])"), True),
+    ("birth_date", re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{4}|[0-9]{2})|[0-9]{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}\.? [0-9]{4})(?![0-9A-Za-z])", re.I), True),
 )
-_CUES = re.compile(r"(?:phone|call|tel|mobile|fax|ssn|social|security|iban|account|bank|mail|contact|reach|write|mac|device|host|address|born|server|node)", re.I)
+_CUES = re.compile(r"(?:phone|call|tel|mobile|fax|ssn|social|security|iban|account|bank|mail|contact|reach|write|mac|device|host|address|born|birth|dob|server|node)", re.I)
 _ANTI = re.compile(r"(?:order|part|version|isbn|ratio|score|page|chapter|serial|build|ticket|item|total|price|meet|look|laugh|time)", re.I)
 
 
 def candidates(t: str) -> list[tuple[str, int, int]]:
     digit = bool(_DIGITS.search(t))
     words = " at " in t or "(at)" in t or "[at]" in t
-    return [(k, *m.span()) for k, p, needs in _MORE if (digit if needs else words) for m in p.finditer(t)]
+    found = [(k, *m.span()) for k, p, needs in _MORE if (digit if needs else words) for m in p.finditer(t)]
+    return [c for c in found if c[0] != "ipv6" or _is_v6(t[c[1] : c[2]])]
 
 
-def features(t: str, kind: str, s: int, e: int) -> list[float]:
+def _is_v6(x: str) -> bool:
+    try:
+        return ipaddress.ip_address(x).version == 6 and len(x) > 3
+    except ValueError:
+        return x.count(":") >= 5  # a look-alike, for the trees to turn down
+
+
+def mod97(x: str) -> int:
+    """The remainder that is 1 for an account number whose check digits are right."""
+    x = x.replace(" ", "").upper()
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+_NEAR_WORD = re.compile(r"[^\W\d_]{2,}")
+
+
+def near_words(t: str, s: int) -> list[str]:
+    """The last three words of the 40 characters before a candidate."""
+    return _NEAR_WORD.findall(t[max(0, s - 40) : s].lower())[-3:]
+
+
+def features(t: str, kind: str, s: int, e: int, lean: dict[str, float]) -> list[float]:
+    """Format and context of a candidate; lean: learnt log-odds of words before it."""
     x, before, after = t[s:e], t[max(0, s - 40) : s], t[e : e + 24]
     digits = [c for c in x if c.isdigit()]
     n = len(x)
@@ -116,7 +145,7 @@ def features(t: str, kind: str, s: int, e: int) -> list[float]:
         MORE_KINDS.index(kind), n, len(digits) / n, len(set(digits)), sum(c in " " for c in x), sum(c in ".-:" for c in x),
         "(" in x, "[" in x, sum(c.isupper() for c in x) / n, bool(_CUES.search(before)), bool(_ANTI.search(before)),
         bool(_CUES.search(after)), before[-1:].isspace() or s == 0, after[:1].isspace() or not after, before[-2:-1] in ":#=",
-        digits[:1] == ["0"], len(re.findall(r"[0-9]", before[-12:])), len(re.findall(r"[0-9]", after[:12])), "dot" in x, x.count(":"),
+        digits[:1] == ["0"], len(re.findall(r"[0-9]", before[-12:])), len(re.findall(r"[0-9]", after[:12])), "dot" in x, x.count(":"), "::" in x, x.isascii() and x[:2].isdigit() and "19" <= x[:2] <= "20", len(re.findall(r"[A-Za-z]", x)), sum(lean.get(w, 0.0) for w in near_words(t, s)), kind == "iban" and mod97(x) == 1,
     ]
 
 
@@ -181,57 +210,78 @@ class Boosted:
         return f
 
 
-def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> Iterator[tuple[str, int]]:
-    """Lines with one candidate each, and whether it is personal data: real shapes with telling words, look-alikes with others."""
+#: Fixed values of the generator: what stands before personal data and before look-alikes; some of it is unknown to the features.
+_LEADS = {
+    "phone_local": ("phone", "call me at", "tel:", "mobile", "reach me on", "ring", "my number:", "dial"), "id_number": ("my ssn is", "social security", "insurance no", "taxpayer"), "iban": ("iban:", "bank account", "transfer to", "pay into"),
+    "email_words": ("contact", "write to", "mail", "ask", "drop a line:"), "ipv6": ("host", "server", "from", "peer", "address"), "mac": ("mac address", "device", "adapter", "network card"), "birth_date": ("born", "date of birth:", "dob", "born on", "birthday"),
+}
+_OTHER = ("order", "part no.", "version", "isbn", "score", "page", "serial", "build", "ticket", "total", "ratio", "on", "until", "since", "published", "updated", "due")
+
+
+def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> Iterator[tuple[str, str]]:
+    """Lines with one candidate each and its kind, empty if it is no personal data: real shapes with telling words, and look-alikes."""
     r = np.random.default_rng(seed)
     d = lambda k: "".join(map(str, r.integers(0, 10, k)))
     pick = lambda xs: xs[int(r.integers(len(xs)))]
+    two = lambda a, b: f"{int(r.integers(a, b)):02d}"
     hexs = lambda k: "".join(pick("0123456789abcdef") for _ in range(k))
     word = lambda: "".join(pick(["th", "er", "on", "an", "in", "re", "la", "de", "ou"]) for _ in range(int(r.integers(1, 4))))
-    cue = ("phone", "call me at", "tel:", "mobile", "my ssn is", "social security", "iban:", "bank account", "contact", "write to", "mac address", "device", "reach me on", "mail")
-    other = ("order", "part no.", "version", "isbn", "score", "page", "serial", "build", "ticket", "total", "ratio")
-    for _ in range(n):
+    for i in range(n):
         good = int(r.random() < 0.5)
-        k = int(r.integers(6))
-        if k == 0:
-            x = pick([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"]) if good else pick([f"{d(3)} {d(3)} {d(3)}", f"{d(4)}.{d(3)}.{d(3)}", f"{d(2)}-{d(4)}-{d(4)}"])
-        elif k == 1:
+        kind = MORE_KINDS[i % len(MORE_KINDS)]
+        if kind == "phone_local":
+            x = pick([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}"]) if good else pick([f"{d(3)} {d(3)} {d(3)}", f"{d(4)}.{d(3)}.{d(3)}", f"{d(2)}-{d(4)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"])
+        elif kind == "id_number":
             x = f"{d(3)}-{d(2)}-{d(4)}"
-        elif k == 2:
-            x = pick(["DE", "FR", "ES", "GB"]) + d(18) if good else "".join(pick("ABCDEFGHKL") for _ in range(2)) + d(2) + "".join(pick("ABCDEFGH0123") for _ in range(16))
-        elif k == 3:
-            x = f"{word()}.{word()} {pick(['(at)', '[at]', 'at'])} {word()} {pick(['dot', '(dot)', '[dot]'])} {pick(['com', 'org', 'net'])}" if good else f"{word()} at {word()}. {word()}"
-        elif k == 4:
-            x = ":".join(hexs(4) for _ in range(8)) if good else ":".join(d(2) for _ in range(6))
-        else:
+        elif kind == "iban":
+            land, body = pick(["DE", "FR", "ES", "GB", "NL", "IT"]), d(18)
+            x = f"{land}{98 - mod97(f'{land}00{body}'):02d}{body}" if good else "".join(pick("ABCDEFGHKL") for _ in range(2)) + d(2) + "".join(pick("ABCDEFGH0123") for _ in range(16))
+            x = " ".join(x[k : k + 4] for k in range(0, len(x), 4)) if good and r.random() < 0.4 else x
+        elif kind == "email_words":
+            x = f"{word()}{pick(['.', '', '_'])}{word()} {pick(['(at)', '[at]', 'at'])} {word()} {pick(['dot', '(dot)', '[dot]'])} {pick(['com', 'org', 'net', 'de'])}" if good else f"{word()} at {word()}. {word()}"
+        elif kind == "ipv6":
+            x = pick([":".join(hexs(4) for _ in range(8)), f"2001:db8::{hexs(int(r.integers(1, 5)))}", f"fe80::{hexs(4)}:{hexs(4)}"]) if good else pick([":".join(d(2) for _ in range(6)), ":".join(d(1) for _ in range(7))])
+        elif kind == "mac":
             x = pick("-:").join(hexs(2) for _ in range(6)) if good else "-".join(d(2) for _ in range(6))
-        lead = pick(cue) if good and r.random() < 0.8 else pick(other) if not good and r.random() < 0.6 else word()
-        yield " ".join([*(word() for _ in range(int(r.integers(0, 6)))), lead, x, *(word() for _ in range(int(r.integers(0, 6))))]), good
+        else:
+            y, m, a = pick(["19", "20"]) + two(0, 25) if not good else f"19{two(30, 99)}", two(1, 13), two(1, 29)
+            x = pick([f"{y}-{m}-{a}", f"{a}/{m}/{y}", f"{a}.{m}.{y}", f"{int(a)} {pick(['January', 'Mar', 'july', 'Oct', 'December'])} {y}"])
+        lead = pick(_LEADS[kind]) if good and r.random() < 0.95 else pick(_OTHER) if not good and r.random() < 0.75 else word()
+        yield " ".join([*(word() for _ in range(int(r.integers(0, 6)))), lead, x, *(word() for _ in range(int(r.integers(0, 6))))]), kind if good else ""
 
 
 @lru_cache(maxsize=1)
-def model() -> tuple[Boosted, tuple[float, float], dict[str, float]]:
-    """(trees, scale and shift of the calibration, threshold of each kind)."""
-    rows = [(k, features(t, k, s, e), y) for t, y in training_lines() for k, s, e in candidates(t)]
+def model() -> tuple[Boosted, dict[str, float], tuple[float, float], dict[str, float]]:
+    """(trees, leanings of words, scale and shift of the calibration, threshold of each kind); calibration and thresholds from parts of their own."""
+    lines = [(i // len(MORE_KINDS) % 10, t, kind) for i, (t, kind) in enumerate(training_lines())]
+    found = [(p, t, c, c[0] == kind) for p, t, kind in lines for c in candidates(t)]
+    seen: dict[str, list[int]] = {}
+    for p, t, c, is_ in found:
+        if p < 6:
+            for w in near_words(t, c[1]):
+                seen.setdefault(w, [0, 0])[is_] += 1
+    lean = {w: float(np.log((n[1] + 1) / (n[0] + 1))) for w, n in seen.items() if sum(n) >= 8}
+    rows = [(c[0], features(t, *c, lean), is_) for _, t, c, is_ in found]
     x, y = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
-    held = np.arange(len(y)) % 4 == 0
-    trees = Boosted().fit(x[~held], y[~held])
-    f = trees.score(x[held])
+    part = np.array([f[0] for f in found])
+    grow, scale, limit = part < 6, (part == 6) | (part == 7), part > 7
+    trees = Boosted().fit(x[grow], y[grow])
+    f = trees.score(x[scale])
     a, b = 1.0, 0.0
-    for _ in range(200):  # logistic calibration on the held-out part
+    for _ in range(200):  # logistic calibration
         p = 1 / (1 + np.exp(-(a * f + b)))
-        a, b = a + 0.05 * float(((y[held] - p) * f).mean()), b + 0.05 * float((y[held] - p).mean())
-    p = 1 / (1 + np.exp(-(a * f + b)))
-    kinds = np.array([r[0] for r in rows], object)[held]
+        a, b = a + 0.05 * float(((y[scale] - p) * f).mean()), b + 0.05 * float((y[scale] - p).mean())
+    p = 1 / (1 + np.exp(-(a * trees.score(x[limit]) + b)))
+    kinds = np.array([r[0] for r in rows], object)[limit]
     limits = {}
     for k in MORE_KINDS:
         mine = kinds == k
         limits[k] = 1.01
         for c in sorted(set(np.round(p[mine], 3)), reverse=True):
             at = mine & (p >= c)
-            if at.any() and y[held][at].mean() >= PRECISION:
+            if at.any() and y[limit][at].mean() >= PRECISION:
                 limits[k] = max(0.5, float(c))
-    return trees, (a, b), limits
+    return trees, lean, (a, b), limits
 
 
 def spans(t: str | None) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
@@ -241,8 +291,8 @@ def spans(t: str | None) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[s
     taken = sorted(s for v in base.values() for s in v)
     more = []
     if found := candidates(t):
-        trees, (a, b), limits = model()
-        p = 1 / (1 + np.exp(-(a * trees.score(np.array([features(t, *c) for c in found], float)) + b)))
+        trees, lean, (a, b), limits = model()
+        p = 1 / (1 + np.exp(-(a * trees.score(np.array([features(t, *c, lean) for c in found], float)) + b)))
         for q, (k, s, e) in sorted(zip(p, found, strict=True), key=lambda x: (-x[0], x[1])):
             if q >= limits[k] and all(e <= u or v <= s for u, v in taken):
                 more.append((k, s, e))

@@ -83,12 +83,25 @@ class Sizes:
 
 
 def chunked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Sizes]:
-    """(chunk, doc_id, text) dealt by chunk, and the sizes.  All steps on it share one shuffle of the texts."""
+    """(chunk, doc_id, text) of the rows with an id, dealt by chunk, and the sizes.  All steps on it share one shuffle of the texts.
+
+    Ids are taken to name one document each, or a few: rows of one id are one chunk.
+    """
     small_batches(docs)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     sizes = Sizes(int(total))
-    key = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(doc_id).cast("string")))
-    return docs.select(F.pmod(key, F.lit(sizes.chunks)).alias("chunk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), sizes
+    key = F.xxhash64(F.col(doc_id).cast("string"))
+    named = docs.filter(F.col(doc_id).isNotNull())
+    return named.select(F.pmod(key, F.lit(sizes.chunks)).alias("chunk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), sizes
+
+
+def alone(docs: DataFrame, doc_id: str, text: str, make: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """make() of the rows without an id, batch by batch: they meet nothing, so they are not dealt."""
+    def run(batches):
+        for b in batches:
+            yield from make(pa.table({"doc_id": b.column(0), "text": b.column(1)})).to_batches()
+
+    return docs.filter(F.col(doc_id).isNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -96,10 +109,11 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def by_range(f: np.ndarray, bits: int, range_bits: int) -> np.ndarray:
-    """Cut points of sorted fingerprints at the ends of the hash ranges."""
-    at = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(bits - range_bits)
-    return np.concatenate([[0], np.searchsorted(f, at), [len(f)]])
+def own_ranges(f: np.ndarray, bits: int, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash ranges that sorted fingerprints fall in, where each begins, with the end): work follows the entries, not the ranges."""
+    r = f >> np.uint64(bits - range_bits) if range_bits else np.zeros(len(f), np.uint64)
+    begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(f) else np.zeros(0, np.int64)
+    return r[begin].astype(np.int64), np.append(begin, len(f))
 
 
 SENT = "range int, chunk long, width int, keys binary, extra_width int, extra binary"
@@ -110,12 +124,8 @@ BITS_PA = pa.schema([("chunk", pa.int64()), ("step", pa.int32()), ("range", pa.i
 
 def send(chunk: int, f: np.ndarray, extra: np.ndarray, bits: int, range_bits: int) -> pa.Table:
     """Rows of SENT for a chunk's sorted distinct fingerprints and a number beside each."""
-    cut = by_range(f, bits, range_bits)
-    rows = []
-    for r in range(len(cut) - 1):
-        a, b = cut[r], cut[r + 1]
-        if a < b:
-            rows.append((r, chunk, *pack_sorted(f[a:b]), *pack_extra(extra[a:b])))
+    own, cut = own_ranges(f, bits, range_bits)
+    rows = [(r, chunk, *pack_sorted(f[a:b]), *pack_extra(extra[a:b])) for r, a, b in zip(own.tolist(), cut[:-1], cut[1:], strict=True)]
     cols = list(zip(*rows, strict=True)) if rows else [()] * 6
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, SENT_PA.types, strict=True)], schema=SENT_PA)
 
@@ -148,10 +158,11 @@ def answers(step: int, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np
 def read_bits(replies: pa.Table, step: int, f: np.ndarray, bits: int, range_bits: int) -> np.ndarray:
     """The answer to each of a chunk's fingerprints."""
     hit = np.zeros(len(f), bool)
-    cut = by_range(f, bits, range_bits)
+    own, cut = own_ranges(f, bits, range_bits)
+    place = dict(zip(own.tolist(), range(len(own)), strict=True))
     for s, r, b in zip(*(replies.column(c).to_pylist() for c in ("step", "range", "bits")), strict=True):
         if s == step:
-            a, z = cut[r], cut[r + 1]
+            a, z = cut[place[r]], cut[place[r] + 1]
             hit[a:z] = np.unpackbits(np.frombuffer(b, np.uint8), count=z - a).astype(bool)
     return hit
 
@@ -159,11 +170,13 @@ def read_bits(replies: pa.Table, step: int, f: np.ndarray, bits: int, range_bits
 def read_levels(replies: pa.Table, step: int, f: np.ndarray, bits: int, range_bits: int) -> np.ndarray:
     """The number below 16 for each of a chunk's fingerprints."""
     level = np.zeros(len(f), np.uint8)
-    cut = by_range(f, bits, range_bits)
+    own, cut = own_ranges(f, bits, range_bits)
+    place = dict(zip(own.tolist(), range(len(own)), strict=True))
     for s, r, b in zip(*(replies.column(c).to_pylist() for c in ("step", "range", "bits")), strict=True):
         if s == step:
             raw = np.frombuffer(b, np.uint8)
-            level[cut[r] : cut[r + 1]] = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[: cut[r + 1] - cut[r]]
+            a, z = cut[place[r]], cut[place[r] + 1]
+            level[a:z] = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[: z - a]
     return level
 
 

@@ -13,8 +13,9 @@ word).  Windows are compared by 64 bits: with N repeated windows the chance that
 different ones meet is below N*N / 2**65.
 
 Defined cases: a null text has no words; a row without doc_id is left whole and repeats
-nothing; rows that repeat a doc_id are ordered by text; extra columns are ignored; an
-empty table gives an empty result.
+nothing; rows that repeat a doc_id are ordered by text; a very long text is one document of
+one chunk, whole; doc_ids that are no integers are refused, as they order the copies; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,21 +39,16 @@ class _Chunk:
         self.table = pr.ordered(table)
         self.words = w = pr.ChunkWords(tk.column(self.table, "text"))
         self.window, self.block = window, block
-        named = ~np.asarray(self.table.column("doc_id").is_null().to_numpy(), bool)
-        at, h = w.grams(block)
-        ok = named[w.doc[at]]
-        self.at, f = at[ok], h[ok] >> np.uint64(64 - bits)
+        self.at, h = w.grams(block)
+        f = h >> np.uint64(64 - bits)
         self.anchors, self.anchor_of = np.unique(f, return_inverse=True)
         self.aligned = np.zeros(len(self.anchors), np.uint64)
         self.aligned[self.anchor_of[(self.at - w.first[w.doc[self.at]]) % block == 0]] = 1
-        self.named = named
 
     def windows(self, hit: np.ndarray) -> None:
         """All windows here, which are repeats of earlier ones here, and which may have copies elsewhere."""
         w = self.words
-        at, h = w.grams(self.window)
-        ok = self.named[w.doc[at]]
-        self.w_at, h = at[ok], h[ok]
+        self.w_at, h = w.grams(self.window)
         self.keys, first, self.key_of = np.unique(h, return_index=True, return_inverse=True)
         self.repeat = first[self.key_of] != np.arange(len(h))
         near = np.zeros(w.n + 1, np.int64)
@@ -142,10 +138,18 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         c.windows(pr.read_bits(replies, 1, c.anchors, bits, ranges))
         return _finish(c, pr.read_bits(replies, 2, c.keys[c.may], 64, ranges)).cast(RESULT)
 
+    def whole(table: pa.Table) -> pa.Table:
+        c = _Chunk(table, window, block, bits)
+        c.windows(np.zeros(len(c.anchors), bool))
+        c.repeat[:] = False
+        return _finish(c, np.zeros(0, bool)).cast(RESULT)
+
     one = pr.answer(pr.ask(base, anchors, None), 1, meets)
     two = pr.answer(pr.ask(base, windows, one), 2, earlier)
     replies = one.unionByName(two)
-    return base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, text string, removed array<struct<from: long, to: long>>")
+    kinds = "doc_id long, n_words long, n_removed long, text string, removed array<struct<from: long, to: long>>"
+    met = base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, kinds)
+    return met.union(pr.alone(docs, doc_id, text, whole, kinds))
 
 
 def query(docs: DataFrame) -> DataFrame:

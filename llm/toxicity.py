@@ -1,17 +1,21 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashes of its lower-cased words, word pairs, pairs
-with one word skipped, and word beginnings of 4 to 7 bytes; a text is the set of them.
+Features of a text are the distinct hashes of its lower-cased words, word pairs (2-grams)
+and pairs with one word skipped (skip-grams), and beginnings of words (4 to 7 bytes), which
+stand for a word in its many endings; a text is the set of them.
 Per-coordinate learning rates and L1 keep few weights other than zero; those, bounded by
 the feature space of 2**BITS slots, are sent to the executors.
 
 Labels are learnt only from rows with crc32(doc_id as text) mod 3 other than 1, and from
-about TRAIN_ROWS of each label of them, those with the smallest crc32 (a documented bound).
+about TRAIN_ROWS of each label of them, those with the smallest crc32, as far as their texts
+stay within TRAIN_BYTES (documented bounds; of rows that repeat a doc_id one text is learnt).
 labels, lang, source and doc_id are never inputs of a score.  Every whole text is scored.
 
 Defined cases: a null or empty text gets the intercept's score; a null doc_id is never
-labelled, and counts as not held out; repeated rows score alike; labels that are null are
-not learnt from; with no usable labels, or only one kind, every score is 0.
+labelled, and counts as not held out; repeated rows score alike; a very long text is scored
+whole; labels that are null are not learnt from, of two labels for one doc_id the higher is;
+with no usable labels, or only one kind, every score is 0; an empty table gives an empty
+result; extra columns, also one named score, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from .common import small_batches
 
 BITS = 20
 TRAIN_ROWS = 4000
+TRAIN_BYTES = 64_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 1.0
 THRESHOLD = 0.7
@@ -100,9 +105,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
     count = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, rows / max(rows, count.get(1, 0))).otherwise(rows / max(rows, count.get(0, 0)))
     chosen = usable.filter(order <= share * (1 << 32))
-    # About 2 * rows ids at most: a bounded side to broadcast.
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("o"), "doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
-    got.sort(key=lambda r: (r.o, r.doc_id, r.text))
+    # About 2 * rows ids at most: a bounded side to broadcast; one row an id comes back, first its size, then its text.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sized = texts.groupBy("doc_id").agg(F.min(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("m")).select("doc_id", "m.n", "m.h", order.alias("o")).collect()
+    sized.sort(key=lambda r: (r.o, r.doc_id))
+    room = np.cumsum([r.n for r in sized]) <= TRAIN_BYTES if sized else []
+    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.h) for r, ok in zip(sized, room, strict=True) if ok], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("h", T.LongType())]))
+    got = texts.join(F.broadcast(ids), "doc_id").filter(F.xxhash64("text") == F.col("h")).groupBy("doc_id", "toxic").agg(F.first("text").alias("text")).select(order.alias("o"), "doc_id", "toxic", "text").collect()
+    got.sort(key=lambda r: (r.o, r.doc_id))
     y = np.array([r.toxic for r in got], int)
     if len(set(y.tolist())) < 2:
         return None

@@ -184,7 +184,7 @@ def test_a_dense_region_in_blocks(docs, monkeypatch):
 
 
 def near(a, b):
-    if a == b or abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < line_dedup.MIN_CHARS:
+    if a == b or abs(len(a) - len(b)) > 1:
         return a == b
     p = 0
     while p < min(len(a), len(b)) and a[p] == b[p]:
@@ -194,14 +194,14 @@ def near(a, b):
 
 def test_lines(docs):
     r = random.Random(5)
-    base = ["the quick brown fox jumps over it", "éé über straße and more of it here", "short", "0123456789abcdef", "x" * 17]
+    base = ["the quick brown fox jumps over it", "éé über straße and more of it here", "short", "ab", "x", "0123456789abcdef", "x" * 17]
     rows = []
     for i in range(40):
         lines = []
         for _ in range(r.randrange(6)):
             t = list(r.choice(base))
             for _ in range(r.choice([0, 0, 1, 2])):
-                k = r.randrange(len(t))
+                k = r.randrange(len(t) + 1)
                 t[k : k + r.choice([0, 1])] = r.choice([[], ["q"], ["z"]])
             lines.append("".join(t))
         rows.append((i, "\n".join(lines) if i % 7 else None))
@@ -220,3 +220,30 @@ def test_lines_leave_layout_and_other_columns(docs):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
     assert out[1].text == "a line of some length\n\n  \nkeep" and out[2].text == "b\n" and out[3].text is None and out[None].text == "new" and out[2].chunk == "x"
     assert line_dedup.query(docs().limit(0)).count() == 0
+
+
+def test_lines_with_odd_ids_and_long_lines(docs):
+    top = 9223372036854775807
+    long = "word " * 40_000
+    d = docs((top, "the same line\nyes"), (None, "the same line\nown of none"), (5, long + "\nno"), (6, long + "\nnot"), (7, "a b\nc"), (7, "a b\nc"), (7, "other text of seven"))
+    got = sorted(((x.doc_id, x.n_lines, x.removed) for x in line_dedup.query(d).collect()), key=str)
+    assert got == sorted([(top, 2, ""), (None, 2, "0"), (5, 2, ""), (6, 2, "0,1"), (7, 2, ""), (7, 1, "")], key=str)
+    assert {(x.doc_id, x.removed) for x in line_dedup.query(d).collect()} >= {(6, "0,1")}
+    kept = line_dedup.dedup_lines(docs((1, "yes\nno"), (2, "yet\nmaybe")), min_chars=16).collect()
+    assert [x.text for x in sorted(kept)] == ["yes\nno", "yet\nmaybe"]
+
+
+def test_very_long_and_repeated_texts(docs):
+    r = random.Random(3)
+    long = " ".join(f"v{r.randrange(10**6)}" for _ in range(60_000))
+    d = docs((1, long), (2, long + " and more"), (3, "short one"), (3, "short one"), (None, long))
+    got = sorted(((x.doc_id, x.component_id) for x in ngram_join.jaccard_join(d).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (None, None)], key=str)
+    cut = sorted(((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.query(d).collect()), key=str)
+    assert cut == sorted([(1, 60_000, 0), (2, 60_002, 60_000), (3, 2, 0), (3, 2, 0), (None, 60_000, 0)], key=str)
+
+
+def test_sending_takes_work_by_entries_not_by_ranges():
+    f = np.sort(np.random.default_rng(2).integers(0, 1 << 62, 500).astype(np.uint64))
+    sent = probes.send(4, f, np.ones(500, np.uint64), 62, 30)  # 2**30 ranges
+    assert sent.num_rows <= 500 and np.array_equal(np.concatenate([probes.unpack_sorted(w, k) for w, k in zip(sent.column("width").to_pylist(), sent.column("keys").to_pylist(), strict=True)]), f)
