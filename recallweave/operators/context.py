@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,65 +47,75 @@ def compose(draft: Column | str, lines: Column, turn: Column | int = 0, limit: i
     return F.when((F.size(shown) > 0) & (tx.units(block) + tx.units(d) <= limit), F.concat(block, d)).otherwise(d)
 
 
+@dataclass(frozen=True)
+class Excerpts:
+    """How many excerpts of past messages, how long, and from what score on: heads of messages first, then matching units."""
+
+    heads: int = 4
+    head_chars: int = 220
+    head_room: int = 120
+    head_score: float | None = 1.8
+    most: int = 12
+    unit_chars: int = 200
+    unit_room: int = 80
+    unit_score: float | None = 1.0
+    share: float = 0.2
+    floor: float = 0.6
+    least: int = 20
+
+
+#: The earlier rules: strong terms only, JSON lines.
+EARLIER_EXCERPTS = Excerpts(heads=3, head_chars=600, head_score=None, most=8, unit_chars=260, unit_room=120, unit_score=None, share=0.35, floor=0.0, least=60)
+EXCERPT_LEAD = "과거대화｜"
+
+
 def matched_units(ix: Index, messages: DataFrame, queries: DataFrame, earlier: bool = False) -> DataFrame:
-    """(query_id, items) of excerpts of past messages: heads of the best messages, then matching units, within queries.budget.
+    """(query_id, place, kind, message_id, unit_id, text, line) of excerpts of past messages: heads of the best messages, then matching units.
 
-    queries: query_id, chat_id, query, budget[, max_ord].  The fold sees at most the 60 best units of a draft.
+    queries: query_id, chat_id, query, budget[, max_ord].  A line costs its frame and its excerpt, so what still fits is the
+    budget left less the frame; an excerpt is cut to that.  The fold sees at most the 60 best units of a draft.
     """
+    rule = EARLIER_EXCERPTS if earlier else Excerpts()
     hits = rank.earlier_bm25(ix, queries) if earlier else rank.bm25(ix, queries)
-    first = rank.top(hits, 1).select("query_id", F.col("score").alias("best"))
+    best = rank.top(hits, 60).join(ix.units.select("chat_id", "unit_id", "message_id", "text"), ["chat_id", "unit_id"])
     heads = messages.select("chat_id", F.col("id").alias("message_id"), tx.search_text("text").alias("head"))
-    c = rank.top(hits, 60).join(ix.units.select("chat_id", "unit_id", "message_id", "text"), ["chat_id", "unit_id"]).join(first, "query_id").join(heads, ["chat_id", "message_id"], "left").join(queries.select("query_id", "budget"), "query_id")
-    c = c.select("query_id", "rank", "unit_id", "message_id", "text", "head", "score", "best", "budget", F.size("strong").alias("n_strong"), F.size("matched").alias("n_matched"))
-
-    def line_of(excerpt: str, message: str, kind: str) -> str:
+    by_message = F.row_number().over(W.partitionBy("query_id", "message_id").orderBy("rank"))
+    c = best.join(heads, ["chat_id", "message_id"], "left").withColumn("nth", by_message).withColumn("top", F.max("score").over(W.partitionBy("query_id")))
+    strong = F.size("strong") > 0
+    reaches = lambda least: F.lit(False) if least is None else F.col("score") >= least
+    head_ok = (F.col("nth") == 1) & (F.length(F.coalesce("head", F.lit(""))) > 0) & (strong | reaches(rule.head_score))
+    unit_ok = (F.col("score") >= F.greatest(F.lit(rule.floor), rule.share * F.col("top"))) & (strong | reaches(rule.unit_score) | F.lit(not earlier) & (F.size("matched") > 0))
+    shown = (lambda x: tx.clean_line(x)) if not earlier else (lambda x: F.col(x))
+    wanted = F.array(
+        F.when(head_ok, F.struct(F.lit(0).alias("part"), "rank", F.lit("message_start").alias("kind"), "message_id", "unit_id", shown("head").alias("source"), F.lit(rule.head_chars).alias("chars"))),
+        F.when(unit_ok, F.struct(F.lit(1).alias("part"), "rank", F.lit("matched_unit").alias("kind"), "message_id", "unit_id", shown("text").alias("source"), F.lit(rule.unit_chars).alias("chars"))),
+    )
+    asked = c.select("query_id", F.explode(F.array_compact(wanted)).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("wanted")).join(queries.select("query_id", F.col("budget").cast("int").alias("budget")), "query_id")
+
+    def line(x: Column, excerpt: Column) -> Column:
         if not earlier:
-            return "과거대화｜" + " ".join(excerpt.replace("```", "ˈˈˈ").replace("<!--", " ").replace("-->", " ").split())
-        import json
-
-        return json.dumps({"message_id": message, "kind": kind, "excerpt": excerpt}, ensure_ascii=False, separators=(",", ":"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("rank").to_dict("records")
-        left, out = int(rows[0]["budget"]), []
-        n_heads, head_chars, n_all, unit_chars, floor_share, floor = (3, 600, 8, 260, 0.35, 0.0) if earlier else (4, 220, 12, 200, 0.2, 0.6)
-
-        def add(r: dict, source: str, kind: str, most: int) -> None:
-            nonlocal left
-            sep = 1 if out else 0
-            if len(line_of("…" if not earlier else "", r["message_id"], kind)) + sep + (60 if earlier else 20) > left:
-                return
-            lo_, hi, best = 1, min(most, len(source)), None
-            while lo_ <= hi:
-                mid = (lo_ + hi) // 2
-                cut = source if mid == len(source) else source[: mid - 1] + "…"
-                line = line_of(cut, r["message_id"], kind)
-                if len(line) + sep <= left:
-                    best, lo_ = (cut, line), mid + 1
-                else:
-                    hi = mid - 1
-            if best and not any(o[1] == r["message_id"] and best[0].removesuffix("…") in o[3] for o in out):
-                out.append((kind, r["message_id"], r["unit_id"], best[0], best[1]))
-                left -= len(best[1]) + sep
-
-        seen = set()
-        for r in rows:
-            if r["message_id"] in seen:
-                continue
-            seen.add(r["message_id"])
-            if len(out) >= n_heads or left < 120:
-                break
-            if (r["n_strong"] or (not earlier and r["score"] >= 1.8)) and r["head"]:
-                add(r, r["head"], "message_start", head_chars)
-        floor = max(floor, floor_share * rows[0]["best"])
-        for r in rows:
-            if len(out) >= n_all or left < (120 if earlier else 80) or r["score"] < floor:
-                break
-            if r["n_strong"] or (not earlier and (r["score"] >= 1.0 or r["n_matched"])):
-                add(r, r["text"], "matched_unit", unit_chars)
-        return pd.DataFrame([(rows[0]["query_id"], i + 1, *o) for i, o in enumerate(out)], columns=["query_id", "place", "kind", "message_id", "unit_id", "text", "line"])
-
-    return c.groupBy("query_id").applyInPandas(fold, "query_id string, place int, kind string, message_id string, unit_id string, text string, line string")
+            return F.concat(F.lit(EXCERPT_LEAD), excerpt)
+        return F.to_json(F.struct(x["message_id"].alias("message_id"), x["kind"].alias("kind"), excerpt.alias("excerpt")))
+
+    kinds = "array<struct<kind: string, message_id: string, unit_id: string, text: string, line: string>>"
+
+    def take(acc: Column, x: Column) -> Column:
+        head = x["part"] == 0
+        opens = F.size(acc["out"]) < F.when(head, rule.heads).otherwise(rule.most)
+        separator = F.when(F.size(acc["out"]) > 0, 1).otherwise(0)
+        frame = F.length(line(x, x["source"])) - F.length(x["source"]) + separator  # escapes of the source included
+        room = F.least(F.length(x["source"]), x["chars"], acc["left"] - frame)
+        fits = opens & (acc["left"] >= F.when(head, rule.head_room).otherwise(rule.unit_room)) & (acc["left"] - frame >= rule.least) & (room > 0)
+        text = F.when(room == F.length(x["source"]), x["source"]).otherwise(F.concat(F.substr(x["source"], F.lit(1), room - 1), F.lit("…")))
+        core = F.rtrim(text, F.lit("…"))
+        told = F.exists(acc["out"], lambda o: (o["message_id"] == x["message_id"]) & F.contains(o["text"], core))
+        made = F.struct(x["kind"].alias("kind"), x["message_id"].alias("message_id"), x["unit_id"].alias("unit_id"), text.alias("text"), line(x, text).alias("line"))
+        good = fits & ~told
+        return F.struct(F.when(good, acc["left"] - F.length(made["line"]) - separator).otherwise(acc["left"]).alias("left"), F.when(good, F.array_append(acc["out"], made)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.col("budget").alias("left"), F.array().cast(kinds).alias("out"))
+    out = asked.select("query_id", F.posexplode(F.aggregate("wanted", start, take, lambda acc: acc["out"])).alias("n", "x"))
+    return out.select("query_id", (F.col("n") + 1).alias("place"), "x.kind", "x.message_id", "x.unit_id", "x.text", "x.line")
 
 
 def pack_memory(queries: DataFrame, cards: DataFrame) -> DataFrame:

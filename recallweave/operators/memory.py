@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -161,55 +162,107 @@ def batch_window(messages: DataFrame) -> DataFrame:
 FOLDED = "chat_id string, card string, keyword string, domain string, slot string, place int, id string, fact string, kind string, who array<string>, turn int, reason string, by string, at int"
 
 
-def merge_rule(words: set, kind: str, notes: list[dict]) -> tuple[str, dict | None, float]:
-    """(action, nearest note, overlap) of a new fact against the notes that still hold."""
-    best, most = None, 0.0
-    for n in notes:
-        union = len(words | n["words"])
-        share = len(words & n["words"]) / union if union else 0.0
-        if share > most:
-            best, most = n, share
-    if best is not None and len(words) >= 3 and most >= 0.75:
-        return "dup", best, most
-    if best is not None and most >= 0.45 and kind and kind == best["kind"] and kind in vocab.CHANGING_KINDS:
-        return "update", best, most
-    return "new", best, most
+def likeness(a: set, b: set) -> float:
+    """Shared words over all words."""
+    return len(a & b) / len(a | b) if a or b else 0.0
+
+
+def merge_rule(words: set, kind: str, notes: list[Note]) -> tuple[str, Note | None, float]:
+    """(action, nearest note, likeness) of a new fact against the notes that still hold; the first of equally near ones counts."""
+    near = [(likeness(words, n.words), -i) for i, n in enumerate(notes)]
+    share, at = max(near, default=(0.0, 0))
+    if share <= 0:
+        return "new", None, 0.0
+    target = notes[-at]
+    if share >= 0.75 and len(words) >= 3:
+        return "dup", target, share
+    changes = kind in vocab.CHANGING_KINDS and kind == target.kind
+    return ("update" if changes and share >= 0.45 else "new"), target, share
+
+
+@dataclass(eq=False)
+class Note:
+    """A fact in a card.  It is current until something happens to it; ``reason``, ``by`` and ``at`` then say what, through which
+    note and when, and ``left`` in which order notes left."""
+
+    id: str
+    fact: str
+    kind: str
+    who: list
+    turn: int
+    words: set
+    reason: str | None = None
+    by: str | None = None
+    at: int | None = None
+    left: int | None = None
+
+    @property
+    def weight(self) -> float:
+        """How much a note is worth keeping in view: its kind first, then how new it is."""
+        return vocab.KIND_WEIGHTS.get(self.kind, 0.0) + self.turn / 1e4
+
+
+class Card:
+    """One keyword's notes.  Notes only move from current to history, each with its reason; none is lost."""
+
+    def __init__(self, limit: int = vocab.CURRENT_NOTES):
+        self.limit = limit
+        self.notes: list[Note] = []
+        self.departures = 0
+
+    @property
+    def current(self) -> list[Note]:
+        return [n for n in self.notes if n.reason is None]
+
+    @property
+    def history(self) -> list[Note]:
+        return sorted((n for n in self.notes if n.reason), key=lambda n: n.left)
+
+    @property
+    def holding(self) -> list[Note]:
+        """Notes that still hold: current ones, and those that only made room."""
+        return self.current + [n for n in self.history if n.reason == "overflow"]
+
+    def leave(self, note: Note, reason: str, by: Note | None = None) -> None:
+        """Move a note to history; one that is there already keeps its place and gets the new reason."""
+        note.reason = reason
+        if by is not None:
+            note.by, note.at = by.id, by.turn
+        if note.left is None:
+            self.departures += 1
+            note.left = self.departures
+
+    def add(self, note: Note, told: tuple[str | None, str | None] = (None, None)) -> None:
+        """Take in the next fact; told: a stored decision (action, target id), which beats the rule if its target still holds."""
+        holding = self.holding
+        action, target, _ = merge_rule(note.words, note.kind, holding)
+        wish, aim = told
+        if aim:
+            target = next((n for n in holding if n.id == aim), None)
+        if wish == "new" or (wish and target):
+            action = wish
+        self.notes.append(note)
+        if target and action != "new":
+            says_less = action == "dup" and target.reason is None and len(note.words) < len(target.words)
+            if says_less:
+                self.leave(note, "restated", by=target)
+                note.at = note.turn
+            else:
+                self.leave(target, "restated" if action == "dup" else "updated", by=note)
+        while len(self.current) > self.limit:
+            self.leave(min(self.current, key=lambda n: n.weight), "overflow")
 
 
-def fold_card(facts: list[dict], decisions: dict[str, tuple[str, str | None]], limit: int = vocab.CURRENT_NOTES) -> tuple[list[dict], list[dict]]:
-    """(current, history) of one keyword's facts in turn order.  Nothing is lost: what leaves current is in history with its reason.
+def fold_card(facts: list[dict], decisions: dict[str, tuple[str, str | None]], limit: int = vocab.CURRENT_NOTES) -> tuple[list[Note], list[Note]]:
+    """(current, history) of one keyword's facts in turn order.
 
-    A stored decision (action, target id) beats the rule; a restatement that says less goes to history; an update or a fuller
-    restatement takes its target's place; beyond the limit the weakest note overflows but can still be updated.
+    A restatement that says less than its target goes to history; an update or a fuller restatement takes its target's place;
+    beyond the limit the weakest note makes room (overflow) but can still be updated.
     """
-    current: list[dict] = []
-    history: list[dict] = []
+    card = Card(limit)
     for f in facts:
-        note = dict(f, reason=None, by=None, at=None)
-        live = current + [n for n in history if n["reason"] == "overflow"]
-        action, target, _ = merge_rule(note["words"], note["kind"], live)
-        told, aim = decisions.get(note["id"], (None, None))
-        if aim:
-            target = next((n for n in live if n["id"] == aim), None)
-        if told and (told == "new" or target is not None):
-            action = told
-        stays = action == "dup" and target is not None and any(n is target for n in current) and len(target["words"]) > len(note["words"])
-        if stays:
-            history.append(dict(note, reason="restated", by=target["id"], at=note["turn"]))
-            continue
-        if action in ("update", "dup") and target is not None:
-            mark = {"reason": "restated" if action == "dup" else "updated", "by": note["id"], "at": note["turn"]}
-            if any(n is target for n in current):
-                current = [n for n in current if n is not target]
-                history.append(dict(target, **mark))
-            else:
-                target.update(mark)
-        current.append(note)
-        while len(current) > limit:
-            weak = min(current, key=lambda n: vocab.KIND_WEIGHTS.get(n["kind"], 0.0) + n["turn"] / 1e4)
-            current = [n for n in current if n is not weak]
-            history.append(dict(weak, reason="overflow"))
-    return current, history
+        card.add(Note(**f), decisions.get(f["id"], (None, None)))
+    return card.current, card.history
 
 
 def fold_memory(facts: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
@@ -230,7 +283,7 @@ def fold_memory(facts: DataFrame, decisions: DataFrame | None = None) -> DataFra
         current, history = fold_card(rows, told)
         person = bool((pdf.domain == vocab.PERSON).any() or pdf.seen.fillna(False).any())
         head = (pdf.chat_id.iloc[0], pdf.card.iloc[0], pdf.keyword.iloc[0], vocab.PERSON if person else pdf.domain.iloc[0])
-        made = [(*head, slot, i, n["id"], n["fact"], n["kind"], n["who"], n["turn"], n["reason"], n["by"], n["at"]) for slot, notes in (("current", current), ("history", history)) for i, n in enumerate(notes)]
+        made = [(*head, slot, i, n.id, n.fact, n.kind, n.who, n.turn, n.reason, n.by, n.at) for slot, notes in (("current", current), ("history", history)) for i, n in enumerate(notes)]
         return pd.DataFrame(made, columns=["chat_id", "card", "keyword", "domain", "slot", "place", "id", "fact", "kind", "who", "turn", "reason", "by", "at"]).astype({"at": "Int32"})
 
     return f.groupBy("chat_id", "card").applyInPandas(fold, FOLDED)

@@ -194,10 +194,10 @@ def test_fuller_note_stays_and_weakest_overflows():
     a = {"id": "a", "fact": "", "kind": "", "who": [], "turn": 1, "words": w("가 나 다 라 마")}
     b = {"id": "b", "fact": "", "kind": "", "who": [], "turn": 2, "words": w("가 나 다 라")}
     current, history = memory.fold_card([a, b], {})
-    assert [n["id"] for n in current] == ["a"] and history[0]["id"] == "b" and history[0]["reason"] == "restated"
+    assert [n.id for n in current] == ["a"] and history[0].id == "b" and history[0].reason == "restated"
     many = [{"id": str(i), "fact": "", "kind": "약속" if i else "경험", "who": [], "turn": i, "words": {f"{i}a", f"{i}b", f"{i}c"}} for i in range(6)]
     current, history = memory.fold_card(many, {})
-    assert [n["id"] for n in history] == ["0"] and history[0]["reason"] == "overflow" and len(current) == 5
+    assert [n.id for n in history] == ["0"] and history[0].reason == "overflow" and len(current) == 5
 
 
 def test_effective_facts(spark):
