@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 
 def hit_rates(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
     """One row: hit@k for each k, mean reciprocal rank, and how many queries.  ranked: query_id, unit_id, rank; gold: query_id, unit_id."""
@@ -30,12 +32,31 @@ def choose_threshold(best: DataFrame, cases: DataFrame) -> DataFrame:
     score needs one sorted pass, not a try of every score on every case.
     """
     top = cases.join(best, "case_id", "left")
-    n = cases.count()
+    whole = cases.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold").isNull()).alias("base"))
     gain = F.when(F.col("gold").isNotNull() & (F.col("id") == F.col("gold")), 1).when(F.col("gold").isNull() & F.col("id").isNotNull(), -1).otherwise(0)
-    base = F.count_if(F.col("gold").isNull()).over(W.partitionBy())
-    r = top.withColumn("gain", gain).withColumn("base", base).filter("score is not null").groupBy("score", "base").agg(F.sum("gain").alias("gain"))
-    run = r.withColumn("right", F.col("base") + F.sum("gain").over(W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return run.orderBy(F.desc("right"), F.desc("score")).limit(1).select(F.col("score").alias("threshold"), (F.col("right") / n).alias("accuracy"))
+    r = top.withColumn("gain", gain).filter("score is not null").groupBy((-F.col("score")).alias("down")).agg(F.sum("gain").alias("gain"))
+    run = running(r, "down", "gain").crossJoin(F.broadcast(whole)).withColumn("right", F.col("base") + F.col("run"))
+    return run.orderBy(F.desc("right"), F.asc("down")).limit(1).select((-F.col("down")).alias("threshold"), (F.col("right") / F.col("n")).alias("accuracy"))
+
+
+#: Stretches of the value range that running sums are made over side by side.
+STRETCHES = 1000
+
+
+def running(rows: DataFrame, value: str, amount: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """rows (keys, value distinct in each key, amount) with ``run``, the sum of amounts up to and with each value.
+
+    The value range of a key is cut into stretches; sums run inside each, and over the stretches' totals, of which a key has STRETCHES.
+    """
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    joined = rows.join(ends, list(keys)) if keys else rows.crossJoin(F.broadcast(ends))
+    wide = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
+    cut = joined.withColumn("_s", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / wide * STRETCHES), F.lit(0)).cast("int")).drop("_lo", "_hi")
+    total = cut.groupBy(*keys, "_s").agg(F.sum(amount).alias("_t"))
+    one = [F.col(k) for k in keys] or [F.lit(0)]
+    before = total.withColumn("_before", F.coalesce(F.sum("_t").over(W.partitionBy(*one).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(*keys, "_s", "_before")
+    inside = F.sum(amount).over(W.partitionBy(*keys, "_s").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return cut.withColumn("_in", inside).join(F.broadcast(before) if not keys else before, [*keys, "_s"]).withColumn("run", F.col("_before") + F.col("_in")).drop("_s", "_before", "_in")
 
 
 def replay(messages: DataFrame, keep_out: int = 20) -> DataFrame:
@@ -52,13 +73,26 @@ def replay_stats(asked: DataFrame, hits: DataFrame, applied: DataFrame) -> DataF
 
 def gold_from_evidence(units: DataFrame, evidence: DataFrame) -> DataFrame:
     """(query_id, unit_id): units that hold a wanted phrase.  evidence: query_id, chat_id, contains."""
-    return units.select("chat_id", "unit_id", "text").join(evidence, "chat_id").filter(F.contains("text", "contains")).select("query_id", "unit_id").distinct()
+    whole = F.regexp_extract_all(F.lower("text"), F.lit(EVIDENCE_WORD), F.lit(0))
+    # A phrase's inner words stand in a text as words of their own: texts and phrases meet on the longest of them, and are then compared.
+    inner = F.regexp_extract_all(F.lower("contains"), F.lit(EVIDENCE_WORD), F.lit(0))
+    inner = F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)).otherwise(tx.no_strings())
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = evidence.select("query_id", "chat_id", "contains", key.alias("word"))
+    pairs = units.select("chat_id", "unit_id", "text", F.explode(F.array_distinct(whole)).alias("word")).join(asked.filter("word is not null"), ["chat_id", "word"])
+    short = units.select("chat_id", "unit_id", "text").join(asked.filter("word is null").drop("word"), "chat_id")  # phrases of one or two words
+    return pairs.drop("word").unionByName(short).filter(F.contains("text", "contains")).select("query_id", "unit_id").distinct()
+
+
+#: A run that cannot be cut by the edge of a phrase: letters and digits only.
+EVIDENCE_WORD = r"[\p{L}\p{N}]+"
 
 
 def latency(samples: DataFrame, ms: str = "ms") -> DataFrame:
     """(median, p95): the elements at floor((n - 1) / 2) and floor(0.95 (n - 1)) of the sorted samples."""
-    w = W.partitionBy("engine").orderBy(ms) if "engine" in samples.columns else W.orderBy(ms)
-    p = W.partitionBy("engine") if "engine" in samples.columns else W.partitionBy()
-    r = samples.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(p))
-    keys = ["engine"] if "engine" in samples.columns else []
-    return r.groupBy(*keys).agg(F.max(F.when(F.col("r") == F.floor((F.col("n") - 1) / 2), F.col(ms))).alias("median"), F.max(F.when(F.col("r") == F.floor(0.95 * (F.col("n") - 1)), F.col(ms))).alias("p95"))
+    keys = ("engine",) if "engine" in samples.columns else ()
+    counted = running(samples.groupBy(*keys, ms).agg(F.count(F.lit(1)).alias("_c")), ms, "_c", keys)
+    whole = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    r = counted.join(whole, list(keys)) if keys else counted.crossJoin(F.broadcast(whole))
+    at = lambda place: F.min(F.when(F.col("run") > place, F.col(ms)))  # noqa: E731  the first value whose run goes beyond a 0-based place
+    return r.groupBy(*keys).agg(at(F.floor((F.col("_n") - 1) / 2)).alias("median"), at(F.floor(0.95 * (F.col("_n") - 1))).alias("p95"))

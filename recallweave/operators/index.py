@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as tx
+from .lineage import shared_folder
 
 
 def earlier_terms(text: Column | str) -> Column:
@@ -57,6 +59,21 @@ class Index:
     def persist(self) -> Index:
         return Index(self.units, self.postings.persist(), self.docs.persist(), self.df.persist(), self.stats.persist())
 
+    def stored(self, name: str = "index") -> Index:
+        """The index as tables in the shared folder: the corpus is read and cut into words once, whatever asks afterwards."""
+        spark = self.units.sparkSession
+        base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+        def kept(df: DataFrame, part: str) -> DataFrame:
+            df.write.parquet(f"{base}/{part}")
+            return spark.read.schema(df.schema).parquet(f"{base}/{part}")
+
+        postings = kept(self.postings, "postings")
+        lengths = self.units.select("chat_id", "unit_id").join(postings.groupBy("chat_id", "unit_id").agg(F.sum("tf").alias("length")), ["chat_id", "unit_id"], "left").fillna(0, ["length"])
+        docs = kept(lengths, "docs")
+        stats = docs.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length"))
+        return Index(self.units, postings, docs, kept(postings.groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df")), "df"), kept(stats, "stats"))
+
     @property
     def entities(self) -> DataFrame:
         """(chat_id, name): names before a bar behind a speech bubble."""

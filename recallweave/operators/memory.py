@@ -294,6 +294,19 @@ def current_notes(folded: DataFrame) -> DataFrame:
     return folded.filter("slot = 'current' or reason = 'overflow'").withColumn("dormant", F.col("slot") != "current")
 
 
+def merge_action(words: Column, kind: Column, share: Column, target_kind: Column) -> Column:
+    """merge_rule() as an expression: what becomes of a fact whose nearest note has this share of its words."""
+    changes = (kind == target_kind) & kind.isin(*vocab.CHANGING_KINDS)
+    return F.when((share >= 0.75) & (F.size(words) >= 3), "dup").when((share >= 0.45) & changes, "update").otherwise("new")
+
+
+def nearest_note(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, target, share and action of the nearest note of each fact: pairs (keys, words, kind, target, place, target_kind, target_words); first place on ties."""
+    p = pairs.withColumn("share", fx.overlap(F.col("words"), F.col("target_words"))).filter("share > 0")
+    best = p.groupBy(*keys).agg(F.min_by(F.struct("target", "share", "words", "kind", "target_kind"), F.struct((-F.col("share")).alias("s"), "place")).alias("b"))
+    return best.select(*keys, "b.target", "b.share", merge_action(F.col("b.words"), F.coalesce("b.kind", F.lit("")), F.col("b.share"), F.col("b.target_kind")).alias("action"))
+
+
 def merge_candidates(fresh: DataFrame, folded: DataFrame, most: int = 8) -> DataFrame:
     """(chat_id, fact_id, target, target_fact, fact): new facts whose standing a model should judge: a middling overlap with a current
     note, else the nearest note of the same subject within two turns."""
@@ -301,8 +314,7 @@ def merge_candidates(fresh: DataFrame, folded: DataFrame, most: int = 8) -> Data
     pair = fresh.withColumn("card", tx.normalized_keyword("keyword")).join(notes, ["chat_id", "card"]).withColumn("o", fx.overlap(fx.fact_words("fact"), fx.fact_words("target_fact")))
     best = F.row_number().over(W.partitionBy("chat_id", "id").orderBy(F.desc("o"), "place"))
     top = pair.withColumn("r", best).filter("r = 1 and o > 0")
-    size = F.size(fx.fact_words("fact"))
-    is_new = ~((size >= 3) & (F.col("o") >= 0.75)) & ~((F.col("o") >= 0.45) & (F.coalesce("kind", F.lit("")) == F.col("k")) & F.col("k").isin(*vocab.CHANGING_KINDS))
+    is_new = merge_action(fx.fact_words("fact"), F.coalesce("kind", F.lit("")), F.col("o"), F.col("k")) == "new"
     close = top.filter(F.col("o").between(0.25, 0.75) & (F.col("o") < 0.75) & is_new)
     settled = top.filter(~is_new)
     near = pair.filter(F.abs(F.col("t") - F.col("turn")) <= 2).join(close.select("chat_id", "id"), ["chat_id", "id"], "left_anti").join(settled.select("chat_id", "id"), ["chat_id", "id"], "left_anti").withColumn("r", best).filter("r = 1")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_fit(items: Column, cost: Callable[[Column], Column], budget: Column | int, separator: int = 0) -> Column:
@@ -26,12 +28,35 @@ def first_fit(items: Column, cost: Callable[[Column], Column], budget: Column |
 
 
 def pack_groups(rows: DataFrame, keys: list[str], order: list[Column], cost: Column, budget: Column | int, separator: int = 0) -> DataFrame:
-    """rows that fit their group's budget in order.  A group is gathered into one array: give it a bounded candidate list."""
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).withColumn("_cost", cost)
-    own = [c for c in ranked.columns if c not in keys]
-    grouped = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rank", *[c for c in own if c != "_rank"]))).alias("_all"))
-    took = grouped.select(*keys, F.explode(first_fit(F.col("_all"), lambda x: x["_cost"], budget, separator)).alias("_x"))
-    return took.select(*keys, *(F.col(f"_x.{c}") for c in rows.columns if c not in keys), F.col("_x._rank").alias("pack_rank"))
+    """rows that fit their group's budget in order, with pack_rank, their place in it.
+
+    A group passes through its task in order, batch by batch, and only what is used so far is kept of it.  Rows above the
+    whole budget go before anything moves.
+    """
+    limit = F.lit(budget) if isinstance(budget, int) else budget
+    some = rows.withColumn("_cost", cost.cast("long")).withColumn("_budget", limit.cast("long")).filter("_cost <= _budget")
+    dealt = some.repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("pack_rank", T.IntegerType())])
+    n = len(rows.columns)
+    at = [rows.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, count = None, 0, 0
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in at), strict=True))
+            took, ranks = [], []
+            for i, (name, price, room) in enumerate(zip(names, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)):
+                if name != group:
+                    group, used, count = name, 0, 0
+                price += separator if count else 0
+                if used + price <= room:
+                    used, count = used + price, count + 1
+                    took.append(i)
+                    ranks.append(count)
+            kept = batch.take(pa.array(took, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:n], pa.array(ranks, pa.int32())], schema.names)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def stop_at_overflow(rows: DataFrame, keys: list[str], order: list[Column], cost: Column, budget: int) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import vocab
 from ..functions import text as tx
@@ -133,13 +135,64 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(tx.col(a), tx.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec", key: str = "unit_id") -> DataFrame:
-    """The k nearest vectors of each query by cosine.  Queries are the side that is sent to all; give them in batches of bounded size."""
-    unit = lambda v: F.sqrt(dot(v, v))
-    scored = vectors.select(key, F.col(vec).alias("_v"), unit(vec).alias("_n")).join(queries.select("query_id", F.col(vec).alias("_q"), unit(vec).alias("_m")), how="cross")
-    scored = scored.select("query_id", key, (dot("_v", "_q") / F.nullif(F.col("_n") * F.col("_m"), F.lit(0.0))).alias("score"))
+#: Queries that are sent to all tasks at once, in bytes of their vectors; more go in further passes over the vectors.
+QUERY_BYTES = 32_000_000
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of unit length from a list column; a vector of zeros stays one."""
+    v = np.array(lists.to_pylist(), float).reshape(len(lists), -1)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(size > 0, size, 1.0)
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec", key: str = "unit_id", digits: int = 6) -> DataFrame:
+    """(query_id, key, score, rank): the k nearest vectors of each query by rounded cosine, ties by key; vectors of zeros are near nothing.
+
+    A task multiplies its vectors, block by block, with the queries and keeps k of each, so only k rows a query and task are shuffled.
+    """
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    passes = max(1, -(-8 * n * (width or 0) // QUERY_BYTES))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    found = []
+    for p in range(passes):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", F.col(vec).alias("v")).toArrow().combine_chunks()
+        names, side = some.column("query_id").to_pylist(), some.column("v")
+        sent = vectors.sparkSession.sparkContext.broadcast((names, _matrix(side) if names else np.zeros((0, 1))))
+
+        def run(batches, sent=sent):
+            names, side = sent.value
+            best: list[list[tuple]] = [[] for _ in names]
+            for b in batches:
+                if not names or not b.num_rows:
+                    continue
+                keys, v = b.column(0).to_pylist(), _matrix(b.column(1))
+                some = np.linalg.norm(v, axis=1) > 0
+                score = np.round(v @ side.T, digits)
+                for j, have in enumerate(best):
+                    least = -have[-1][0] if len(have) == k else -np.inf
+                    near = np.flatnonzero(some & (score[:, j] >= least))
+                    if len(near) > k:
+                        cut = np.partition(score[near, j], -k)[-k]
+                        near = near[score[near, j] >= cut]
+                    best[j] = sorted([*have, *((-score[i, j], keys[i]) for i in near)])[:k]
+            rows = [(q, name, -s) for q, have in zip(names, best, strict=True) for s, name in have]
+            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, to_arrow_schema(schema), strict=True)], schema.names)
+
+        found.append(vectors.select(key, vec).mapInArrow(run, schema))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def cosines(vectors: DataFrame, queries: DataFrame, vec: str = "vec", key: str = "unit_id", digits: int = 6) -> DataFrame:
+    """(query_id, key, score) of every vector and query, for statistics of a query's whole distribution; queries as in cosine_top."""
+    unit = lambda v: F.sqrt(dot(v, v))
+    pairs = vectors.select(key, F.col(vec).alias("_v"), unit(vec).alias("_n")).crossJoin(queries.select("query_id", F.col(vec).alias("_q"), unit(vec).alias("_m")))
+    return pairs.select("query_id", key, F.round(dot("_v", "_q") / F.nullif(F.col("_n") * F.col("_m"), F.lit(0.0)), digits).alias("score"))
 
 
 def missing_vectors(items: DataFrame, stored: DataFrame, text: str = "text") -> DataFrame:
@@ -160,13 +213,18 @@ def refresh_vectors(items: DataFrame, stored: DataFrame, embed: Callable[[pd.Ser
     return kept.unionByName(fresh)
 
 
-def stands_out(cosines: DataFrame, gap: float = 0.04) -> DataFrame:
-    """The top row of each query if it is more than gap above the middle one (place floor(n / 2) of the descending list)."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("unit_id"))
-    n = F.count(F.lit(1)).over(W.partitionBy("query_id"))
-    r = cosines.withColumn("r", F.row_number().over(w) - 1).withColumn("n", n)
-    mid = F.max(F.when(F.col("r") == F.floor(F.col("n") / 2), F.col("score"))).over(W.partitionBy("query_id"))
-    return r.withColumn("gap", F.col("score") - mid).filter((F.col("r") == 0) & (F.col("gap") > gap)).select("query_id", "unit_id", "score", "gap")
+def stands_out(scores: DataFrame, gap: float = 0.04) -> DataFrame:
+    """The top row of each query if it is more than gap above the middle one (place floor(n / 2) of the descending list).
+
+    Scores are counted by value first; nothing is sorted but distinct values.
+    """
+    best = scores.groupBy("query_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    top = scores.join(best.select("query_id", "score"), ["query_id", "score"], "left_semi").groupBy("query_id").agg(F.min("unit_id").alias("unit_id"))
+    values = scores.groupBy("query_id", "score").agg(F.count(F.lit(1)).alias("c"))
+    run = F.sum("c").over(W.partitionBy("query_id").orderBy(F.desc("score")))
+    mid = values.withColumn("run", run).join(best.select("query_id", "n"), "query_id").filter(F.col("run") > F.floor(F.col("n") / 2)).groupBy("query_id").agg(F.max("score").alias("mid"))
+    r = best.join(top, "query_id").join(mid, "query_id").withColumn("gap", F.col("score") - F.col("mid"))
+    return r.filter(F.col("gap") > gap).select("query_id", "unit_id", "score", "gap")
 
 
 # --- topics ----------------------------------------------------------------------------------
@@ -387,8 +445,8 @@ def agreeing(vectors: DataFrame, queries: DataFrame, floor: float, digits: int)
 # --- search in a conversation ------------------------------------------------------------------
 
 
-def search_turns(messages: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
-    """Turns with the words as typed, oldest first, then turns with most of the words by BM25; with snippets and the exact total."""
+def search_turns(messages: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Turns with the words as typed, oldest first, then turns with most of the words by BM25, the first ``limit`` if asked; with snippets and the exact total."""
     seen = tx.strip_own_block("text")
     seen = F.regexp_replace(seen, r"<!--[\s\S]*?-->|!\[[^\]]*\]\([^)]+\)|```(?:\w+)?", " ")
     seen = tx.squash(F.regexp_replace(tx.fold_width(seen), r"\*{1,3}|_{2,}", ""))
@@ -409,7 +467,8 @@ def search_turns(messages: DataFrame, queries: DataFrame, limit: int = 40) -> Da
     close = close.select("query_id", "chat_id", "turn", "message_id", "role", F.lit(False).alias("exact"), "score", tx.snippet(F.col("text"), F.coalesce(F.array_min("places"), F.lit(0)), F.lit(0)).alias("s"))
     w = W.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), F.asc("turn"))
     total = F.count_if("exact").over(W.partitionBy("query_id"))
-    out = exact.unionByName(close).withColumn("total", total).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    out = exact.unionByName(close).withColumn("total", total).withColumn("rank", F.row_number().over(w))
+    out = out if limit is None else out.filter(F.col("rank") <= limit)
     return out.select("query_id", "chat_id", "rank", "turn", "message_id", "role", "exact", "s.before", "s.match", "s.after", "total")
 
 

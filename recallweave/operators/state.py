@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,6 +88,12 @@ def storage_usage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chat_id").agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"), F.max("at").alias("last_active"))
 
 
+def nth_last_reply(messages: DataFrame, n: int = 4) -> DataFrame:
+    """(chat_id, id, turn): the n-th reply from the end of each chat; nothing for chats with fewer."""
+    order = F.row_number().over(W.partitionBy("chat_id").orderBy(F.desc("turn")))
+    return messages.filter("role = 'assistant'").withColumn("_r", order).filter(F.col("_r") == n).select("chat_id", "id", "turn")
+
+
 def collect_garbage(rows: DataFrame) -> DataFrame:
     """Key-value rows without empty values."""
     return rows.filter(F.col("value").isNotNull() & ~F.trim("value").isin("", "null"))
@@ -109,7 +117,9 @@ def shared_prefixes(messages: DataFrame, least: int = 4) -> DataFrame:
     w = W.partitionBy("chat_id").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
     m = messages.select("chat_id", "turn", F.sha2(text, 256).alias("h"), (F.length(text) == 0).alias("blank"))
     m = m.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(w)).filter("blanks = 0")
-    p = m.withColumn("prefix", F.sha2(F.array_join(F.collect_list("h").over(w), ""), 256)).select("chat_id", "turn", "prefix").filter(F.col("turn") >= least)
+    # A beginning is the combination of its messages' hashes, each with its turn: two running 64-bit words, whatever the length.
+    rolling = F.struct(*(F.bit_xor(F.xxhash64(F.lit(k), "turn", "h")).over(w).alias(f"x{k}") for k in (1, 2)))
+    p = m.withColumn("prefix", rolling).select("chat_id", "turn", "prefix").filter(F.col("turn") >= least)
     g = p.groupBy("turn", "prefix").agg(F.min("chat_id").alias("lo"), F.max("chat_id").alias("hi")).filter("lo <> hi")
     j = p.join(g, ["turn", "prefix"]).withColumn("origin", F.when(F.col("chat_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
     return j.groupBy("chat_id").agg(F.max_by("origin", "turn").alias("origin"), F.max("turn").alias("shared"))
@@ -153,29 +163,33 @@ def merge_scores(fresh: DataFrame, previous: DataFrame, listed: DataFrame) -> Da
 def model_for_text(texts: DataFrame, models: DataFrame, text: str = "text") -> DataFrame:
     """texts with ``model``: the id whose longest alias stands in the text and is not followed by a digit; the least id on ties."""
     a = models.select(F.col("id").alias("model"), F.explode(tx.aliases_for("id")).alias("alias")).distinct()
-    t = texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", tx.norm_name(text))
-    hit = t.select("_row", "_t").join(a, F.contains("_t", "alias")).filter(F.regexp_like("_t", F.concat(tx.escape(F.col("alias")), F.lit("(?![0-9])"))))
-    n = F.length("alias")
-    best = hit.withColumn("r", F.row_number().over(W.partitionBy("_row").orderBy(F.desc(n), "model"))).filter("r = 1").select("_row", "model")
-    return t.join(best, "_row", "left").drop("_row", "_t")
+    names = F.concat(tx.escape(F.col("alias")), F.lit("(?![0-9])"))
+    return _named_in(texts, text, a, lambda t: F.contains(t, "alias") & F.regexp_like(t, names), F.struct((-F.length("alias")).alias("n"), "model"))
+
+
+def _named_in(texts: DataFrame, text: str, names: DataFrame, hit: Callable[[str], Column], first: Column) -> DataFrame:
+    """texts with the ``model`` of the name that a text holds, the least by ``first``.  What a text names depends on it alone, so
+    names are looked for once in each distinct text."""
+    t = texts.withColumn("_t", tx.norm_name(text))
+    found = t.select(F.col("_t").alias("_k")).distinct().join(names, hit("_k")).groupBy("_k").agg(F.min_by("model", first).alias("model"))
+    return t.join(found, F.col("_t") == F.col("_k"), "left").drop("_t", "_k")
 
 
 def model_for_name(texts: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """texts with ``model`` of the longest remembered name (names: name, id) that they hold."""
-    t = texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", tx.norm_name(text))
     k = names.select(tx.norm_name("name").alias("k"), F.col("id").alias("model")).filter(F.length("k") > 0)
-    best = t.select("_row", "_t").join(k, F.contains("_t", "k")).groupBy("_row").agg(F.max_by("model", F.struct(F.length("k").alias("n"), "k")).alias("model"))
-    return t.join(best, "_row", "left").drop("_row", "_t")
+    return _named_in(texts, text, k, lambda t: F.contains(t, "k"), F.struct((-F.length("k")).alias("n"), "k", "model"))
 
 
 def expand_memo(drafts: DataFrame, memos: DataFrame) -> DataFrame:
     """drafts with a trigger at their end replaced by the memo's text; a room's own memo beats the general one (chat_id null)."""
     m = memos.select(F.col("chat_id").alias("_c"), tx.trim(F.col("trigger")).alias("_k"), F.col("text").alias("_m")).filter(F.length("_k") > 0)
-    d = drafts.withColumn("_row", F.monotonically_increasing_id())
-    hit = d.select("_row", "chat_id", "draft").join(m, F.endswith("draft", "_k") & (F.col("_c").isNull() | (F.col("_c") == F.col("chat_id"))))
-    best = hit.withColumn("r", F.row_number().over(W.partitionBy("_row").orderBy(F.desc(F.length("_k")), F.col("_c").isNull(), "_k"))).filter("r = 1")
-    fresh = best.select("_row", F.concat(F.substr("draft", F.lit(1), F.length("draft") - F.length("_k")), "_m").alias("_d"))
-    return d.join(fresh, "_row", "left").withColumn("draft", F.coalesce("_d", "draft")).drop("_row", "_d")
+    asked = drafts.select(F.col("chat_id").alias("_chat"), F.col("draft").alias("_draft")).distinct()
+    hit = asked.join(m, F.endswith("_draft", "_k") & (F.col("_c").isNull() | (F.col("_c") == F.col("_chat"))))
+    best = hit.groupBy("_chat", "_draft").agg(F.min_by(F.struct("_k", "_m"), F.struct((-F.length("_k")).alias("n"), F.col("_c").isNull().alias("g"), "_k", "_m")).alias("b"))
+    fresh = best.select("_chat", "_draft", F.concat(F.substr("_draft", F.lit(1), F.length("_draft") - F.length("b._k")), "b._m").alias("_d"))
+    same = F.col("chat_id").eqNullSafe(F.col("_chat")) & (F.col("draft") == F.col("_draft"))
+    return drafts.join(fresh, same, "left").withColumn("draft", F.coalesce("_d", "draft")).select(drafts.columns)
 
 
 # --- backups --------------------------------------------------------------------------------------------

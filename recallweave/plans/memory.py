@@ -42,11 +42,6 @@ def q_relation_vector(spark, d):
     return lore.relation_vectors(n, lore.text_relations(n)).select("lore_id", "key", F.round("w", 6).alias("w"))
 
 
-@query()
-def q_select_lore(spark, d):
-    return lore.select_lore(notes(spark), drafts(spark)).select("query_id", "place", "lore_id", "line", "why")
-
-
 def story_facts(spark, d):
     """Events as facts: a user's event types are kinds of things said about them."""
     e = src.read_table(spark, d, "events")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import pack, rank, segment
-from ..operators.index import build_index
+from ..operators.index import Index, build_index
 from ..sources import messages as src
 from .catalogue import MESSAGES, bm25, clean, index_sql, query, terms
 
@@ -22,6 +22,11 @@ def document_units(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.lit("corpus").alias("chat_id"), F.col("doc_id").cast("string").alias("unit_id"), F.col("doc_id").cast("string").alias("message_id"), F.lit("lore").alias("role"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def corpus_index(spark: SparkSession, d: str) -> Index:
+    """The documents as one corpus, indexed once into tables."""
+    return build_index(document_units(spark, d)).stored("documents")
+
+
 DOCS = "doc AS (SELECT 'corpus' AS chat_id, doc_id::VARCHAR AS unit_id, doc_id AS ord, coalesce(text, '') AS text FROM documents)"
 
 
@@ -37,12 +42,12 @@ def q_term_frequency(spark, d):
 
 @query(f"WITH {DOCS}, {index_sql('doc')} SELECT term, df::BIGINT AS df FROM dfs")
 def q_document_frequency(spark, d):
-    return build_index(document_units(spark, d)).df.select("term", "df")
+    return corpus_index(spark, d).df.select("term", "df")
 
 
 @query(f"WITH {DOCS}, {index_sql('doc')} SELECT n::BIGINT AS n, round(avg_length, 6)::DOUBLE AS avg_length FROM stat")
 def q_corpus_stats(spark, d):
-    return build_index(document_units(spark, d)).stats.select("n", F.round("avg_length", 6).alias("avg_length"))
+    return corpus_index(spark, d).stats.select("n", F.round("avg_length", 6).alias("avg_length"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, {clean("coalesce(text, '')")} AS t FROM documents), u AS (SELECT *, length(t) AS n FROM c WHERE length(t) >= 50),
@@ -56,17 +61,17 @@ def q_units_stride(spark, d):
     return segment.units(m).select("message_id", "pos", "text", "len")
 
 
-#: Probes: the first eight tokens of each test item.
-PROBES = f"probe AS (SELECT item_id::VARCHAR AS query_id, array_to_string(list_slice({terms('text')}, 1, 8), ' ') AS query FROM benchmark)"
+#: Probes: the test items, whole.
+PROBES = "probe AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark)"
 
 
 def probes(spark, d) -> DataFrame:
     b = src.read_table(spark, d, "benchmark")
-    return b.select(F.col("item_id").cast("string").alias("query_id"), F.lit("corpus").alias("chat_id"), F.array_join(F.slice(tx.terms("text"), 1, 8), " ").alias("query"))
+    return b.select(F.col("item_id").cast("string").alias("query_id"), F.lit("corpus").alias("chat_id"), F.col("text").alias("query"))
 
 
 def _sql_hits(units: str, bound: str = "") -> str:
-    return f"""qt AS (SELECT query_id, unnest(list_distinct({terms('query')})) AS term FROM probe),
+    return f"""qt AS (SELECT query_id, unnest(list_distinct(list_slice({terms('query')}, -120, -1))) AS term FROM probe),
 hit AS (SELECT query_id, unit_id, sum({bm25()}) AS score, count(*) AS n_matched FROM qt JOIN post USING (term) JOIN dfs USING (chat_id, term) JOIN stat USING (chat_id) JOIN lens USING (chat_id, unit_id) {bound} GROUP BY ALL)"""
 
 
@@ -74,7 +79,7 @@ hit AS (SELECT query_id, unit_id, sum({bm25()}) AS score, count(*) AS n_matched
 r AS (SELECT query_id, unit_id, round(score, 6) AS score, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, unit_id::BIGINT) AS rank FROM hit)
 SELECT query_id, unit_id, score::DOUBLE AS score, n_matched::BIGINT AS n_matched, rank::INT AS rank FROM r WHERE rank <= 10""")
 def q_bm25_topk(spark, d):
-    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d), words=False)
+    hits = rank.bm25(corpus_index(spark, d), probes(spark, d), words=False)
     hits = hits.select("query_id", "unit_id", "ord", F.round("score", 6).alias("score"), F.col("n_matched").cast("long").alias("n_matched"))
     return rank.top(hits, 10).select("query_id", "unit_id", "score", "n_matched", "rank")
 
@@ -97,7 +102,7 @@ m AS (SELECT query_id, unit_id, round(score, 6) AS score, (unit_id::BIGINT // 10
 SELECT query_id, message_id, unit_id, score::DOUBLE AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id, message_id ORDER BY score DESC, unit_id::BIGINT) = 1""")
 def q_group_by_message(spark, d):
     """Ten documents stand for one message."""
-    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
+    hits = rank.bm25(corpus_index(spark, d), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
     hits = hits.withColumn("message_id", F.floor(F.col("unit_id").cast("long") / 10).cast("string"))
     return rank.by_message(hits).select("query_id", "message_id", "unit_id", "score")
 
@@ -116,7 +121,7 @@ def q_search_exact(spark, d):
     """The first two words of each conversation, found as typed."""
     m = messages(spark, d)
     first = m.filter("turn = 1").select(F.col("chat_id").alias("query_id"), "chat_id", F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 2), " ").alias("query"))
-    found = rank.search_turns(m, first, limit=100).filter("exact")
+    found = rank.search_turns(m, first).filter("exact")
     return found.select("query_id", "turn", "before", "match", "after", "total")
 
 
@@ -130,7 +135,7 @@ def q_search_close(spark, d):
     """Three words: turns that hold most of them but not as typed."""
     m = messages(spark, d)
     first = m.filter("turn = 1").select(F.col("chat_id").alias("query_id"), "chat_id", F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 3), " ").alias("query"))
-    return rank.search_turns(m, first, limit=100).filter("not exact").select("query_id", "turn")
+    return rank.search_turns(m, first).filter("not exact").select("query_id", "turn")
 
 
 @query("""WITH v AS (SELECT vec_id::VARCHAR AS unit_id, embedding AS e FROM embeddings), q AS (SELECT unit_id AS query_id, e AS q FROM v WHERE unit_id::BIGINT % 20 = 0),
@@ -138,14 +143,13 @@ s AS (SELECT query_id, unit_id, round(list_inner_product(e::DOUBLE[], q::DOUBLE[
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s)
 SELECT query_id, unit_id, score::DOUBLE AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
 def q_cosine_topk(spark, d):
-    return _cosine(spark, d, 10).select("query_id", "unit_id", "score", "rank")
+    return rank.cosine_top(*_vectors(spark, d), 10).select("query_id", "unit_id", "score", "rank")
 
 
-def _cosine(spark, d, k):
+def _vectors(spark, d):
+    """(vectors, every twentieth of them as a query)."""
     v = src.read_table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("unit_id"), F.col("embedding").alias("vec"))
-    q = v.filter("cast(unit_id as long) % 20 = 0").withColumnRenamed("unit_id", "query_id")
-    scored = rank.cosine_top(v, q, 1 << 30).withColumn("score", F.round("score", 6))
-    return rank.top(scored.drop("rank"), k, [F.desc("score"), F.asc("unit_id")])
+    return v, v.filter("cast(unit_id as long) % 20 = 0").withColumnRenamed("unit_id", "query_id")
 
 
 _COS = """v AS (SELECT vec_id::VARCHAR AS unit_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT unit_id AS query_id, e AS q FROM v WHERE unit_id::BIGINT % 20 = 0),
@@ -156,7 +160,7 @@ s AS (SELECT query_id, unit_id, round(list_inner_product(e, q) / (sqrt(list_inne
 m AS (SELECT query_id, max(score) FILTER (r = 0) AS top, max(score) FILTER (r = n // 2) AS mid, max(unit_id) FILTER (r = 0) AS unit_id FROM o GROUP BY ALL)
 SELECT query_id, unit_id, round(top - mid, 6)::DOUBLE AS gap FROM m WHERE top - mid > 0.04""")
 def q_semantic_gate(spark, d):
-    return rank.stands_out(_cosine(spark, d, 1 << 30).select("query_id", "unit_id", "score")).select("query_id", "unit_id", F.round("gap", 6).alias("gap"))
+    return rank.stands_out(rank.cosines(*_vectors(spark, d))).select("query_id", "unit_id", F.round("gap", 6).alias("gap"))
 
 
 @query(f"""WITH {DOCS}, {index_sql('doc')}, {PROBES}, {_sql_hits('doc')},
@@ -166,11 +170,11 @@ s AS (SELECT query_id, unit_id, round(list_inner_product(e, q) / (sqrt(list_inne
 m AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS r FROM s QUALIFY r < 60)
 SELECT query_id, unit_id, round(sum(1.0 / (60 + r)), 9)::DOUBLE AS fused FROM (SELECT * FROM l UNION ALL SELECT * FROM m) GROUP BY ALL""")
 def q_rrf_fusion(spark, d):
-    lexical = rank.bm25(build_index(document_units(spark, d)), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
+    lexical = rank.bm25(corpus_index(spark, d), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
     e = src.read_table(spark, d, "embeddings")
     v = e.select(F.col("vec_id").cast("string").alias("unit_id"), F.col("embedding").alias("vec"))
     q = src.read_table(spark, d, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").cast("string").alias("query_id"), F.col("embedding").alias("vec"))
-    meaning = rank.cosine_top(v, q, 1 << 30).withColumn("score", F.round("score", 6))
+    meaning = rank.cosine_top(v, q, 60)
     return rank.fuse([rank.rank0(lexical, limit=60), rank.rank0(meaning, limit=60)]).select("query_id", "unit_id", F.round("fused", 9).alias("fused"))
 
 
@@ -214,15 +218,17 @@ def q_keyword_triggers(spark, d):
 
 
 def _fnv_oracle() -> str:
-    """FNV-1a in SQL: a recursive fold over the characters of ids (digits and a colon)."""
-    return f"""WITH RECURSIVE {MESSAGES}, h(id, i, v) AS (SELECT id, 0, 2166136261::HUGEINT FROM msg
- UNION ALL SELECT id, i + 1, (xor(v::UBIGINT, ascii(substr(id, i + 1, 1))::UBIGINT)::HUGEINT * 16777619) % 4294967296 FROM h WHERE i < length(id)),
-e AS (SELECT id, v::BIGINT AS v FROM h WHERE i = length(id)) SELECT id, v AS hash FROM e"""
+    """FNV-1a in SQL: a recursive fold over the characters of whole texts."""
+    return f"""WITH RECURSIVE {MESSAGES}, h(id, i, v, text) AS (SELECT id, 0, 2166136261::HUGEINT, text FROM msg
+ UNION ALL SELECT id, i + 1, (xor(v::UBIGINT, unicode(substr(text, i + 1, 1))::UBIGINT)::HUGEINT * 16777619) % 4294967296, text FROM h WHERE i < length(text))
+SELECT id, v::BIGINT AS hash, length(text)::INT AS size FROM h WHERE i = length(text)"""
 
 
 @query(_fnv_oracle())
 def q_fnv_hash(spark, d):
-    return messages(spark, d).select("id", F.conv(F.upper(tx.fnv1a(F.col("id"))), 36, 10).cast("long").alias("hash"))
+    """Keys of whole message texts, in their two parts."""
+    key = F.split(tx.text_key("text"), ":")
+    return messages(spark, d).select("id", F.conv(F.upper(key[0]), 36, 10).cast("long").alias("hash"), key[1].cast("int").alias("size"))
 
 
 @query(f"""WITH {DOCS}, {index_sql('doc')}, {PROBES},
@@ -232,7 +238,7 @@ qt AS (SELECT query_id, unnest({terms('query')}) AS term FROM probe), qc AS (SEL
 qw AS (SELECT query_id, term, (1 + ln(tf)) * (ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1) AS q FROM qc LEFT JOIN dfs USING (term), stat), qz AS (SELECT query_id, sqrt(sum(q * q)) AS qsize FROM qw GROUP BY ALL)
 SELECT query_id, unit_id, round(sum(w * q) / (any_value(size) * any_value(qsize)), 6)::DOUBLE AS score FROM qw JOIN w USING (term) JOIN z USING (unit_id) JOIN qz USING (query_id) GROUP BY ALL""")
 def q_tfidf_cosine(spark, d):
-    return rank.tfidf_cosine(build_index(document_units(spark, d)), probes(spark, d)).select("query_id", "unit_id", F.round("score", 6).alias("score"))
+    return rank.tfidf_cosine(corpus_index(spark, d), probes(spark, d)).select("query_id", "unit_id", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import facts as fx
-from ..operators import evaluate, graph, rank, state
-from ..operators.index import build_index
-from ..operators.memory import latest
+from ..operators import evaluate, graph, rank, segment, state
 from ..sources import messages as src
 from .catalogue import MESSAGES, bm25, index_sql, query, terms
-from .retrieval import DOCS, PROBES, document_units, messages, probes
+from .retrieval import DOCS, PROBES, corpus_index, document_units, messages, probes
 
 
 def events(spark, d):
@@ -43,13 +40,15 @@ def q_salient_words(spark, d):
     return c.withColumn("r", F.row_number().over(W.partitionBy("chat_id", "win").orderBy(F.desc("c"), "word"))).filter("r <= 8").drop("r")
 
 
-@query(f"""WITH {MESSAGES}, s AS (SELECT chat_id, turn, CASE WHEN turn % 3 = 1 THEN 'scene ' || turn END AS own FROM msg)
+@query(f"""WITH {MESSAGES}, s AS (SELECT chat_id, turn, CASE WHEN turn % 3 = 1 THEN (turn + 1) || '일 room ' || chr(96 + turn) END AS own FROM msg)
 SELECT chat_id, turn, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS scene FROM s""")
 def q_scene_carry_forward(spark, d):
-    """Every third message names a scene; it lasts until the next."""
-    s = messages(spark, d).withColumn("own", F.when(F.col("turn") % 3 == 1, F.concat(F.lit("scene "), F.col("turn").cast("string"))))
-    w = W.partitionBy("chat_id").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return s.select("chat_id", "turn", F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit("")).alias("scene"))
+    """Every third message opens with a status header that names day and place; its passages and those after it stand in that scene."""
+    n = F.col("turn").cast("string")
+    head = F.concat((F.col("turn") + 1).cast("string"), F.lit("일 | 13:05 | room "), F.char(96 + F.col("turn")), F.lit("\n"))
+    said = F.concat(F.lit("a line of the story that is long enough to be a passage, number "), n)
+    told = messages(spark, d).withColumn("text", F.when(F.col("turn") % 3 == 1, F.concat(head, said)).otherwise(said))
+    return segment.passages(told).select("chat_id", "turn", "scene")
 
 
 NODES = """node AS (SELECT 'c' || (user_id % 50) AS chat_id, event_type || '@' || strftime(ts, '%Y-%m-%d') AS id, event_type AS keyword, dense_rank() OVER (PARTITION BY user_id % 50 ORDER BY strftime(ts, '%Y-%m-%d'))::INT AS turn,
@@ -95,40 +94,11 @@ def q_asof_edges(spark, d):
     return e.crossJoin(F.broadcast(now)).groupBy("user_id", "event_type").agg(F.round(F.max(F.when(age <= 0, 1.0).otherwise(F.exp(-age / 50))), 6).alias("weight"))
 
 
-@query("""WITH o AS (SELECT doc_id, quality, toxic FROM labels), f AS (SELECT d.doc_id, d.source, o.quality, o.toxic FROM documents d LEFT JOIN o USING (doc_id))
-SELECT doc_id, CASE WHEN quality = 0 THEN 'low' ELSE source END AS keyword FROM f WHERE coalesce(toxic, 0) = 0 AND source NOT IN ('src3')""")
-def q_overrides_view(spark, d):
-    """Labels as overrides of documents: toxic ones are deleted, low ones get a keyword, one keyword is dropped."""
-    docs = src.read_table(spark, d, "documents").select("doc_id", F.col("source").alias("keyword"))
-    log = src.read_table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 0, "low").alias("set"), (F.col("toxic") == 1).alias("deleted"), F.lit(1).alias("seq"))
-    dropped = spark.createDataFrame([("src3",)], "k string")
-    f = docs.join(latest(log, ["doc_id"]), "doc_id", "left").filter(~F.coalesce("deleted", F.lit(False))).join(F.broadcast(dropped), F.col("keyword") == F.col("k"), "left_anti")
-    return f.select("doc_id", F.coalesce("set", "keyword").alias("keyword"))
-
-
-@query("""WITH v AS (SELECT user_id, count(*) FILTER (event_type = (SELECT min(event_type) FROM events)) AS person, count(*) FILTER (event_type <> (SELECT min(event_type) FROM events)) AS other FROM events GROUP BY ALL)
-SELECT user_id, person::BIGINT AS person, other::BIGINT AS other, CASE WHEN person > other THEN 'person' WHEN other > person THEN 'thing' ELSE 'doubtful' END AS standing FROM v""")
-def q_fact_votes(spark, d):
-    e = events(spark, d)
-    first = e.agg(F.min("event_type").alias("first"))
-    v = e.crossJoin(F.broadcast(first)).groupBy("user_id").agg(F.count_if(F.col("event_type") == F.col("first")).alias("person"), F.count_if(F.col("event_type") != F.col("first")).alias("other"))
-    return v.withColumn("standing", F.when(F.col("person") > F.col("other"), "person").when(F.col("other") > F.col("person"), "thing").otherwise("doubtful"))
-
-
 @query("SELECT user_id, count(DISTINCT strftime(ts, '%Y-%m-%d'))::BIGINT AS days FROM events GROUP BY user_id HAVING count(DISTINCT strftime(ts, '%Y-%m-%d')) >= 2")
 def q_listed_people(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("days")).filter("days >= 2")
 
 
-@query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events WHERE value > 0 GROUP BY ALL), n AS (SELECT e.user_id, max(e.event_id) AS newest, any_value(l.last) AS last FROM events e JOIN l ON l.user_id = e.user_id AND l.last = e.ts AND e.value > 0 GROUP BY ALL)
-SELECT e.event_id, n.newest FROM events e JOIN n USING (user_id) WHERE datediff('day', e.ts, n.last) >= 10 AND e.event_id <> n.newest""")
-def q_latest_bridge(spark, d):
-    """Old events and the newest lasting one of the same user, ten days or more later."""
-    e = events(spark, d)
-    n = e.filter("value > 0").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", F.col("m.ts").alias("last"), F.col("m.event_id").alias("newest"))
-    return e.join(n, "user_id").filter((F.datediff("last", "ts") >= 10) & (F.col("event_id") != F.col("newest"))).select("event_id", "newest")
-
-
 @query(f"WITH {MESSAGES} SELECT chat_id, count(*)::BIGINT AS turns, count(*) FILTER (role = 'assistant')::BIGINT AS replies, count(*) FILTER (role = 'assistant' AND turn <= 4)::BIGINT AS processed FROM msg GROUP BY ALL")
 def q_room_stats(spark, d):
     m = messages(spark, d)
@@ -142,29 +112,33 @@ def q_export_text(spark, d):
     return src.export_text(messages(spark, d), "md")
 
 
-@query("""WITH n AS (SELECT DISTINCT source AS name FROM documents), t AS (SELECT doc_id, regexp_replace(lower('mix ' || source || ' of ' || lang), '[^a-z0-9]', '', 'g') AS t FROM documents)
-SELECT doc_id, arg_max(name, length(name)) AS model FROM t JOIN n ON regexp_matches(t, name || '([^0-9]|$)') GROUP BY doc_id""")
+LICENSES = ("apache-license-version-2-0", "apache-license", "cc-by-nc-4-0", "cc-by-nc-4", "cc-by-sa-latest", "mit-license", "gnu-general-public-license")
+
+
+@query("""WITH n(alias, model) AS (VALUES ('apachelicenseversion20', 'apache-license-version-2-0'), ('licenseversion20', 'apache-license-version-2-0'), ('apachelicense', 'apache-license'), ('ccbync40', 'cc-by-nc-4-0'), ('bync40', 'cc-by-nc-4-0'), ('ccbync4', 'cc-by-nc-4'), ('bync4', 'cc-by-nc-4'),
+  ('ccbysalatest', 'cc-by-sa-latest'), ('bysalatest', 'cc-by-sa-latest'), ('ccbysa', 'cc-by-sa-latest'), ('bysa', 'cc-by-sa-latest'), ('mitlicense', 'mit-license'), ('gnugeneralpubliclicense', 'gnu-general-public-license'), ('generalpubliclicense', 'gnu-general-public-license')),
+t AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t FROM documents)
+SELECT doc_id, arg_max(model, length(alias)) AS model FROM t JOIN n ON regexp_matches(t, alias || '([^0-9]|$)') GROUP BY doc_id""")
 def q_name_longest_match(spark, d):
-    """Which source a text names: the longest name that is not followed by a digit."""
-    docs = src.read_table(spark, d, "documents")
-    t = docs.select("doc_id", F.concat_ws(" ", F.lit("mix"), "source", F.lit("of"), "lang").alias("text"))
-    return state.model_for_text(t, docs.select(F.col("source").alias("id")).distinct()).filter("model is not null").select("doc_id", "model")
+    """Which license a whole text names: the longest name that is not followed by a digit."""
+    docs = src.read_table(spark, d, "documents").select("doc_id", "text")
+    return state.model_for_text(docs, spark.createDataFrame([(x,) for x in LICENSES], "id string")).filter("model is not null").select("doc_id", "model")
 
 
-_RANKED = f"""{DOCS}, {index_sql('doc')}, {PROBES}, qt AS (SELECT query_id, unnest(list_distinct({terms('query')})) AS term FROM probe),
+_RANKED = f"""{DOCS}, {index_sql('doc')}, {PROBES}, qt AS (SELECT query_id, unnest(list_distinct(list_slice({terms('query')}, -120, -1))) AS term FROM probe),
 hit AS (SELECT query_id, unit_id, round(sum({bm25()}), 6) AS score FROM qt JOIN post USING (term) JOIN dfs USING (chat_id, term) JOIN stat USING (chat_id) JOIN lens USING (chat_id, unit_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id::BIGINT) AS rank FROM hit QUALIFY rank <= 10),
-gold AS (SELECT b.item_id::VARCHAR AS query_id, d.doc_id::VARCHAR AS unit_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)))"""
+gold AS (SELECT b.item_id::VARCHAR AS query_id, d.doc_id::VARCHAR AS unit_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
 def _ranked(spark, d):
-    hits = rank.bm25(build_index(document_units(spark, d)), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
+    hits = rank.bm25(corpus_index(spark, d), probes(spark, d), words=False).withColumn("score", F.round("score", 6))
     return rank.top(hits, 10)
 
 
 def _gold(spark, d):
-    """Documents that hold the first forty characters of a test item.  The items are the small side; each document is read once."""
-    b = src.read_table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.lit("corpus").alias("chat_id"), F.substring("text", 1, 40).alias("contains"))
+    """Documents that hold a whole test item."""
+    b = src.read_table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.lit("corpus").alias("chat_id"), F.col("text").alias("contains"))
     return evaluate.gold_from_evidence(document_units(spark, d), b)
 
 
@@ -186,40 +160,12 @@ def q_threshold_tuning(spark, d):
     return evaluate.choose_threshold(best, cases).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("""WITH w AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 2))) AS w FROM documents WHERE lang = 'en'),
-k AS (SELECT doc_id, source, w, list_slice(w, 1, 3) AS head FROM w WHERE len(w) >= 3)
-SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN o >= 0.75 THEN 'dup' WHEN o >= 0.45 THEN 'update' ELSE 'new' END AS action, round(o, 6)::DOUBLE AS overlap FROM (
-  SELECT a, b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS o FROM k a JOIN k b ON a.head = b.head AND a.doc_id < b.doc_id)""")
-def q_merge_decision(spark, d):
-    """How two documents whose first three distinct words (by alphabet) agree would be merged, by overlap of words."""
-    docs = src.read_table(spark, d, "documents").filter("lang = 'en'")
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 2)))
-    k = docs.select("doc_id", words.alias("w")).filter(F.size("w") >= 3).withColumn("head", F.array_join(F.slice("w", 1, 3), " "))
-    j = k.select("head", F.col("doc_id").alias("a"), F.col("w").alias("wa")).join(k.select("head", F.col("doc_id").alias("b"), F.col("w").alias("wb")), "head").filter("a < b")
-    j = j.select("a", "b", fx.overlap(F.col("wa"), F.col("wb")).alias("o"))
-    return j.select("a", "b", F.when(F.col("o") >= 0.75, "dup").when(F.col("o") >= 0.45, "update").otherwise("new").alias("action"), F.round("o", 6).alias("overlap"))
-
-
-@query(f"""WITH {MESSAGES}, h AS (SELECT chat_id, turn, string_agg(role, '') OVER (PARTITION BY chat_id ORDER BY turn) AS p FROM msg)
-SELECT a.chat_id, max(a.turn)::INT AS shared FROM h a JOIN h b ON a.turn = b.turn AND a.p = b.p AND a.chat_id <> b.chat_id WHERE a.turn >= 4 GROUP BY a.chat_id""")
-def q_branch_prefix(spark, d):
-    """Conversations that begin with the same roles stand for branches."""
-    return state.shared_prefixes(messages(spark, d).withColumn("text", F.col("role"))).select("chat_id", "shared")
-
-
 @query(f"""WITH {MESSAGES} SELECT chat_id, id, role FROM msg QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY turn DESC) <= 2""")
 def q_last_two(spark, d):
     m = messages(spark, d)
     return m.withColumn("r", F.row_number().over(W.partitionBy("chat_id").orderBy(F.desc("turn")))).filter("r <= 2").select("chat_id", "id", "role")
 
 
-@query(f"""WITH {MESSAGES} SELECT chat_id, id FROM msg QUALIFY role = 'assistant' AND row_number() OVER (PARTITION BY chat_id, role ORDER BY turn DESC) = 4""")
-def q_recent_cutoff(spark, d):
-    """The fourth-last reply of each conversation."""
-    m = messages(spark, d).filter("role = 'assistant'")
-    return m.withColumn("r", F.row_number().over(W.partitionBy("chat_id").orderBy(F.desc("turn")))).filter("r = 4").select("chat_id", "id")
-
-
 @query("SELECT event_type AS engine, quantile_disc(value, 0.5)::DOUBLE AS median FROM (SELECT event_type, coalesce(value, 0) AS value FROM events) GROUP BY ALL")
 def q_latency_median(spark, d):
     e = events(spark, d).select(F.col("event_type").alias("engine"), F.coalesce("value", F.lit(0.0)).alias("ms"))

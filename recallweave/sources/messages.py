@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,8 +31,8 @@ def coerce(rows: DataFrame) -> DataFrame:
     return rows.select(first("chat_id").alias("chat_id"), first("id", "_id").alias("id"), F.coalesce(first("role"), F.lit("assistant")).alias("role"), first("text", "content", "message").alias("text"), first("status").alias("status"), seq.alias("seq"))
 
 
-def ingest(rows: DataFrame, include_system: bool = False, most: int = 10_000) -> DataFrame:
-    """Messages in order with 1-based turns: roles kept, empty ones dropped, the first of each id, at most ``most`` a chat.
+def ingest(rows: DataFrame, include_system: bool = False, most: int | None = None) -> DataFrame:
+    """Messages in order with 1-based turns: roles kept, empty ones dropped, the first of each id; at most ``most`` a chat if asked.
 
     rows: chat_id, seq (place in the source, oldest first), id, role, text.
     """
@@ -38,7 +40,8 @@ def ingest(rows: DataFrame, include_system: bool = False, most: int = 10_000) ->
     kept = rows.filter(F.col("role").isin(*roles) & (F.length(tx.trim(F.coalesce("text", F.lit("")))) > 0) & F.col("id").isNotNull())
     first = kept.groupBy("chat_id", "id").agg(F.min_by(F.struct("role", "text", "seq"), "seq").alias("m")).select("chat_id", "id", "m.*")
     turn = F.row_number().over(W.partitionBy("chat_id").orderBy("seq", "id"))
-    return first.withColumn("turn", turn).filter(F.col("turn") <= most).select("chat_id", "turn", "id", "role", "text")
+    numbered = first.withColumn("turn", turn).select("chat_id", "turn", "id", "role", "text")
+    return numbered if most is None else numbered.filter(F.col("turn") <= most)
 
 
 def from_conversations(conversations: DataFrame, include_system: bool = False) -> DataFrame:
@@ -87,6 +90,46 @@ def snapshot(messages: DataFrame, path: str) -> None:
     messages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_id").parquet(path)
 
 
+def keep_snapshot(messages: DataFrame, path: str, version: int) -> None:
+    """A snapshot that says which format it has."""
+    snapshot(messages.withColumn("version", F.lit(version)), path)
+
+
+def saved_snapshots(spark: SparkSession, path: str, chats: DataFrame, version: int) -> DataFrame:
+    """The snapshots of chats (chat_id); none of a chat whose snapshot was written in another format, or is another chat's."""
+    kept = spark.read.parquet(path).withColumn("chat_id", F.col("chat_id").cast("string")).filter(F.col("version") == version)
+    return kept.join(chats.select("chat_id"), "chat_id", "left_semi").drop("version")
+
+
+def fetch_pages(spark: SparkSession, addresses: DataFrame, fetch: Callable[[str], tuple[int, str]], attempts: int = 4, pause: float = 0.6) -> DataFrame:
+    """addresses (address, ...) with status and body, read by an injected function (status, body).
+
+    A read that fails is tried again after pause, 2 pause, ... seconds, up to ``attempts`` times; statuses 400 to 404 and
+    410 to 419 are final.  A status of 0 stands for no answer at all.
+    """
+    import time
+
+    import pandas as pd
+
+    def one(address: str) -> tuple[int, str | None]:
+        status, body = 0, None
+        for k in range(attempts):
+            if k:
+                time.sleep(pause * k)
+            try:
+                status, body = fetch(address)
+            except OSError:
+                status, body = 0, None
+            if 200 <= status < 300 or 400 <= status <= 404 or 410 <= status <= 419:
+                break
+        return status, body if 200 <= status < 300 else None
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in values], columns=["status", "body"])
+
+    return addresses.withColumn("_r", F.pandas_udf(run, "status int, body string")("address")).select(*addresses.columns, "_r.status", "_r.body")
+
+
 def export_text(messages: DataFrame, form: str = "txt", labels: bool = True, strip_info: bool = True) -> DataFrame:
     """(chat_id, body): a chat as txt, md or json, in order."""
     body = F.regexp_replace(tx.strip_own_block("text"), r"```INFO[\s\S]*?```", "") if strip_info else F.col("text")

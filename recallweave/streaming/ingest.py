@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions import text as tx
+from ..operators import state
+from ..operators.lineage import cut
 
 LIVE_WINDOW = 6
 CHAR_BUDGET = 4500
@@ -122,12 +125,97 @@ def read_log(spark: SparkSession, path: str, epoch: int) -> DataFrame:
 
 
 def swap(staging: str, target: str, spark: SparkSession) -> None:
-    """Put a finished rebuild in the place of the old log; called only when the rebuild has succeeded."""
+    """Put a finished rebuild in the place of the old log; called only when the rebuild has succeeded.
+
+    The old log steps aside first and goes last, so one of the two is always whole; a swap that was interrupted is finished
+    by calling it again.
+    """
     p = spark._jvm.org.apache.hadoop.fs.Path
     fs = p(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(p(target)):
-        fs.delete(p(target), True)
-    fs.rename(p(staging), p(target))
+    aside = p(target.rstrip("/") + ".old")
+    if fs.exists(p(staging)):
+        if fs.exists(p(target)):
+            if fs.exists(aside):
+                fs.delete(aside, True)
+            fs.rename(p(target), aside)
+        if not fs.rename(p(staging), p(target)):
+            raise OSError(f"cannot move {staging} to {target}")
+    if fs.exists(p(target)) and fs.exists(aside):
+        fs.delete(aside, True)
+
+
+def recover(facts: DataFrame, messages: DataFrame, read_to: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts that still hold, messages to read again) once history was rewritten: facts whose source is gone go, and reading
+    starts after the last message read, or after the last source that survives."""
+    kept = state.surviving_facts(facts, messages)
+    at = state.resume_point(kept, messages, read_to).withColumnRenamed("turn", "_from")
+    again = messages.join(at, "chat_id", "left").filter(F.col("turn") > F.coalesce("_from", F.lit(0))).drop("_from")
+    return kept, again
+
+
+def recovering_sink(log: str, read_to: str, parse):
+    """A foreachBatch function over whole chats (chat_id, turn, id, role, text): each micro-batch recovers its chats' facts and
+    reads on from where they still hold.  parse(messages) gives facts; the logs are Parquet tables, replaced chat by chat."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        fs = spark._jvm.org.apache.hadoop.fs.Path(log).getFileSystem(spark._jsc.hadoopConfiguration())
+        has = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{log}/_SUCCESS"))
+        chats = batch.select("chat_id").distinct()
+        if has:
+            old = spark.read.parquet(log).withColumn("chat_id", F.col("chat_id").cast("string")).join(chats, "chat_id", "left_semi")
+            seen = spark.read.parquet(read_to).withColumn("chat_id", F.col("chat_id").cast("string")).join(chats, "chat_id", "left_semi")
+            kept, again = recover(old, batch, seen)
+            made = kept.unionByName(parse(again).select(kept.columns))
+        else:
+            made = parse(batch)
+        made = cut(made)
+        last = cut(batch.groupBy("chat_id").agg(F.max_by("id", F.when(F.col("role") == "assistant", F.col("turn"))).alias("lastId")))
+        for rows, path in ((made, log), (last, read_to)):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_id").parquet(path)
+        batch.unpersist()
+
+    return write
+
+
+def seeded_batches(messages: DataFrame, seeds: DataFrame, budget: int = CHAR_BUDGET, deadline: int = LIVE_WINDOW) -> DataFrame:
+    """extraction_batches() of branches that begin where their origin was read to: seeds (chat_id, shared) skip the shared turns."""
+    own = messages.join(seeds.select("chat_id", "shared"), "chat_id", "left").filter(F.col("turn") > F.coalesce("shared", F.lit(0))).drop("shared")
+    return extraction_batches(own, budget, deadline)
+
+
+class Progress(StreamingQueryListener):
+    """What streams have done: rows read and the last batch of each query by id; ``stop`` asks a query to end after its batch."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows[str(p.id)] = self.rows.get(str(p.id), 0) + p.numInputRows
+        self.batches[str(p.id)] = p.batchId
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+
+def fenced(write, still: Callable[[], bool]):
+    """A foreachBatch function that does nothing once ``still()`` is false: a stop that takes effect between batches."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        if still():
+            write(batch, number)
+
+    return run
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
