@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,10 +109,6 @@ def fetch_pages(spark: SparkSession, addresses: DataFrame, fetch: Callable[[str]
     A read that fails is tried again after pause, 2 pause, ... seconds, up to ``attempts`` times; statuses 400 to 404 and
     410 to 419 are final.  A status of 0 stands for no answer at all.
     """
-    import time
-
-    import pandas as pd
-
     def one(address: str) -> tuple[int, str | None]:
         status, body = 0, None
         for k in range(attempts):
