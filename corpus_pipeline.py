@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's documents.  All but the last return the columns of
 documents; each works on everything its predecessor kept.
+
+Defined cases: documents with a null or blank text go at the first stage; a null doc_id is kept
+apart from all others (it comes last among equal lines and is never a near copy); of equal lines
+and of near copies the one with the least doc_id stays; rows that repeat a doc_id stand at the
+same place; a null source is a source of its own; columns of any other name pass through, but for
+``size``, ``shard``, ``copy`` and ``place``, which the last stage sets; empty tables give an empty mix.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones (NEAR_PERCENT of their NEAR_WORDS-word shingles shared) stays: the least doc_id."""
     groups = ngram_join.jaccard_join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.alias("d").join(groups.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: a row for each copy taken, with its shard, copy and place in the shard's order."""
     mixed = mixing.shuffled(mixing.mix_sources(docs))
-    return mixed.select(*docs.columns, F.col("mix.size").alias("size"), F.col("mix.shard").alias("shard"), F.col("mix.copy").alias("copy"), F.col("mix.place").alias("place"))
+    own = [c for c in docs.columns if c not in ("mix", "size", "shard", "copy", "place")]
+    return mixed.select(*own, F.col("mix.size").alias("size"), F.col("mix.shard").alias("shard"), F.col("mix.copy").alias("copy"), F.col("mix.place").alias("place"))
 
 
 STAGES = [
