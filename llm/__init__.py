@@ -3,11 +3,12 @@
 import ctypes
 
 import pyarrow as _pa
+from pyspark import TaskContext as _TaskContext
 
 
 def _give_memory_back() -> None:
-    """Have freed arrays above 1 MB go back to the system at once: Python workers live on between tasks, and what their
-    allocators kept would count against an executor's memory."""
+    """In a Python worker, have freed arrays above 1 MB go back to the system at once: workers live on between tasks, and what
+    their allocators kept would count against an executor's memory.  The driver is left as it is."""
     _pa.set_memory_pool(_pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
@@ -17,4 +18,5 @@ def _give_memory_back() -> None:
         pass
 
 
-_give_memory_back()
+if _TaskContext.get() is not None:
+    _give_memory_back()

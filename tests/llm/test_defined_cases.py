@@ -247,6 +247,22 @@ def test_text_of_small_pages_is_that_of_the_best_labelling(seed):
         assert html_extract.main_text(page, m) == "\n\n".join(b.text for b, s in zip(bs, side, strict=True) if s)
 
 
+def test_written_tables_can_be_cleared(spark, docs):
+    from llm import common, mixing
+
+    common.clear_written(spark)
+    got = mixing.query(docs(*[(i, "a b c", "s") for i in range(30)])).collect()
+    assert len(got) == 30
+    n = common.clear_written(spark)
+    assert n >= 2 and common.clear_written(spark) == 0
+
+
+def test_the_driver_s_allocators_are_left_alone():
+    import pyarrow as pa
+
+    assert pa.default_memory_pool().backend_name != "system"
+
+
 def test_registered_queries_have_sql_or_a_twin():
     from llm import queries
 
