@@ -8,7 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import text as tx
 from ..operators import state
@@ -106,6 +106,26 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_every(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "10 minutes") -> StreamingQuery:
+    """A job that hands what is new to ``write`` once an interval.  One query of a name runs at a time: where it runs already, it is returned."""
+    running = [q for q in stream.sparkSession.streams.active if q.name == name]
+    if running:
+        return running[0]
+    return stream.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
+def windows_of_stream(messages: DataFrame, size: int = 4) -> DataFrame:
+    """(chat_id, win, first, last) of every window of ``size`` messages that a stream has filled; state a chat: how many messages it had."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        now = seen + sum(len(pdf) for pdf in frames)
+        state.update((now,))
+        yield pd.DataFrame([(key[0], w, w * size + 1, w * size + size) for w in range(seen // size, now // size)], columns=["chat_id", "win", "first", "last"])
+
+    return messages.select("chat_id", "id").groupBy("chat_id").applyInPandasWithState(run, "chat_id string, win int, first int, last int", "seen int", "append", "NoTimeout")
+
+
 def memory_sink(path: str, parse, epoch: int = 0):
     """A foreachBatch function that appends the facts of a micro-batch under its epoch and batch number.
 

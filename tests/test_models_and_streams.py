@@ -158,3 +158,33 @@ def test_running_sums_over_stretches(spark):
             assert got[k, v] == total
     one = evaluate.running(spark.createDataFrame([(2.0, 7)], "v double, n int"), "v", "n").collect()
     assert [(x.v, x.run) for x in one] == [(2.0, 7)]
+
+
+def test_one_periodic_job_of_a_name(spark, tmp_path):
+    seen = []
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    q = ingest.run_every(stream, "collector", lambda b, n: seen.append(b.count()), str(tmp_path / "c"), "1 second")
+    try:
+        assert ingest.run_every(stream, "collector", lambda b, n: seen.append(-1), str(tmp_path / "c2")).id == q.id
+        q.processAllAvailable()
+        spark.range(4, 9).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(80):
+            q.processAllAvailable()
+            if sum(seen) == 9:
+                break
+            time.sleep(0.1)
+        assert sum(seen) == 9 and -1 not in seen
+    finally:
+        q.stop()
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    m = spark.createDataFrame([(c, f"{c}{n}") for c, k in (("a", 9), ("b", 3)) for n in range(k)], "chat_id string, id string")
+    m.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(m.schema).parquet(str(tmp_path / "in"))
+    ingest.run_available(ingest.windows_of_stream(stream), str(tmp_path / "out"), str(tmp_path / "c"))
+    spark.createDataFrame([("b", "b3"), ("b", "b4")], m.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.run_available(ingest.windows_of_stream(stream), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 0, 1, 4), ("a", 1, 5, 8), ("b", 0, 1, 4)]
