@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts as fx
 from ..functions import text as tx
-from ..operators import cards, context, graph, lore, memory, passages, rank, segment
+from ..operators import cards, context, earlier, graph, lore, memory, passages, rank, segment, state
 from ..operators import index as ix
 from .catalogue import query
 
@@ -301,3 +301,60 @@ def q_evolution_nodes(spark, d):
     told = [("c", i + 1, f"m{i}", "assistant", f"이슬: 「{i}일째 훈련장에서 대련했다.」\n훈련장에서 이슬은 고개를 숙이고 약속을 지켰다.") for i in range(24)]
     nodes, _ = graph.evolution_graph(spark.createDataFrame(told, "chat_id string, turn int, id string, role string, text string"))
     return nodes.filter("keyword = '훈련장'").select("turn", "id")
+
+
+@query(rows(("nano:p3", 1), ("nano:p2", 2), names="id, place"))
+def q_pinned_cards(spark, d):
+    """Pinned facts, newest first as far as 700 characters go, shown by turn."""
+    f = facts(spark, ("p1", "가", "가" * 400, "개념", "", [], 1), ("p2", "나", "나" * 400, "개념", "", [], 5), ("p3", "다", "다" * 100, "개념", "", [], 3)).withColumn("pinned", F.lit(True))
+    none = spark.createDataFrame([], "chat_id string, messageId string, turn int, text string, ins long")
+    k = spark.createDataFrame([], "chat_id string, keyword string")
+    return memory.pinned_cards(f, none, k, memory.fold_memory(f)).select("id", "place")
+
+
+@query(rows(("n1", "o1"), ("n2", "n2"), names="first, id"))
+def q_reconciled_ids(spark, d):
+    """A fact that is told again in other words keeps its id; another one does not."""
+    old = facts(spark, ("o1", "이슬", "이슬은 종탑에서 등불을 발견했다.", "인물", "경험", [], 4)).withColumn("sourceId", F.lit("m"))
+    new = facts(spark, ("n1", "이슬", "이슬은 종탑에서 오래된 등불을 발견했다.", "인물", "경험", [], 4), ("n2", "이슬", "바다로 떠났다는 소식이 왔다.", "인물", "경험", [], 4)).withColumn("sourceId", F.lit("m"))
+    got = memory.reconcile_ids(old, new).select("fact", "id")
+    return new.select(F.col("id").alias("first"), "fact").join(got, "fact").select("first", "id")
+
+
+@query(rows(("q1", "은열쇠", 1.0), ("q1", "로완", 0.5), names="query_id, topic, weight"))
+def q_topics(spark, d):
+    """Remembered keywords that a draft names, and at half weight those of the last messages."""
+    f = facts(spark, ("f1", "은열쇠", "로완은 은열쇠를 숨겼다.", "기술", "상태", [], 1), ("f2", "로완", "로완은 떠났다.", "인물", "상태", [], 2))
+    q = spark.createDataFrame([("q1", "c", "은열쇠는?", "로완이 말했다"), ("q2", "c", "그거 왜 했어?", "")], "query_id string, chat_id string, draft string, last_two string")
+    return cards.topics(f, q).select("query_id", "topic", "weight")
+
+
+@query(rows(("q2",), names="query_id"))
+def q_needs_intent(spark, d):
+    """Drafts that point back at something without naming it."""
+    f = facts(spark, ("f1", "은열쇠", "로완은 은열쇠를 숨겼다.", "기술", "상태", [], 1))
+    q = spark.createDataFrame([("q1", "c", "그거 은열쇠 맞지?"), ("q2", "c", "그거 왜 했어?"), ("q3", "c", "안녕")], "query_id string, chat_id string, draft string")
+    return cards.needs_intent(q, f).select("query_id")
+
+
+@query(rows(("l2",), ("l3",), names="lore_id"))
+def q_match_notes(spark, d):
+    """The earlier rule for notes: a keyword in the text."""
+    n = spark.createDataFrame([("c", i, k, t, [t], f"{t}에 관한 글이다.", None, False, True, "both") for i, (k, t) in enumerate([("l1", "월광검"), ("l2", "아린"), ("l3", "은열쇠"), ("l4", "북쪽 숲")])], NOTE)
+    return earlier.match_lore(n, spark.createDataFrame([("q", "c", "아린과 은열쇠")], "query_id string, chat_id string, query string")).select("lore_id")
+
+
+@query(rows(("q", "a"), names="query_id, unit_id"))
+def q_earlier_choice(spark, d):
+    """The strict gate: a draft that recalls something, names a rare known name and two more content words."""
+    told = [("c", "a", 99, "💬 서린 | 은열쇠를 지하서고에 숨겼다 맹세했다")] + [("c", f"u{i}", i, f"assistant 글 {i} 그냥 평범한 이야기였다") for i in range(30)]
+    u = spark.createDataFrame(told, "chat_id string, unit_id string, ord long, text string").withColumn("message_id", F.col("unit_id")).withColumn("role", F.lit("assistant"))
+    q = spark.createDataFrame([("q", "c", "서린 은열쇠를 지하서고에 숨겼다 기억해?"), ("r", "c", "서린 은열쇠를 지하서고에 숨겼다")], "query_id string, chat_id string, draft string")
+    return earlier.choose(ix.build_index(u, ix.earlier_terms), q).select("query_id", "unit_id")
+
+
+@query(rows(("이슬",), names="keyword"))
+def q_deck(spark, d):
+    """Cards whose keyword or notes hold a word."""
+    view = state.memory_cards_view(memory.fold_memory(facts(spark, *FOLD)))
+    return state.deck(view, "인물", "등불을").select("keyword")

@@ -6,11 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cards, context, evaluate, memory, rank, segment, state
+from .. import vocab
+from ..operators import cards, context, earlier, evaluate, graph, lore, memory, rank, segment, state
+from ..operators.index import build_index, earlier_terms
 from ..operators.lineage import shared_folder
 from ..sources import messages as src
-from .catalogue import MESSAGES, query
+from .catalogue import MESSAGES, bm25, query
 from .retrieval import messages
+from .stats import NODES, nodes
 
 # --- sources and sinks ----------------------------------------------------------------------------
 
@@ -355,3 +358,78 @@ def q_merge_decision(spark, d):
     m = messages(spark, d).select(F.concat_ws("/", "chat_id", "role").alias("card"), "id", "turn", kind.alias("kind"), memory.fx.fact_words("text").alias("words"))
     earlier = m.select("card", F.col("id").alias("target"), F.col("turn").alias("place"), F.col("kind").alias("target_kind"), F.col("words").alias("target_words"))
     return memory.nearest_note(m.join(earlier, "card").filter("place < turn"), ["id"]).select("id", "target", "action", F.round("share", 6).alias("share"))
+
+
+@query("""WITH f AS (SELECT source AS keyword, (doc_id % 50)::INT AS turn FROM documents WHERE source IS NOT NULL) SELECT keyword, max(turn)::INT AS turn FROM f GROUP BY keyword ORDER BY max(turn) DESC, keyword LIMIT 80""")
+def q_intent_keywords(spark, d):
+    """The keywords with the newest facts, for a model to choose from."""
+    return cards.intent_keywords(table_facts(spark, d)).select("keyword", "turn")
+
+
+# --- the earlier rules, and more of rankers and graphs -------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(vocab.EARLIER_STOP))
+_EARLIER = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))"
+
+
+@query(f"""WITH {MESSAGES}, t AS (SELECT chat_id, id, turn, role, {_EARLIER} AS w FROM msg), each AS (SELECT chat_id, id, unnest(w) AS term FROM t), post AS (SELECT chat_id, id, term, count(*) AS tf FROM each GROUP BY ALL), dfs AS (SELECT chat_id, term, count(*) AS df FROM post GROUP BY ALL),
+stat AS (SELECT chat_id, count(*) AS n, greatest(1.0, avg(len(w))) AS avg_length FROM t GROUP BY ALL), q AS (SELECT chat_id, id AS query_id, unnest(list_distinct(list_slice(w, -120, -1))) AS term FROM t WHERE role = 'user'), lens AS (SELECT chat_id, id, len(w) AS length FROM t)
+SELECT query_id, post.id AS unit_id, round(sum({bm25()}), 6)::DOUBLE AS score, count(*) FILTER (df <= greatest(3, floor(n * 0.2)))::BIGINT AS rare FROM q JOIN post USING (chat_id, term) JOIN dfs USING (chat_id, term) JOIN stat USING (chat_id) JOIN lens ON lens.chat_id = post.chat_id AND lens.id = post.id GROUP BY ALL""")
+def q_earlier_bm25(spark, d):
+    """The earlier ranker: each user message against its chat, with the number of rare terms."""
+    m = messages(spark, d)
+    ix = build_index(m.select("chat_id", F.col("id").alias("unit_id"), F.col("turn").cast("long").alias("ord"), "text"), earlier_terms)
+    hits = rank.earlier_bm25(ix, m.filter("role = 'user'").select(F.col("id").alias("query_id"), "chat_id", F.col("text").alias("query")))
+    return hits.select("query_id", "unit_id", F.round("score", 6).alias("score"), F.col("n_strong").cast("long").alias("rare"))
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '!\\[[^\\]]*\\]\\(https?://[^)]*\\)', ' ', 'g'), 'https?://\\S+', ' ', 'g'), '\\n\\s*\\n')) AS source FROM documents),
+t AS (SELECT doc_id, trim(source, ' ' || chr(9) || chr(10) || chr(13)) AS source FROM p), c AS (SELECT doc_id, source, unnest(range(0, (length(source) - 1) // 720 + 1)) AS chunk FROM t WHERE length(source) > 0)
+SELECT doc_id::VARCHAR AS message_id, (chunk * 720)::INT AS pos, substr(source, chunk::INT * 720 + 1, 800) AS text FROM c""")
+def q_earlier_units(spark, d):
+    docs = src.read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chat_id"), F.col("doc_id").cast("string").alias("id"), F.lit("user").alias("role"), F.lit(1).alias("turn"), "text")
+    return segment.earlier_units(docs).select("message_id", "pos", "text")
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?。…])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS sentence FROM documents) SELECT doc_id, trim(sentence, ' ' || chr(9) || chr(10) || chr(13)) AS sentence FROM s WHERE length(trim(sentence, ' ' || chr(9) || chr(10) || chr(13))) > 0""")
+def q_sentences(spark, d):
+    return segment.sentences(src.read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "sentence")
+
+
+@query(f"WITH {MESSAGES}, u AS (SELECT chat_id, max(turn) AS t FROM msg WHERE role = 'user' GROUP BY ALL) SELECT msg.chat_id, arg_max(id, turn) AS id FROM msg JOIN u USING (chat_id) WHERE role = 'assistant' AND turn < t AND t < (SELECT max(turn) FROM msg x WHERE x.chat_id = msg.chat_id) GROUP BY ALL")
+def q_carrier(spark, d):
+    """The reply before the newest message of the user, in chats whose last message is a finished reply."""
+    return earlier.carrier(messages(spark, d).withColumn("status", F.lit("end"))).filter("id is not null").select("chat_id", "id")
+
+
+@query(f"WITH {MESSAGES} SELECT id, rtrim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, true AS again FROM msg")
+def q_trailing_block(spark, d):
+    """A block behind a text comes off again, and composing twice is composing once."""
+    once = messages(spark, d).withColumn("once", earlier.compose_tail("text", F.array(F.lit("a"), F.lit("b"))))
+    return once.select("id", F.rtrim(earlier.strip_tail("once")).alias("text"), (earlier.compose_tail("once", F.array(F.lit("a"), F.lit("b"))) == F.col("once")).alias("again"))
+
+
+@query(f"WITH {NODES} SELECT chat_id, id FROM node WHERE keyword <> (SELECT min(event_type) FROM events)")
+def q_drop_keywords(spark, d):
+    n = nodes(spark, d)
+    gone = n.groupBy("chat_id").agg(F.lit(1)).crossJoin(n.agg(F.min("keyword").alias("keyword"))).select("chat_id", "keyword")
+    return graph.drop_keywords(n, graph.graph_edges(n), gone)[0].select("chat_id", "id")
+
+
+@query("""WITH l AS (SELECT o_custkey AS q, o_orderpriority AS u, sum(o_totalprice) AS s FROM orders GROUP BY ALL), m AS (SELECT o_custkey AS q, o_orderpriority AS u, count(*) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+a AS (SELECT q, u, s / max(s) OVER (PARTITION BY q) AS l FROM l), b AS (SELECT q, u, s / max(s) OVER (PARTITION BY q) AS s FROM m)
+SELECT q AS query_id, u AS unit_id, round(0.5 * coalesce(l, 0) + 0.5 * coalesce(s, 0), 6)::DOUBLE AS score FROM a FULL JOIN b USING (q, u)""")
+def q_blended(spark, d):
+    """Linear fusion: what customers spend by priority, and how often they order."""
+    o = src.read_table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("unit_id"), F.col("o_totalprice").cast("double").alias("price"), "o_orderkey")
+    lexical = o.groupBy("query_id", "unit_id").agg(F.sum("price").alias("score"))
+    semantic = o.filter("o_orderkey % 2 = 0").groupBy("query_id", "unit_id").agg(F.count(F.lit(1)).alias("score"))
+    return rank.blended(lexical, semantic).select("query_id", "unit_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT source AS chat_id, doc_id::VARCHAR AS id, lang AS title, text AS content FROM documents WHERE source IS NOT NULL AND length(text) > 0")
+def q_lore_round_trip(spark, d):
+    """Documents as notes, written as JSON by chat and read again."""
+    docs = src.read_table(spark, d, "documents").filter("source is not null and length(text) > 0")
+    notes = docs.select(F.col("source").alias("chat_id"), F.col("doc_id").alias("ins"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.array("lang").alias("keywords"), F.col("text").alias("content"), F.lit(True).alias("enabled"))
+    return lore.import_lore(lore.export_lore(notes)).select("chat_id", "id", "title", "content")
