@@ -30,6 +30,8 @@ change no link; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +43,7 @@ from .common import drop_written, written
 
 N = 3
 PERCENT = 90
-REGION_CLASSES = 500
+REGION_CLASSES = 1000
 PIVOTS = 16
 MOST_PIVOTS = 1024
 
@@ -223,7 +225,7 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
 
     while True:
         # Large star, then small star: all larger neighbours, and then all others, hang on the least one.
-        hot_above = max(10_000, 2 * seen[0] // HOT)
+        hot_above = max(1000, 2 * seen[0] // HOT)
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("n"), F.least("m", "u").alias("m"), "c")
         large = with_least(both, least, hot_above).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -362,7 +364,8 @@ def _blocks(members: DataFrame) -> DataFrame:
 def _divide(members: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(tables of edges, tables of regions that fit one task) of the regions of more than one block in members (with blocks).
 
-    Each round takes pivots outside each region's largest component, more of them every round, and divides the region into their cells.
+    Each round takes pivots outside each region's largest component and divides the region into their cells: a few pivots first,
+    which connect or divide most regions, then many.
     """
     edges: list[DataFrame] = []
     small: list[DataFrame] = []
@@ -372,12 +375,15 @@ def _divide(members: DataFrame, percent: int) -> tuple[list[DataFrame], list[Dat
         left = members.filter("blocks > 1")
         if left.isEmpty():
             return edges, small
+        if edges:  # what is connected so far: the parts of the rounds before, and the last round's links
+            known = [parts.select(F.col("node").alias("u"), F.col("component").alias("v"))] if parts is not None else []
+            parts = components(reduce(DataFrame.union, [*known, edges[-1]]), "u", "v", f"jaccard-parts{k}")
         held = left.withColumn("part", F.col("class")) if parts is None else left.join(parts, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
         size = held.groupBy("region", "part").count()
         most = size.groupBy("region").agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("top")).withColumn("outside", F.col("all") - F.col("top")).filter("outside > 0")
         open_ = written(held.join(most, "region").select("region", "class", "shingles", "blocks", (F.col("part") != F.col("most")).alias("out"), "outside"), f"jaccard-open{k}")
         # About so many pivots, by hash; always at least one, as the least hash of a region is taken too.
-        want = min(MOST_PIVOTS, PIVOTS * 4**k)
+        want = PIVOTS if k == 0 else MOST_PIVOTS
         drawn = F.pmod(F.xxhash64(F.lit(k), "class"), F.col("outside")) < want
         outsiders = open_.filter("out")
         first = outsiders.groupBy("region").agg(F.min_by("class", F.xxhash64(F.lit(k), "class")).alias("_first"))
@@ -392,10 +398,6 @@ def _divide(members: DataFrame, percent: int) -> tuple[list[DataFrame], list[Dat
         rest = rest.join(good, "region", "left").withColumn("cell", F.explode(F.when(F.col("_good"), F.col("cells")).otherwise(F.array(F.lit(None).cast("long")))))
         rest = rest.select(F.when(F.col("cell").isNull(), F.col("region")).otherwise(F.xxhash64("region", "cell")).alias("region"), "class", "shingles")
         members = written(_blocks(rest), f"jaccard-cells{k}")
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.union(e)
-        parts = components(every, "u", "v", f"jaccard-parts{k}")
         k += 1
 
 
@@ -418,10 +420,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     if len(edges) == 1:  # every region fits one task, which gives its components at once
         parts = edges[0].select(F.col("u").alias("node"), F.col("v").alias("component"))
     else:
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.union(e)
-        parts = components(every, "u", "v", "jaccard-all")
+        parts = components(reduce(DataFrame.union, edges), "u", "v", "jaccard-all")
     found = classes.select("class", "a", "b", "n_shingles", "copies").join(parts, F.col("class") == F.col("node"), "left").select("a", "b", "n_shingles", "copies", F.coalesce("component", "class").alias("component_id"))
     found = found.withColumnsRenamed({"a": "fa", "b": "fb", "n_shingles": "fn"})
     # A class with more than 1 / HOT of all documents is one of at most HOT: those are broadcast, and no key of the join is hot.

@@ -93,7 +93,7 @@ def brute_components(rows, percent=90, n=3):
     return sorted((i, len(s), find(i)) for (i, _), s in zip(rows, sets, strict=True))
 
 
-@pytest.mark.parametrize(("seed", "region"), [(1, 500), (2, 3)])
+@pytest.mark.parametrize(("seed", "region"), [(1, 1000), (2, 3)])
 def test_components(docs, small_chunks, monkeypatch, seed, region):
     monkeypatch.setattr(ngram_join, "REGION_CLASSES", region)
     rows = story(seed)
