@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity
+from . import decontaminate, fill_in_middle, filter_audit, html_extract, line_dedup, mixing, ngram_join, pieces, pii, quality, secrets, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def piece_model() -> str:
+    """The vocabulary that op13 encodes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": lambda s, d: line_dedup.query(table(s, d, "documents")),
@@ -24,8 +31,11 @@ def queries() -> dict[str, Query]:
         "op8_source_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
         "op9_secret_scan": lambda s, d: secrets.query(table(s, d, "documents")),
         "op10_substring_dedup": lambda s, d: substring_dedup.query(table(s, d, "documents")),
+        "op11_fill_in_middle": lambda s, d: fill_in_middle.query(table(s, d, "documents")),
+        "op12_filter_audit": lambda s, d: filter_audit.query(table(s, d, "documents"), table(s, d, "labels")),
+        "op13_sentencepiece": lambda s, d: pieces.query(table(s, d, "documents"), piece_model()),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
