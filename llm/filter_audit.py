@@ -41,7 +41,7 @@ from .common import small_batches, written
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 2
 SYMBOLS = b"#$%&*|"
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 10_000_000
 #: Words of shards that meet in one bucket, about.
 BUCKET_WORDS = 500_000
 
@@ -49,7 +49,9 @@ _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
-_LOCAL = "shard long, doc_id array<long>, part array<string>, digest array<binary>, others array<byte>, indptr array<int>, indices array<int>, counts array<int>, words array<string>"
+#: Numbers of a shard's rows travel as bytes: places of rows, gaps between the word numbers of a row, counts.
+_LOCAL = "shard long, doc_id array<long>, part array<string>, digest array<binary>, others array<byte>, indptr binary, gaps binary, counts binary, words array<string>"
+_GLOBAL = "shard long, doc_id array<long>, part array<string>, digest array<binary>, others array<byte>, indptr array<int>, indices array<long>, counts array<int>"
 _ROWS = "doc_id long, part string, digest binary, n_words long, n_distinct long, others byte"
 
 
@@ -59,7 +61,7 @@ def _one(values: pa.Array) -> pa.Array:
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags are set in each stretch."""
-    return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
 
 
 def csr(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -67,20 +69,35 @@ def csr(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     solid = ~tk._SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    before = np.concatenate([[False], solid[:-1]]) if len(data) else solid
-    begins = np.flatnonzero(solid & (~before | edge[:-1]))
-    bytes_before = np.concatenate([[0], np.cumsum(solid)])
-    bounds = np.append(bytes_before[begins], bytes_before[-1]).astype(np.int64)
+    start, stop = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1] | edge[1:-1]
+    stop[:-1] &= ~solid[1:] | edge[1:-1]
+    begins, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    bounds = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
     each = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(data[solid])).dictionary_encode()
     codes = each.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     width = max(1, len(each.dictionary))
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(begins, offsets)))
     entry, counts = np.unique(doc * width + codes, return_counts=True)
     indptr = np.searchsorted(entry, np.arange(len(offsets)) * width)
-    return indptr.astype(np.int32), (entry % width).astype(np.int32), counts.astype(np.int32), each.dictionary.cast(pa.string())
+    return indptr, entry % width, counts, each.dictionary.cast(pa.string())
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(indptr: np.ndarray, indices: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    gaps = np.diff(indices, prepend=0)
+    first = indptr[:-1][np.diff(indptr) > 0]
+    gaps[first] = indices[first]
+    return [indptr.astype("<i4").tobytes(), gaps.astype("<i4").tobytes(), counts.astype("<u4" if counts.size and counts.max() > 255 else "u1").tobytes()]
+
+
+def _unpacked(indptr: bytes, gaps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    places, steps = np.frombuffer(indptr, "<i4"), np.frombuffer(gaps, "<i4").astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(steps)])
+    return places, sums[1:] - np.repeat(sums[places[:-1]], np.diff(places)), np.frombuffer(counts, "u1" if len(counts) == len(steps) else "<u4").astype(np.int64)
+
+
+def _bundled(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A shard of each run of rows that stays within shard_bytes; a longer text is one alone."""
     number = TaskContext.get().partitionId() << 33
 
     def shard(rows: pa.Table) -> pa.RecordBatch:
@@ -91,15 +108,16 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = _sums((data & 0xC0) != 0x80, offsets)
         others = 4 * (100 * _sums(_CAPITAL[data], offsets) > MAX_CAPITALS * chars) + 8 * (_sums(_SYMBOL[data], offsets) > 0)
         whole = lambda c: rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0)
-        columns = [whole("doc_id"), whole("part"), whole("digest"), pa.array(others.astype(np.int8)), pa.array(indptr), pa.array(indices), pa.array(counts), words]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *map(_one, columns)], ["shard", "doc_id", "part", "digest", "others", "indptr", "indices", "counts", "words"])
+        columns = [pa.array([number], pa.int64()), *(_one(whole(c)) for c in ("doc_id", "part", "digest")), _one(pa.array(others.astype(np.int8)))]
+        columns += [pa.array([x], pa.binary()) for x in _packed(indptr, indices, counts)] + [_one(words)]
+        return pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "part", "digest", "others", "indptr", "gaps", "counts", "words"])
 
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         at = 0
-        for to, bytes_ in [(b, len(d)) for _, b, d, _ in tk.slices(tk.column(batch, "text"), SHARD_BYTES // 4)]:
-            if held and size + bytes_ > SHARD_BYTES:
+        for to, bytes_ in [(b, len(d)) for _, b, d, _ in tk.slices(tk.column(batch, "text"), max(1, shard_bytes // 4))]:
+            if held and size + bytes_ > shard_bytes:
                 yield shard(pa.Table.from_batches(held))
                 held, size = [], 0
             held.append(batch.slice(at, to - at))
@@ -109,64 +127,72 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shard(pa.Table.from_batches(held))
 
 
-def local_shards(docs: DataFrame) -> DataFrame:
+def local_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """CSR shards of doc_id, text and source with local word numbers, stored."""
     small_batches(docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce("source", F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    return written(rows.mapInArrow(_shards, _LOCAL), "audit-shards")
+    return written(rows.mapInArrow(lambda batches: _bundled(batches, shard_bytes), _LOCAL), "audit-shards")
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
+def dictionary(shards: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """Every shard's words with their global numbers: shard, pos, word, word_id."""
     words = shards.select("shard", F.posexplode("words").alias("pos", "word"))
     total = shards.agg(F.sum(F.size("words"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_WORDS))
+    buckets = max(1, -(-total // bucket_words))
     in_bucket = Window.partitionBy("bucket").orderBy("word")
     rank = F.dense_rank().over(in_bucket).cast("long")
     return words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets))).select("shard", "pos", "word", ((rank - 1) * buckets + F.col("bucket")).alias("word_id"))
 
 
-def term_matrix(shards: DataFrame) -> DataFrame:
+def _numbered(shards: DataFrame, bucket_words: int) -> DataFrame:
+    """Each shard beside the global numbers of its words (pos and word_id, side by side in any order)."""
+    numbers = dictionary(shards, bucket_words).groupBy("shard").agg(F.collect_list("pos").alias("pos"), F.collect_list("word_id").alias("word_id"))
+    return shards.drop("words").join(numbers, "shard", "left")
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, indptr, indices, counts) of each shard of ``_numbered``, words by their global numbers."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            indptr, local, counts = _unpacked(*(row.column(c)[0].as_py() for c in ("indptr", "gaps", "counts")))
+            pos, number = row.column("pos").flatten().to_numpy(), row.column("word_id").flatten().to_numpy()
+            ids = np.zeros(len(pos), np.int64)
+            ids[pos] = number
+            yield row, indptr, ids[local], counts
+
+
+def term_matrix(shards: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """The shards with global word numbers: shard, doc_id, part, digest, others, indptr, indices (ascending in a row), counts."""
-    numbers = dictionary(shards).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).getField("word_id").alias("word_ids"))
-    joined = shards.drop("words").join(numbers, "shard", "left")
-
-    def globally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                one = lambda c: row.column(c).flatten()  # noqa: B023, E731
-                indptr, local = one("indptr").to_numpy(), one("indices").to_numpy()
-                ids = one("word_ids").to_numpy()[local] if len(local) else np.zeros(0, np.int64)
-                doc = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-                order = np.lexsort((ids, doc))
-                columns = [*map(one, ("doc_id", "part", "digest", "others", "indptr")), pa.array(ids[order], pa.int64()), pa.array(one("counts").to_numpy()[order], pa.int32())]
-                yield pa.RecordBatch.from_arrays([row.column("shard"), *map(_one, columns)], ["shard", "doc_id", "part", "digest", "others", "indptr", "indices", "counts"])
-
-    return joined.mapInArrow(globally, _LOCAL.replace(", words array<string>", "").replace("indices array<int>", "indices array<long>"))
-
-
-def document_rows(matrix: DataFrame) -> DataFrame:
-    """One row a document: row sum and nonzero entries of its row, and what its shard carried."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = lambda c: batch.slice(i, 1).column(c).flatten()  # noqa: B023, E731
-                indptr, ids = one("indptr").to_numpy(), one("indices").to_numpy()
-                doc = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-                fresh = np.ones(len(ids), bool)
-                fresh[1:] = (ids[1:] != ids[:-1]) | (doc[1:] != doc[:-1])
-                total = np.diff(np.concatenate([[0], np.cumsum(one("counts").to_numpy(), dtype=np.int64)])[indptr])
-                yield pa.RecordBatch.from_arrays([one("doc_id"), one("part"), one("digest"), pa.array(total, pa.int64()), pa.array(_sums(fresh, indptr), pa.int64()), one("others")], ["doc_id", "part", "digest", "n_words", "n_distinct", "others"])
-
-    return matrix.mapInArrow(rows, _ROWS)
-
-
-def failed_filters(docs: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, indptr, ids, counts in _matrices(batches):
+            order = np.lexsort((ids, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
+            columns = [*(row.column(c).flatten() for c in ("doc_id", "part", "digest", "others")), pa.array(indptr, pa.int32()), pa.array(ids[order], pa.int64()), pa.array(counts[order], pa.int32())]
+            yield pa.RecordBatch.from_arrays([row.column("shard"), *map(_one, columns)], ["shard", "doc_id", "part", "digest", "others", "indptr", "indices", "counts"])
+
+    return _numbered(shards, bucket_words).mapInArrow(run, _GLOBAL)
+
+
+def document_rows(shards: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """One row a document of the matrix: its row's sum and number of nonzero entries, and what its shard carried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, indptr, ids, counts in _matrices(batches):
+            # entries of a row are nonzero and, as numbers are one to one with words, of different words
+            if len(np.unique(ids)) != len(row.column("pos").flatten()):
+                raise ValueError("two words of a shard have one number")
+            total = np.diff(np.concatenate([[0], np.cumsum(counts)])[indptr])
+            one = lambda c: row.column(c).flatten()  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([one("doc_id"), one("part"), one("digest"), pa.array(total, pa.int64()), pa.array(np.diff(indptr), pa.int64()), one("others")], ["doc_id", "part", "digest", "n_words", "n_distinct", "others"])
+
+    return _numbered(shards, bucket_words).mapInArrow(run, _ROWS)
+
+
+def failed_filters(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """Documents by doc_id, part, digest of the text and ``mask`` (bit k: fails filter k of A to E), with their number n."""
-    rows = document_rows(term_matrix(local_shards(docs)))
+    rows = document_rows(local_shards(docs, shard_bytes), bucket_words)
     a = (F.col("n_words") < MIN_WORDS).cast("int")
     b = (100 * F.col("n_distinct") < MIN_DISTINCT * F.col("n_words")).cast("int")
     alike = written(rows.withColumn("mask", a + 2 * b + F.col("others")).groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("n")), "audit-rows")
