@@ -352,7 +352,8 @@ def decode_ids(v: Vocabulary, ids: pa.Array) -> pa.Array:
 def with_ids(docs: DataFrame, v: Vocabulary, text: str = "text", into: str = "piece_ids", end: bool = True) -> DataFrame:
     """docs with the ids of each whole text, the end id last if asked for."""
     small_batches(docs)
-    encode = F.arrow_udf(lambda t: encode_texts(v, t, end), "array<int>")
+    # declared not deterministic, so that no plan encodes again for each use of the ids
+    encode = F.arrow_udf(lambda t: encode_texts(v, t, end), "array<int>").asNondeterministic()
     return docs.withColumn(into, encode(F.col(f"`{text}`")))
 
 
