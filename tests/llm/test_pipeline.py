@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from llm.common import table
 from test_dedup import brute_components
 
@@ -48,3 +50,35 @@ def test_near_copies_between_80_and_90_percent(spark, docs):
     want = {i for i, _, component in brute_components(rows, 80, 5) if i == component}
     got = {x.doc_id for x in corpus_pipeline.jaccard_join(spark, docs(*rows), "").collect()}
     assert got == want and not got & set(near)
+
+
+def test_rows_go_by_their_texts_not_by_their_ids(spark, docs):
+    """Repeated and null doc_ids: against components over all pairs of rows, least (null last) doc_id of each staying."""
+    r = random.Random(11)
+    words = [f"word{i}" for i in range(900)]
+    texts = [" ".join(r.choices(words, k=120)) for _ in range(6)]
+    near = lambda t: t + " " + r.choice(words)
+    rows = [(3, texts[0]), (5, near(texts[0])), (5, texts[1]), (7, texts[2]), (7, texts[2]), (None, texts[3]), (None, texts[4]), (2, near(texts[3])), (9, near(texts[2])), (None, near(texts[4])), (8, ""), (8, None)]
+    left = sorted(((x.doc_id, x.text) for x in corpus_pipeline.jaccard_join(spark, docs(*rows), "").collect()), key=str)
+    component = {i: c for i, _, c in brute_components([(i, t) for i, (_, t) in enumerate(rows)], 80, 5)}
+    best = {}
+    for i, c in component.items():
+        best[c] = min(best.get(c, i), i, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    want = [rows[i] for i in best.values()]
+    # of the two null ids with near texts either may stay
+    assert [x[0] for x in left] == sorted((x[0] for x in want), key=str) and {x for x in left if x[0]} == {x for x in want if x[0]}
+    assert (5, texts[1]) in left and left.count((7, texts[2])) == 1 and len(left) == 7
+
+
+def test_short_lines_are_no_near_copies(spark, docs):
+    rows = [(1, "{\nfirst thing that is said\n}"), (2, "7\n}\nfirst thing that is saids\n8\nother words here")]
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_dedup_stage(spark, docs(*rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "7\n8\nother words here"}
+
+
+def test_clashing_columns_and_a_very_long_text(spark, docs):
+    long = " ".join(f"long{i % 5000}x{i}" for i in range(60_000))
+    d = docs((1, long), (2, long + " end"), (3, "some other text of five words or more")).withColumn("row_number", F.lit(4)).withColumn("component_id", F.lit("c")).withColumn("row", F.lit(0))
+    got = corpus_pipeline.jaccard_join(spark, d, "")
+    assert got.columns == d.columns and sorted((x.doc_id, x.row_number, x.component_id) for x in got.collect()) == [(1, 4, "c"), (3, 4, "c")]
+    assert corpus_pipeline.jaccard_join(spark, docs().limit(0), "").count() == 0
