@@ -37,7 +37,7 @@ from .common import small_batches
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("phone_local", "id_number", "iban", "email_words", "ipv6", "mac", "birth_date")
 KINDS = BASE_KINDS + MORE_KINDS
-TRAIN_LINES = 4000
+TRAIN_LINES = 6000
 PRECISION = 0.98
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -94,17 +94,20 @@ def base_spans(t: str) -> dict[str, list[tuple[int, int]]]:
     return {"email": emails(t) if at else [], "ip": ips(t) if digit else [], "card": cards(t) if digit else [], "phone": phones(t) if digit and "+" in t else []}
 
 
+#: Domains that make a plain "x at y.com" or "x at y dot com" an address; without one brackets are asked for, as prose has "x at y. Z".
+TOP_LEVEL = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "uk", "de", "fr", "es", "it", "nl", "ch", "at")
+
 #: High recall on purpose; each pattern is linear.
 _MORE = (
     ("phone_local", re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"), True),
     ("id_number", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), True),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), True),
-    ("email_words", re.compile(r"(?<![A-Za-z0-9._])[A-Za-z0-9._]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,6}(?![A-Za-z])"), False),
+    ("email_words", re.compile(r"(?<![A-Za-z0-9._])[A-Za-z0-9._]{1,64}(?: ?(?:\(at\)|\[at\]) ?[A-Za-z0-9]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,6}| at [A-Za-z0-9]{1,63}(?: ?(?:\(dot\)|\[dot\]) ?[A-Za-z]{2,6}|(?: dot |\.)(?:" + "|".join(TOP_LEVEL) + r")))(?![A-Za-z])"), False),
     ("ipv6", re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{3,39}(?![0-9A-Za-z:])"), True),
     ("mac", re.compile(r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])"), True),
     ("birth_date", re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{4}|[0-9]{2})|[0-9]{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}\.? [0-9]{4})(?![0-9A-Za-z])", re.I), True),
 )
-_CUES = re.compile(r"(?:phone|call|tel|mobile|fax|ssn|social|security|iban|account|bank|mail|contact|reach|write|mac|device|host|address|born|birth|dob|server|node)", re.I)
+_CUES = re.compile(r"(?:phone|call|tel|mobile|fax|ssn|social|security|iban|account|bank|mail|contact|reach|write|mac|device|host|address|born|birth|dob|server|node|geboren|geb\.|naci|n[eé]e? le|telefon|konto|cuenta|compte)|(?<![^\W\d_])b\.", re.I)
 _ANTI = re.compile(r"(?:order|part|version|isbn|ratio|score|page|chapter|serial|build|ticket|item|total|price|meet|look|laugh|time)", re.I)
 
 
@@ -128,7 +131,7 @@ def mod97(x: str) -> int:
     return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
 
 
-_NEAR_WORD = re.compile(r"[^\W\d_]{2,}")
+_NEAR_WORD = re.compile(r"[^\W\d_]+")
 
 
 def near_words(t: str, s: int) -> list[str]:
@@ -146,6 +149,8 @@ def features(t: str, kind: str, s: int, e: int, lean: dict[str, float]) -> list[
         "(" in x, "[" in x, sum(c.isupper() for c in x) / n, bool(_CUES.search(before)), bool(_ANTI.search(before)),
         bool(_CUES.search(after)), before[-1:].isspace() or s == 0, after[:1].isspace() or not after, before[-2:-1] in ":#=",
         digits[:1] == ["0"], len(re.findall(r"[0-9]", before[-12:])), len(re.findall(r"[0-9]", after[:12])), "dot" in x, x.count(":"), "::" in x, x.isascii() and x[:2].isdigit() and "19" <= x[:2] <= "20", len(re.findall(r"[A-Za-z]", x)), sum(lean.get(w, 0.0) for w in near_words(t, s)), kind == "iban" and mod97(x) == 1,
+        kind == "email_words" and x.rsplit("dot", 1)[-1].rsplit(".", 1)[-1].strip(" )]").lower() in TOP_LEVEL, kind == "email_words" and any(c in x for c in "([_0123456789"), kind == "email_words" and "." in x.split(" at ")[0],
+        sum(lean.get(w, 0.0) for w in _NEAR_WORD.findall(x.lower())) if kind == "email_words" else 0.0,
     ]
 
 
@@ -213,8 +218,12 @@ class Boosted:
 #: Fixed values of the generator: what stands before personal data and before look-alikes; some of it is unknown to the features.
 _LEADS = {
     "phone_local": ("phone", "call me at", "tel:", "mobile", "reach me on", "ring", "my number:", "dial"), "id_number": ("my ssn is", "social security", "insurance no", "taxpayer"), "iban": ("iban:", "bank account", "transfer to", "pay into"),
-    "email_words": ("contact", "write to", "mail", "ask", "drop a line:"), "ipv6": ("host", "server", "from", "peer", "address"), "mac": ("mac address", "device", "adapter", "network card"), "birth_date": ("born", "date of birth:", "dob", "born on", "birthday"),
+    "email_words": ("contact", "write to", "mail", "ask", "drop a line:"), "ipv6": ("host", "server", "from", "peer", "address"), "mac": ("mac address", "device", "adapter", "network card"), "birth_date": ("born", "date of birth:", "dob", "born on", "birthday", "b.", "geboren am", "geb.", "né le", "née le", "nació el", "nacida el"),
 }
+#: Words of prose around "at" and "dot": what is said there is no address.
+_PROSE = ("look", "arrive", "laughed", "was", "waiting", "meet", "stop", "good", "people", "everyone", "she", "prices", "not")
+_PLACES = ("home", "noon", "the", "a", "each", "every", "last", "once", "night", "work", "this", "one")
+_AFTER = ("com", "de", "es", "it", "at", "net", "info")
 _OTHER = ("order", "part no.", "version", "isbn", "score", "page", "serial", "build", "ticket", "total", "ratio", "on", "until", "since", "published", "updated", "due")
 
 
@@ -238,7 +247,9 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> Iterator[tuple[str, s
             x = f"{land}{98 - mod97(f'{land}00{body}'):02d}{body}" if good else "".join(pick("ABCDEFGHKL") for _ in range(2)) + d(2) + "".join(pick("ABCDEFGH0123") for _ in range(16))
             x = " ".join(x[k : k + 4] for k in range(0, len(x), 4)) if good and r.random() < 0.4 else x
         elif kind == "email_words":
-            x = f"{word()}{pick(['.', '', '_'])}{word()} {pick(['(at)', '[at]', 'at'])} {word()} {pick(['dot', '(dot)', '[dot]'])} {pick(['com', 'org', 'net', 'de'])}" if good else f"{word()} at {word()}. {word()}"
+            x = f"{word()}{pick(['.', '', '_'])}{word()} {pick(['(at)', '[at]', 'at'])} {word()} {pick(['dot', '(dot)', '[dot]'])} {pick(['com', 'org', 'net', 'de'])}" if good else pick([f"{pick(_PROSE)} at {pick(_PLACES)} dot {pick(_AFTER)}", f"{pick(_PROSE)} at {word()} dot {pick(_AFTER)}", f"{word()} at {pick(_PLACES)} dot {pick(TOP_LEVEL)}", f"{pick(_PROSE)} at {word()}.{pick(['at', 'it', 'es', 'de'])}"])
+            if good and r.random() < 0.2:
+                x = f"{word()}{pick(['.', '_'])}{word()} at {word()}{pick(['.', ' dot '])}{pick(TOP_LEVEL)}"
         elif kind == "ipv6":
             x = pick([":".join(hexs(4) for _ in range(8)), f"2001:db8::{hexs(int(r.integers(1, 5)))}", f"fe80::{hexs(4)}:{hexs(4)}"]) if good else pick([":".join(d(2) for _ in range(6)), ":".join(d(1) for _ in range(7))])
         elif kind == "mac":
@@ -258,7 +269,7 @@ def model() -> tuple[Boosted, dict[str, float], tuple[float, float], dict[str, f
     seen: dict[str, list[int]] = {}
     for p, t, c, is_ in found:
         if p < 6:
-            for w in near_words(t, c[1]):
+            for w in near_words(t, c[1]) + (_NEAR_WORD.findall(t[c[1] : c[2]].lower()) if c[0] == "email_words" else []):
                 seen.setdefault(w, [0, 0])[is_] += 1
     lean = {w: float(np.log((n[1] + 1) / (n[0] + 1))) for w, n in seen.items() if sum(n) >= 8}
     rows = [(c[0], features(t, *c, lean), is_) for _, t, c, is_ in found]
