@@ -253,7 +253,9 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> Iterator[tuple[str, s
         elif kind == "ipv6":
             x = pick([":".join(hexs(4) for _ in range(8)), f"2001:db8::{hexs(int(r.integers(1, 5)))}", f"fe80::{hexs(4)}:{hexs(4)}"]) if good else pick([":".join(d(2) for _ in range(6)), ":".join(d(1) for _ in range(7))])
         elif kind == "mac":
-            x = pick("-:").join(hexs(2) for _ in range(6)) if good else "-".join(d(2) for _ in range(6))
+            some = pick(["0123456789abcdef", "01234abcdef", "01abcdef"])  # vendors' parts may have few digits
+            x = pick("-:").join(pick(some) + pick(some) for _ in range(6)) if good else "-".join(d(2) for _ in range(6))
+            x = x.upper() if r.random() < 0.3 else x
         else:
             y, m, a = pick(["19", "20"]) + two(0, 25) if not good else f"19{two(30, 99)}", two(1, 13), two(1, 29)
             x = pick([f"{y}-{m}-{a}", f"{a}/{m}/{y}", f"{a}.{m}.{y}", f"{int(a)} {pick(['January', 'Mar', 'july', 'Oct', 'December'])} {y}"])
