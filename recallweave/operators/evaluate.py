@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from .grams import find_phrases
 
 
 def hit_rates(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
@@ -73,19 +73,7 @@ def replay_stats(asked: DataFrame, hits: DataFrame, applied: DataFrame) -> DataF
 
 def gold_from_evidence(units: DataFrame, evidence: DataFrame) -> DataFrame:
     """(query_id, unit_id): units that hold a wanted phrase.  evidence: query_id, chat_id, contains."""
-    whole = F.regexp_extract_all(F.lower("text"), F.lit(EVIDENCE_WORD), F.lit(0))
-    # A phrase's inner words stand in a text as words of their own: texts and phrases meet on the longest of them, and are then compared.
-    inner = F.regexp_extract_all(F.lower("contains"), F.lit(EVIDENCE_WORD), F.lit(0))
-    inner = F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)).otherwise(tx.no_strings())
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = evidence.select("query_id", "chat_id", "contains", key.alias("word"))
-    pairs = units.select("chat_id", "unit_id", "text", F.explode(F.array_distinct(whole)).alias("word")).join(asked.filter("word is not null"), ["chat_id", "word"])
-    short = units.select("chat_id", "unit_id", "text").join(asked.filter("word is null").drop("word"), "chat_id")  # phrases of one or two words
-    return pairs.drop("word").unionByName(short).filter(F.contains("text", "contains")).select("query_id", "unit_id").distinct()
-
-
-#: A run that cannot be cut by the edge of a phrase: letters and digits only.
-EVIDENCE_WORD = r"[\p{L}\p{N}]+"
+    return find_phrases(units, evidence, phrase="contains").select("query_id", "unit_id").distinct()
 
 
 def latency(samples: DataFrame, ms: str = "ms") -> DataFrame:

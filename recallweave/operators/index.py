@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as tx
-from .lineage import shared_folder
+from .lineage import fresh_folder, kept_table
 
 
 def earlier_terms(text: Column | str) -> Column:
@@ -48,6 +47,15 @@ def anchor_words(text: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(words, _stem), lambda w: (F.length(w) >= 2) & ~w.isin(stop)))
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.ln(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def tf_norm(tf: Column, length: Column, avg: Column) -> Column:
+    k1, b = vocab.BM25_K1, vocab.BM25_B
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
+
+
 @dataclass(frozen=True)
 class Index:
     units: DataFrame
@@ -55,24 +63,27 @@ class Index:
     docs: DataFrame
     df: DataFrame
     stats: DataFrame
+    #: (chat_id, unit_id, term, ord, gain): what a term adds to a unit's BM25 score, where it is stored.
+    impacts: DataFrame | None = None
 
     def persist(self) -> Index:
         return Index(self.units, self.postings.persist(), self.docs.persist(), self.df.persist(), self.stats.persist())
 
     def stored(self, name: str = "index") -> Index:
         """The index as tables in the shared folder: the corpus is read and cut into words once, whatever asks afterwards."""
-        spark = self.units.sparkSession
-        base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-        def kept(df: DataFrame, part: str) -> DataFrame:
-            df.write.parquet(f"{base}/{part}")
-            return spark.read.schema(df.schema).parquet(f"{base}/{part}")
-
-        postings = kept(self.postings, "postings")
+        base = fresh_folder(self.units.sparkSession, name)
+        postings = kept_table(self.postings, f"{base}/postings")
         lengths = self.units.select("chat_id", "unit_id").join(postings.groupBy("chat_id", "unit_id").agg(F.sum("tf").alias("length")), ["chat_id", "unit_id"], "left").fillna(0, ["length"])
-        docs = kept(lengths, "docs")
+        docs = kept_table(lengths, f"{base}/docs")
         stats = docs.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length"))
-        return Index(self.units, postings, docs, kept(postings.groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df")), "df"), kept(stats, "stats"))
+        df = kept_table(postings.groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df")), f"{base}/df")
+        stats = kept_table(stats, f"{base}/stats")
+        if "ord" not in self.units.columns:
+            return Index(self.units, postings, docs, df, stats)
+        gain = tf_norm(F.col("tf"), F.col("length"), F.col("avg_length")) * idf(F.col("n"), F.col("df"))
+        placed = docs.join(self.units.select("chat_id", "unit_id", "ord"), ["chat_id", "unit_id"]).join(stats, "chat_id")
+        impacts = postings.join(placed, ["chat_id", "unit_id"]).join(df, ["chat_id", "term"]).select("chat_id", "unit_id", "term", "ord", gain.alias("gain"))
+        return Index(self.units, postings, docs, df, stats, kept_table(impacts, f"{base}/impacts"))
 
     @property
     def entities(self) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import text as tx
 from . import rank
 from .index import build_index
 from .lineage import cut
+from .names import leftmost_longest, places
 from .pack import first_fit
 from .segment import sentences
 
@@ -63,14 +64,16 @@ def written_relations(lore: DataFrame) -> DataFrame:
 def fact_edges(lore: DataFrame, facts: DataFrame) -> DataFrame:
     """(chat_id, subject, predicate, object, turn): a fact with a verb class ties its keyword to each note whose alias it names.
 
-    Aliases are found leftmost and longest first, as one alternation a chat; only the first verb class counts.
+    The aliases of all conversations are looked for in one reading of a fact; of those of its own conversation the leftmost and longest
+    count, and only the first verb class.
     """
     alias = aliases(lore).select("chat_id", "alias", "title").distinct()
-    pattern = alias.select("chat_id", "alias").distinct().groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("alias")).alias("n"), "alias"))).alias("a"))
-    pattern = pattern.select("chat_id", F.array_join(F.transform("a", lambda x: tx.escape(x["alias"])), "|").alias("pattern"))
+    own = alias.select("chat_id", F.col("alias").alias("name")).distinct()
     f = facts.select("chat_id", tx.trim(F.coalesce("keyword", F.lit(""))).alias("subject"), F.get(fx.lore_verbs("fact"), F.lit(0)).alias("predicate"), tx.normalized_keyword("fact").alias("folded"), F.coalesce("turn", F.lit(0)).alias("turn"))
-    f = f.filter((F.length("subject") > 0) & F.col("predicate").isNotNull()).join(pattern, "chat_id")
-    named = f.select("chat_id", "subject", "predicate", "turn", F.explode(F.array_distinct(F.regexp_extract_all("folded", "pattern", F.lit(0)))).alias("alias"))
+    f = f.filter((F.length("subject") > 0) & F.col("predicate").isNotNull()).distinct()
+    held = places(f.withColumn("text", F.col("folded")), own).join(own, ["chat_id", "name"])
+    held = held.groupBy("chat_id", "subject", "predicate", "folded", "turn").agg(leftmost_longest(F.collect_set(F.struct("from", "to", "name"))).alias("found"))
+    named = held.select("chat_id", "subject", "predicate", "turn", F.explode(F.array_distinct(F.transform("found", lambda x: x["name"]))).alias("alias"))
     hit = named.join(alias, ["chat_id", "alias"]).filter(tx.normalized_keyword("subject") != tx.normalized_keyword("title"))
     return hit.select("chat_id", "subject", "predicate", F.col("title").alias("object"), "turn").distinct()
 

@@ -16,21 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import vocab
 from ..functions import text as tx
-from .index import Index, earlier_terms, lasting_words
+from .grams import find_phrases
+from .index import Index, earlier_terms, idf, lasting_words, tf_norm
 from .lineage import cut
 
 HITS = ("query_id", "chat_id", "unit_id", "score", "matched", "strong")
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.ln(1 + (n - df + 0.5) / (df + 0.5))
-
-
-def tf_norm(tf: Column, length: Column, avg: Column) -> Column:
-    k1, b = vocab.BM25_K1, vocab.BM25_B
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
-
-
 def query_rows(queries: DataFrame, text: str = "query", terms: Callable[[str], Column] = tx.query_terms) -> DataFrame:
     """(query_id, chat_id, max_ord, term) of queries; max_ord null means no bound."""
     bound = F.col("max_ord").cast("long") if "max_ord" in queries.columns else F.lit(None).cast("long")
@@ -45,8 +37,11 @@ def bm25(ix: Index, queries: DataFrame, text: str = "query", prefix: bool = True
     vectors) of ``lsa``; agreement above a floor adds to the score.  words: with the terms themselves, else only their number.
     """
     q = query_rows(queries, text)
-    hit = q.join(ix.postings, ["chat_id", "term"]).join(ix.df, ["chat_id", "term"]).join(ix.stats, "chat_id").join(ix.docs, ["chat_id", "unit_id"])
-    gain = tf_norm(F.col("tf"), F.col("length"), F.col("avg_length")) * idf(F.col("n"), F.col("df"))
+    if ix.impacts is not None:  # what a term adds to a unit is stored
+        hit, gain = q.join(ix.impacts.drop("ord"), ["chat_id", "term"]), F.col("gain")
+    else:
+        hit = q.join(ix.postings, ["chat_id", "term"]).join(ix.df, ["chat_id", "term"]).join(ix.stats, "chat_id").join(ix.docs, ["chat_id", "unit_id"])
+        gain = tf_norm(F.col("tf"), F.col("length"), F.col("avg_length")) * idf(F.col("n"), F.col("df"))
     parts = hit.select("query_id", "chat_id", "unit_id", "max_ord", "place", "term", gain.alias("gain"), ((F.length("term") >= 3) & (gain >= 1.5)).alias("is_strong"))
     if prefix:
         lasting = lasting_words(ix.postings)
@@ -195,6 +190,83 @@ def cosines(vectors: DataFrame, queries: DataFrame, vec: str = "vec", key: str =
     return pairs.select("query_id", key, F.round(dot("_v", "_q") / F.nullif(F.col("_n") * F.col("_m"), F.lit(0.0)), digits).alias("score"))
 
 
+#: Coarse bins of a cosine, of BIN millionths each; the middle element is then looked for in one of them.
+BIN = 2000
+
+
+def middle_gap(vectors: DataFrame, queries: DataFrame, gap: float = 0.04, vec: str = "vec", key: str = "unit_id") -> DataFrame:
+    """(query_id, key, score, gap): the nearest vector of each query if it is more than gap above the middle one (place floor(n / 2)
+    of the descending list), by cosines rounded to six digits; vectors of zeros count for nothing.
+
+    No pair leaves a task: a first reading counts coarse bins, a second the values of the one bin that holds the middle.  Queries go
+    out in passes as in cosine_top, and what returns to the driver is a row a query of the pass.
+    """
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    passes = max(1, -(-8 * n * (width or 0) // QUERY_BYTES))
+    name, unit = queries.schema["query_id"].dataType, vectors.schema[key].dataType
+    coarse = T.StructType([T.StructField("query_id", name), T.StructField("bin", T.LongType()), T.StructField("c", T.LongType()), T.StructField("best", T.LongType()), T.StructField(key, unit)])
+    fine = T.StructType([T.StructField("query_id", name), T.StructField("value", T.LongType()), T.StructField("c", T.LongType())])
+    spark = vectors.sparkSession
+    found = None
+
+    def cosine_blocks(batches, side):
+        for b in batches:
+            v = _matrix(b.column(1))
+            some = np.flatnonzero(np.linalg.norm(v, axis=1) > 0)
+            if len(some) and len(side):
+                yield b.column(0).take(pa.array(some)).to_pylist(), np.rint(v[some] @ side.T * 1e6).astype(np.int64)
+
+    for p in range(passes):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", F.col(vec).alias("v")).toArrow().combine_chunks()
+        names, side = some.column("query_id").to_pylist(), some.column("v")
+        matrix = _matrix(side) if names else np.zeros((0, 1))
+        live = [i for i in range(len(names)) if np.linalg.norm(matrix[i]) > 0]
+        names, matrix = [names[i] for i in live], matrix[live]
+        sent = spark.sparkContext.broadcast((names, matrix))
+
+        def count_bins(batches, sent=sent):
+            names, side = sent.value
+            counts: list[dict[int, int]] = [{} for _ in names]
+            best: list[tuple | None] = [None] * len(names)
+            for keys, score in cosine_blocks(batches, side):
+                for j, have in enumerate(counts):
+                    for x, c in zip(*np.unique(score[:, j] // BIN, return_counts=True), strict=True):
+                        have[int(x)] = have.get(int(x), 0) + int(c)
+                    top = score[:, j].max()
+                    first = min(keys[i] for i in np.flatnonzero(score[:, j] == top))
+                    best[j] = min(x for x in (best[j], (-int(top), first)) if x is not None)
+            rows = [(q, x, c, -b[0], b[1]) for q, have, b in zip(names, counts, best, strict=True) for x, c in have.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, to_arrow_schema(coarse), strict=True)], coarse.names)
+
+        bins = cut(vectors.select(key, vec).mapInArrow(count_bins, coarse).groupBy("query_id", "bin").agg(F.sum("c").alias("c"), F.min(F.struct((-F.col("best")).alias("low"), key)).alias("top")))
+        whole = bins.groupBy("query_id").agg(F.sum("c").alias("n"), F.min("top").alias("top"))
+        down = F.sum("c").over(W.partitionBy("query_id").orderBy(F.desc("bin")))
+        mid = bins.select("query_id", "bin", "c").withColumn("run", down).join(whole, "query_id").filter((F.col("run") > F.floor(F.col("n") / 2)) & (F.col("run") - F.col("c") <= F.floor(F.col("n") / 2)))
+        rows = mid.select("query_id", "bin", (F.floor(F.col("n") / 2) - (F.col("run") - F.col("c"))).alias("place"), "top.low", f"top.{key}").collect()
+        where = spark.sparkContext.broadcast({r.query_id: r.bin for r in rows})
+
+        def count_values(batches, sent=sent, where=where):
+            names, side = sent.value
+            counts: dict[tuple, int] = {}
+            for _, score in cosine_blocks(batches, side):
+                for j, q in enumerate(names):
+                    mine = score[:, j][score[:, j] // BIN == where.value[q]]
+                    for x, c in zip(*np.unique(mine, return_counts=True), strict=True):
+                        counts[q, int(x)] = counts.get((q, int(x)), 0) + int(c)
+            out = [(q, x, c) for (q, x), c in counts.items()]
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, to_arrow_schema(fine), strict=True)], fine.names)
+
+        values = vectors.select(key, vec).mapInArrow(count_values, fine).groupBy("query_id", "value").agg(F.sum("c").alias("c"))
+        known = spark.createDataFrame([(r.query_id, r.place, -r.low, r[key]) for r in rows], T.StructType([coarse[0], T.StructField("place", T.LongType()), T.StructField("best", T.LongType()), coarse[4]]))
+        down = F.sum("c").over(W.partitionBy("query_id").orderBy(F.desc("value")))
+        middle = values.withColumn("run", down).join(known, "query_id").filter(F.col("run") > F.col("place")).groupBy("query_id", key, "best").agg(F.max("value").alias("mid"))
+        one = middle.select("query_id", key, (F.col("best") / 1e6).alias("score"), ((F.col("best") - F.col("mid")) / 1e6).alias("gap")).filter(F.col("gap") > gap)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def missing_vectors(items: DataFrame, stored: DataFrame, text: str = "text") -> DataFrame:
     """Items whose text key has no stored vector yet."""
     return items.withColumn("key", tx.text_key(text)).join(stored.select("key"), "key", "left_anti")
@@ -452,18 +524,18 @@ def search_turns(messages: DataFrame, queries: DataFrame, limit: int | None = No
     seen = tx.squash(F.regexp_replace(tx.fold_width(seen), r"\*{1,3}|_{2,}", ""))
     texts = messages.select("chat_id", "turn", F.col("id").alias("message_id"), "role", seen.alias("text")).withColumn("folded", F.lower("text"))
     asked = queries.select("query_id", "chat_id", tx.squash(F.lower(tx.fold_width("query"))).alias("q")).filter(F.length("q") > 0)
-    at = F.expr("locate(q, folded)") - 1
-    both = texts.join(asked, "chat_id")
-    exact = both.withColumn("at", at).filter("at >= 0").select("query_id", "chat_id", "turn", "message_id", "role", F.lit(True).alias("exact"), F.lit(0.0).alias("score"), tx.snippet(F.col("text"), F.col("at"), F.length("q")).alias("s"))
+    found = find_phrases(texts, asked, "folded", "turn", "q")
+    exact = found.join(asked, ["query_id", "chat_id"]).join(texts, ["chat_id", "turn"]).select("query_id", "chat_id", "turn", "message_id", "role", F.lit(True).alias("exact"), F.lit(0.0).alias("score"), tx.snippet(F.col("text"), F.col("at"), F.length("q")).alias("s"))
     from .index import build_index
 
     units = texts.select("chat_id", F.col("turn").cast("string").alias("unit_id"), "message_id", "role", "turn", F.col("turn").cast("long").alias("ord"), "text")
     hits = bm25(build_index(units), asked.withColumnRenamed("q", "query"))
     words = F.filter(F.split("q", " "), lambda w: F.length(w) > 0)
     stem = lambda w: F.substr(w, F.lit(1), F.greatest(F.lit(2), F.length(w) - 1))
-    found = F.filter(F.transform(words, lambda w: F.position(stem(w), F.col("folded")) - 1), lambda p: p >= 0)
-    close = hits.select("query_id", "unit_id", "score").join(both.withColumn("unit_id", F.col("turn").cast("string")), ["query_id", "unit_id"]).filter(at < 0)
-    close = close.withColumn("places", found).filter(F.size("places") >= F.ceil(F.size(words) * 0.6))
+    beginnings = F.filter(F.transform(words, lambda w: F.position(stem(w), F.col("folded")) - 1), lambda p: p >= 0)
+    # only turns that the words hit; those that hold them as typed are told already
+    close = hits.select("query_id", "chat_id", "score", F.col("unit_id").cast("int").alias("turn")).join(found.select("query_id", "chat_id", "turn"), ["query_id", "chat_id", "turn"], "left_anti")
+    close = close.join(asked, ["query_id", "chat_id"]).join(texts, ["chat_id", "turn"]).withColumn("places", beginnings).filter(F.size("places") >= F.ceil(F.size(words) * 0.6))
     close = close.select("query_id", "chat_id", "turn", "message_id", "role", F.lit(False).alias("exact"), "score", tx.snippet(F.col("text"), F.coalesce(F.array_min("places"), F.lit(0)), F.lit(0)).alias("s"))
     w = W.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), F.asc("turn"))
     total = F.count_if("exact").over(W.partitionBy("query_id"))
@@ -477,7 +549,8 @@ def locate_turns(messages: DataFrame, items: DataFrame) -> DataFrame:
     m = messages.select("chat_id", F.col("id").alias("message_id"), "turn", tx.compact(tx.strip_own_block("text")).alias("packed"))
     by_id = items.join(m.select("chat_id", "message_id", "turn"), ["chat_id", "message_id"]).select("item_id", "chat_id", "turn", "message_id")
     rest = items.join(by_id.select("item_id"), "item_id", "left_anti").withColumn("probe", F.substring(tx.compact("text"), 1, 40)).filter(F.length("probe") >= 6)
-    near = rest.select("item_id", "chat_id", "probe").join(m, "chat_id").filter(F.contains("packed", "probe")).groupBy("item_id", "chat_id").agg(F.max("turn").alias("turn"), F.max_by("message_id", "turn").alias("message_id"))
+    held = find_phrases(m, rest.withColumnRenamed("item_id", "query_id"), "packed", "message_id", "probe").withColumnRenamed("query_id", "item_id")
+    near = held.join(m.select("chat_id", "message_id", "turn"), ["chat_id", "message_id"]).groupBy("item_id", "chat_id").agg(F.max("turn").alias("turn"), F.max_by("message_id", "turn").alias("message_id"))
     return by_id.unionByName(near)
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import cards, context, graph, lore, memory, segment
-from ..operators.lineage import cut
+from ..operators.lineage import cut, fresh_folder
 from ..sources import messages as src
 from ..streaming import ingest
 from .catalogue import MESSAGES, query
@@ -103,7 +102,6 @@ def q_stream_ingest(spark, d):
     """The stream of the conversations, run to its end; its result is what the batch gives."""
     rows = spark.readStream.schema(src.read_table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet*")
     m = rows.select(F.col("conv_id").cast("string").alias("chat_id"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "role", "text")
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = fresh_folder(spark, "stream")
     ingest.run_available(ingest.deduplicated(m), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").select("chat_id", "id", "role")

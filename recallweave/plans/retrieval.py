@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import pack, rank, segment
+from ..operators import blocks, grams, names, pack, rank, segment
 from ..operators.index import Index, build_index
+from ..operators.lineage import derived_once
 from ..sources import messages as src
 from .catalogue import MESSAGES, bm25, clean, index_sql, query, terms
 
@@ -23,8 +24,12 @@ def document_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_index(spark: SparkSession, d: str) -> Index:
-    """The documents as one corpus, indexed once into tables."""
-    return build_index(document_units(spark, d)).stored("documents")
+    """The documents as one corpus, indexed into tables once a session for the files that are there."""
+    return derived_once(spark, "documents", f"{d}/documents.parquet", lambda: build_index(document_units(spark, d)).stored("documents"))
+
+
+def corpus_blocks(spark: SparkSession, d: str) -> blocks.BlockIndex:
+    return derived_once(spark, "blocks", f"{d}/documents.parquet", lambda: blocks.build_blocks(corpus_index(spark, d)))
 
 
 DOCS = "doc AS (SELECT 'corpus' AS chat_id, doc_id::VARCHAR AS unit_id, doc_id AS ord, coalesce(text, '') AS text FROM documents)"
@@ -84,6 +89,22 @@ def q_bm25_topk(spark, d):
     return rank.top(hits, 10).select("query_id", "unit_id", "score", "n_matched", "rank")
 
 
+_BRIEF = "probe AS (SELECT item_id::VARCHAR || '#' || i AS query_id, array_to_string(list_slice(w, i + 1, i + 3), ' ') AS query FROM (SELECT item_id, string_split_regex(trim(text), '\\s+') AS w FROM benchmark), range(0, 30, 10) AS r(i) WHERE i < len(w))"
+
+
+@query(f"""WITH {DOCS}, {index_sql('doc')}, {_BRIEF}, {_sql_hits('doc')},
+r AS (SELECT query_id, unit_id, round(score, 6) AS score, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, unit_id::BIGINT) AS rank FROM hit)
+SELECT query_id, unit_id, score::DOUBLE AS score, n_matched::BIGINT AS n_matched, rank::INT AS rank FROM r WHERE rank <= 5""")
+def q_brief_topk(spark, d):
+    """Three words at the first, eleventh and twenty-first place of each test item: the best five documents, found by blocks."""
+    return blocks.top_bm25(corpus_blocks(spark, d), brief_probes(spark, d), 5, digits=6).select("query_id", "unit_id", "score", F.col("n_matched").cast("long").alias("n_matched"), "rank")
+
+
+def brief_probes(spark, d) -> DataFrame:
+    words = src.read_table(spark, d, "benchmark").select("item_id", F.split(F.trim("text"), r"\s+").alias("w")).withColumn("i", F.explode(F.array(F.lit(0), F.lit(10), F.lit(20)))).filter(F.col("i") < F.size("w"))
+    return words.select(F.concat(F.col("item_id").cast("string"), F.lit("#"), F.col("i").cast("string")).alias("query_id"), F.lit("corpus").alias("chat_id"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(3)), " ").alias("query"))
+
+
 @query(f"""WITH {MESSAGES}, u AS (SELECT chat_id, id AS unit_id, turn, text FROM msg), {index_sql('u')},
 probe AS (SELECT chat_id AS query_chat, chat_id || '@' || turn AS query_id, text AS query, turn AS t FROM msg WHERE role = 'user'),
 qt AS (SELECT query_id, query_chat AS chat_id, t, unnest(list_distinct(list_slice({terms('query')}, -120, -1))) AS term FROM probe),
@@ -138,6 +159,24 @@ def q_search_close(spark, d):
     return rank.search_turns(m, first).filter("not exact").select("query_id", "turn")
 
 
+@query("""WITH a AS (SELECT item_id::VARCHAR AS query_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 3, 6), ' ') AS p FROM benchmark)
+SELECT query_id, doc_id::VARCHAR AS unit_id, (instr(text, p) - 1)::INT AS at FROM a JOIN documents ON contains(text, p) WHERE length(p) > 0""")
+def q_find_phrases(spark, d):
+    """The third to sixth word of every test item, in all documents: where each stands first."""
+    b = src.read_table(spark, d, "benchmark")
+    asked = b.select(F.col("item_id").cast("string").alias("query_id"), F.lit("corpus").alias("chat_id"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 3, 4), " ").alias("phrase"))
+    return grams.find_phrases(document_units(spark, d), asked).select("query_id", "unit_id", "at")
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS name FROM benchmark)
+SELECT name, count(*)::BIGINT AS n_documents FROM w JOIN documents ON contains(lower(text), name) GROUP BY name""")
+def q_names_in_documents(spark, d):
+    """Every long word of the test items as a name: how many documents hold it, inside of words too."""
+    names_of = src.read_table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("name"))
+    docs = src.spread(src.read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("text"))
+    return names.places(docs, names_of).select("doc_id", "name").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 @query("""WITH v AS (SELECT vec_id::VARCHAR AS unit_id, embedding AS e FROM embeddings), q AS (SELECT unit_id AS query_id, e AS q FROM v WHERE unit_id::BIGINT % 20 = 0),
 s AS (SELECT query_id, unit_id, round(list_inner_product(e::DOUBLE[], q::DOUBLE[]) / (sqrt(list_inner_product(e::DOUBLE[], e::DOUBLE[])) * sqrt(list_inner_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS score FROM v, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s)
@@ -160,7 +199,7 @@ s AS (SELECT query_id, unit_id, round(list_inner_product(e, q) / (sqrt(list_inne
 m AS (SELECT query_id, max(score) FILTER (r = 0) AS top, max(score) FILTER (r = n // 2) AS mid, max(unit_id) FILTER (r = 0) AS unit_id FROM o GROUP BY ALL)
 SELECT query_id, unit_id, round(top - mid, 6)::DOUBLE AS gap FROM m WHERE top - mid > 0.04""")
 def q_semantic_gate(spark, d):
-    return rank.stands_out(rank.cosines(*_vectors(spark, d))).select("query_id", "unit_id", F.round("gap", 6).alias("gap"))
+    return rank.middle_gap(*_vectors(spark, d)).select("query_id", "unit_id", F.round("gap", 6).alias("gap"))
 
 
 @query(f"""WITH {DOCS}, {index_sql('doc')}, {PROBES}, {_sql_hits('doc')},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, graph, rank, segment, state
+from ..operators import asof, evaluate, graph, rank, segment, state
 from ..sources import messages as src
 from .catalogue import MESSAGES, bm25, index_sql, query, terms
 from .retrieval import DOCS, PROBES, corpus_index, document_units, messages, probes
@@ -94,6 +94,16 @@ def q_asof_edges(spark, d):
     return e.crossJoin(F.broadcast(now)).groupBy("user_id", "event_type").agg(F.round(F.max(F.when(age <= 0, 1.0).otherwise(F.exp(-age / 50))), 6).alias("weight"))
 
 
+@query("""WITH k AS (SELECT user_id, ts, max_by(value, event_id) AS value, max(event_id) AS event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY user_id, ts)
+SELECT e.event_id, k.event_id AS last_id, k.value AS last_value FROM events e ASOF LEFT JOIN k ON e.user_id = k.user_id AND e.ts > k.ts""")
+def q_asof_last(spark, d):
+    """For every event the user's last event of the first type before it."""
+    e = events(spark, d)
+    kind = e.agg(F.min("event_type")).first()[0]
+    told = e.filter(F.col("event_type") == F.lit(kind)).select("user_id", "ts", F.col("event_id").alias("last_id"), F.col("value").alias("last_value"))
+    return asof.last_before(e.select("user_id", "ts", "event_id"), told, "user_id", "ts", ["last_id", "last_value"], tie="last_id").select("event_id", "last_id", "last_value")
+
+
 @query("SELECT user_id, count(DISTINCT strftime(ts, '%Y-%m-%d'))::BIGINT AS days FROM events GROUP BY user_id HAVING count(DISTINCT strftime(ts, '%Y-%m-%d')) >= 2")
 def q_listed_people(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("days")).filter("days >= 2")

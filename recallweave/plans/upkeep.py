@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import cards, context, earlier, evaluate, graph, lore, memory, rank, segment, state
 from ..operators.index import build_index, earlier_terms
-from ..operators.lineage import shared_folder
+from ..operators.lineage import fresh_folder
 from ..sources import messages as src
 from .catalogue import MESSAGES, bm25, query
 from .retrieval import messages
@@ -45,7 +44,7 @@ def q_export_round_trip(spark, d):
 @query(f"WITH {MESSAGES} SELECT chat_id, turn, role FROM msg WHERE chat_id::BIGINT % 2 = 0")
 def q_snapshot(spark, d):
     """Even chats from snapshots of version 2; odd ones were kept in version 1, which a reader of 2 turns down."""
-    m, path = messages(spark, d).withColumn("odd", F.col("chat_id").cast("long") % 2), f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    m, path = messages(spark, d).withColumn("odd", F.col("chat_id").cast("long") % 2), fresh_folder(spark, "snapshot")
     src.snapshot(m.select("chat_id", "turn", "id", "role", "text", (2 - F.col("odd")).alias("version")), path)
     chats = m.select("chat_id").distinct()
     return src.saved_snapshots(spark, path, chats, 2).select("chat_id", "turn", "role")
