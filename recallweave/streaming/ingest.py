@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from ..functions import text as tx
 from ..operators import state
 from ..operators.lineage import cut
+from .versions import BUCKETS, versioned_sink
 
 LIVE_WINDOW = 6
 CHAR_BUDGET = 4500
@@ -173,30 +174,26 @@ def recover(facts: DataFrame, messages: DataFrame, read_to: DataFrame) -> tuple[
     return kept, again
 
 
-def recovering_sink(log: str, read_to: str, parse):
+def recovering_sink(base: str, parse: Callable[[DataFrame], DataFrame], epoch: int = 0, buckets: int = BUCKETS, step: Callable[[str], None] = lambda name: None):
     """A foreachBatch function over whole chats (chat_id, turn, id, role, text): each micro-batch recovers its chats' facts and
-    reads on from where they still hold.  parse(messages) gives facts; the logs are Parquet tables, replaced chat by chat."""
+    reads on from where they still hold.  parse(messages) gives facts (chat_id, sourceId, ...).
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        fs = spark._jvm.org.apache.hadoop.fs.Path(log).getFileSystem(spark._jsc.hadoopConfiguration())
-        has = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{log}/_SUCCESS"))
-        chats = batch.select("chat_id").distinct()
-        if has:
-            old = spark.read.parquet(log).withColumn("chat_id", F.col("chat_id").cast("string")).join(chats, "chat_id", "left_semi")
-            seen = spark.read.parquet(read_to).withColumn("chat_id", F.col("chat_id").cast("string")).join(chats, "chat_id", "left_semi")
-            kept, again = recover(old, batch, seen)
-            made = kept.unionByName(parse(again).select(kept.columns))
-        else:
-            made = parse(batch)
-        made = cut(made)
-        last = cut(batch.groupBy("chat_id").agg(F.max_by("id", F.when(F.col("role") == "assistant", F.col("turn"))).alias("lastId")))
-        for rows, path in ((made, log), (last, read_to)):
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_id").parquet(path)
-        batch.unpersist()
+    Facts and reading place are one version (``versions``): a batch that stopped midway leaves the last version whole, and is done
+    anew; one that was committed is not done again.  A chat of which no source is left keeps no facts.
+    """
 
-    return write
+    def change(batch: DataFrame, table: Callable[[str], DataFrame | None]) -> dict[str, DataFrame]:
+        chats = batch.select("chat_id").distinct()
+        old, seen = table("facts"), table("read_to")
+        last = batch.groupBy("chat_id").agg(F.max_by("id", F.when(F.col("role") == "assistant", F.col("turn"))).alias("lastId"))
+        if old is None:
+            return {"facts": cut(parse(batch)), "read_to": cut(last)}
+        kept, again = recover(old.join(chats, "chat_id", "left_semi"), batch, seen.join(chats, "chat_id", "left_semi"))
+        others = old.join(chats, "chat_id", "left_anti")
+        facts = others.unionByName(kept.select(old.columns)).unionByName(parse(cut(again)).select(old.columns))
+        return {"facts": cut(facts), "read_to": cut(seen.join(chats, "chat_id", "left_anti").unionByName(last))}
+
+    return versioned_sink(base, change, epoch, buckets, step)
 
 
 def seeded_batches(messages: DataFrame, seeds: DataFrame, budget: int = CHAR_BUDGET, deadline: int = LIVE_WINDOW) -> DataFrame:

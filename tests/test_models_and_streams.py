@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recallweave.operators import evaluate, models, pack
 from recallweave.sources import messages as src
 from recallweave.streaming import ingest
+from recallweave.streaming.versions import Conflict, Versions
 
 
 def test_prompts_shrink_in_the_middle(spark):
@@ -92,17 +93,90 @@ def parse(m):
     return m.filter("role = 'assistant'").select("chat_id", F.concat(F.lit("f:"), "id").alias("id"), F.col("id").alias("sourceId"), "text", "turn")
 
 
+def chats(spark, rows):
+    return spark.createDataFrame(rows, MESSAGE)
+
+
+def facts_of(spark, base):
+    return {r.id: r.text for r in Versions(spark, base).table("facts").collect()}
+
+
 def test_rewritten_history_inside_the_sink(spark, tmp_path):
     first = [("c", n, f"m{n}", "assistant" if n % 2 == 0 else "user", f"t{n}") for n in range(1, 7)]
     changed = first[:3] + [("c", n, f"x{n}", "assistant" if n % 2 == 0 else "user", f"new{n}") for n in range(4, 9)]
-    write = ingest.recovering_sink(str(tmp_path / "log"), str(tmp_path / "read"), parse)
-    write(spark.createDataFrame(first + [("d", 2, "d2", "assistant", "other")], MESSAGE), 0)
-    assert {r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()} == {"f:m2", "f:m4", "f:m6", "f:d2"}
-    write(spark.createDataFrame(changed, MESSAGE), 1)
-    got = {r.id: r.text for r in spark.read.parquet(str(tmp_path / "log")).collect()}
-    assert got == {"f:m2": "t2", "f:x4": "new4", "f:x6": "new6", "f:x8": "new8", "f:d2": "other"}
-    write(spark.createDataFrame(changed, MESSAGE), 1)  # run again: the same log
-    assert {r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()} == set(got)
+    base, given = str(tmp_path / "log"), []
+
+    def told(m):
+        given.append(sorted(r.id for r in m.collect()))
+        return parse(m)
+
+    write = ingest.recovering_sink(base, told, buckets=2)
+    write(chats(spark, first + [("d", 2, "d2", "assistant", "other")]), 0)
+    assert set(facts_of(spark, base)) == {"f:m2", "f:m4", "f:m6", "f:d2"}
+    write(chats(spark, changed), 1)
+    assert facts_of(spark, base) == {"f:m2": "t2", "f:x4": "new4", "f:x6": "new6", "f:x8": "new8", "f:d2": "other"}
+    assert given[1] == ["m3", "x4", "x5", "x6", "x7", "x8"]  # after m2, the last source that survives
+    more = changed + [("c", 9, "x9", "user", "u"), ("c", 10, "x10", "assistant", "new10")]
+    write(chats(spark, more), 2)
+    assert given[2] == ["x10", "x9"] and facts_of(spark, base)["f:x10"] == "new10"
+    write(chats(spark, more), 2)  # run again: committed already
+    assert len(given) == 3 and len(facts_of(spark, base)) == 6
+    write(chats(spark, [("c", 1, "y1", "user", "all new")]), 3)  # nothing is left of the chat's sources
+    assert facts_of(spark, base) == {"f:d2": "other"} and given[3] == ["y1"]
+
+
+@pytest.mark.parametrize("where", ["read", "changed", "written", "committed", "torn"])
+def test_a_stop_at_any_step_leaves_one_whole_version(spark, tmp_path, where):
+    base = str(tmp_path / "log")
+    ingest.recovering_sink(base, parse, buckets=2)(chats(spark, [("c", 2, "m2", "assistant", "a"), ("d", 2, "d2", "assistant", "d")]), 0)
+    more = chats(spark, [("c", 2, "m2", "assistant", "a"), ("c", 4, "m4", "assistant", "b")])
+
+    def stop(name):
+        if name == where:
+            raise RuntimeError(name)
+
+    if where == "torn":  # the manifest was begun and not ended
+        (tmp_path / "log/_versions/000000000002").write_text('{"number": 2, "epo')
+    else:
+        with pytest.raises(RuntimeError):
+            ingest.recovering_sink(base, parse, buckets=2, step=stop)(more, 1)
+    after = {"f:m2", "f:d2", "f:m4"} if where == "committed" else {"f:m2", "f:d2"}
+    v = Versions(spark, base, 2)
+    assert set(facts_of(spark, base)) == after and {r.lastId for r in v.table("read_to").collect()} == ({"m4", "d2"} if where == "committed" else {"m2", "d2"})
+    ingest.recovering_sink(base, parse, buckets=2)(more, 1)
+    rows = [r.id for r in v.table("facts").collect()]
+    assert sorted(rows) == ["f:d2", "f:m2", "f:m4"] and {r.lastId for r in v.table("read_to").collect()} == {"m4", "d2"}
+    v.clear_unnamed(keep=1)
+    assert sorted(r.id for r in v.table("facts").collect()) == ["f:d2", "f:m2", "f:m4"]
+
+
+def test_one_of_two_writers_wins_and_old_epochs_fail(spark, tmp_path):
+    base = str(tmp_path / "log")
+    one = chats(spark, [("c", 2, "m2", "assistant", "a")])
+    ingest.recovering_sink(base, parse)(one, 0)
+    v = Versions(spark, base)
+    seen = v.current()
+
+    def meanwhile(name):  # another writer commits between reading and committing
+        if name == "written":
+            ingest.recovering_sink(base, parse)(chats(spark, [("e", 2, "e2", "assistant", "e")]), 1)
+
+    with pytest.raises(Conflict):
+        ingest.recovering_sink(base, parse, step=meanwhile)(chats(spark, [("f", 2, "f2", "assistant", "f")]), 1)
+    assert set(facts_of(spark, base)) == {"f:m2", "f:e2"} and v.current().number == seen.number + 1
+    ingest.recovering_sink(base, parse, epoch=1)(chats(spark, [("g", 2, "g2", "assistant", "g")]), 0)
+    with pytest.raises(Conflict):
+        ingest.recovering_sink(base, parse, epoch=0)(one, 5)
+    assert set(facts_of(spark, base)) == {"f:m2", "f:e2", "f:g2"}
+
+
+def test_the_sink_in_a_stream_that_begins_again(spark, tmp_path):
+    base = str(tmp_path / "log")
+    for k in range(2):
+        chats(spark, [(f"c{k}", 2, f"m{k}", "assistant", "a")]).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(MESSAGE).parquet(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(ingest.recovering_sink(base, parse)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert set(facts_of(spark, base)) == {"f:m0", "f:m1"}
 
 
 def test_branches_begin_after_the_shared_turns(spark):
