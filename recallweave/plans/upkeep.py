@@ -105,18 +105,17 @@ def q_applied_history(spark, d):
     return state.applied_history(log).select("chat_id", "seq")
 
 
-@query("SELECT DISTINCT source AS chat_id, lang AS keyword FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND NOT (lang = 'en' AND source = (SELECT min(source) FROM documents))")
+@query("WITH k AS (SELECT DISTINCT coalesce(source, '') AS chat_id, coalesce(lang, '') AS keyword FROM documents) SELECT chat_id, keyword FROM k WHERE NOT (keyword = 'en' AND chat_id = (SELECT min(chat_id) FROM k))")
 def q_keyword_review(spark, d):
-    docs = src.read_table(spark, d, "documents").filter("source is not null and lang is not null").select(F.col("source").alias("chat_id"), F.col("lang").alias("keyword"))
+    docs = src.read_table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("chat_id"), F.coalesce("lang", F.lit("")).alias("keyword"))
     dropped = docs.agg(F.min("chat_id").alias("chat_id")).withColumn("keyword", F.lit("en"))
     return state.keyword_review(docs, dropped)
 
 
-@query("""SELECT event_id, (length(trim(event_type)) BETWEEN 1 AND 6 AND event_id % 3 <> 1 AND event_id % 4 <> 1) AS good FROM (SELECT event_id, CASE WHEN length(event_type) > 6 THEN 'x' ELSE event_type END AS event_type, length(event_type) > 6 AS long FROM events) WHERE NOT long""")
+@query("SELECT event_id, (length(event_type) * 6 BETWEEN 1 AND 40 AND event_id % 3 <> 1 AND event_id % 4 <> 1) AS good FROM events")
 def q_valid_overrides(spark, d):
-    """Edits of short event types: every third has an empty fact, every fourth an unknown domain."""
-    e = _events(spark, d).filter(F.length("event_type") <= 6)
-    edits = e.select("event_id", F.col("event_id").cast("string").alias("fact_id"), F.col("event_type").alias("keyword"), F.when(F.col("event_id") % 3 == 1, "").otherwise("무엇이다").alias("fact"), F.when(F.col("event_id") % 4 == 1, "없음").alias("domain"))
+    """An edit an event: its type six times is the keyword, too long for long types; every third has an empty fact, every fourth an unknown domain."""
+    edits = _events(spark, d).select("event_id", F.col("event_id").cast("string").alias("fact_id"), F.repeat("event_type", F.lit(6)).alias("keyword"), F.when(F.col("event_id") % 3 == 1, "").otherwise("무엇이다").alias("fact"), F.when(F.col("event_id") % 4 == 1, "없음").alias("domain"))
     good, bad = state.valid_overrides(edits)
     return good.select("event_id", F.lit(True).alias("good")).unionByName(bad.select("event_id", F.lit(False).alias("good")))
 
@@ -143,10 +142,10 @@ def q_backup_restore(spark, d):
     return state.restore(now, saved.unionByName(saved.withColumn("app", F.lit("foreign")).withColumn("key", F.concat(F.lit("other:"), "key"))), "app")
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'go CLICKED' ELSE CASE WHEN user_id % 10 = 1 THEN 'go own ' || user_id ELSE 'go any' END END AS draft FROM events WHERE event_type = 'click' OR event_id % 2 = 0""")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'go CLICKED' ELSE CASE WHEN user_id % 10 = 1 THEN 'go own ' || user_id ELSE 'go any' END END AS draft FROM events""")
 def q_expand_memo(spark, d):
     """Triggers at the end of drafts: a long general one, a short general one, and a room's own short one."""
-    e = _events(spark, d).filter("event_type = 'click' or event_id % 2 = 0").select("event_id", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("chat_id"), F.concat(F.lit("go "), F.when(F.col("event_type") == "click", "//click").otherwise("//k")).alias("draft"))
+    e = _events(spark, d).select("event_id", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("chat_id"), F.concat(F.lit("go "), F.when(F.col("event_type") == "click", "//click").otherwise("//k")).alias("draft"))
     own = _events(spark, d).filter("user_id % 10 = 1").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("chat_id"), F.lit("//k").alias("trigger"), F.concat(F.lit("own "), F.col("user_id").cast("string")).alias("text")).distinct()
     general = spark.createDataFrame([(None, "//k", "any"), (None, "//click", "CLICKED"), (None, "click", "short")], "chat_id string, trigger string, text string")
     return state.expand_memo(e, own.unionByName(general)).select("event_id", "draft")
@@ -298,11 +297,11 @@ def q_selection_metrics(spark, d):
 
 
 def table_facts(spark, d):
-    """Documents as facts: the source is the keyword, the language the domain, the beginning of the text the fact."""
-    docs = src.read_table(spark, d, "documents").filter("source is not null")
+    """Documents as facts: the source is the keyword, the text the fact, the language who is there; doc_id gives domain, turn and origin."""
+    docs = src.read_table(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit("none")))
     named = F.when(F.col("doc_id") % 3 == 0, vocab_person()).when(F.col("doc_id") % 3 == 1, vocab_concept()).otherwise("장소")
-    return docs.select(F.lit("c").alias("chat_id"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("keyword"), F.concat(F.lit("fact "), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit(""))).alias("fact"), named.alias("domain"),
-                       F.lit("").alias("kind"), F.array("lang").alias("who"), (F.col("doc_id") % 50).cast("int").alias("turn"), F.lit("s").alias("sourceId"), F.when(F.col("doc_id") % 11 == 0, "rule").alias("source"), F.lit(True).alias("enabled"), F.lit(False).alias("pinned"))
+    return docs.select(F.lit("c").alias("chat_id"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("keyword"), F.coalesce("text", F.lit("")).alias("fact"), named.alias("domain"),
+                       F.lit("").alias("kind"), F.array(F.coalesce("lang", F.lit(""))).alias("who"), (F.col("doc_id") % 50).cast("int").alias("turn"), F.lit("s").alias("sourceId"), F.when(F.col("doc_id") % 11 == 0, "rule").alias("source"), F.lit(True).alias("enabled"), F.lit(False).alias("pinned"))
 
 
 def vocab_person() -> str:
@@ -313,8 +312,8 @@ def vocab_concept() -> str:
     return memory.vocab.CONCEPT
 
 
-@query("""WITH f AS (SELECT d.doc_id, d.source, 'fact ' || d.doc_id || ' ' || coalesce(d.lang, '') AS fact, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source IS NOT NULL AND d.doc_id % 11 <> 0)
-SELECT doc_id::VARCHAR AS id, CASE WHEN quality = 0 THEN 'low' ELSE source END AS keyword, CASE WHEN quality = 1 THEN 'good ' || doc_id ELSE fact END AS fact FROM f WHERE coalesce(toxic, 0) = 0 AND CASE WHEN quality = 0 THEN 'low' ELSE source END <> (SELECT min(source) FROM documents)""")
+@query("""WITH f AS (SELECT d.doc_id, coalesce(d.source, 'none') AS source, coalesce(d.text, '') AS fact, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 11 <> 0)
+SELECT doc_id::VARCHAR AS id, CASE WHEN quality = 0 THEN 'low' ELSE source END AS keyword, CASE WHEN quality = 1 THEN 'good ' || doc_id ELSE fact END AS fact FROM f WHERE coalesce(toxic, 0) = 0 AND CASE WHEN quality = 0 THEN 'low' ELSE source END <> (SELECT min(coalesce(source, 'none')) FROM documents)""")
 def q_overrides_view(spark, d):
     """Labels as overrides of facts: toxic ones are deleted, low ones get a keyword, good ones a text; facts that a rule picked and one keyword go."""
     lab = src.read_table(spark, d, "labels")
@@ -325,8 +324,8 @@ def q_overrides_view(spark, d):
     return memory.effective_facts(facts, o, dropped).select("id", "keyword", "fact")
 
 
-@query("""WITH f AS (SELECT lower(source) AS name, doc_id % 3 AS k FROM documents WHERE source IS NOT NULL), v AS (SELECT name, count(*) FILTER (k = 0) AS p, count(*) FILTER (k = 1) AS u, count(*) FILTER (k = 2) AS t FROM f GROUP BY ALL),
-s AS (SELECT name, CASE WHEN p > t + u THEN 'person' WHEN t > p THEN 'thing' WHEN u > p THEN 'doubtful' END AS v FROM v), l AS (SELECT lower(lang) AS name FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc_id % 50) >= 2)
+@query("""WITH f AS (SELECT lower(coalesce(source, 'none')) AS name, doc_id % 3 AS k FROM documents), v AS (SELECT name, count(*) FILTER (k = 0) AS p, count(*) FILTER (k = 1) AS u, count(*) FILTER (k = 2) AS t FROM f GROUP BY ALL),
+s AS (SELECT name, CASE WHEN p > t + u THEN 'person' WHEN t > p THEN 'thing' WHEN u > p THEN 'doubtful' END AS v FROM v), l AS (SELECT lower(lang) AS name FROM documents WHERE lang <> '' GROUP BY ALL HAVING count(DISTINCT doc_id % 50) >= 2)
 SELECT name, CASE v WHEN 'person' THEN 'person' ELSE 'thing' END AS standing FROM s WHERE v IN ('person', 'thing') OR v = 'doubtful' AND name NOT IN (SELECT name FROM l) UNION ALL SELECT name, 'listed' FROM l WHERE name NOT IN (SELECT name FROM s WHERE v = 'thing')""")
 def q_fact_votes(spark, d):
     """Who counts as a person: votes of all facts on keywords, and names present in two turns or more."""
@@ -359,7 +358,7 @@ def q_merge_decision(spark, d):
     return memory.nearest_note(m.join(earlier, "card").filter("place < turn"), ["id"]).select("id", "target", "action", F.round("share", 6).alias("share"))
 
 
-@query("""WITH f AS (SELECT source AS keyword, (doc_id % 50)::INT AS turn FROM documents WHERE source IS NOT NULL) SELECT keyword, max(turn)::INT AS turn FROM f GROUP BY keyword ORDER BY max(turn) DESC, keyword LIMIT 80""")
+@query("""WITH f AS (SELECT coalesce(source, 'none') AS keyword, (doc_id % 50)::INT AS turn FROM documents) SELECT keyword, max(turn)::INT AS turn FROM f GROUP BY keyword ORDER BY max(turn) DESC, keyword LIMIT 80""")
 def q_intent_keywords(spark, d):
     """The keywords with the newest facts, for a model to choose from."""
     return cards.intent_keywords(table_facts(spark, d)).select("keyword", "turn")
@@ -426,9 +425,9 @@ def q_blended(spark, d):
     return rank.blended(lexical, semantic).select("query_id", "unit_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT source AS chat_id, doc_id::VARCHAR AS id, lang AS title, text AS content FROM documents WHERE source IS NOT NULL AND length(text) > 0")
+@query("SELECT coalesce(source, '') AS chat_id, doc_id::VARCHAR AS id, coalesce(lang, '로어') AS title, text AS content FROM documents WHERE length(text) > 0")
 def q_lore_round_trip(spark, d):
-    """Documents as notes, written as JSON by chat and read again."""
-    docs = src.read_table(spark, d, "documents").filter("source is not null and length(text) > 0")
-    notes = docs.select(F.col("source").alias("chat_id"), F.col("doc_id").alias("ins"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.array("lang").alias("keywords"), F.col("text").alias("content"), F.lit(True).alias("enabled"))
+    """All documents as notes, written as JSON by chat and read again; the reader leaves out those without content."""
+    docs = src.read_table(spark, d, "documents")
+    notes = docs.select(F.coalesce("source", F.lit("")).alias("chat_id"), F.col("doc_id").alias("ins"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.array("lang").alias("keywords"), F.col("text").alias("content"), F.lit(True).alias("enabled"))
     return lore.import_lore(lore.export_lore(notes)).select("chat_id", "id", "title", "content")
