@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import memory, retrieval, stats, stories, upkeep  # noqa: F401  registration
+    from . import hangul, memory, retrieval, stats, stories, upkeep  # noqa: F401  registration
 
 
 #: SQL of the shared first steps.
