@@ -239,7 +239,7 @@ def q_budget_pack(spark, d):
 SELECT source, doc_id FROM d WHERE used <= 20000""")
 def q_budget_stop(spark, d):
     docs = src.read_table(spark, d, "documents").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("cost"))
-    return pack.stop_at_overflow(docs, ["source"], [F.asc("doc_id")], F.col("cost"), 20000).select("source", "doc_id")
+    return pack.stop_at_overflow(docs, ["source"], [F.asc("doc_id")], F.col("cost"), 20000, spread=True).select("source", "doc_id")
 
 
 @query(f"SELECT page_id, {clean('html')} AS text FROM pages")

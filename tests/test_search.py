@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from recallweave.operators import asof, blocks, evaluate, grams, lineage, names, rank, state
+from recallweave.operators import asof, blocks, evaluate, grams, lineage, names, pack, rank, state
 from recallweave.operators.index import build_index
 
 
@@ -162,3 +162,22 @@ def test_stored_once_until_the_files_change(spark, tmp_path):
     assert os.path.isdir(folder) and lineage.clear_stored(spark) >= 2 and not os.path.isdir(folder)
     lineage.derived_once(spark, "x", str(tmp_path / "t.parquet"), make)
     assert len(made) == 3
+
+
+def test_large_groups_are_packed_in_rounds(spark):
+    r = random.Random(9)
+    rows = [(g, i, r.choice([0, 1, 2, 5, 9, 30, 70, 400])) for g in ("a", "b", None) for i in range({"a": 700, "b": 90, None: 300}[g])]
+    d = spark.createDataFrame(rows, "g string, i int, c int")
+    for budget, separator in ((100, 0), (1000, 1), (7, 2), (100_000, 0), (0, 0)):
+        want = {}
+        for g in ("a", "b", None):
+            left, n = budget + separator, 0
+            for _, i, c in (x for x in rows if x[0] == g):
+                if c + separator <= left:
+                    left, n = left - c - separator, n + 1
+                    want[g, i] = n
+        for task_rows in (pack.TASK_ROWS, 20):
+            got = {(x.g, x.i): x.pack_rank for x in pack.pack_groups(d.repartition(7), ["g"], [F.asc("i")], F.col("c"), budget, separator, task_rows).collect()}
+            assert got == want, (budget, separator, task_rows)
+    whole = sorted(map(str, pack.stop_at_overflow(d, ["g"], [F.asc("i")], F.col("c"), 500).collect()))
+    assert sorted(map(str, pack.stop_at_overflow(d, ["g"], [F.asc("i")], F.col("c"), 500, spread=True).collect())) == whole and len(whole) > 5
