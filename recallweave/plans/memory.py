@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cards, context, graph, lore, memory, segment
 from ..operators.lineage import cut, fresh_folder
 from ..sources import messages as src
-from ..streaming import ingest
+from ..streaming import ingest, waiting
 from .catalogue import MESSAGES, query
 from .retrieval import messages
 
@@ -105,3 +105,36 @@ def q_stream_ingest(spark, d):
     at = fresh_folder(spark, "stream")
     ingest.run_available(ingest.deduplicated(m), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").select("chat_id", "id", "role")
+
+
+_FORCED = f"""WITH RECURSIVE {MESSAGES}, b AS (SELECT *, count(*) FILTER (role = 'assistant') OVER (PARTITION BY chat_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM msg),
+r AS (SELECT chat_id, k, min(turn) AS first, max(turn) AS last, sum(length(text)) AS size, max(id) FILTER (role = 'assistant') AS id FROM b GROUP BY ALL HAVING count(*) FILTER (role = 'assistant') > 0),
+p(chat_id, k, batch, used) AS (SELECT chat_id, k, 0, size FROM r WHERE k = 0 UNION ALL SELECT r.chat_id, r.k, CASE WHEN p.used + r.size <= 1000 THEN p.batch ELSE p.batch + 1 END, CASE WHEN p.used + r.size <= 1000 THEN p.used + r.size ELSE r.size END FROM p JOIN r ON r.chat_id = p.chat_id AND r.k = p.k + 1)
+SELECT chat_id, batch::INT AS batch, min(first)::INT AS from_turn, max(last)::INT AS to_turn, max_by(id, k) AS last_id, sum(size)::INT AS size FROM p JOIN r USING (chat_id, k) GROUP BY chat_id, batch"""
+
+
+@query(_FORCED)
+def q_forced_batches(spark, d):
+    """Unread replies of all conversations in batches of 1,000 characters, none left waiting."""
+    return ingest.extraction_batches(messages(spark, d), 1000, force=True)
+
+
+@query(_FORCED)
+def q_timed_batches(spark, d):
+    """The same as a stream with state and timers: a batch is read as soon as a reply is there, with all that fits."""
+    schema = src.read_table(spark, d, "conversations").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/conversations.parquet*")
+    kept = rows.filter(F.col("role").isin("user", "assistant") & (F.length(F.trim("text")) > 0))
+    # user messages and replies without a gap: a turn is its place in the conversation, counted by the table
+    place = messages(spark, d).select(F.col("id").alias("_id"), F.col("turn").alias("_turn"))
+    m = kept.withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).drop("turn").join(place, F.col("id") == F.col("_id"))
+    m = m.select(F.col("conv_id").cast("string").alias("chat_id"), F.col("_turn").alias("turn"), "role", "id", "text", F.timestamp_seconds("_turn").alias("ts"))
+    at = fresh_folder(spark, "waiting")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    waiting.with_store(spark)
+    try:
+        ingest.run_available(waiting.timed_batches(m, 1000, 1), f"{at}/out", f"{at}/checkpoint")
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(ingest.BATCHES).parquet(f"{at}/out")
