@@ -358,6 +358,17 @@ def q_merge_decision(spark, d):
     return memory.nearest_note(m.join(earlier, "card").filter("place < turn"), ["id"]).select("id", "target", "action", F.round("share", 6).alias("share"))
 
 
+@query("""WITH w AS (SELECT coalesce(lang, 'none') AS card, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'state' ELSE 'other' END AS kind, list_distinct(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: regexp_replace(lower(x), '[\\s\\p{P}\\p{S}]+', '', 'g')), lambda x: length(x) >= 2)) AS w FROM documents),
+p AS (SELECT a.doc_id, a.kind, a.w AS aw, b.doc_id AS target, b.kind AS target_kind, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.card = b.card AND b.doc_id < a.doc_id AND least(len(a.w), len(b.w)) >= 0.45 * greatest(len(a.w), len(b.w)) AND len(a.w) > 0 AND len(b.w) > 0),
+t AS (SELECT *, c / (n - c) AS o FROM p WHERE c / (n - c) >= 0.45 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c / (n - c) DESC, target) = 1)
+SELECT doc_id AS id, target, CASE WHEN o >= 0.75 AND len(aw) >= 3 THEN 'dup' WHEN kind = 'state' AND target_kind = 'state' THEN 'update' ELSE 'new' END AS action, round(o, 6)::DOUBLE AS share FROM t""")
+def q_merge_documents(spark, d):
+    """Every document as a fact of its language: the nearest earlier one with 0.45 of their words, and what the rule makes of it.  Even ones are states."""
+    docs = src.spread(src.read_table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+    facts = docs.select(F.coalesce("lang", F.lit("none")).alias("card"), F.col("doc_id").alias("id"), F.col("doc_id").alias("place"), F.when(F.col("doc_id") % 2 == 0, "상태").otherwise("경험").alias("kind"), memory.fx.fact_words("text").alias("words"))
+    return memory.nearest_notes(facts).select("id", "target", "action", F.round("share", 6).alias("share"))
+
+
 @query("""WITH f AS (SELECT coalesce(source, 'none') AS keyword, (doc_id % 50)::INT AS turn FROM documents) SELECT keyword, max(turn)::INT AS turn FROM f GROUP BY keyword ORDER BY max(turn) DESC, keyword LIMIT 80""")
 def q_intent_keywords(spark, d):
     """The keywords with the newest facts, for a model to choose from."""

@@ -401,3 +401,21 @@ def test_vectors_refresh(spark):
     stored = items.limit(1).select(F.lit(None).cast("string").alias("x"), "text").withColumn("key", __import__("recallweave.functions.text", fromlist=["text_key"]).text_key("text")).select("key", F.array(F.lit(1.0).cast("float")).alias("vec"))
     got = rank.refresh_vectors(items, stored.unionByName(spark.createDataFrame([("gone:1", [2.0])], "key string, vec array<float>")), lambda s: pd.Series([[float(len(x))] for x in s]))
     assert sorted(r.vec[0] for r in got.collect()) == [1.0, 3.0]
+
+
+def test_nearest_notes_against_all_pairs(spark):
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+    base = [r.sample(words, r.randrange(1, 14)) for _ in range(25)]
+    made = [(c, f"{c}{i}", i, r.choice(["상태", "경험", None]), r.sample(x := r.choice(base), max(1, len(x) - r.randrange(3))) + r.sample(["n1", "n2", "n3"], r.randrange(3))) for c in ("a", "b") for i in range(120)]
+    made += [("a", "a900", 900, "상태", []), ("a", "a901", 901, "상태", []), ("a", "a902", 902, "상태", made[5][4])]
+    d = spark.createDataFrame(made, "card string, id string, place int, kind string, words array<string>")
+    want = {}
+    for c, i, p, k, w in made:
+        near = [(len({*w} & {*v}) / len({*w} | {*v}), -q, j, kk) for cc, j, q, kk, v in made if cc == c and q < p and w and v]
+        near = [x for x in near if x[0] >= 0.45]
+        if near:
+            o, _, j, kk = max(near)
+            want[c, i] = (j, round(o, 6), "dup" if o >= 0.75 and len(w) >= 3 else "update" if k == kk == "상태" else "new")
+    got = {(x.card, x.id): (x.target, round(x.share, 6), x.action) for x in memory.nearest_notes(d).collect()}
+    assert got == want and len(want) > 100 and {x[2] for x in want.values()} == {"dup", "update", "new"}
