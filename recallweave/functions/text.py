@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import vocab
 
@@ -50,14 +48,11 @@ def squash(text: Column) -> Column:
 
 
 def nfkc(text: Column | str) -> Column:
-    """Compatibility composition, for texts with characters that ``fold_width`` does not cover; batch by batch."""
-
-    def compose(values: pd.Series) -> pd.Series:
-        import unicodedata
-
-        return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    return F.pandas_udf(compose, T.StringType())(col(text))
+    """Compatibility composition (NFKC), for texts with characters that ``fold_width`` does not cover; in the JVM, by the ICU library that
+    Spark brings along, and only for texts beyond ASCII.  Spark takes calls by reflection for not deterministic, so this belongs into a
+    projection of its own, before texts are indexed."""
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col(text), F.lit(True))
+    return F.when(col(text).rlike(r"[^\x00-\x7F]"), made).otherwise(col(text))
 
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"

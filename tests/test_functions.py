@@ -1,5 +1,7 @@
 """Column functions on small Korean and Latin texts."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +22,14 @@ def test_terms_fold_full_width(spark):
     assert one(spark, tx.terms("t"), t="ＡＢＣ　１２") == ["abc", "12"]
 
 
+def test_nfkc_of_every_code_point(spark):
+    """Against Python, code points in short runs so that sequences are composed too; those that this Python does not know are left out."""
+    known = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    d = spark.createDataFrame([("".join(known[i : i + 40]),) for i in range(0, len(known), 40)] + [("e\u0301 \u1112\u1161\u11ab \uff21",), ("plain",), ("",), (None,)], "t string")
+    for r in d.select("t", tx.nfkc("t").alias("n")).collect():
+        assert r.n == (None if r.t is None else unicodedata.normalize("NFKC", r.t)), r.t
+
+
 def test_nfkc(spark):
     assert one(spark, tx.nfkc("t"), t="ﬁ①") == "fi1"
 
