@@ -247,9 +247,9 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> Iterator[tuple[str, s
             x = f"{land}{98 - mod97(f'{land}00{body}'):02d}{body}" if good else "".join(pick("ABCDEFGHKL") for _ in range(2)) + d(2) + "".join(pick("ABCDEFGH0123") for _ in range(16))
             x = " ".join(x[k : k + 4] for k in range(0, len(x), 4)) if good and r.random() < 0.4 else x
         elif kind == "email_words":
-            x = f"{word()}{pick(['.', '', '_'])}{word()} {pick(['(at)', '[at]', 'at'])} {word()} {pick(['dot', '(dot)', '[dot]'])} {pick(['com', 'org', 'net', 'de'])}" if good else pick([f"{pick(_PROSE)} at {pick(_PLACES)} dot {pick(_AFTER)}", f"{pick(_PROSE)} at {word()} dot {pick(_AFTER)}", f"{word()} at {pick(_PLACES)} dot {pick(TOP_LEVEL)}", f"{pick(_PROSE)} at {word()}.{pick(['at', 'it', 'es', 'de'])}"])
+            x = f"{word()}{pick(['.', '', '_'])}{word()} {pick(['(at)', '[at]', 'at'])} {word()} {pick(['dot', '(dot)', '[dot]'])} {pick(['com', 'org', 'net', 'de'])}" if good else pick([f"{pick(_PROSE)} at {pick(_PLACES)} dot {pick(_AFTER)}", f"{pick(_PROSE)} at {word()} dot {pick(_AFTER)}", f"{word()} at {pick(_PLACES)} dot {pick(TOP_LEVEL)}", f"{word()} at {word()} dot {pick(TOP_LEVEL)}", f"{pick(_PROSE)} at {word()}.{pick(['at', 'it', 'es', 'de'])}"])
             if good and r.random() < 0.2:
-                x = f"{word()}{pick(['.', '_'])}{word()} at {word()}{pick(['.', ' dot '])}{pick(TOP_LEVEL)}"
+                x = f"{word()}{pick(['.', '_', '', ''])}{word()} at {word()}{pick(['.', ' dot '])}{pick(TOP_LEVEL)}"
         elif kind == "ipv6":
             x = pick([":".join(hexs(4) for _ in range(8)), f"2001:db8::{hexs(int(r.integers(1, 5)))}", f"fe80::{hexs(4)}:{hexs(4)}"]) if good else pick([":".join(d(2) for _ in range(6)), ":".join(d(1) for _ in range(7))])
         elif kind == "mac":
