@@ -26,11 +26,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def coerce(rows: DataFrame) -> DataFrame:
-    """Older shapes in one: id or _id; text, content or message; ids and texts as strings."""
+    """Older shapes in one: id or _id; text, content or message; ids and texts as strings.  Rows say their place in ``seq``: Spark keeps none."""
     have = set(rows.columns)
+    if "seq" not in have:
+        raise ValueError("rows need seq, their place in the source")
     first = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in have), F.lit(None).cast("string"))
-    seq = F.col("seq") if "seq" in have else F.monotonically_increasing_id()
-    return rows.select(first("chat_id").alias("chat_id"), first("id", "_id").alias("id"), F.coalesce(first("role"), F.lit("assistant")).alias("role"), first("text", "content", "message").alias("text"), first("status").alias("status"), seq.alias("seq"))
+    return rows.select(first("chat_id").alias("chat_id"), first("id", "_id").alias("id"), F.coalesce(first("role"), F.lit("assistant")).alias("role"), first("text", "content", "message").alias("text"), first("status").alias("status"), "seq")
 
 
 def ingest(rows: DataFrame, include_system: bool = False, most: int | None = None) -> DataFrame:
