@@ -78,6 +78,24 @@ def test_phrases_are_found_where_they_stand_first(spark):
     assert none.count() == 0
 
 
+def test_phrases_by_chat_and_by_grams_agree(spark, monkeypatch):
+    """Few phrases a chat are looked for in its texts at once; many, and many bytes of them, by grams; the result is the same."""
+    r = random.Random(6)
+    texts = [(f"c{i % 7}", f"u{i}", "".join(r.choices("ab é한😀", k=r.randrange(0, 60)))) for i in range(150)] + [("c1", "null", None), ("c1", "u1", "ab é")]
+    asked = [(f"q{i}", f"c{i % 7}", "".join(r.choices("ab é한😀", k=1 + i % 5))) for i in range(14)]
+    t, q = spark.createDataFrame(texts, "chat_id string, unit_id string, text string"), spark.createDataFrame(asked, "query_id string, chat_id string, phrase string")
+    found = lambda: sorted(map(tuple, grams.find_phrases(t, q).collect()))
+    first = found()
+    plan = grams.find_phrases(t, q)._jdf.queryExecution().executedPlan().toString()
+    assert len(first) > 20 and "InArrow" not in plan and "NestedLoop" not in plan
+    monkeypatch.setattr(grams, "FEW", 0)
+    assert found() == first
+    # the grams of the texts are sifted where they are made and meet those asked for without a shuffle
+    assert "SortMergeJoin" not in grams.find_phrases(t, q)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(grams, "SENT", 0)
+    assert found() == first
+
+
 def test_no_text_meets_a_phrase_that_it_has_nothing_of(spark):
     """The plan has no join on the conversation alone, and candidates are few."""
     texts = spark.createDataFrame([("c", f"u{i}", f"text number {i} of many") for i in range(300)], "chat_id string, unit_id string, text string")
