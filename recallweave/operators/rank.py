@@ -522,14 +522,16 @@ def search_turns(messages: DataFrame, queries: DataFrame, limit: int | None = No
     seen = tx.strip_own_block("text")
     seen = F.regexp_replace(seen, r"<!--[\s\S]*?-->|!\[[^\]]*\]\([^)]+\)|```(?:\w+)?", " ")
     seen = tx.squash(F.regexp_replace(tx.fold_width(seen), r"\*{1,3}|_{2,}", ""))
-    texts = messages.select("chat_id", "turn", F.col("id").alias("message_id"), "role", seen.alias("text")).withColumn("folded", F.lower("text"))
+    # read and folded once: every further step would do it again, and each would plan all of them
+    texts = cut(messages.select("chat_id", "turn", F.col("id").alias("message_id"), "role", seen.alias("text")).withColumn("folded", F.lower("text")))
     asked = queries.select("query_id", "chat_id", tx.squash(F.lower(tx.fold_width("query"))).alias("q")).filter(F.length("q") > 0)
-    found = find_phrases(texts, asked, "folded", "turn", "q")
+    asked = cut(asked)
+    found = cut(find_phrases(texts, asked, "folded", "turn", "q"))
     exact = found.join(asked, ["query_id", "chat_id"]).join(texts, ["chat_id", "turn"]).select("query_id", "chat_id", "turn", "message_id", "role", F.lit(True).alias("exact"), F.lit(0.0).alias("score"), tx.snippet(F.col("text"), F.col("at"), F.length("q")).alias("s"))
     from .index import build_index
 
     units = texts.select("chat_id", F.col("turn").cast("string").alias("unit_id"), "message_id", "role", "turn", F.col("turn").cast("long").alias("ord"), "text")
-    hits = bm25(build_index(units), asked.withColumnRenamed("q", "query"))
+    hits = bm25(build_index(units).stored("turns"), asked.withColumnRenamed("q", "query"), words=False)
     words = F.filter(F.split("q", " "), lambda w: F.length(w) > 0)
     stem = lambda w: F.substr(w, F.lit(1), F.greatest(F.lit(2), F.length(w) - 1))
     beginnings = F.filter(F.transform(words, lambda w: F.position(stem(w), F.col("folded")) - 1), lambda p: p >= 0)
