@@ -132,11 +132,32 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 #: Queries that are sent to all tasks at once, in bytes of their vectors; more go in further passes over the vectors.
 QUERY_BYTES = 32_000_000
+#: Queries of one pass at most: a task keeps k hits, or the coarse bins, of each.
+PASS_QUERIES = 4000
+#: Cosines that a task has at once.
+BLOCK_CELLS = 4_000_000
+
+
+def _passes(n: int, width: int | None) -> int:
+    return max(1, -(-8 * n * (width or 0) // QUERY_BYTES), -(-n // PASS_QUERIES))
+
+
+def _slices(batches, queries: int):
+    """Batches in slices whose cosines with so many queries stay within BLOCK_CELLS."""
+    step = max(1, BLOCK_CELLS // max(1, queries))
+    for b in batches:
+        for f in range(0, b.num_rows, step):
+            yield b.slice(f, step)
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
     """Rows of unit length from a list column; a vector of zeros stays one."""
-    v = np.array(lists.to_pylist(), float).reshape(len(lists), -1)
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat, sizes = lists.flatten(), pc.list_value_length(lists)
+    if len(lists) and not lists.null_count and not flat.null_count and pc.count_distinct(sizes).as_py() == 1:
+        v = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+    else:
+        v = np.array(lists.to_pylist(), float).reshape(len(lists), -1)
     size = np.linalg.norm(v, axis=1, keepdims=True)
     return v / np.where(size > 0, size, 1.0)
 
@@ -147,7 +168,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec",
     A task multiplies its vectors, block by block, with the queries and keeps k of each, so only k rows a query and task are shuffled.
     """
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
-    passes = max(1, -(-8 * n * (width or 0) // QUERY_BYTES))
+    passes = _passes(n, width)
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
     found = []
     for p in range(passes):
@@ -158,8 +179,8 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec",
         def run(batches, sent=sent):
             names, side = sent.value
             best: list[list[tuple]] = [[] for _ in names]
-            for b in batches:
-                if not names or not b.num_rows:
+            for b in _slices(batches, len(names)):
+                if not names:
                     continue
                 keys, v = b.column(0).to_pylist(), _matrix(b.column(1))
                 some = np.linalg.norm(v, axis=1) > 0
@@ -202,7 +223,7 @@ def middle_gap(vectors: DataFrame, queries: DataFrame, gap: float = 0.04, vec: s
     out in passes as in cosine_top, and what returns to the driver is a row a query of the pass.
     """
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
-    passes = max(1, -(-8 * n * (width or 0) // QUERY_BYTES))
+    passes = _passes(n, width)
     name, unit = queries.schema["query_id"].dataType, vectors.schema[key].dataType
     coarse = T.StructType([T.StructField("query_id", name), T.StructField("bin", T.LongType()), T.StructField("c", T.LongType()), T.StructField("best", T.LongType()), T.StructField(key, unit)])
     fine = T.StructType([T.StructField("query_id", name), T.StructField("value", T.LongType()), T.StructField("c", T.LongType())])
@@ -210,7 +231,7 @@ def middle_gap(vectors: DataFrame, queries: DataFrame, gap: float = 0.04, vec: s
     found = None
 
     def cosine_blocks(batches, side):
-        for b in batches:
+        for b in _slices(batches, len(side)):
             v = _matrix(b.column(1))
             some = np.flatnonzero(np.linalg.norm(v, axis=1) > 0)
             if len(some) and len(side):
@@ -226,18 +247,21 @@ def middle_gap(vectors: DataFrame, queries: DataFrame, gap: float = 0.04, vec: s
 
         def count_bins(batches, sent=sent):
             names, side = sent.value
-            counts: list[dict[int, int]] = [{} for _ in names]
+            low, n = -1_000_000 // BIN - 1, 2_000_000 // BIN + 3
+            counts = np.zeros((len(names), n), np.int64)
             best: list[tuple | None] = [None] * len(names)
             for keys, score in cosine_blocks(batches, side):
-                for j, have in enumerate(counts):
-                    for x, c in zip(*np.unique(score[:, j] // BIN, return_counts=True), strict=True):
-                        have[int(x)] = have.get(int(x), 0) + int(c)
-                    top = score[:, j].max()
-                    first = min(keys[i] for i in np.flatnonzero(score[:, j] == top))
-                    best[j] = min(x for x in (best[j], (-int(top), first)) if x is not None)
-            rows = [(q, x, c, -b[0], b[1]) for q, have, b in zip(names, counts, best, strict=True) for x, c in have.items()]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, to_arrow_schema(coarse), strict=True)], coarse.names)
+                cell = score // BIN - low + np.arange(len(names)) * n
+                counts += np.bincount(cell.ravel(), minlength=counts.size).reshape(counts.shape)
+                top = score.max(0)
+                for j in range(len(names)):
+                    if best[j] is None or -int(top[j]) <= best[j][0]:
+                        first = (-int(top[j]), min(keys[i] for i in np.flatnonzero(score[:, j] == top[j])))
+                        best[j] = first if best[j] is None else min(best[j], first)
+            for f in range(0, len(names), 100):
+                j, x = np.nonzero(counts[f : f + 100])
+                made = [[names[f + i] for i in j], x + low, counts[f : f + 100][j, x], [-best[f + i][0] if best[f + i] else None for i in j], [best[f + i][1] if best[f + i] else None for i in j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(made, to_arrow_schema(coarse), strict=True)], coarse.names)
 
         bins = cut(vectors.select(key, vec).mapInArrow(count_bins, coarse).groupBy("query_id", "bin").agg(F.sum("c").alias("c"), F.min(F.struct((-F.col("best")).alias("low"), key)).alias("top")))
         whole = bins.groupBy("query_id").agg(F.sum("c").alias("n"), F.min("top").alias("top"))

@@ -199,3 +199,20 @@ def test_large_groups_are_packed_in_rounds(spark):
             assert got == want, (budget, separator, task_rows)
     whole = sorted(map(str, pack.stop_at_overflow(d, ["g"], [F.asc("i")], F.col("c"), 500).collect()))
     assert sorted(map(str, pack.stop_at_overflow(d, ["g"], [F.asc("i")], F.col("c"), 500, spread=True).collect())) == whole and len(whole) > 5
+
+
+def test_cosines_in_small_passes_and_slices_agree(spark, monkeypatch):
+    """A pass has few queries and a task few cosines at once, however many queries there are."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    v = spark.createDataFrame([(f"v{i}", [r.gauss(0, 1) for _ in range(6)]) for i in range(200)] + [("zero", [0.0] * 6)], "unit_id string, vec array<double>")
+    q = v.limit(20).withColumnRenamed("unit_id", "query_id")
+    found = lambda: (sorted(map(tuple, rank.cosine_top(v, q, 5).collect())), sorted(map(tuple, rank.middle_gap(v, q).collect())))
+    first = found()
+    assert len(first[0]) == 100 and len(first[1]) == 20
+    monkeypatch.setattr(rank, "PASS_QUERIES", 7)
+    assert rank._passes(20, 6) == 3 and found() == first
+    batch = pa.RecordBatch.from_pydict({"x": list(range(10_000))})
+    cut = list(rank._slices([batch], 60_000))
+    assert sum(b.num_rows for b in cut) == 10_000 and max(b.num_rows for b in cut) * 60_000 <= rank.BLOCK_CELLS
