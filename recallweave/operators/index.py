@@ -107,8 +107,30 @@ def build_index(units: DataFrame, terms: Callable[[str], Column] | None = None)
     return Index(units, postings, lengths, postings.groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df")), stats)
 
 
+def _listed(units: DataFrame) -> DataFrame | None:
+    """(chat_id, term list) of units, one row each, or None if a unit has several rows.  Only ids are read to tell."""
+    if units.groupBy("chat_id", "unit_id").count().filter("count > 1").limit(1).count():
+        return None
+    # a projection of its own for cleaning, as in build_index
+    return units.select("chat_id", F.lower(tx.search_text("text")).alias("clean")).select("chat_id", tx.terms_of("clean").alias("terms"))
+
+
+def document_frequencies(units: DataFrame) -> DataFrame:
+    """The df table of build_index(units) without its postings: a unit's terms are made distinct inside its row, so only words are shuffled."""
+    each = _listed(units)
+    if each is None:
+        return build_index(units).df
+    return each.select("chat_id", F.explode(F.array_distinct("terms")).alias("term")).groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def corpus_statistics(units: DataFrame) -> DataFrame:
+    """The stats table of build_index(units) without its postings: units and their average length, one row a corpus and task shuffled."""
+    each = _listed(units)
+    if each is None:
+        return build_index(units).stats
+    return each.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg(F.coalesce(F.size("terms"), F.lit(0)))).alias("avg_length"))
+
+
 def lasting_words(postings: DataFrame) -> DataFrame:
     """Hangul terms of three syllables or more, keyed by their first three for prefix joins."""
     return postings.filter(F.col("term").rlike(f"^[{tx.HANGUL}]{{3,}}\\z")).select("chat_id", "unit_id", F.col("term").alias("word"), F.substring("term", 1, 3).alias("p3"))
-
-

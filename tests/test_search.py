@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from recallweave.operators import asof, blocks, evaluate, grams, lineage, names, pack, rank, state
+from recallweave.operators import asof, blocks, evaluate, grams, index, lineage, names, pack, rank, state
 from recallweave.operators.index import build_index
 
 
@@ -216,3 +216,16 @@ def test_cosines_in_small_passes_and_slices_agree(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"x": list(range(10_000))})
     cut = list(rank._slices([batch], 60_000))
     assert sum(b.num_rows for b in cut) == 10_000 and max(b.num_rows for b in cut) * 60_000 <= rank.BLOCK_CELLS
+
+
+def test_frequencies_and_statistics_without_postings(spark):
+    """Equal to the index's tables, also where a unit has two rows; the plans count terms in rows and shuffle no (unit, term)."""
+    rows = [("c", f"u{i}", i, t) for i, t in enumerate(["one two two", "", None, "Two three one"])] + [("d", "u0", 0, "two")]
+    schema = "chat_id string, unit_id string, ord long, text string"
+    for made in (rows, [*rows, ("c", "u0", 0, "one four")]):
+        u = spark.createDataFrame(made, schema)
+        ix = build_index(u)
+        same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        assert same(index.document_frequencies(u), ix.df) and same(index.corpus_statistics(u), ix.stats)
+    plan = index.document_frequencies(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
+    assert "array_distinct" in plan and "unit_id" not in plan.split("Project")[0]
