@@ -229,3 +229,23 @@ def test_frequencies_and_statistics_without_postings(spark):
         assert same(index.document_frequencies(u), ix.df) and same(index.corpus_statistics(u), ix.stats)
     plan = index.document_frequencies(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
     assert "array_distinct" in plan and "unit_id" not in plan.split("Project")[0]
+
+
+def test_sets_that_may_share_enough_are_counted_block_by_block(spark, monkeypatch):
+    """Of all pairs only near ones leave a task, none is missed, and the order of blocks and chunks does not matter."""
+    from recallweave.operators import near
+
+    r = random.Random(12)
+    words, weights = [f"w{i}" for i in range(400)], [1 / (i + 3) for i in range(400)]
+    sets = [sorted(set(r.choices(words, weights, k=r.randrange(1, 90)))) for _ in range(150)]
+    sets += [sorted({*r.sample(s, max(1, int(len(s) * r.uniform(0.5, 1)))), *r.sample(words, 3)}) for s in sets]
+    rows = [(r.choice("ab"), i, len(s), s) for i, s in enumerate(sets)]
+    d = spark.createDataFrame(rows, "card string, place long, n int, set array<string>")
+    share = lambda s, t: len(set(s) & set(t)) / len(set(s) | set(t))
+    want = {(c, i, j) for c, i, _, s in rows for e, j, _, t in rows if c == e and j < i and share(s, t) >= 0.45}
+    for words_, cells in ((near.BLOCK_WORDS, near.CELLS), (300, 50)):
+        monkeypatch.setattr(near, "BLOCK_WORDS", words_)
+        monkeypatch.setattr(near, "CELLS", cells)
+        found = [tuple(x) for x in near.meeting(d, 0.45).collect()]
+        assert len(found) == len(set(found)) and set(found) >= want and len(found) <= len(want) + 5 and len(want) > 40
+    assert near.meeting(d.limit(0), 0.45).count() == 0
