@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from recallweave.operators import cards, context, earlier, evaluate, graph, lore, memory, pack, passages, rank, segment, state
@@ -98,6 +100,30 @@ def test_lsa_over_many_tasks_is_the_same_iteration(spark):
     assert all(abs(pairs.get((x.query_id, x.unit_id), 0.15) - max(x.d, 0.15)) < 2e-3 for x in brute) and pairs
 
 
+def test_topic_step_adds_vectors_up_in_slices(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [sorted(r.sample(range(30), 5)) for _ in range(40)]
+    df = spark.createDataFrame([(j, [float(i % 3 + 1) for i in j]) for j in rows], "j array<int>, x array<float>").repartition(5)
+    a = np.zeros((40, 30))
+    for i, j in enumerate(rows):
+        a[i, j] = [c % 3 + 1 for c in j]
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    v = np.sin(np.arange(1, 31))
+    monkeypatch.setattr(rank, "SLICE", 7)
+    square, fresh = rank._pass(df, v)
+    assert abs(square - (a @ v) @ (a @ v)) < 1e-9 and np.allclose(fresh, a.T @ (a @ v))
+
+
+def test_topics_keep_no_words_on_the_driver(spark, monkeypatch):
+    u = spark.createDataFrame([("c", f"u{i}", i, " ".join(f"w{i % 4}x{j}" for j in range(12))) for i in range(40)], "chat_id string, unit_id string, ord long, text string")
+    got = []
+    arrow = type(u).toArrow
+    monkeypatch.setattr(type(u), "toPandas", lambda self: pytest.fail("collected as rows of Python"))
+    monkeypatch.setattr(type(u), "toArrow", lambda self: got.append(arrow(self)) or got[-1])
+    rank.lsa_spread(u, u.limit(2).select(F.col("unit_id").alias("query_id"), "chat_id", F.col("text").alias("query")), k=2)
+    assert [t.column_names for t in got] == [["key", "df"]]
+
+
 def test_lsa_query_takes_all_languages_and_whole_texts(spark, tmp_path):
     r = random.Random(5)
     words = [[f"w{g}x{i}" for i in range(40)] for g in range(4)]
