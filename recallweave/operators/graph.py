@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import facts as fx
 from ..functions import text as tx
+from .ordered import fold_groups
 from .pack import first_fit
 
 #: Information blocks, the two forms of speaker labels, and beginnings of words that are never salient.
@@ -37,9 +37,21 @@ def sliding(messages: DataFrame, size: int = 4) -> DataFrame:
     return messages.select("chat_id", "turn", F.collect_list("text").over(w).alias("texts"))
 
 
+def _plain(text: Column | str) -> Column:
+    """A message without its own block and information blocks; texts without the characters that these begin with skip the pattern."""
+    return tx.let(tx.strip_own_block(text), lambda t: F.when(F.contains(t, F.lit("```")) | F.contains(t, F.lit("[")), F.regexp_replace(t, _INFO, " ")).otherwise(t))
+
+
 def _story(text: Column) -> Column:
+    return tx.let(text, _unlabelled)
+
+
+def _unlabelled(text: Column) -> Column:
     out = text
-    for p in (r"!\[[^\]]*\]\([^)]*\)", r"(?i)>\s*T-\d+", r"\*{0,2}[^*|｜:(\[{\n]{2,15}\*{0,2}\s*[|:｜]", r"[👤💬⚔☀🌤🟡😊💡🕒📝💼🤝️]", r"(?:[*\-─—=_]\s*){2,}"):
+    for p in (r"!\[[^\]]*\]\([^)]*\)", r"(?i)>\s*T-\d+"):
+        out = F.regexp_replace(out, p, " ")
+    out = F.when(text.rlike("[|:｜]"), F.regexp_replace(out, r"\*{0,2}[^*|｜:(\[{\n]{2,15}\*{0,2}\s*[|:｜]", " ")).otherwise(out)
+    for p in (r"[👤💬⚔☀🌤🟡😊💡🕒📝💼🤝️]", r"(?:[*\-─—=_]\s*){2,}"):
         out = F.regexp_replace(out, p, " ")
     return out
 
@@ -51,15 +63,20 @@ def _weight(s: Column) -> Column:
 
 def speakers(messages: DataFrame, stopwords: list[str] = vocab.STOPWORDS) -> DataFrame:
     """(chat_id, win, name): who speaks in each window, by labels at line starts."""
-    plain = F.regexp_replace(tx.strip_own_block("text"), _INFO, " ")
-    lines = messages.select("chat_id", "win", "turn", F.posexplode(F.split(plain, "\n")).alias("n", "line")).withColumn("line", tx.trim(F.col("line")))
-    a, b = F.regexp_extract("line", _SPEAKER, 1), F.regexp_extract("line", _MARKED, 1)
-    named = lines.select("chat_id", "win", "turn", "n", fx.clean_speaker(F.when(F.length(a) > 0, a).otherwise(b), stopwords).alias("name")).filter("name is not null")
+    plain = _plain("text")
+
+    def name(line: Column) -> Column:
+        told = lambda x: tx.let(F.regexp_extract(x, _SPEAKER, 1), lambda a: fx.clean_speaker(F.when(F.length(a) > 0, a).otherwise(F.regexp_extract(x, _MARKED, 1)), stopwords))
+        return tx.let(tx.trim(line), told)
+
+    # inside the row, where no filter is pushed down that would clean each line anew
+    found = F.filter(F.transform(F.split(plain, "\n"), lambda x, n: F.struct(n.alias("n"), name(x).alias("name"))), lambda x: x["name"].isNotNull())
+    named = messages.select("chat_id", "win", "turn", F.explode_outer(found).alias("x")).filter("x is not null").select("chat_id", "win", "turn", "x.n", "x.name")
     return named.groupBy("chat_id", "win", "name").agg(F.min(F.struct("turn", "n")).alias("at"))
 
 
 def _windows_text(messages: DataFrame) -> DataFrame:
-    plain = F.regexp_replace(tx.strip_own_block("text"), _INFO, " ")
+    plain = _plain("text")
     g = messages.select("chat_id", "win", "first", "last", "turn", plain.alias("t")).groupBy("chat_id", "win", "first", "last").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("m"))
     return g.select("chat_id", "win", "first", "last", _story(F.concat(F.lit(" "), F.array_join(F.transform("m", lambda x: x["t"]), " "))).alias("story"))
 
@@ -177,15 +194,19 @@ def query_graph(cards: DataFrame, queries: DataFrame, budget: int = 500) -> Data
 def window_details(messages: DataFrame, stopwords: list[str] = vocab.STOPWORDS) -> DataFrame:
     """(chat_id, win, first, last, speakers, location, states, fact): what each window (messages with win) shows, its best sentence or two."""
     m = messages.withColumn("first", F.min("turn").over(W.partitionBy("chat_id", "win"))).withColumn("last", F.max("turn").over(W.partitionBy("chat_id", "win")))
-    plain = F.regexp_replace(tx.strip_own_block("text"), _INFO, " ")
+    plain = _plain("text")
     t = m.select("chat_id", "win", "first", "last", "turn", plain.alias("plain"))
     who = speakers(m, stopwords).groupBy("chat_id", "win").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("speakers"))
     places = F.array(*map(F.lit, vocab.LOCATIONS))
-    at = F.get(F.reverse(F.filter(places, lambda p: F.contains(F.col("plain"), p))), F.lit(0))
-    states = F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(*map(F.lit, vocab.STATES)), lambda s: F.contains(F.col("plain"), s)))))
-    seen = t.withColumn("at", at).groupBy("chat_id", "win", "first", "last").agg(F.max_by("at", F.when(F.col("at").isNotNull(), F.col("turn"))).alias("location"), F.array_sort(states).alias("states"))
-    s = t.select("chat_id", "win", "turn", F.posexplode(F.split(_story(F.col("plain")), r"(?<=[.!?])(?U)\s+|\n+")).alias("n", "s")).withColumn("s", fx.clean_sentence("s")).filter((F.length("s") >= 8) & ~F.col("s").rlike(vocab.INNER))
-    s = s.withColumn("w", _weight(F.col("s"))).filter("w >= 3.0")
+    held = F.array(*map(F.lit, vocab.STATES))
+    # texts are cleaned once: each look at one, and each sentence of one, is inside the row's own expression
+    shows = tx.let(F.col("plain"), lambda t: F.struct(F.get(F.reverse(F.filter(places, lambda p: F.contains(t, p))), F.lit(0)).alias("at"), F.filter(held, lambda s: F.contains(t, s)).alias("states")))
+    at, states = F.col("shows.at"), F.array_distinct(F.flatten(F.collect_list("shows.states")))
+    seen = t.select("chat_id", "win", "first", "last", "turn", shows.alias("shows")).groupBy("chat_id", "win", "first", "last").agg(F.max_by(at, F.when(at.isNotNull(), F.col("turn"))).alias("location"), F.array_sort(states).alias("states"))
+    parts = F.transform(F.split(_story(F.col("plain")), r"(?<=[.!?])(?U)\s+|\n+"), lambda x, n: F.struct(n.alias("n"), fx.clean_sentence(x).alias("s")))
+    outer = F.filter(parts, lambda x: (F.length(x["s"]) >= 8) & ~x["s"].rlike(vocab.INNER))
+    strong = F.filter(F.transform(outer, lambda x: F.struct(x["n"].alias("n"), x["s"].alias("s"), _weight(x["s"]).alias("w"))), lambda x: x["w"] >= 3.0)
+    s = t.select("chat_id", "win", "turn", F.explode_outer(strong).alias("x")).filter("x is not null").select("chat_id", "win", "turn", "x.*")
     ranked = s.groupBy("chat_id", "win").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "turn", "n", "s"))).alias("a"))
     best = F.get("a", F.lit(0))
     second = F.get(F.filter("a", lambda x: (x["s"] != best["s"]) & (F.abs(F.length(x["s"]) - F.length(best["s"])) > 5)), F.lit(0))
@@ -199,9 +220,7 @@ def sliding_memory(details: DataFrame) -> DataFrame:
 
     The last two windows stay in detail; older ones are lines, or above four two epochs with their longest fact.
     """
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("win")
-        rows = pdf.to_dict("records")
+    def build(rows: list[dict]) -> list[tuple]:
         names: dict[str, int] = {}
         states: list[str] = []
         for r in rows:
@@ -219,10 +238,10 @@ def sliding_memory(details: DataFrame) -> DataFrame:
         text += [f"• 중심 인물: {', '.join(list(names)[:6])}"] * bool(names) + [f"• 현재 장소: {place}"] * bool(place) + [f"• 지속 상태: {', '.join(states[:6])}"] * bool(states)
         text += ["[누적 서사 흐름]", *([f"• [{n} (턴 {a}~{b})] {f}" for n, a, b, f in line] or ["• [서사 발단] 사건 및 수련의 기초 단계 진행"])]
         text += ["[최근 세부 상호작용 (직전 2회 응답 디테일)]", *(f"• [턴 {r['first']}~{r['last']}] {r['fact']}" for r in recent), "[당면 상황]", f"• {recent[-1]['fact']}"]
-        made = (pdf.chat_id.iloc[0], list(names.items()), place, states, [f"{n} {a}~{b}: {f}" for n, a, b, f in line], [r["fact"] for r in recent], "\n".join(text))
-        return pd.DataFrame([made], columns=["chat_id", "characters", "location", "states", "timeline", "recent", "prompt"])
+        made = (rows[0]["chat_id"], [{"name": n, "windows": c} for n, c in names.items()], place, states, [f"{n} {a}~{b}: {f}" for n, a, b, f in line], [r["fact"] for r in recent], "\n".join(text))
+        return [made]
 
-    return details.groupBy("chat_id").applyInPandas(build, "chat_id string, characters array<struct<name: string, windows: int>>, location string, states array<string>, timeline array<string>, recent array<string>, prompt string")
+    return fold_groups(details, ["chat_id"], ["win"], build, "chat_id string, characters array<struct<name: string, windows: int>>, location string, states array<string>, timeline array<string>, recent array<string>, prompt string")
 
 
 def window_hints(messages: DataFrame, stopwords: list[str] = vocab.STOPWORDS, most: int = 12) -> DataFrame:

@@ -320,6 +320,20 @@ def test_sliding_memory(spark):
     assert s.location == "정원" and "약속" in s.states and len(s.recent) == 2 and "[당면 상황]" in s.prompt
 
 
+def test_sliding_memory_of_many_chats_is_folded_in_order(spark, capsys):
+    one = lambda c, n: [(c, i + 1, f"{c}{i}", "assistant" if i % 2 else "user", f"{i}: 그는 {'정원' if i % 4 < 2 else '서재 탑'}에서 걸음을 멈추고 단호한 목소리로 약속했다.") for i in range(n)]
+    m = spark.createDataFrame([r for c in range(40) for r in one(f"c{c:02d}", 4 + c)], "chat_id string, turn int, id string, role string, text string").repartition(7)
+    d = graph.window_details(graph.reply_windows(m))
+    every = graph.sliding_memory(d)
+    got = {r.chat_id: r for r in every.collect()}
+    assert len(got) == 40
+    for c in ("c00", "c17", "c39"):
+        assert got[c] == graph.sliding_memory(d.filter(F.col("chat_id") == c)).first()
+    assert [x.split(":")[0] for x in got["c39"].timeline] == ["발단 1~16", "전개 17~36"]
+    every.explain("formatted")
+    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out
+
+
 def test_pinned_cards_budget_and_order(spark):
     f = facts(spark, ("가", "가" * 400, "개념", "", [], 1), ("나", "나" * 400, "개념", "", [], 5), ("다", "다" * 100, "개념", "", [], 3)).withColumn("pinned", F.lit(True))
     none = spark.createDataFrame([], "chat_id string, messageId string, turn int, text string, ins long")
