@@ -11,7 +11,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH, A_CORE = 5_000, 4
 
 
-def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], fold: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
     """The rows (tuples of schema) that fold makes of each group's rows (dicts), sorted by order.  A group is one list of rows."""
     kind = T.StructType.fromDDL(schema)
     fields = to_arrow_schema(kind)

@@ -215,6 +215,41 @@ def test_fold_keeps_everything(spark):
     assert by["f1"].slot == "current" and by["f2"].reason == "updated" and by["f2"].by == "f3"
 
 
+def test_folding_compares_with_sets_of_words_and_keeps_its_order(spark, capsys):
+    def plain(rows, limit):
+        """The rule over lists: the first of equally near notes that hold, current ones before those that made room."""
+        notes, out = [], []
+        for id_, kind, words in rows:
+            holding = [n for n in notes if n["why"] is None] + [n for n in out if n["why"] == "overflow"]
+            share, _, near = max(((len(words & n["w"]) / len(words | n["w"]), -i, n) for i, n in enumerate(holding)), key=lambda x: x[:2], default=(0, 0, None))
+            action = "dup" if share >= 0.75 and len(words) >= 3 else "update" if share >= 0.45 and kind == "상태" == near["kind"] else "new"
+            me = {"id": id_, "kind": kind, "w": words, "why": None}
+            notes.append(me)
+            if action != "new":
+                gone = me if action == "dup" and near["why"] is None and len(words) < len(near["w"]) else near
+                if gone["why"] is None:
+                    out.append(gone)
+                gone["why"] = "restated" if action == "dup" else "updated"
+            while len(now := [n for n in notes if n["why"] is None]) > limit:
+                now[0]["why"] = "overflow"
+                out.append(now[0])
+        return [n["id"] for n in notes if n["why"] is None], [(n["id"], n["why"]) for n in out]
+
+    r = random.Random(9)
+    for n in (3, 30, 80):
+        rows = [(str(i), r.choice(("상태", "경험")), {f"w{r.randrange(9)}" for _ in range(r.randint(1, 6))}) for i in range(n)]
+        rows = [(i, "상태", w) for i, _, w in rows] if n == 30 else [(i, "경험", w) for i, _, w in rows]
+        current, history = memory.fold_card([{"id": i, "fact": "", "kind": k, "who": [], "turn": int(i), "words": set(w)} for i, k, w in rows], {})
+        assert ([x.id for x in current], [(x.id, x.reason) for x in history]) == plain(rows, 5)
+    card = memory.Card()
+    for i in range(50):
+        card.add(memory.Note(id=str(i), fact="", kind="약속" if i < 5 else "", who=[], turn=1, words={"a", f"b{i % 3}"}))
+    assert len(card.current) == 5 and len(card._sets) <= 3
+    f = facts(spark, *[("로완", f"로완은 {i} 번째 탑에 올랐다.", "인물", "경험", [], i) for i in range(4)])
+    memory.fold_memory(f).explain("formatted")
+    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out
+
+
 def test_fuller_note_stays_and_weakest_overflows():
     w = lambda t: set(t.split())
     a = {"id": "a", "fact": "", "kind": "", "who": [], "turn": 1, "words": w("가 나 다 라 마")}
