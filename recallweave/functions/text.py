@@ -17,6 +17,7 @@ from .. import vocab
 _OTHER = r"\t\n\x0B\f\r\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = f"[ {_OTHER}]"
 SPACES = f"{SPACE}+"
+NOT_SPACE = f"[^ {_OTHER}]"
 HANGUL = "가-힣"
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -610,23 +611,66 @@ def locate_turns(messages: DataFrame, items: DataFrame) -> DataFrame:
     return by_id.unionByName(near)
 
 
-def sentence_information(parts: DataFrame, ix: Index) -> DataFrame:
-    """parts (chat_id, s, ...) with info: rarity of the distinct terms, summed, over the root of their number; none without terms."""
-    each = parts.select("*", F.explode(F.array_distinct(tx.terms("s"))).alias("term")).join(ix.df, ["chat_id", "term"], "left").join(ix.stats.select("chat_id", F.col("n").alias("n_docs")), "chat_id", "left")
-    rarity = F.ln((F.greatest(F.coalesce("n_docs", F.lit(1)), F.lit(1)) + 1) / (F.coalesce("df", F.lit(0)) + 1))
-    return each.groupBy(*parts.columns).agg((F.sum(rarity) / F.sqrt(F.count(F.lit(1)))).alias("info"))
+def sentence_information(messages: DataFrame, sentences: Callable[[Column], Column], last: int = 4) -> DataFrame:
+    """(chat_id, turn, place, s, info) of the sentences, cut by ``sentences`` out of the searchable text, of each chat's last messages: rarity of
+    their distinct terms in the chat's messages, summed, over the root of their number; none without terms.
+
+    A task reads its chats newest message first and holds the terms of a chat's last messages and their counts, no index and no join.
+    """
+    back = F.row_number().over(W.partitionBy("chat_id").orderBy(F.desc("turn")))
+    read = messages.select("chat_id", "turn", "text", back.alias("back")).select("chat_id", "turn", "back", "text", F.when(F.col("back") <= last, tx.search_text("text")).alias("clean"))
+    parts = F.coalesce(sentences(F.col("clean")), tx.no_strings())
+    each = read.select("chat_id", "turn", "back", F.posexplode(F.concat(F.array("text"), parts)).alias("place", "s"))
+    # the message itself stands at place 0 and before its sentences; the window has put a chat's rows together and in order
+    cleaned = each.select("chat_id", "turn", "back", "place", F.when(F.col("place") > 0, F.col("s")).alias("s"), F.lower(tx.search_text("s")).alias("clean"))
+    listed = cleaned.select("chat_id", "turn", "back", "place", "s", F.array_distinct(tx.terms_of("clean")).alias("terms"))
+    schema = T.StructType([*(listed.schema[c] for c in ("chat_id", "turn")), T.StructField("place", T.IntegerType()), T.StructField("s", T.StringType()), T.StructField("info", T.DoubleType())])
+    fields = to_arrow_schema(schema)
+
+    def told(chat: str, said: list[tuple], n: int, often: dict[str, int]) -> list[tuple]:
+        return [(chat, turn, place, s, sum(math.log((n + 1) / (often[t] + 1)) for t in terms) / math.sqrt(len(terms))) for turn, place, s, terms in said]
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], fields.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chat, said, n, often = None, [], 0, {}
+        for b in batches:
+            out = []
+            for c, turn, r, place, s, terms in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if c != chat:
+                    out.extend(told(chat, said, n, often))
+                    chat, said, n, often = c, [], 0, {}
+                if place:
+                    if terms:
+                        said.append((turn, place - 1, s, terms))
+                        for t in terms:
+                            often.setdefault(t, 0)
+                    continue
+                n += 1
+                for t in terms:
+                    if r <= last:
+                        often[t] = often.get(t, 0) + 1
+                    elif t in often:
+                        often[t] += 1
+            yield made(out)
+        yield made(told(chat, said, n, often))
+
+    return listed.mapInArrow(run, schema)
 
 
-def recent_scene(messages: DataFrame, ix: Index, max_chars: int = 360, last: int = 4) -> DataFrame:
+def recent_scene(messages: DataFrame, max_chars: int = 360, last: int = 4) -> DataFrame:
     """(chat_id, scene): the most informative sentences of the last messages, in their order, within a budget."""
-    w = W.partitionBy("chat_id").orderBy(F.desc("turn"))
-    recent = messages.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last).select("chat_id", "turn", tx.search_text("text").alias("text"))
-    parts = recent.select("chat_id", "turn", F.posexplode(F.split("text", r"(?<=[.!?。…\"”])(?U)\s+|\n+")).alias("n", "s")).withColumn("s", tx.trim(F.col("s"))).filter(F.length("s") >= 8)
-    scored = sentence_information(parts.withColumnRenamed("n", "place"), ix)
-    from .pack import pack_groups
-
-    took = pack_groups(scored, ["chat_id"], [F.desc(F.round("info", 9)), F.desc("turn"), F.asc("place")], tx.units("s") + 1, max_chars)
-    return took.groupBy("chat_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "place", "s"))), lambda x: x["s"]), " ").alias("scene"))
+    cut_at = lambda text: F.transform(F.split(text, r"(?<=[.!?。…\"”])(?U)\s+|\n+"), tx.trim)
+    scored = sentence_information(messages, cut_at, last).filter((F.length("s") >= 8) & (tx.units("s") < max_chars))
+    from .pack import first_fit
+
+    # a chat's sentences are those of its last messages, so they fit into one row
+    ranked = scored.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct((-F.round("info", 9)).alias("a"), (-F.col("turn")).alias("b"), "place", "s"))).alias("line"))
+    took = first_fit(F.col("line"), lambda x: tx.units(x["s"]) + 1, max_chars)
+    told = F.array_sort(F.transform(took, lambda x: F.struct((-x["b"]).alias("turn"), x["place"].alias("place"), x["s"].alias("s"))))
+    return ranked.select("chat_id", told.alias("told")).filter(F.size("told") > 0).select("chat_id", F.array_join(F.transform("told", lambda x: x["s"]), " ").alias("scene"))
 
 
 # --- baselines for evaluation ---------------------------------------------------------------------

@@ -40,8 +40,9 @@ def ingest(rows: DataFrame, include_system: bool = False, most: int | None = Non
     rows: chat_id, seq (place in the source, oldest first), id, role, text.
     """
     roles = (*ROLES, "system") if include_system else ROLES
-    kept = rows.filter(F.col("role").isin(*roles) & (F.length(tx.trim(F.coalesce("text", F.lit("")))) > 0) & F.col("id").isNotNull())
-    first = kept.groupBy("chat_id", "id").agg(F.min_by(F.struct("role", "text", "seq"), "seq").alias("m")).select("chat_id", "id", "m.*")
+    kept = rows.filter(F.col("role").isin(*roles) & F.col("text").rlike(tx.NOT_SPACE) & F.col("id").isNotNull())
+    # dealt by chat once: telling ids apart and numbering both stay in place
+    first = kept.repartition("chat_id").groupBy("chat_id", "id").agg(F.min_by(F.struct("role", "text", "seq"), "seq").alias("m")).select("chat_id", "id", "m.*")
     turn = F.row_number().over(W.partitionBy("chat_id").orderBy("seq", "id"))
     numbered = first.withColumn("turn", turn).select("chat_id", "turn", "id", "role", "text")
     return numbered if most is None else numbered.filter(F.col("turn") <= most)

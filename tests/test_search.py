@@ -1,5 +1,6 @@
 """Searches that read less than everything, against plain loops: blocks, phrases, names, as-of, middle cosine, stored tables."""
 
+import math
 import random
 import re
 
@@ -300,3 +301,23 @@ def test_tfidf_cosines_where_units_are_read_are_those_of_the_index(spark, monkey
     got = {(x.query_id, x.unit_id): x.score for x in scored.tfidf_cosine(u, q).collect()}
     want = {(x.query_id, x.unit_id): x.score for x in rank.tfidf_cosine(build_index(u), q).collect()}
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sentences_by_rarity_in_their_chat(spark):
+    """A table of messages in any order: counts are those of the whole chat, also of messages before the last ones; other chats do not count."""
+    told = [("a", 1, "u", "The river froze. Old bridge gone."), ("a", 2, "u", "The river <!-- no --> thawed."), ("a", 3, "u", "The bridge stands. !!!!!!!!!"), ("b", 1, "u", "The river again and again.")]
+    m = spark.createDataFrame(told[::-1], "chat_id string, turn int, role string, text string").repartition(3)
+    got = {(r.chat_id, r.turn, r.place): (r.s, round(r["info"], 6)) for r in rank.sentence_information(m, lambda x: F.split(x, r"(?<=[.!?])\s+"), last=2).collect()}
+    ln = math.log
+    assert got == {
+        ("a", 2, 0): ("The river thawed.", round((ln(4 / 4) + ln(4 / 3) + ln(4 / 2)) / math.sqrt(3), 6)),
+        ("a", 3, 0): ("The bridge stands.", round((ln(4 / 4) + ln(4 / 3) + ln(4 / 2)) / math.sqrt(3), 6)),
+        ("b", 1, 0): ("The river again and again.", round(4 * ln(2 / 2) / 2, 6)),
+    }
+    assert {r.chat_id: r.scene for r in rank.recent_scene(m, max_chars=20, last=2).collect()} == {"a": "The bridge stands."}
+
+
+def test_sentences_shuffle_no_words(spark):
+    m = spark.createDataFrame([("a", i, "u", f"Some words of number {i}.") for i in range(9)], "chat_id string, turn int, role string, text string")
+    plan = rank.sentence_information(m, lambda x: F.split(x, r"\s\s"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
