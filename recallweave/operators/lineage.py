@@ -42,10 +42,12 @@ def kept_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def files_of(spark: SparkSession, path: str) -> str:
-    """The files below a path by name, length and time: what has been derived from them holds while these do."""
+def files_of(spark: SparkSession, path: str, missing: str | None = None) -> str:
+    """The files below a path by name, length and time: what has been derived from them holds while these do.  missing: said of a path that is not there, else an error."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if missing is not None and not fs.exists(root):
+        return missing
     left, found = [root], []
     while left:
         for s in fs.listStatus(left.pop()):

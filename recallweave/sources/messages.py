@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.lineage import cut, files_of
 
 ROLES = ("user", "assistant")
 
@@ -89,9 +90,22 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return parse_export(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("chat_id"), F.col("value").alias("text")))
 
 
+#: Folders of a snapshot: chats are dealt to them by hash, so that files do not grow in number with the chats.
+SNAPSHOT_PARTS = 128
+
+
 def snapshot(messages: DataFrame, path: str) -> None:
-    """Messages as a table by chat; a chat's partition is replaced whole."""
-    messages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_id").parquet(path)
+    """Messages as a table in a fixed number of folders; a chat's rows are replaced whole, other chats stay.
+
+    Only folders of the given chats are written anew, with the other chats' rows that lie in them.
+    """
+    new = messages.withColumn("part", F.pmod(F.xxhash64("chat_id"), F.lit(SNAPSHOT_PARTS)).cast("int"))
+    if files_of(messages.sparkSession, path, missing=""):
+        chats = cut(new.select("chat_id", "part").distinct())
+        old = messages.sparkSession.read.parquet(path)
+        others = old.join(chats.select("part").distinct(), "part", "left_semi").join(chats.select("chat_id"), "chat_id", "left_anti")
+        new = new.unionByName(others, allowMissingColumns=True)
+    new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def keep_snapshot(messages: DataFrame, path: str, version: int) -> None:
@@ -101,8 +115,8 @@ def keep_snapshot(messages: DataFrame, path: str, version: int) -> None:
 
 def saved_snapshots(spark: SparkSession, path: str, chats: DataFrame, version: int) -> DataFrame:
     """The snapshots of chats (chat_id); none of a chat whose snapshot was written in another format, or is another chat's."""
-    kept = spark.read.parquet(path).withColumn("chat_id", F.col("chat_id").cast("string")).filter(F.col("version") == version)
-    return kept.join(chats.select("chat_id"), "chat_id", "left_semi").drop("version")
+    kept = spark.read.parquet(path).filter(F.col("version") == version)
+    return kept.join(chats.select("chat_id"), "chat_id", "left_semi").drop("version", "part")
 
 
 def fetch_pages(spark: SparkSession, addresses: DataFrame, fetch: Callable[[str], tuple[int, str]], attempts: int = 4, pause: float = 0.6) -> DataFrame:

@@ -262,3 +262,16 @@ def test_windows_of_a_stream(spark, tmp_path):
     ingest.run_available(ingest.windows_of_stream(stream), str(tmp_path / "out"), str(tmp_path / "c"))
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("a", 0, 1, 4), ("a", 1, 5, 8), ("b", 0, 1, 4)]
+
+
+def test_snapshots_in_few_folders_replace_whole_chats(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    made = lambda lo, hi, turns, text: spark.range(lo, hi).select(F.col("id").cast("string").alias("chat_id"), F.explode(F.sequence(F.lit(1), F.lit(turns))).alias("turn"), F.lit(text).alias("text"))
+    src.keep_snapshot(made(0, 600, 3, "old"), path, 2)
+    assert len(list((tmp_path / "snap").glob("part=*"))) <= src.SNAPSHOT_PARTS
+    src.keep_snapshot(made(0, 40, 1, "new"), path, 2)
+    src.keep_snapshot(made(40, 50, 2, "other format"), path, 1)
+    asked = spark.range(0, 700).select(F.col("id").cast("string").alias("chat_id"))
+    got = {(int(r.chat_id), r.text): r["count"] for r in src.saved_snapshots(spark, path, asked, 2).groupBy("chat_id", "text").count().collect()}
+    assert got == {(i, "new"): 1 for i in range(40)} | {(i, "old"): 3 for i in range(50, 600)}
+    assert src.saved_snapshots(spark, path, asked, 2).columns == ["chat_id", "turn", "text"]
