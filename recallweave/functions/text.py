@@ -184,7 +184,8 @@ def normalized_keyword(text: Column | str) -> Column:
 
 
 def norm_name(text: Column | str) -> Column:
-    return F.regexp_replace(normalized_keyword(text), f"[^a-z0-9{HANGUL}]", "")
+    # white space at the ends is among what goes
+    return F.regexp_replace(F.lower(fold_width(F.coalesce(col(text), F.lit("")))), f"[^a-z0-9{HANGUL}]+", "")
 
 
 def compact(text: Column | str) -> Column:

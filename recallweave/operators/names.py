@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 PART_BYTES = 8_000_000
 _BUILT: dict[str, object] = {}
+_BEST = pa.struct([("n", pa.int32()), ("tie", pa.string()), ("model", pa.string())])
+DIGITS = tuple("0123456789")
 
 
 def _automaton(part: str, names: list[str]):
@@ -72,6 +74,40 @@ def places(texts: DataFrame, names: DataFrame, text: str = "text", name: str = "
     return out
 
 
+def _best_of(sent, part: str, no_digit: bool):
+    """For each text the least of what ``sent`` says of the names that stand in it."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        told = sent.value
+        if not told:
+            return pa.nulls(len(texts), _BEST)
+        made = _automaton(part, list(told))
+
+        def best(t: str | None):
+            held = {n for end, n in made.iter(t) if not (no_digit and t[end + 1 : end + 2] in DIGITS)} if t else ()
+            return min((told[n] for n in held), default=None)
+
+        return pa.array([x and dict(zip(("n", "tie", "model"), x, strict=True)) for x in map(best, texts.to_pylist())], _BEST)
+
+    return run
+
+
+def longest_inside(text: Column, names: DataFrame, no_digit: bool = False, part_bytes: int = PART_BYTES) -> Column:
+    """struct(n, tie, model) of the longest name (names: name, tie, model) in a text, n being less its length, the least by tie and model; null
+    where none stands.  no_digit: a name before a digit does not count.  Cut into parts like those of ``places``."""
+    spark = names.sparkSession
+    each = names.filter(F.length("name") > 0).groupBy("name").agg(F.min(F.struct("tie", "model")).alias("best"))
+    size = each.agg(F.sum(F.octet_length("name"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    found = []
+    for p in range(parts):
+        some = {r.name: (-len(r.name), r.best.tie, r.best.model) for r in each.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == p).collect()}
+        sent, part = spark.sparkContext.broadcast(some), uuid.uuid4().hex
+        # not deterministic for Spark, so that a filter on what was found does not look for it a second time
+        found.append(F.arrow_udf(_best_of(sent, part, no_digit), "n int, tie string, model string").asNondeterministic()(text))
+    return F.array_min(F.array(*found))
+
+
 def leftmost_longest(found: Column) -> Column:
     """Of an array of structs (from, to, ...) the ones that a reader from the left takes: the longest at the first place, then on
     behind it."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import text as tx
 from .memory import latest
-from .names import places
+from .names import longest_inside
 
 
 def valid_overrides(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,23 +163,21 @@ def merge_scores(fresh: DataFrame, previous: DataFrame, listed: DataFrame) -> Da
 
 def model_for_text(texts: DataFrame, models: DataFrame, text: str = "text") -> DataFrame:
     """texts with ``model``: the id whose longest alias stands in the text and is not followed by a digit; the least id on ties."""
-    a = models.select(F.col("id").alias("model"), F.explode(tx.aliases_for("id")).alias("name")).distinct()
-    return _named_in(texts, text, a, ~F.substr("_k", F.col("to") + 1, F.lit(1)).rlike("[0-9]"), F.struct((-F.length("name")).alias("n"), "model"))
+    a = models.select(F.col("id").alias("model"), F.explode(tx.aliases_for("id")).alias("name"))
+    return _named_in(texts, text, a.select("name", F.lit("").alias("tie"), "model"), no_digit=True)
 
 
-def _named_in(texts: DataFrame, text: str, names: DataFrame, hit: Column | None, first: Column) -> DataFrame:
-    """texts with the ``model`` of the name (names: name, model) that a text holds, the least by ``first``.  What a text names depends on
-    it alone, so names are looked for once in each distinct text, all in one reading."""
-    t = texts.withColumn("_t", tx.norm_name(text))
-    found = places(t.select(F.col("_t").alias("_k"), F.col("_t").alias("_text")).distinct(), names, text="_text")
-    found = (found if hit is None else found.filter(hit)).select("_k", "name").distinct().join(names, "name").groupBy("_k").agg(F.min_by("model", first).alias("model"))
-    return t.join(found, F.col("_t") == F.col("_k"), "left").drop("_t", "_k")
+def _named_in(texts: DataFrame, text: str, names: DataFrame, no_digit: bool) -> DataFrame:
+    """texts with the ``model`` of the longest name (names: name, tie, model) that a text holds, the least by tie and model; each text is told
+    in its row, so none is shuffled."""
+    best = longest_inside(tx.norm_name(text), names, no_digit)
+    return texts.withColumn("_best", best).withColumn("model", F.col("_best.model")).drop("_best")
 
 
 def model_for_name(texts: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """texts with ``model`` of the longest remembered name (names: name, id) that they hold."""
-    k = names.select(tx.norm_name("name").alias("name"), F.col("id").alias("model")).filter(F.length("name") > 0)
-    return _named_in(texts, text, k, None, F.struct((-F.length("name")).alias("n"), "name", "model"))
+    k = names.select(tx.norm_name("name").alias("name"), F.col("id").alias("model"))
+    return _named_in(texts, text, k.select("name", F.col("name").alias("tie"), "model"), no_digit=False)
 
 
 def expand_memo(drafts: DataFrame, memos: DataFrame) -> DataFrame:

@@ -321,3 +321,15 @@ def test_sentences_shuffle_no_words(spark):
     m = spark.createDataFrame([("a", i, "u", f"Some words of number {i}.") for i in range(9)], "chat_id string, turn int, role string, text string")
     plan = rank.sentence_information(m, lambda x: F.split(x, r"\s\s"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_models_named_in_texts_of_rows_that_repeat(spark):
+    """Each row is told on its own, once and without a shuffle, by parts of names as by all of them."""
+    n = spark.createDataFrame([("ab", "x", "m2"), ("ab", "x", "m1"), ("abc", "y", "m3"), ("cde", "x", "m4"), ("", "x", "m5")], "name string, tie string, model string")
+    t = spark.createDataFrame([(1, "zabz"), (1, "zabz"), (2, "abc9"), (3, "abcde"), (4, None), (5, "")], "k int, text string")
+    for part in (4, 1000):
+        got = t.select("k", names.longest_inside(F.col("text"), n, True, part_bytes=part)["model"].alias("m"))
+        assert sorted((r.k, r.m or "") for r in got.collect()) == [(1, "m1"), (1, "m1"), (2, "m1"), (3, "m4"), (4, ""), (5, "")]
+    models = spark.createDataFrame([("acme-opal-5",)], "id string")
+    plan = state.model_for_text(t, models).filter("model is not null").select("k", "model")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
