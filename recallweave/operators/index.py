@@ -92,17 +92,33 @@ class Index:
         return self.units.select("chat_id", F.explode(found).alias("name")).distinct()
 
 
-def build_index(units: DataFrame, terms: Callable[[str], Column] | None = None) -> Index:
+def counted(terms: Column) -> Column:
+    """(term, tf) of an array of terms, by sorting it."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return tx.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).cast("long").alias("tf"))))
+
+    return F.when(F.size(terms) > 0, tx.let(F.sort_array(terms), runs))
+
+
+def build_index(units: DataFrame, terms: Callable[[str], Column] | None = None, whole: bool = False) -> Index:
     """An index of units (chat_id, unit_id, text, ...), each chat_id a corpus of its own.
 
     Terms are counted map-side, then by (corpus, unit, term); frequencies and lengths follow from those counts.
+    whole: each unit is one row, as messages are; its terms are then counted inside of it, and no unit is grouped.
     """
     # Cleaning, then folding, then splitting, each in a projection of its own, so that none is computed twice.
     text = units.select("chat_id", "unit_id", F.lower(tx.search_text("text")).alias("clean") if terms is None else F.col("text").alias("clean"))
-    each = text.select("chat_id", "unit_id", F.explode((terms or tx.terms_of)("clean")).alias("term"))
-    postings = each.groupBy("chat_id", "unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = postings.groupBy("chat_id", "unit_id").agg(F.sum("tf").alias("length"))
-    lengths = units.select("chat_id", "unit_id").join(counted, ["chat_id", "unit_id"], "left").fillna(0, ["length"])
+    split = (terms or tx.terms_of)("clean")
+    if whole:
+        listed = text.select("chat_id", "unit_id", split.alias("terms"))
+        postings = listed.select("chat_id", "unit_id", F.explode(counted(F.col("terms"))).alias("x")).select("chat_id", "unit_id", "x.term", "x.tf")
+        lengths = listed.select("chat_id", "unit_id", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("length"))
+    else:
+        postings = text.select("chat_id", "unit_id", F.explode(split).alias("term")).groupBy("chat_id", "unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        summed = postings.groupBy("chat_id", "unit_id").agg(F.sum("tf").alias("length"))
+        lengths = units.select("chat_id", "unit_id").join(summed, ["chat_id", "unit_id"], "left").fillna(0, ["length"])
     stats = lengths.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length"))
     return Index(units, postings, lengths, postings.groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df")), stats)
 

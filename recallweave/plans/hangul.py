@@ -38,7 +38,7 @@ def _any(words) -> str:
 @query(f"WITH {STORY}, t AS (SELECT chat_id, id, unnest({_terms('text')}) AS term FROM h) SELECT id AS unit_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL")
 def q_story_terms(spark, d):
     """Hangul words of all messages with their two-syllable pieces."""
-    return build_index(story(spark, d).withColumnRenamed("id", "unit_id")).postings.select("unit_id", "term", "tf")
+    return build_index(story(spark, d).withColumnRenamed("id", "unit_id"), whole=True).postings.select("unit_id", "term", "tf")
 
 
 @query(f"""WITH {STORY}, t AS (SELECT chat_id, id, turn, role, {_terms('text')} AS w FROM h), each AS (SELECT chat_id, id, unnest(w) AS term FROM t), post AS (SELECT chat_id, id, term, count(*) AS tf FROM each GROUP BY ALL),
@@ -51,7 +51,7 @@ SELECT query_id, id AS unit_id, round(sum(g), 6)::DOUBLE AS score, count(*)::BIG
 def q_story_ranking(spark, d):
     """Every user message asks its conversation: words, pieces, and credit for longer words with the same beginning."""
     m = story(spark, d)
-    ix = build_index(m.withColumnRenamed("id", "unit_id").withColumn("ord", F.col("turn").cast("long")))
+    ix = build_index(m.withColumnRenamed("id", "unit_id").withColumn("ord", F.col("turn").cast("long")), whole=True)
     asked = m.filter("role = 'user'").select(F.col("id").alias("query_id"), "chat_id", F.col("text").alias("query"))
     return rank.bm25(ix, asked, words=False).select("query_id", "unit_id", F.round("score", 6).alias("score"), F.col("n_matched").cast("long").alias("n_matched"))
 

@@ -333,3 +333,15 @@ def test_models_named_in_texts_of_rows_that_repeat(spark):
     models = spark.createDataFrame([("acme-opal-5",)], "id string")
     plan = state.model_for_text(t, models).filter("model is not null").select("k", "model")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_terms_counted_inside_of_whole_units(spark):
+    u = spark.createDataFrame([("a", "1", "Bee bee 가나다 가나다라 x bee ant"), ("a", "2", ""), ("a", "3", None), ("b", "1", "ant"), (None, "9", "zz ant zz")], "chat_id string, unit_id string, text string")
+    one, two = build_index(u), build_index(u, whole=True)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for part in ("postings", "df"):
+        assert rows(getattr(one, part)) == rows(getattr(two, part)) and getattr(one, part).dtypes == getattr(two, part).dtypes
+    assert rows(one.docs.filter("chat_id is not null")) == rows(two.docs.filter("chat_id is not null"))
+    assert rows(one.stats.filter("chat_id is not null")) == rows(two.stats.filter("chat_id is not null"))
+    plan = two.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
