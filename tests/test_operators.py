@@ -124,6 +124,40 @@ def test_topics_keep_no_words_on_the_driver(spark, monkeypatch):
     assert [t.column_names for t in got] == [["key", "df"]]
 
 
+def test_topics_read_many_units_a_row_and_clean_texts_once(spark, monkeypatch):
+    """A step reads packed rows, empty and unknown units among them, and no filter is pushed below the cleaning."""
+    r = random.Random(9)
+    text = lambda i: "" if i == 7 else "only_marks a_b" if i == 9 else " ".join(r.choices([f"w{i % 4}x{j}" for j in range(12)], k=20))
+    u = spark.createDataFrame([("c", f"u{i}", i, text(i)) for i in range(60)], "chat_id string, unit_id string, ord long, text string").repartition(3)
+    q = u.filter("ord % 20 = 0").select(F.col("unit_id").alias("query_id"), "chat_id", F.col("text").alias("query"))
+    one, seen, plans, step = rank.lsa(build_index(u), q, k=3), [], [], rank._pass
+    persist = type(u).persist
+    monkeypatch.setattr(type(u), "persist", lambda self, *a: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or persist(self, *a))
+    monkeypatch.setattr(rank, "_pass", lambda rows, v: seen.append(rows) or step(rows, v))
+    for packed in (rank.PACKED, 30):
+        monkeypatch.setattr(rank, "PACKED", packed)
+        seen.clear()
+        spread = rank.lsa_spread(u, q, k=3)
+        want, got = ({x.unit_id: x.vec for x in t.collect()} for t in (one[0], spread[0]))
+        assert got.keys() == want.keys() and "u9" in got and "u7" not in got and all(abs(x - y) < 1e-3 for k in want for x, y in zip(want[k], got[k], strict=True))
+        assert (seen[0].count() <= 3) == (packed > 30) and seen[0].count() < 59
+    assert plans and "Filter" not in plans[0]
+
+
+def test_agreement_is_told_without_python_and_rounded_as_decimals(spark):
+    r = np.random.default_rng(3)
+    v = [(f"u{i}", [float(x) for x in y / np.linalg.norm(y)]) for i, y in enumerate(r.normal(size=(50, 3)))]
+    docs = spark.createDataFrame([*v, ("half", [0.28125, 0.0, 0.0])], "unit_id string, vec array<double>")
+    asked = spark.createDataFrame([*((f"q{i}", x) for i, (_, x) in enumerate(v[:9])), ("one", [1.0, 0.0, 0.0])], "query_id string, qvec array<double>")
+    found = rank.agreeing(docs, asked, 0.15, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "round(" not in plan
+    got = {(x.query_id, x.unit_id): x.agreement for x in found.collect()}
+    brute = docs.crossJoin(asked).select("query_id", "unit_id", F.round(rank.dot("vec", "qvec"), 4).alias("d")).filter("d > 0.15").collect()
+    assert got == {(x.query_id, x.unit_id): x.d for x in brute} and got["one", "half"] == 0.2813
+    assert rank.agreeing(docs, asked.limit(0), 0.15, 4).count() == 0
+
+
 def test_lsa_query_takes_all_languages_and_whole_texts(spark, tmp_path):
     r = random.Random(5)
     words = [[f"w{g}x{i}" for i in range(40)] for g in range(4)]
