@@ -22,9 +22,12 @@ def fact_words(fact: Column | str) -> Column:
     """Distinct words of a fact without punctuation and one trailing particle, two characters or more."""
     # punctuation goes from the whole text at once, and only texts with Hangul have particles: patterns a word cost several times as much
     plain = F.regexp_replace(F.lower(fold_width(_text(fact))), r"(?U)[\p{P}\p{S}]+", "")
-    words = F.split(plain, r"(?U)\s+")
-    words = F.when(plain.rlike(f"[{HANGUL}]"), F.transform(words, lambda w: drop_particle(w, vocab.FACT_PARTICLES))).otherwise(words)
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))
+
+    def words(plain: Column) -> Column:
+        each = F.split(plain, r"(?U)\s+")
+        return F.when(plain.rlike(f"[{HANGUL}]"), F.transform(each, lambda w: drop_particle(w, vocab.FACT_PARTICLES))).otherwise(each)
+
+    return F.array_distinct(F.filter(let(plain, words), lambda w: F.length(w) >= 2))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -1,12 +1,11 @@
-"""Which sets may share enough words: counts of common rare words, block against block, so that no pair leaves a task but those that may.
+"""Which sets may share enough words: told block against block, so that no pair leaves a task but those that may.
 
-Words have one order, rarest first (by counts of hashed words, which only decides how much is counted, not what is found).  Two sets of n
-and m words with a Jaccard of ``bound`` share bound / (1 + bound) * (n + m) of them.  A set's opening is its first n - ceil(bound n) + 1
-words.  Of the words that two sets share, those in the opening that ends first stand in both openings; the others are in that set's rest.
-So the common words of the openings, counted in a task, and the length of that rest bound what can be shared.  Of the pairs that are left,
-all words are counted by a table of marks, in the same task.
+Two sets of n and m words with a Jaccard of ``bound`` share bound / (1 + bound) * (n + m) of them, so what only one of them has is bounded too.
+A set has a row of signs: for each of so many places, whether an odd number of its words falls there by hash.  The rows of two sets
+differ in no more places than there are words that only one has.  So the product of two tables of signs, one matrix product a pair of tiles, tells which pairs are
+too different.  Of the few that are left, all words are counted by a table of marks, in the same task.
 
-Defined cases: sets with nothing in common never meet; hashes that two words share only let more pairs through.
+Defined cases: sets with nothing in common never meet; marks that two words share only let more pairs through.
 """
 
 from __future__ import annotations
@@ -23,51 +22,47 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .lineage import cut
 
-#: Buckets in which words are counted for their order.
-BUCKETS = 1 << 18
 #: Words of a block, about; blocks of a group of sizes at least, where it has FEW_WORDS for each.
 BLOCK_WORDS, BLOCKS, FEW_WORDS = 4_000_000, 3, 200_000
-#: Pairs, and meetings of words, that a task counts at once.
-CELLS, TOUCHES = 4_000_000, 8_000_000
-#: Marks that the words of one set are told by.
+#: Pairs, and signs of one side, that a task has at once.
+CELLS = 4_000_000
+#: Marks that words are told by: 16 bits of their hash.
 MARKS = 1 << 16
+#: Signs of a set for each word of a pair at least, and at least of any; the steps by which sizes grow from tile to tile.
+SIGNS, LEAST, STEP = 1.5, 64, 1.25
+#: Tasks for each pair of blocks and at most for each core, so that hardly any task gets two large pairs.
+PAIR_TASKS, CORE_TASKS = 4, 32
 
 
-def openings(sets: DataFrame, bound: float) -> DataFrame:
-    """(card, place, n, words, opens, last): the hashes of each set's words in their order, how many make its opening, and the place of the last
-    of these in the order of all words."""
-    spark = sets.sparkSession
+def marked(sets: DataFrame) -> DataFrame:
+    """(card, place, n, marks): how many words each set has and the marks of these, two bytes each."""
     hashed = sets.select("card", "place", F.transform("set", lambda w: F.hash(w)).alias("h"))
-    often = hashed.select(F.explode("h").alias("b")).groupBy(F.pmod("b", F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("c")).toArrow()
-    weight = np.zeros(BUCKETS, np.int64)
-    weight[often.column("b").to_numpy()] = often.column("c").to_numpy()
-    sent = spark.sparkContext.broadcast(np.minimum(weight, (1 << 31) - 1))
 
     def run(batches):
         for b in batches:
             lists = b.column("h")
             n = np.diff(lists.offsets.to_numpy())
-            h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(b.num_rows), n)
-            order = (sent.value[h % BUCKETS] << 32) | (h & 0xFFFFFFFF)
-            by = np.lexsort((order, row))
-            keep = n - np.ceil(n * bound - 1e-9).astype(np.int64) + 1
-            first = np.cumsum(n) - n
-            made = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(h)]]), pa.int32()), pa.array(h[by].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("card"), b.column("place"), pa.array(n, pa.int32()), made, pa.array(keep, pa.int32()), pa.array(order[by][first + keep - 1])], ["card", "place", "n", "words", "opens", "last"])
+            marks = (lists.flatten().to_numpy(zero_copy_only=False) & (MARKS - 1)).astype(np.uint16)
+            ends = np.concatenate([[0], np.cumsum(2 * n.astype(np.int64))]).astype(np.int32)
+            made = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(marks.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("card"), b.column("place"), pa.array(n, pa.int32()), made], ["card", "place", "n", "marks"])
 
     kind = {f.name: f.dataType for f in sets.schema}
-    fields = [T.StructField("card", kind["card"]), T.StructField("place", kind["place"]), T.StructField("n", T.IntegerType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("opens", T.IntegerType()), T.StructField("last", T.LongType())]
-    return hashed.mapInArrow(run, T.StructType(fields))
+    return hashed.mapInArrow(run, T.StructType([T.StructField("card", kind["card"]), T.StructField("place", kind["place"]), T.StructField("n", T.IntegerType()), T.StructField("marks", T.BinaryType())]))
 
 
 def meeting(sets: DataFrame, bound: float) -> DataFrame:
-    """(card, place, p2), p2 before place: pairs of one card among which are all with a Jaccard of ``bound``; sets: card, place, set (not empty).
+    """(card, place, p2), p2 before place: pairs of one card among which are all with a Jaccard of ``bound``; sets: card, place, set (not empty)."""
+    return close_pairs(sets, bound).drop("most")
+
+
+def close_pairs(sets: DataFrame, bound: float) -> DataFrame:
+    """meeting() with the Jaccard that each pair has at most (its own, but for words that share a mark).
 
     Sets are grouped by size, so that one meets its own group and the two beside it, and a group is dealt into blocks by hash.  A task holds two blocks.
     """
     group = F.floor(F.log("n") / math.log(1 / bound) + 1e-9).cast("int")
-    rows = cut(openings(sets, bound).withColumn("g", group))
+    rows = cut(marked(sets).withColumn("g", group))
     words = F.sum("n")
     blocks = F.greatest(F.ceil(words / BLOCK_WORDS), F.least(F.lit(BLOCKS), F.ceil(words / FEW_WORDS))).cast("int")
     groups = cut(rows.groupBy("card", "g").agg(blocks.alias("blocks")))
@@ -84,72 +79,104 @@ def meeting(sets: DataFrame, bound: float) -> DataFrame:
     same = each("blocks", lambda j: key(g, F.least(i, j), g, F.greatest(i, j), F.when(i > j, 1).otherwise(0)))
     up = each("above", lambda j: key(g, i, g + 1, j, F.lit(0)))
     down = each("below", lambda j: key(g - 1, j, g, i, F.lit(1)))
-    dealt = placed.select("card", "place", "n", "words", "opens", "last", F.explode(F.concat(same, up, down)).alias("k")).select("card", "k.*", "place", "n", "words", "opens", "last")
+    dealt = placed.select("card", "place", "n", "marks", F.explode(F.concat(same, up, down)).alias("k")).select("card", "k.*", "place", "n", "marks")
+    both = groups.join(beside(1, "above"), ["card", "g"], "left").agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2 + F.col("blocks") * F.coalesce("above", F.lit(0)))).first()[0] or 1
+    tasks = int(min(PAIR_TASKS * both, CORE_TASKS * max(1, sets.sparkSession.sparkContext.defaultParallelism)))
     kind = {f.name: f.dataType for f in rows.schema}
-    schema = T.StructType([T.StructField("card", kind["card"]), T.StructField("place", kind["place"]), T.StructField("p2", kind["place"])])
+    schema = T.StructType([T.StructField("card", kind["card"]), T.StructField("place", kind["place"]), T.StructField("p2", kind["place"]), T.StructField("most", T.DoubleType())])
     names = to_arrow_schema(schema)
 
     def run(key, table):
         one = table.filter(pc.equal(table.column("side"), 0))
         own = key[1].as_py() == key[3].as_py() and key[2].as_py() == key[4].as_py()
         other = one if own else table.filter(pc.equal(table.column("side"), 1))
-        found = [(x, y) for x, y in _counted(one, other, bound)] if one.num_rows and other.num_rows else []
+        found = list(_near(_Side(one), None if own else _Side(other), bound)) if one.num_rows and other.num_rows else []
         place, p2 = one.column("place").combine_chunks(), other.column("place").combine_chunks()
-        x = pa.concat_arrays([place.take(pa.array(x)) for x, _ in found] or [place.slice(0, 0)])
-        y = pa.concat_arrays([p2.take(pa.array(y)) for _, y in found] or [place.slice(0, 0)])
+        x = pa.concat_arrays([place.take(pa.array(x)) for x, _, _ in found] or [place.slice(0, 0)])
+        y = pa.concat_arrays([p2.take(pa.array(y)) for _, y, _ in found] or [place.slice(0, 0)])
+        most = pa.array(np.concatenate([m for _, _, m in found] or [np.zeros(0)]))
         later = pc.greater(x, y)
         late, early = pc.if_else(later, x, y), pc.if_else(later, y, x)
-        keep = later if own else pc.not_equal(x, y)
-        out = pa.Table.from_arrays([pa.array([key[0].as_py()] * len(x), names.field("card").type), late, early], ["card", "place", "p2"]).filter(keep)
+        out = pa.Table.from_arrays([pa.array([key[0].as_py()] * len(x), names.field("card").type), late, early, most], schema.names).filter(pc.not_equal(x, y))
         return out.cast(names)
 
-    return dealt.groupBy("card", "g1", "i1", "g2", "i2").applyInArrow(run, schema)
-
-
-def _counted(one: pa.Table, other: pa.Table, bound: float):
-    """(rows of one, rows of the other) that may share enough, some at a time."""
-    def parts(t):
-        lists, n = t.column("words").combine_chunks(), t.column("n").to_numpy().astype(np.int64)
-        every, first, opens = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(n) - n, t.column("opens").to_numpy().astype(np.int64)
-        opening = every[np.arange(len(every)) - np.repeat(first, n) < np.repeat(opens, n)]
-        return opening, opens, n, (n - opens).astype(np.int32), t.column("last").to_numpy(), every.astype(np.int64) % MARKS, first
-
-    words, size, n, rest, last, every, first = parts(one)
-    words2, size2, n2, rest2, last2, every2, first2 = parts(other)
-    marks = np.zeros(MARKS, np.uint8)
-    by = np.argsort(words2, kind="stable")
-    known, start, count = np.unique(words2[by], return_index=True, return_counts=True)
-    holders = np.repeat(np.arange(len(n2)), size2)[by]
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    has = known[at] == words
-    row, start, count = np.repeat(np.arange(len(n)), size)[has], start[at[has]], count[at[has]]
-    ends = np.cumsum(np.bincount(row, minlength=len(n)))  # entries up to each row
-    touched = np.concatenate([[0], np.cumsum(count)])
-    upto = touched[ends]
+    of = ("card", "g1", "i1", "g2", "i2")
+    return dealt.repartition(tasks, *of).groupBy(*of).applyInArrow(run, schema)
+
+
+class _Side:
+    """The sets of a block by size, in tiles of like sizes."""
+
+    def __init__(self, table: pa.Table):
+        n = table.column("n").to_numpy().astype(np.int64)
+        self.order = np.argsort(n, kind="stable")
+        self.n = n[self.order]
+        lists = table.column("marks").combine_chunks().take(pa.array(self.order))
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.marks = np.frombuffer(b"".join(lists.to_pylist()), np.uint16)
+        self.tiles = []
+        rows = max(1, math.isqrt(CELLS))
+        f = 0
+        while f < len(n):
+            most = int(self.n[f] * STEP)
+            t = min(f + rows, int(np.searchsorted(self.n, most, side="right")), f + max(1, CELLS // _signs(2 * most)))
+            self.tiles.append((f, t))
+            f = t
+
+    def words(self, rows: np.ndarray) -> np.ndarray:
+        """The marks of some sets, one after the other."""
+        many = self.n[rows]
+        begin = np.cumsum(many) - many
+        return self.marks[np.repeat(self.first[rows] - begin, many) + np.arange(many.sum())]
+
+    def signs(self, tile: tuple[int, int], width: int, less: float, last: bool) -> np.ndarray:
+        """The signs of a tile's sets, and two columns more, by which the product of two sides is below 0 where they are too different."""
+        f, t = tile
+        cell = np.repeat(np.arange(t - f) * width, self.n[f:t]) + self.marks[self.first[f] : self.first[t]] % width
+        odd = np.bincount(cell, minlength=(t - f) * width).reshape(t - f, width) & 1
+        weight = ((odd.sum(1) - less * self.n[f:t]) / -2)[:, None]
+        one = np.ones_like(weight)
+        return np.concatenate([odd, one, weight] if last else [odd, weight, one], 1, dtype=np.float32)
+
+
+def _signs(words: int) -> int:
+    """Signs for sets that have so many words together, in few steps, so that tiles share them."""
+    need = max(LEAST, SIGNS * words)
+    whole = 1 << math.ceil(math.log2(need))
+    return min(MARKS, whole * 3 // 4 if whole * 3 // 4 >= need else whole)
+
+
+def _near(one: _Side, other: _Side | None, bound: float):
+    """(rows of one, rows of the other, Jaccard at most) of pairs that may share enough, some at a time; without another, each pair of one once."""
+    own, other = other is None, other or one
     share = bound / (1 + bound)
-    step = max(1, CELLS // len(n2))
-    f = 0
-    while f < len(n):
-        before = upto[f - 1] if f else 0
-        t = min(f + step, max(f + 1, int(np.searchsorted(upto, before + TOUCHES, side="right"))), len(n))
-        lo, hi = (ends[f - 1] if f else 0), ends[t - 1]
-        c = count[lo:hi]
-        if len(c):
-            met = holders[np.repeat(start[lo:hi] - (touched[lo:hi] - before), c) + np.arange(touched[hi] - before)]
-            common = np.bincount(np.repeat((row[lo:hi] - f) * len(n2), c) + met, minlength=(t - f) * len(n2)).reshape(t - f, -1)
-            left = np.where(last[f:t, None] <= last2, rest[f:t, None], rest2)
-            x, y = np.nonzero((common > 0) & (common + left >= share * (n[f:t, None] + n2) - 1e-9))
+    meet: dict[int, list] = {}
+    for i, (f, t) in enumerate(one.tiles):
+        for f2, t2 in other.tiles[i if own else 0 :]:
+            low, high, low2, high2 = one.n[f], one.n[t - 1], other.n[f2], other.n[t2 - 1]
+            if high >= bound * low2 and high2 >= bound * low:
+                meet.setdefault(_signs(high + high2), []).append(((f, t), (f2, t2)))
+    table = np.zeros(MARKS, np.uint8)
+    for width, tiles in sorted(meet.items()):
+        mine, signs, known = None, None, {}
+        for tile, tile2 in tiles:
+            if tile != mine:
+                mine, signs = tile, one.signs(tile, width, 1 - 2 * share, False)
+            if tile2 not in known:
+                known[tile2] = other.signs(tile2, width, 1 - 2 * share, True)
+            x, y = np.nonzero(signs @ known[tile2].T >= -0.5)  # below 0 by a half at least, or by nothing but rounding
+            x, y = x + tile[0], y + tile2[0]
+            if own and tile == tile2:
+                x, y = x[x < y], y[x < y]
             for r, ys in zip(*_by_row(x, y), strict=True):
-                mine = every[first[f + r] : first[f + r] + n[f + r]]
-                marks[mine] = 1
-                many = n2[ys]
-                begin = np.cumsum(many) - many
-                held = np.add.reduceat(marks[every2[np.repeat(first2[ys] - begin, many) + np.arange(many.sum())]].astype(np.int32), begin)
-                marks[mine] = 0
-                near = ys[held >= share * (n[f + r] + many) - 1e-9]
-                if len(near):
-                    yield np.full(len(near), f + r), near
-        f = t
+                words, many = one.words(np.array([r])), other.n[ys]
+                table[words] = 1
+                held = np.add.reduceat(table[other.words(ys)], np.cumsum(many) - many, dtype=np.int32)
+                table[words] = 0
+                near = held >= share * (one.n[r] + many) - 1e-9
+                if near.any():
+                    common = np.minimum(held, one.n[r])[near]
+                    yield np.full(len(common), one.order[r]), other.order[ys[near]], common / (one.n[r] + many[near] - common)
 
 
 def _by_row(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

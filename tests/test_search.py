@@ -253,6 +253,42 @@ def test_sets_that_may_share_enough_are_counted_block_by_block(spark, monkeypatc
     assert near.meeting(d.limit(0), 0.45).count() == 0
 
 
+def test_signs_tell_most_pairs_apart_before_words_are_counted(monkeypatch):
+    """Of unrelated sets hardly a pair is counted word by word, near ones of any size are found, and their possible share is no less than theirs."""
+    import pyarrow as pa
+
+    from recallweave.operators import near
+
+    r, counted = np.random.default_rng(5), []
+    by_row = near._by_row
+    monkeypatch.setattr(near, "_by_row", lambda x, y: counted.append(len(x)) or by_row(x, y))
+    sets = [r.choice(60_000, r.integers(2, 700), replace=False) for _ in range(500)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], r.choice(60_000, len(s) // 4)])) for s in sets[:200]]
+    table = lambda some: pa.table({"n": pa.array([len(s) for s in some], pa.int32()), "marks": pa.array([s.astype(np.uint16).tobytes() for s in some], pa.binary())})
+    share = lambda s, t: len(c := set(s.tolist()) & set(t.tolist())) / (len(s) + len(t) - len(c))
+    want = {(i, 500 + i): share(s, sets[500 + i]) for i, s in enumerate(sets[:200]) if share(s, sets[500 + i]) >= 0.45}
+    pairs = [*near._near(near._Side(table(sets)), None, 0.45)]
+    got = {(min(i, j), max(i, j)): m for x, y, most in pairs for i, j, m in zip(x.tolist(), y.tolist(), most, strict=True)}
+    assert want.keys() <= got.keys() and len(want) > 150 and all(got[k] >= o for k, o in want.items()) and len(got) < len(want) + 20
+    assert sum(counted) < 1500 < 500 * 200  # of 245,000 pairs
+    left, right = near._Side(table(sets[:500])), near._Side(table(sets[500:]))
+    assert {(i, 500 + j) for x, y, _ in near._near(left, right, 0.45) for i, j in zip(x.tolist(), y.tolist(), strict=True)} >= want.keys()
+
+
+def test_nearest_notes_count_a_pair_once_and_only_likely_ones(spark):
+    from recallweave.operators import memory
+
+    words = [f"w{i}" for i in range(40)]
+    d = spark.createDataFrame([("c", f"i{i}", i, "상태", words[: 40 - i % 20] + [f"x{i}"]) for i in range(60)], "card string, id string, place int, kind string, words array<string>")
+    found = memory.nearest_notes(d)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
+    share = lambda s, t: len(set(s) & set(t)) / len(set(s) | set(t))
+    rows = {x.place: x for x in d.collect()}
+    want = {x.id: max((share(x.words, rows[p].words), -p) for p in range(x.place)) for x in rows.values() if x.place}
+    assert {x.id: (x.share, x.target) for x in found.collect()} == {k: (o, f"i{-p}") for k, (o, p) in want.items()}
+
+
 def test_scores_made_where_units_are_read_are_those_of_the_index(spark, monkeypatch):
     """Best k and all hits against the index: bounds, ties, longer Hangul words, empty and unknown queries, small blocks and passes; nothing but kept rows is shuffled."""
     from recallweave.operators import scored
