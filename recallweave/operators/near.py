@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .lineage import cut
 
 #: Words of a block, about; blocks of a group of sizes at least, where it has FEW_WORDS for each.
-BLOCK_WORDS, BLOCKS, FEW_WORDS = 8_000_000, 3, 200_000
+BLOCK_WORDS, BLOCKS, FEW_WORDS = 8_000_000, 2, 200_000
 #: Pairs, and signs of one side, that a task has at once.
 CELLS = 4_000_000
 #: Marks that words are told by: 16 bits of their hash.
